@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from strandline.llm.near_dedup import op4_minhash_near_dedup
 from strandline.llm.packing import op7_best_fit_packing
+from strandline.llm.secrets import op5_secret_scan
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_minhash_near_dedup": op4_minhash_near_dedup,
+    "op5_secret_scan": op5_secret_scan,
     "op7_best_fit_packing": op7_best_fit_packing,
 }
 ORACLES: dict[str, str] = {}

@@ -1,0 +1,59 @@
+import hashlib
+import re
+
+from strandline.llm.secrets import mask_live_secrets, scan_secrets
+
+SCHEMA = "doc_id long, text string, source string, lang string, live int, hash string, s string"
+PATTERNS = [("assign", r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""), ("access", r"AKIA[A-Z0-9]+"), ("hex", r"[0-9a-f]+")]
+
+
+def base(text):
+    out = []
+    for k, (kind, pattern) in enumerate(PATTERNS):
+        for m in re.finditer(pattern, text or "", re.ASCII):
+            if (len(m[2]) >= 6) if k == 0 else len(m[0]) >= (20 if k == 1 else 24):
+                out.append((m.start(), k, kind, m.end()))
+    return sorted(out)
+
+
+def agree(rows, texts):
+    for r in rows:
+        want = base(texts[r.doc_id])
+        line = ",".join(f"{kind}:{a}:{b}" for a, _, kind, b in want)
+        assert r.base_sha256 == hashlib.sha256(line.encode()).hexdigest(), (r.doc_id, line, r.spans)
+        assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(k == i for _, k, _, _ in want) for i in range(3))
+        spans = r.spans.split(",") if r.spans else []
+        assert [s for s in spans if not s.startswith("blob")] == (line.split(",") if line else [])
+
+
+def test_base_spans_on_a_table(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = scan_secrets(docs).collect()
+    assert len(rows) == 1000
+    agree(rows, {r.doc_id: r.text for r in docs.collect()})
+
+
+def test_edges_and_ownership(spark):
+    key = "9f8e7d6c5b4a39281706f5e4d3c2b1a0"
+    texts = {
+        1: None, 2: "", 3: "secret=token: abcdefg token==abcdef passwd = 'ab' API_KEY:\"x.y-z=1/+\"", 4: "AKIA" + "Z" * 15 + " AKIA" + "Z" * 16 + "AKIAAKIA", 5: "é😀 ſecret=abcdef Token =abcdef toKEN  =  " + key,
+        6: f"x {key} y", 7: f"x {key} y", 8: "token=aaaaaaaa", 9: "Q7" * 3 + "mN" * 14 + "+/Z9 end", 10: "password=hunter2x, " * 3000, 11: "secret=" + key[::-1], 12: "secret=" + key[::-1],
+    }
+    owners = {6: "a", 7: "b", 11: "c", 12: "c"}
+    df = spark.createDataFrame([(i, t, owners.get(i, "z"), "en", 1, "h", "s") for i, t in texts.items()], SCHEMA)
+    rows = {r.doc_id: r for r in scan_secrets(df).collect()}
+    agree(rows.values(), texts)
+    assert rows[6].n_example == 1 and rows[6].n_live == 0
+    assert rows[11].n_live == 2 and rows[8].n_live == 0
+    assert rows[9].spans.startswith("blob:0:")
+    assert rows[10].n_assign == 3000
+    masked = {r.doc_id: r.text for r in mask_live_secrets(df).collect()}
+    assert masked[6] == texts[6] and masked[11] == "[SECRET]" and masked[1] is None and masked[8] == texts[8]
+    assert masked[5].endswith(key) and masked[10].count("[SECRET]") == 3000
+    assert mask_live_secrets(df).columns == df.columns
+
+
+def test_empty_repeated_null(spark):
+    assert scan_secrets(spark.createDataFrame([], SCHEMA)).count() == 0
+    df = spark.createDataFrame([(None, "token=abcdefghij", None, None, 0, "", "")] * 2 + [(3, "token=abcdefghij", None, "x", 0, "", "")], SCHEMA)
+    assert [r.n_live for r in scan_secrets(df).collect()] == [1, 1, 1]
