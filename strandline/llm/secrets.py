@@ -107,13 +107,13 @@ def text_key(id_col: str = "doc_id", text_col: str = "text") -> Column:
 
 def mask_live_secrets(docs: DataFrame, mask: str = "[SECRET]", id_col: str = "doc_id", text_col: str = "text", owner: str = "source") -> DataFrame:
     """docs with each live-looking secret replaced by ``mask``; copied examples and all other rows and columns stay as they are."""
-    found = scan_secrets(docs, id_col, text_col, owner).where(F.size("live") > 0).select(F.col(id_col).alias("_id"), F.col("text_key").alias("_key"), "live").distinct()
+    found = scan_secrets(docs, id_col, text_col, owner).where(F.size("live") > 0).select(F.col(id_col).alias("_id"), F.col("text_key").alias("_key"), F.col("live").alias("_live")).distinct()
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("text"))
     step = lambda s, x: F.struct(F.greatest(s["at"], x["stop"]).alias("at"), F.when(x["start"] < s["at"], s["text"]).otherwise(F.concat(s["text"], F.substring(F.col(text_col), s["at"] + 1, x["start"] - s["at"]), F.lit(mask))).alias("text"))
-    end = F.aggregate("live", start, step, lambda s: F.concat(s["text"], F.substring(F.col(text_col), s["at"] + 1, F.char_length(text_col))))
+    end = F.aggregate("_live", start, step, lambda s: F.concat(s["text"], F.substring(F.col(text_col), s["at"] + 1, F.char_length(text_col))))
     rows = docs.withColumn("_own", text_key(id_col, text_col))
     joined = rows.join(found, F.col("_own").eqNullSafe(F.col("_key")) & F.col(id_col).eqNullSafe(F.col("_id")), "left")
-    return joined.withColumn(text_col, F.when(F.col("live").isNull(), F.col(text_col)).otherwise(end)).select(docs.columns)
+    return joined.withColumn(text_col, F.when(F.col("_live").isNull(), F.col(text_col)).otherwise(end)).select(docs.columns)
 
 
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
