@@ -23,9 +23,10 @@ from strandline.operators.components import connected_components, cut_lineage
 #: 36 bands of 4: a pair at 0.75 shares no band with probability (1 - 0.75**4)**36 = 1e-6.
 BANDS, ROWS = 36, 4
 SAMPLES = BANDS * ROWS
-SKETCH_BITS = 512
-#: XOR count that a pair of similarity 0.5 is expected to have; for one of 0.75 it lies five standard deviations up.
-SKETCH_LIMIT = 110
+#: One-permutation MinHash samples (the least hash of each bin) and the parity bits that they are folded into.
+BINS, SKETCH_BITS = 1 << 14, 1 << 12
+#: Pairs whose estimate lies this many standard deviations under the threshold are dropped.
+DEVIATIONS = 5.0
 #: Pairs with one partner in a task, members of a bucket in a block.
 STAR_ROWS, BLOCK_ROWS = 2000, 1024
 _CLASS_SALTS = 16
@@ -36,22 +37,41 @@ _B = _rng.integers(0, 1 << 32, SAMPLES, dtype=np.uint32)
 _ROW = _rng.integers(1, 1 << 63, ROWS, dtype=np.uint64) | np.uint64(1)
 
 
-def signatures(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Band keys (n x BANDS, int64) and odd sketches (n x SKETCH_BITS/64, int64) of non-empty sets."""
+def signatures(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of non-empty sorted sets: band keys (n x BANDS, int64), odd sketches (n x SKETCH_BITS/64, int64), samples in each sketch."""
     cuts = np.concatenate([[0], np.cumsum([len(s) for s in sets])[:-1]]).astype(np.int64)
-    x = (np.concatenate(sets) >> np.uint64(32)).astype(np.uint32)
+    every = np.concatenate(sets)
+    x = (every >> np.uint64(32)).astype(np.uint32)
     low = np.empty((SAMPLES, len(sets)), np.uint64)
     for j in range(SAMPLES):
         low[j] = np.minimum.reduceat((x ^ _B[j]) * _A[j], cuts)
     keys = np.empty((len(sets), BANDS), np.int64)
     for t in range(BANDS):
         keys[:, t] = mix((low[t * ROWS : (t + 1) * ROWS] * _ROW[:, None]).sum(axis=0, dtype=np.uint64) + np.uint64(t)).view(np.int64)
-    spot = mix(low + (np.arange(SAMPLES, dtype=np.uint64)[:, None] << np.uint64(32))) % np.uint64(SKETCH_BITS)
-    bits = np.zeros((len(sets), SKETCH_BITS), np.uint8)
-    row = np.arange(len(sets))
-    for j in range(SAMPLES):
-        bits[row, spot[j].astype(np.int64)] ^= 1
-    return keys, np.packbits(bits, axis=1).view(np.int64)
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    cell = owner * BINS + (every >> np.uint64(50)).astype(np.int64)
+    least = np.concatenate([[True], cell[1:] != cell[:-1]])
+    spot = owner[least] * SKETCH_BITS + (mix(every[least]) % np.uint64(SKETCH_BITS)).astype(np.int64)
+    bits = (np.bincount(spot, minlength=len(sets) * SKETCH_BITS) & 1).astype(np.uint8).reshape(len(sets), -1)
+    return keys, np.packbits(bits, axis=1).view(np.int64), np.bincount(owner[least], minlength=len(sets))
+
+
+def _allowed(xor_count, samples, shingles, percent: int, m):
+    """Whether an XOR count allows the threshold; samples and shingles are the two documents' sums.
+
+    For numpy arrays (m: numpy) or columns (m: pyspark.sql.functions). The count estimates how many
+    samples differ, which at the threshold follows from the sizes; the deviation there is that of the
+    draw of samples (only bins with more than one shingle draw) and of the parity folding.
+    """
+    n, goal = SKETCH_BITS, percent / 100
+    log, exp, sqrt, most = (m.log, m.exp, m.sqrt, m.maximum) if m is np else (m.ln, m.exp, m.sqrt, m.greatest)
+    crowd = 1 - exp(-1 / (1 + goal) / BINS * shingles)
+    union = BINS * crowd
+    at = most(samples - 2 * goal * union, 0 * union)
+    folded = (n / 4 * (1 - exp(-4 / n * at)) - at * exp(-4 / n * at)) * exp(4 / n * at)
+    drawn = 4 * goal * (1 - goal) * union * crowd
+    differ = -n / 2 * log(most(1 - 2 / n * xor_count, 1e-9 + 0 * xor_count))
+    return differ <= at + DEVIATIONS * sqrt(folded + drawn) + 1
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -61,18 +81,18 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             size = np.array([len(s) for s in sets], np.int64)
             full = np.flatnonzero(size)
             keys, sketch = np.zeros((len(sets), BANDS), np.int64), np.zeros((len(sets), SKETCH_BITS // 64), np.int64)
-            mark = np.zeros((2, len(sets)), np.int64)
+            mark, samples = np.zeros((2, len(sets)), np.int64), np.zeros(len(sets), np.int64)
             if len(full):
                 own = [sets[i] for i in full]
-                keys[full], sketch[full] = signatures(own)
+                keys[full], sketch[full], samples[full] = signatures(own)
                 cuts = np.concatenate([[0], np.cumsum(size[full])[:-1]])
                 every = np.concatenate(own)
                 mark[0, full] = np.add.reduceat(every, cuts).view(np.int64)
                 mark[1, full] = np.add.reduceat(mix(every + np.uint64(1)), cuts).view(np.int64)
             empty = size == 0
             yield pa.record_batch(
-                [ids.slice(start, len(sets)), pa.array(size), pa.array(mark[0], mask=empty), pa.array(mark[1], mask=empty), _lists(keys, empty), _lists(sketch, empty)],
-                names=["doc_id", "n_shingles", "set_a", "set_b", "bands", "sketch"],
+                [ids.slice(start, len(sets)), pa.array(size), pa.array(mark[0], mask=empty), pa.array(mark[1], mask=empty), _lists(keys, empty), _lists(sketch, empty), pa.array(samples)],
+                names=["doc_id", "n_shingles", "set_a", "set_b", "bands", "sketch", "samples"],
             )
 
 
@@ -82,9 +102,9 @@ def _lists(x: np.ndarray, empty: np.ndarray) -> pa.Array:
 
 
 def document_signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, set_a, set_b, bands, sketch) of every row; set_a and set_b name the shingle set (null: no words)."""
+    """(doc_id, n_shingles, set_a, set_b, bands, sketch, samples) of every row; set_a and set_b name the shingle set (null: no words)."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(_sign, "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>, sketch array<long>")
+    return rows.mapInArrow(_sign, "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>, sketch array<long>, samples long")
 
 
 def _with_class(signed: DataFrame, columns: list[str]) -> DataFrame:
@@ -134,19 +154,19 @@ def confirmed_links(pairs: DataFrame, docs: DataFrame, percent: int = 75, id_col
     return rows.repartition("src", "part").sortWithinPartitions("src", "part", F.desc("head"), "doc").mapInArrow(_confirm(percent), "src long, dst long")
 
 
-def _cell_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _cell_pairs(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     """Pairs of each cell's blocks in different components whose sizes and odd sketches allow the threshold."""
     names, held, now = ["src", "dst"], [], None
 
     def pairs(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
         t = pa.Table.from_batches(rows)
-        doc, comp, n, block = (t.column(c).to_numpy() for c in ("doc", "comp", "n", "block"))
+        doc, comp, n, samples, block = (t.column(c).to_numpy() for c in ("doc", "comp", "n", "samples", "block"))
         sketch = t.column("sketch").combine_chunks().flatten().to_numpy().reshape(len(doc), -1)
         mixed = block.min() != block.max()
         a, b = [], []
         for i in range(len(doc) - 1):
-            ok = np.flatnonzero((comp[i + 1 :] != comp[i]) & (100 * np.minimum(n[i + 1 :], n[i]) >= 75 * np.maximum(n[i + 1 :], n[i])) & ((block[i + 1 :] != block[i]) | (not mixed))) + i + 1
-            ok = ok[np.bitwise_count(sketch[ok] ^ sketch[i]).sum(axis=1) <= SKETCH_LIMIT]
+            ok = np.flatnonzero((comp[i + 1 :] != comp[i]) & (100 * np.minimum(n[i + 1 :], n[i]) >= percent * np.maximum(n[i + 1 :], n[i])) & ((block[i + 1 :] != block[i]) | (not mixed))) + i + 1
+            ok = ok[_allowed(np.bitwise_count(sketch[ok] ^ sketch[i]).sum(axis=1, dtype=np.int64), samples[ok] + samples[i], n[ok] + n[i], percent, np)]
             a.append(np.minimum(doc[ok], doc[i]))
             b.append(np.maximum(doc[ok], doc[i]))
         return pa.record_batch([np.concatenate([*a, np.empty(0, np.int64)]), np.concatenate([*b, np.empty(0, np.int64)])], names=names)
@@ -177,15 +197,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if percent < 75:
         raise ValueError("bands and sketch limit are set for 75 percent and more")
     signed = cut_lineage(document_signatures(docs, id_col, text_col))
-    nodes = cut_lineage(_with_class(signed.where("doc_id is not null and set_a is not null"), ["doc_id", "n_shingles", "bands", "sketch"]).where("rep = doc_id").drop("rep"))
+    nodes = cut_lineage(_with_class(signed.where("doc_id is not null and set_a is not null"), ["doc_id", "n_shingles", "bands", "sketch", "samples"]).where("rep = doc_id").drop("rep"))
     bucket = Window.partitionBy("key")
     banded = nodes.select(F.explode("bands").alias("key"), F.col("doc_id").alias("doc"))
     members = cut_lineage(banded.select("key", "doc", F.min("doc").over(bucket).alias("pivot"), F.max("doc").over(bucket).alias("last")).where("pivot <> last").drop("last"))
-    sizes = nodes.select(F.col("doc_id").alias("doc"), F.col("n_shingles").alias("n"), "sketch")
+    sizes = nodes.select(F.col("doc_id").alias("doc"), F.col("n_shingles").alias("n"), "sketch", "samples")
 
     stars = members.where("doc <> pivot").select(F.col("pivot").alias("src"), F.col("doc").alias("dst")).distinct()
-    left, right = (sizes.select(F.col("doc").alias(e), F.col("n").alias(f"n_{e}"), F.col("sketch").alias(f"s_{e}")) for e in ("src", "dst"))
-    near = stars.join(left, "src").join(right, "dst").where("100 * least(n_src, n_dst) >= 75 * greatest(n_src, n_dst)").where(_xor_count("s_src", "s_dst") <= SKETCH_LIMIT)
+    left, right = (sizes.select(F.col("doc").alias(e), F.col("n").alias(f"n_{e}"), F.col("sketch").alias(f"x_{e}"), F.col("samples").alias(f"s_{e}")) for e in ("src", "dst"))
+    near = stars.join(left, "src").join(right, "dst").where(f"100 * least(n_src, n_dst) >= {percent} * greatest(n_src, n_dst)")
+    near = near.where(_allowed(_xor_count("x_src", "x_dst"), F.col("s_src") + F.col("s_dst"), F.col("n_src") + F.col("n_dst"), percent, F))
     texts = docs.where(F.col(id_col).isNotNull())
     links = cut_lineage(confirmed_links(cut_lineage(near.select("src", "dst").distinct()), texts, percent, id_col, text_col))
     comps = connected_components(links)
@@ -194,9 +215,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     split = labelled.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n")).where("lo <> hi and n > 2").select("key", F.ceil(F.col("n") / BLOCK_ROWS).cast("int").alias("blocks"))
     # the pivot of a bucket has been tested against each member
     rest = labelled.where("doc <> pivot").join(split, "key").join(sizes, "doc").withColumn("block", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
-    cells = rest.select("key", "doc", "comp", "n", "sketch", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    cells = cells.select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "doc", "comp", "n", "sketch", "block")
-    more = cells.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "doc").mapInArrow(_cell_pairs, "src long, dst long").distinct()
+    cells = rest.select("key", "doc", "comp", "n", "sketch", "samples", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    cells = cells.select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "doc", "comp", "n", "sketch", "samples", "block")
+    more = cells.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "doc").mapInArrow(lambda batches: _cell_pairs(batches, percent), "src long, dst long").distinct()
     more = cut_lineage(more)
     if not more.isEmpty():
         links = links.unionByName(cut_lineage(confirmed_links(more, texts, percent, id_col, text_col)))
