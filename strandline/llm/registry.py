@@ -9,12 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 from strandline.llm.near_dedup import op4_minhash_near_dedup
 from strandline.llm.packing import op7_best_fit_packing
 from strandline.llm.secrets import op5_secret_scan
+from strandline.llm.sharding import op6_sharding
 from strandline.llm.toxicity import op2_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_toxicity": op2_toxicity,
     "op4_minhash_near_dedup": op4_minhash_near_dedup,
     "op5_secret_scan": op5_secret_scan,
+    "op6_sharding": op6_sharding,
     "op7_best_fit_packing": op7_best_fit_packing,
 }
 ORACLES: dict[str, str] = {}

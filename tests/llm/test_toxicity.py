@@ -10,7 +10,7 @@ def corpus(spark):
     for i in range(240):
         bad = i % 4 == 0
         filler = " ".join(f"w{chr(97 + (i * k) % 26)}{chr(97 + k)}" for k in range(30))
-        text = f"{filler} you {WORDS[i % 8 // 4]} {filler[:30]} {WORDS[0]}" if bad else f"{filler} the slurbag award {filler[:20]}" if i % 4 == 1 else filler
+        text = f"{filler} you {WORDS[i % 8 // 4]} {filler[:30]} {WORDS[0]}" if bad else f"{filler} the slurbag award {filler[:20]}" if i % 16 == 1 else filler
         docs.append((i, text, "x", 0.5))
         labels.append((i, int(bad)))
     docs += [(1000, None, "x", 0.0), (1001, "", "x", 0.0), (1002, "GR0BN1K grоbnik " + "word " * 20, "x", 0.0), (1003, "word " * 50_000, "x", 0.0), (1004, "slurbag award", "x", 0.0), (1004, "slurbag award", "x", 0.0), (None, "w", "x", 0.0)]
