@@ -11,12 +11,14 @@ from strandline.llm.packing import op7_best_fit_packing
 from strandline.llm.secrets import op5_secret_scan
 from strandline.llm.sharding import op6_sharding
 from strandline.llm.toxicity import op2_toxicity
+from strandline.llm.url_filters import OP1_SQL, op1_url_filters
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_url_filters": op1_url_filters,
     "op2_toxicity": op2_toxicity,
     "op4_minhash_near_dedup": op4_minhash_near_dedup,
     "op5_secret_scan": op5_secret_scan,
     "op6_sharding": op6_sharding,
     "op7_best_fit_packing": op7_best_fit_packing,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op1_url_filters": OP1_SQL}
