@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from strandline.llm.media import op9_media_columns
 from strandline.llm.near_dedup import op4_minhash_near_dedup
 from strandline.llm.packing import op7_best_fit_packing
 from strandline.llm.secrets import op5_secret_scan
@@ -20,5 +21,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_secret_scan": op5_secret_scan,
     "op6_sharding": op6_sharding,
     "op7_best_fit_packing": op7_best_fit_packing,
+    "op9_media_columns": op9_media_columns,
 }
 ORACLES: dict[str, str] = {"op1_url_filters": OP1_SQL}
