@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from strandline.llm.ann import op3_nearest_neighbours
 from strandline.llm.media import op9_media_columns
 from strandline.llm.near_dedup import op4_minhash_near_dedup
 from strandline.llm.packing import op7_best_fit_packing
@@ -17,6 +18,7 @@ from strandline.llm.url_filters import OP1_SQL, op1_url_filters
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filters": op1_url_filters,
     "op2_toxicity": op2_toxicity,
+    "op3_nearest_neighbours": op3_nearest_neighbours,
     "op4_minhash_near_dedup": op4_minhash_near_dedup,
     "op5_secret_scan": op5_secret_scan,
     "op6_sharding": op6_sharding,
