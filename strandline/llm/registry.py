@@ -10,6 +10,7 @@ from strandline.llm.ann import op3_nearest_neighbours
 from strandline.llm.media import op9_media_columns
 from strandline.llm.near_dedup import op4_minhash_near_dedup
 from strandline.llm.packing import op7_best_fit_packing
+from strandline.llm.pieces import op8_sentencepiece
 from strandline.llm.secrets import op5_secret_scan
 from strandline.llm.sharding import op6_sharding
 from strandline.llm.toxicity import op2_toxicity
@@ -23,6 +24,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_secret_scan": op5_secret_scan,
     "op6_sharding": op6_sharding,
     "op7_best_fit_packing": op7_best_fit_packing,
+    "op8_sentencepiece": op8_sentencepiece,
     "op9_media_columns": op9_media_columns,
 }
 ORACLES: dict[str, str] = {"op1_url_filters": OP1_SQL}
