@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 from strandline.operators.components import cut_lineage
 
 CAPACITY, END_ID = 4096, 1
-#: Words whose ids a worker remembers; the memory starts anew when it is full.
-REMEMBERED_WORDS = 300_000
+#: Words whose ids a worker remembers; when so many are new, those of the time before are forgotten.
+REMEMBERED_WORDS = 450_000
 #: Sub-groups of the pieces of one length, ranked apart.
 RANK_SALTS = 256
 
@@ -42,6 +42,7 @@ class _WordIds(dict):
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
+        self.before: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {}
         self.mapped = {i: self._byte_text(i) for i in range(0xDF, 0x100) if i != 0xF7}
         self.plain = all(self._by_parts(x) == self._whole(x) for x in _PROBES)
@@ -70,10 +71,13 @@ class _WordIds(dict):
         return b"".join(out)
 
     def __missing__(self, stretch: str) -> bytes:
-        ids = self._by_parts(stretch) if self.plain else None
+        ids = self.before.get(stretch)
         if ids is None:
-            ids = self._whole(stretch)
+            ids = self._by_parts(stretch) if self.plain else None
+            if ids is None:
+                ids = self._whole(stretch)
         if len(self) >= REMEMBERED_WORDS:
+            self.before = dict(self)
             self.clear()
         self[stretch] = ids
         return ids
