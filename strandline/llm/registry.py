@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from strandline.llm.ann import op3_nearest_neighbours
+from strandline.llm.licenses import op10_license_scan
 from strandline.llm.media import op9_media_columns
 from strandline.llm.near_dedup import op4_minhash_near_dedup
 from strandline.llm.packing import op7_best_fit_packing
@@ -26,5 +27,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_best_fit_packing": op7_best_fit_packing,
     "op8_sentencepiece": op8_sentencepiece,
     "op9_media_columns": op9_media_columns,
+    "op10_license_scan": op10_license_scan,
 }
 ORACLES: dict[str, str] = {"op1_url_filters": OP1_SQL}

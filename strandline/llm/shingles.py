@@ -48,7 +48,7 @@ def _shingles(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndar
     upto = np.searchsorted(starts, bounds)
     count = np.diff(upto)
     grams = np.zeros(len(words), np.uint64)
-    for j in range(WIDTH):
+    for j in range(min(WIDTH, len(words))):
         grams[: len(words) - j] += words[j:] * _STEP[j]
     keep = np.arange(len(words)) + WIDTH <= np.repeat(upto[1:], count)
     short = np.flatnonzero((count > 0) & (count < WIDTH))

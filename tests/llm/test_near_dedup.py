@@ -53,3 +53,8 @@ def test_empty_table_null_ids_and_repeats(spark):
     df = spark.createDataFrame([(1, "a b c d e f", ""), (1, "a b c d e f", ""), (None, "a b c d e f", ""), (None, None, "")], SCHEMA)
     got = sorted((str(r.doc_id), str(r.component_id), r.kept) for r in near_duplicates(df).collect())
     assert got == [("1", "1", True), ("1", "1", True), ("None", "1", False), ("None", "None", False)]
+
+
+def test_batches_of_few_words(spark):
+    for rows in ([(1, "one")], [(1, "a b"), (2, "a b")], [(1, "a b c d e")]):
+        assert result(spark.createDataFrame([(i, t, "k") for i, t in rows], SCHEMA).coalesce(1)) == brute(rows)
