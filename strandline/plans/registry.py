@@ -2,5 +2,13 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from importlib import import_module
+
+from strandline.plans.cohort import ORACLES, QUERIES
+
+#: Modules that register queries, by subject.
+MODULES = ("scalars",)
+for _module in MODULES:
+    import_module(f"strandline.plans.{_module}")
+
+__all__ = ["ORACLES", "QUERIES"]
