@@ -7,7 +7,7 @@ from importlib import import_module
 from strandline.plans.cohort import ORACLES, QUERIES
 
 #: Modules that register queries, by subject.
-MODULES = ("scalars",)
+MODULES = ("scalars", "relational", "graph")
 for _module in MODULES:
     import_module(f"strandline.plans.{_module}")
 
