@@ -19,8 +19,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SPACE = "▁"
-#: Words and pairs of pieces that a worker remembers; each memory starts anew when it is full.
-REMEMBERED_WORDS, REMEMBERED_PAIRS = 300_000, 2_000_000
+#: Words, parts of words and pairs of pieces that a worker remembers; when so many words or parts are new, those of the time before are forgotten.
+REMEMBERED_WORDS, REMEMBERED_PARTS, REMEMBERED_PAIRS = 400_000, 300_000, 1_000_000
 #: Characters of a matched batch, about.
 BATCH_CHARS = 1 << 19
 _WORDS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+").findall
@@ -53,6 +53,8 @@ class Pieces:
         self.bigrams = {p[k : k + 2] for p in self.rank for k in range(len(p) - 1)}
         self.words: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {}
+        self.old_words: dict[str, bytes] = {}
+        self.old_parts: dict[str, bytes] = {}
         self.pairs: dict[int, bool] = {}
 
     def merge(self, text: str) -> list[str]:
@@ -158,14 +160,27 @@ class Pieces:
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         cut = [_WORDS(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
+        if len(self.words) >= REMEMBERED_WORDS:
+            self.words, self.old_words = {}, self.words
+        if len(self.parts) >= REMEMBERED_PARTS:
+            self.parts, self.old_parts = {}, self.parts
         known, parts = self.words, self.parts
-        if len(known) >= REMEMBERED_WORDS:
-            known.clear()
-        if len(parts) >= REMEMBERED_WORDS:
-            parts.clear()
-        fresh = {w: self.split(w) for ws in cut for w in ws if w not in known}
+        fresh, asked = {}, {}
+        for w in set().union(*cut).difference(known):
+            ids = self.old_words.get(w)
+            if ids is not None:
+                known[w] = ids
+                continue
+            fresh[w] = ps = self.split(w)
+            for p in ps:
+                if p not in parts:
+                    if (ids := self.old_parts.get(p)) is not None:
+                        parts[p] = ids
+                    else:
+                        asked[p] = None
+        asked.pop("\0", None)
         new, size = [], 0
-        for part in {p: None for ps in fresh.values() for p in ps if p not in parts and p != "\0"}:
+        for part in asked:
             new.append(part)
             size += len(part)
             if size >= BATCH_CHARS:
