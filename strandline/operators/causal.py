@@ -7,6 +7,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Rows among which the placebo test permutes treatments, about.
+CELL_ROWS = 5000
+
+
 def impute_and_scale(rows: DataFrame, key: str, columns: list[str], most_missing: float = 0.5, keep: tuple[str, ...] = ()) -> DataFrame:
     """key and the columns with at most that share missing: median for null, then z-scores by sample deviation (0 where it is 0), but for keep."""
     stats = rows.agg(F.count("*").alias("n"), *[F.count(c).alias(f"n_{c}") for c in columns]).first()
@@ -102,12 +106,15 @@ def refuters(rows: DataFrame, key: str, treatment: str, outcome: str, adjust: li
     Rows are repeated once a round and every draw is a hash of row and round, so results repeat under any partitioning.
     """
     base = effect(rows, treatment, outcome, adjust).select(F.col("effect").alias("base"))
+    cells = max(1, rows.count() // CELL_ROWS)
     many = rows.select(key, treatment, outcome, *adjust, F.explode(F.sequence(F.lit(1), F.lit(rounds))).alias("round"))
     draw = F.xxhash64(F.col(key), F.col("round"), F.lit(seed))
-    order = Window.partitionBy("round").orderBy(draw, key)
-    given = many.withColumn("_i", F.row_number().over(order))
-    turned = many.withColumn("_i", F.row_number().over(Window.partitionBy("round").orderBy(F.xxhash64(F.col(key), F.col("round"), F.lit(seed + 1)), key))).select("round", "_i", F.col(treatment).alias("_t"))
-    placebo = effect(given.join(turned, ["round", "_i"]), "_t", outcome, adjust, "round")
+    # treatments trade places within random cells of a round, so that no task orders a whole round
+    many = many.withColumn("_cell", F.pmod(F.xxhash64(F.col(key), F.col("round"), F.lit(seed + 2)), F.lit(cells)))
+    place = lambda x: F.row_number().over(Window.partitionBy("round", "_cell").orderBy(x, key))
+    given = many.withColumn("_i", place(draw))
+    turned = many.withColumn("_i", place(F.xxhash64(F.col(key), F.col("round"), F.lit(seed + 1)))).select("round", "_cell", "_i", F.col(treatment).alias("_t"))
+    placebo = effect(given.join(turned, ["round", "_cell", "_i"]), "_t", outcome, adjust, "round")
     subset = effect(many.where(F.pmod(draw, F.lit(10)) < 8), treatment, outcome, adjust, "round")
     cause = effect(many.withColumn("_u", F.pmod(draw, F.lit(1_000_003)) / 1_000_003), treatment, outcome, [*adjust, "_u"], "round")
     parts = []

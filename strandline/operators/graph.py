@@ -56,11 +56,12 @@ def paths(edges: DataFrame, longest: int, start: DataFrame | None = None, simple
 def shortest_paths(edges: DataFrame, source: str, most: int = 6) -> DataFrame:
     """(id, hops): least hops from source to each id within that many, undirected; each level meets only new ids."""
     spark = edges.sparkSession
-    hop = ends(edges).select("id", "other").distinct()
-    seen = spark.createDataFrame([(source, 0)], "id string, hops int")
-    frontier = seen
+    seen = frontier = spark.createDataFrame([(source, 0)], "id string, hops int")
     for n in range(1, most + 1):
-        new = frontier.select("id").join(hop, "id").select(F.col("other").alias("id")).distinct().join(seen, "id", "left_anti")
+        # the frontier is the small side: edges stay where they are if it can be broadcast
+        out = frontier.select(F.col("id").alias("src")).join(edges, "src").select(F.col("dst").alias("id"))
+        back = frontier.select(F.col("id").alias("dst")).join(edges, "dst").select(F.col("src").alias("id"))
+        new = out.unionByName(back).distinct().join(seen, "id", "left_anti")
         frontier = cut_lineage(new.withColumn("hops", F.lit(n)))
         if frontier.isEmpty():
             break
