@@ -19,7 +19,7 @@ RISING_BANDS = {"ADAS": ((10, "normal"), (20, "mild"), (40, "moderate"), (None,
 PET_TRACERS = (("FLORBETAPIR|AV45", "AV45"), ("FLORBETABEN|FBB", "FBB"), ("PIB", "PIB"), ("AV1451|FLORTAUCIPIR|TAU", "AV1451"), ("FDG", "FDG"))
 NAMESPACES = (
     ("http://purl.obolibrary.org/obo/RO_", "RO"), ("https://w3id.org/biolink/", "Biolink"), ("http://www.w3.org/2004/02/skos/", "SKOS"), ("http://www.w3.org/2000/01/rdf-schema#", "RDFS"),
-    ("http://www.w3.org/2002/07/owl#", "OWL"), ("http://www.w3.org/2006/time#", "OWL-Time"), ("http://purl.obolibrary.org/obo/", "OBO"), ("adni:", "internal"),
+    ("http://www.w3.org/2002/07/owl#", "OWL"), ("http://www.w3.org/2006/time#", "OWL-Time"), ("http://purl.obolibrary.org/obo/", "OBO"), ("cohort:", "internal"),
 )
 
 

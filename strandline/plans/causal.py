@@ -115,9 +115,9 @@ def x06(t):
     return x.matrix_edges(rows, [f"v{i}" for i in range(5)], "n_regionkey", "marks")
 
 
-@query("x07_embed_edges", f"SELECT DISTINCT CASE source WHEN 'TAU' THEN 'loinc:30160-0' ELSE concat('adni:', source) END AS src, 'CAUSES' AS type, concat('adni:', target) AS dst FROM ({_ALG}) WHERE algorithm = 'alg1'")
+@query("x07_embed_edges", f"SELECT DISTINCT CASE source WHEN 'TAU' THEN 'loinc:30160-0' ELSE concat('cohort:', source) END AS src, 'CAUSES' AS type, concat('cohort:', target) AS dst FROM ({_ALG}) WHERE algorithm = 'alg1'")
 def x07(t):
-    uri = lambda c: F.coalesce(lookup(F.col(c), {"TAU": "loinc:30160-0"}), F.concat(F.lit("adni:"), c))
+    uri = lambda c: F.coalesce(lookup(F.col(c), {"TAU": "loinc:30160-0"}), F.concat(F.lit("cohort:"), c))
     return _algorithms(t).where("algorithm = 'alg1'").select(uri("source").alias("src"), F.lit("CAUSES").alias("type"), uri("target").alias("dst")).distinct()
 
 

@@ -26,8 +26,8 @@ VIEWS = {
         CASE concat(l_returnflag, l_linestatus) WHEN 'AF' THEN 'ABETA42' WHEN 'AO' THEN 'ABETA40' WHEN 'NF' THEN 'TAU' WHEN 'NO' THEN 'PTAU' WHEN 'RF' THEN 'NFL' ELSE 'GFAP' END AS analyte,
         l_quantity AS value, l_extendedprice AS price, CASE WHEN l_quantity > 25 THEN 1 ELSE 0 END AS abnormal, l_partkey AS part, l_suppkey AS supp, cast(l_shipdate AS date) AS fdate
         FROM {lineitem} JOIN {visits} v ON l_orderkey = v.vid""",
-    "nodes": """SELECT concat('P:', c_custkey) AS id, 'Patient' AS label, c_name AS name, CASE WHEN c_custkey % 3 = 0 THEN concat('adni:', c_custkey) END AS uri FROM {customer}
-        UNION ALL SELECT concat('V:', o_orderkey), 'Visit', o_orderstatus, CASE WHEN o_orderstatus = 'F' THEN concat('adni:v', o_orderkey) END FROM {orders}
+    "nodes": """SELECT concat('P:', c_custkey) AS id, 'Patient' AS label, c_name AS name, CASE WHEN c_custkey % 3 = 0 THEN concat('cohort:', c_custkey) END AS uri FROM {customer}
+        UNION ALL SELECT concat('V:', o_orderkey), 'Visit', o_orderstatus, CASE WHEN o_orderstatus = 'F' THEN concat('cohort:v', o_orderkey) END FROM {orders}
         UNION ALL SELECT concat('S:', s_suppkey), 'Supplier', s_name, NULL FROM {supplier}
         UNION ALL SELECT concat('N:', n_nationkey), 'Nation', n_name, concat('http://purl.obolibrary.org/obo/N_', n_nationkey) FROM {nation}
         UNION ALL SELECT concat('R:', r_regionkey), 'Region', r_name, concat('http://purl.obolibrary.org/obo/R_', r_regionkey) FROM {region}""",

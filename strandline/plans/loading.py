@@ -26,7 +26,7 @@ def s01(t):
 
 @query("s02_resolve_table", "SELECT pid, dx FROM visits WHERE dx = 'AD'")
 def s02(t):
-    tables = {f"ADNI_{dx}_20240101": t.visits.where(f"dx = '{dx}'") for dx in ("AD", "MCI", "CN")}
+    tables = {f"STUDY_{dx}_20240101": t.visits.where(f"dx = '{dx}'") for dx in ("AD", "MCI", "CN")}
     return tables[s.resolve_table(list(tables), "AD")].select("pid", "dx")
 
 
@@ -79,7 +79,7 @@ def s08(t):
     return s.read_json_dictionary(t.spark, folder)
 
 
-@query("s09_parse_node_dump", "SELECT DISTINCT 'Gene' AS kind, p_name AS label, concat('alzkb:Gene_', substring(p_name, 1, 40)) AS id FROM part WHERE contains(lower(p_name), 'gear') ORDER BY id LIMIT 200")
+@query("s09_parse_node_dump", "SELECT DISTINCT 'Gene' AS kind, p_name AS label, concat('kb:Gene_', substring(p_name, 1, 40)) AS id FROM part WHERE contains(lower(p_name), 'gear') ORDER BY id LIMIT 200")
 def s09(t):
     lines = t.part.select(F.concat(F.lit("CREATE (n:Gene {label: '"), "p_name", F.lit("', x: 1})")).alias("value"))
     return s.parse_node_lines(lines, ["Gene", "Drug", "Disease"], "gear")

@@ -117,7 +117,7 @@ def f23(t):
 
 
 @query("f27_f29_identifiers", r"""SELECT id, uri, CASE WHEN uri LIKE 'http://purl.obolibrary.org/obo/N_%' THEN replace(uri, 'http://purl.obolibrary.org/obo/N_', 'N:') END AS curie,
-    CASE WHEN uri LIKE 'http://purl%' THEN 'OBO' WHEN uri LIKE 'adni:%' THEN 'internal' END AS namespace FROM nodes""")
+    CASE WHEN uri LIKE 'http://purl%' THEN 'OBO' WHEN uri LIKE 'cohort:%' THEN 'internal' END AS namespace FROM nodes""")
 def f27(t):
     return t.nodes.select("id", "uri", c.normalize_curie(F.col("uri"), "N").alias("curie"), c.uri_namespace(F.col("uri")).alias("namespace"))
 

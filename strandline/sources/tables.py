@@ -27,7 +27,7 @@ def read_csv_folder(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
     return out
 
 
-def resolve_table(names: list[str], pattern: str, prefix: str = "ADNI_") -> str | None:
+def resolve_table(names: list[str], pattern: str, prefix: str = "STUDY_") -> str | None:
     """The name that equals the pattern without cohort prefix and date suffix, else the first that holds it, whatever the case."""
     plain = {n: n.removeprefix(prefix).rsplit("_", 1)[0] if n.rsplit("_", 1)[-1].isdigit() else n.removeprefix(prefix) for n in sorted(names)}
     exact = [n for n, p in plain.items() if p == pattern]
@@ -80,12 +80,12 @@ def read_json_dictionary(spark: SparkSession, path: str, value: str = "struct<la
     return text.select(F.explode("m").alias("code", "v")).select("code", "v.*", F.lit("dictionary").alias("resolved_via"))
 
 
-def parse_node_lines(lines: DataFrame, kinds: list[str], keyword: str, most: int = 200) -> DataFrame:
+def parse_node_lines(lines: DataFrame, kinds: list[str], keyword: str, most: int = 200, prefix: str = "kb:") -> DataFrame:
     """(kind, label, id) of CREATE lines whose label property holds the keyword, the first most by id."""
     kind = F.regexp_extract("value", rf"\(\w*:({'|'.join(kinds)})\b", 1)
     label = F.regexp_extract("value", r"""label\s*:\s*["']([^"']*)["']""", 1)
     rows = lines.select(kind.alias("kind"), label.alias("label")).where((F.col("kind") != "") & F.lower("label").contains(keyword))
-    return rows.withColumn("id", F.concat(F.lit("alzkb:"), "kind", F.lit("_"), F.substring("label", 1, 40))).distinct().orderBy("id").limit(most)
+    return rows.withColumn("id", F.concat(F.lit(prefix), "kind", F.lit("_"), F.substring("label", 1, 40))).distinct().orderBy("id").limit(most)
 
 
 def list_files(spark: SparkSession, folder: str) -> DataFrame:

@@ -117,7 +117,7 @@ def test_sources(spark, tmp_path):
     (tmp_path / "B.csv").write_text("x,y\n")
     found = tables.read_csv_folder(spark, str(tmp_path))
     assert list(found) == ["A"] and [tuple(r) for r in found["A"].collect()] == [("1", None), (None, "b")]
-    assert tables.resolve_table(["ADNI_MMSE_20240101", "XMMSE2"], "MMSE") == "ADNI_MMSE_20240101" and tables.resolve_table(["xmmse2"], "MMSE") == "xmmse2" and tables.resolve_table([], "MMSE") is None
+    assert tables.resolve_table(["STUDY_MMSE_20240101", "XMMSE2"], "MMSE") == "STUDY_MMSE_20240101" and tables.resolve_table(["xmmse2"], "MMSE") == "xmmse2" and tables.resolve_table([], "MMSE") is None
     (tmp_path / "scan").write_bytes(b"\0" * 128 + b"DICM" + b"\0" * 100_000)
     (tmp_path / "b.nii.gz").write_bytes(b"x")
     assert sorted(r.kind for r in tables.image_inventory(tables.list_files(spark, str(tmp_path))).collect()) == ["dicom", "nifti"]
