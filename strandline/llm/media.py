@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from strandline.llm.inputs import read_spread
 from strandline.operators.components import cut_lineage, shared_folder
 
 #: Bytes of an archive, of a planned range and of a batch of payloads, about; a larger member is alone.
@@ -232,4 +233,4 @@ def media_features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media_features(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return media_features(read_spread(spark, f"{sf_dir}/documents.parquet", "doc_id", "text"))

@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from strandline.llm.inputs import read_spread
 from strandline.llm.shingles import mix, text_shingles
 from strandline.operators.components import connected_components, cut_lineage
 
@@ -229,4 +230,4 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return near_duplicates(read_spread(spark, f"{sf_dir}/documents.parquet", "doc_id", "text"))

@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from strandline.llm.inputs import read_spread
 from strandline.operators.components import cut_lineage
 
 CAPACITY, END_ID = 4096, 1
@@ -229,4 +230,4 @@ def best_fit_pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return best_fit_pack(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("word_bpe_49k.json"))
+    return best_fit_pack(read_spread(spark, f"{sf_dir}/documents.parquet", "doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"))

@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strandline.llm.inputs import read_spread
+
 SPACE = "▁"
 #: Words, parts of words and pairs of pieces that a worker remembers; when so many words or parts are new, those of the time before are forgotten.
 REMEMBERED_WORDS, REMEMBERED_PARTS, REMEMBERED_PAIRS = 400_000, 300_000, 1_000_000
@@ -256,5 +258,5 @@ def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
                 columns += [pa.array([zlib.crc32(b.encode()) for b in back], pa.int64()), pa.array([b == (t or "").replace(SPACE, " ") for b, t in zip(back, texts, strict=True)])]
                 yield pa.record_batch(columns, names=["doc_id", "n_ids", "ids", "decoded_crc32", "round_trip"])
 
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_ids long, ids array<int>, decoded_crc32 long, round_trip boolean")
+    docs = read_spread(spark, f"{sf_dir}/documents.parquet", "doc_id", "text")
+    return docs.mapInArrow(run, "doc_id long, n_ids long, ids array<int>, decoded_crc32 long, round_trip boolean")

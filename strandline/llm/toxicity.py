@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strandline.llm.inputs import read_spread
 from strandline.operators.components import cut_lineage
 
 #: Labelled rows that are learnt from at most, by order of a hash of the id.
@@ -218,6 +219,6 @@ def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, labels = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    docs, labels = read_spread(spark, f"{sf_dir}/documents.parquet", "doc_id", "text"), spark.read.parquet(f"{sf_dir}/labels.parquet")
     lexicon = learn_lexicon(docs, labels.where(~held_out()))
     return score_toxicity(docs, lexicon).select("doc_id", held_out().alias("held_out"), "score", "predicted")
