@@ -26,7 +26,7 @@ BANDS, ROWS = 36, 4
 SAMPLES = BANDS * ROWS
 #: One-permutation MinHash samples (the least hash of each bin) and the parity bits that they are folded into.
 BINS, SKETCH_BITS = 1 << 14, 1 << 12
-#: Pairs whose estimate lies this many standard deviations under the threshold are dropped.
+#: Pairs whose XOR count lies this many standard deviations over that of the threshold are dropped.
 DEVIATIONS = 5.0
 #: Pairs with one partner in a task, members of a bucket in a block.
 STAR_ROWS, BLOCK_ROWS = 2000, 1024
@@ -49,30 +49,40 @@ def signatures(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarr
     keys = np.empty((len(sets), BANDS), np.int64)
     for t in range(BANDS):
         keys[:, t] = mix((low[t * ROWS : (t + 1) * ROWS] * _ROW[:, None]).sum(axis=0, dtype=np.uint64) + np.uint64(t)).view(np.int64)
-    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    return keys, *odd_sketches(sets)
+
+
+def odd_sketches(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Of non-empty sorted sets: odd sketches (n x SKETCH_BITS/64, int64), samples in each sketch."""
+    every, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
     cell = owner * BINS + (every >> np.uint64(50)).astype(np.int64)
     least = np.concatenate([[True], cell[1:] != cell[:-1]])
     spot = owner[least] * SKETCH_BITS + (mix(every[least]) % np.uint64(SKETCH_BITS)).astype(np.int64)
     bits = (np.bincount(spot, minlength=len(sets) * SKETCH_BITS) & 1).astype(np.uint8).reshape(len(sets), -1)
-    return keys, np.packbits(bits, axis=1).view(np.int64), np.bincount(owner[least], minlength=len(sets))
+    return np.packbits(bits, axis=1).view(np.int64), np.bincount(owner[least], minlength=len(sets))
 
 
 def _allowed(xor_count, samples, shingles, percent: int, m):
     """Whether an XOR count allows the threshold; samples and shingles are the two documents' sums.
 
-    For numpy arrays (m: numpy) or columns (m: pyspark.sql.functions). The count estimates how many
-    samples differ, which at the threshold follows from the sizes; the deviation there is that of the
-    draw of samples (only bins with more than one shingle draw) and of the parity folding.
+    For numpy arrays (m: numpy) or columns (m: pyspark.sql.functions). How many samples differ at the
+    threshold follows from the sizes, and so does the XOR count that they leave. Its deviation is that
+    of the parity folding and of the draw: which shingles of the union are samples, and of how many bins;
+    to it comes Bernstein's term for few steps of 2, as small sets have them.
+    Where the limit reaches half of the bits, as for sets of some 25,000 shingles and more, a count
+    says nothing and every pair is allowed.
     """
     n, goal = SKETCH_BITS, percent / 100
-    log, exp, sqrt, most = (m.log, m.exp, m.sqrt, m.maximum) if m is np else (m.ln, m.exp, m.sqrt, m.greatest)
-    crowd = 1 - exp(-1 / (1 + goal) / BINS * shingles)
-    union = BINS * crowd
+    exp, sqrt, most = m.exp, m.sqrt, m.maximum if m is np else m.greatest
+    load = 1 / (1 + goal) / BINS * shingles  # shingles of the union a bin
+    empty = exp(-1 * load)
+    union = BINS * (1 - empty)
     at = most(samples - 2 * goal * union, 0 * union)
-    folded = (n / 4 * (1 - exp(-4 / n * at)) - at * exp(-4 / n * at)) * exp(4 / n * at)
-    drawn = 4 * goal * (1 - goal) * union * crowd
-    differ = -n / 2 * log(most(1 - 2 / n * xor_count, 1e-9 + 0 * xor_count))
-    return differ <= at + DEVIATIONS * sqrt(folded + drawn) + 1
+    drawn = 4 * goal * (1 - goal) * union * (1 - (1 - empty) / load) + 4 * goal * goal * BINS * (empty - (1 + load) * empty * empty)
+    kept = exp(-2 / n * at)
+    folded = n / 4 * (1 - kept * kept) - at * kept * kept
+    limit = n / 2 * (1 - kept) + DEVIATIONS * sqrt(most(folded + drawn * kept * kept, 0 * union)) + DEVIATIONS * DEVIATIONS / 3
+    return (xor_count <= limit) | (limit >= n / 2)
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,7 +172,8 @@ def _cell_pairs(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.
     def pairs(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
         t = pa.Table.from_batches(rows)
         doc, comp, n, samples, block = (t.column(c).to_numpy() for c in ("doc", "comp", "n", "samples", "block"))
-        sketch = t.column("sketch").combine_chunks().flatten().to_numpy().reshape(len(doc), -1)
+        # unsigned: bitwise_count takes the absolute value of what is signed
+        sketch = t.column("sketch").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(doc), -1)
         mixed = block.min() != block.max()
         a, b = [], []
         for i in range(len(doc) - 1):

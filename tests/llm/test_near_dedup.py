@@ -1,7 +1,10 @@
 import re
 from itertools import combinations
 
-from strandline.llm.near_dedup import near_duplicates
+import numpy as np
+import pyarrow as pa
+
+from strandline.llm.near_dedup import _allowed, _cell_pairs, near_duplicates, odd_sketches
 
 SCHEMA = "doc_id long, text string, extra string"
 
@@ -58,3 +61,36 @@ def test_empty_table_null_ids_and_repeats(spark):
 def test_batches_of_few_words(spark):
     for rows in ([(1, "one")], [(1, "a b"), (2, "a b")], [(1, "a b c d e")]):
         assert result(spark.createDataFrame([(i, t, "k") for i, t in rows], SCHEMA).coalesce(1)) == brute(rows)
+
+
+def random_pair(random, union, similarity):
+    """Two sorted sets of 64-bit hashes with this union and at least this similarity."""
+    x = random.integers(0, 1 << 64, union, dtype=np.uint64)
+    both = int(np.ceil(similarity * union))
+    cut = both + (union - both) // 2
+    return np.sort(x[:cut]), np.sort(np.concatenate([x[:both], x[cut:]]))
+
+
+def test_sketch_allows_true_pairs_of_every_size():
+    random = np.random.default_rng(1)
+    for union, times in ((100, 3000), (1000, 500), (20_000, 60), (40_000, 60), (80_000, 40), (200_000, 15), (400_000, 8)):
+        for k in range(times):
+            a, b = random_pair(random, union, 0.75 + 0.03 * k / times)
+            sketch, samples = odd_sketches([a, b])
+            count = np.bitwise_count(sketch.view(np.uint64)[0] ^ sketch.view(np.uint64)[1]).sum(dtype=np.int64)
+            assert _allowed(np.array([count]), np.array([samples.sum()]), np.array([len(a) + len(b)]), 75, np)[0], (union, k)
+    a, b = random_pair(random, 2000, 0.5)
+    sketch, samples = odd_sketches([a, b])
+    count = np.bitwise_count(sketch.view(np.uint64)[0] ^ sketch.view(np.uint64)[1]).sum(dtype=np.int64)
+    assert not _allowed(np.array([count]), np.array([samples.sum()]), np.array([len(a) + len(b)]), 75, np)[0]
+
+
+def test_cell_keeps_true_pairs():
+    random = np.random.default_rng(2)
+    sets = [s for _ in range(20) for s in random_pair(random, 600, 0.8)]
+    sketch, samples = odd_sketches(sets)
+    n = len(sets)
+    same = {c: pa.array(np.zeros(n, np.int64)) for c in ("key", "lo", "hi", "block")}
+    rows = {**same, "doc": pa.array(np.arange(n)), "comp": pa.array(np.arange(n)), "n": pa.array([len(s) for s in sets]), "sketch": pa.array(sketch.tolist(), pa.list_(pa.int64())), "samples": pa.array(samples)}
+    found = {(a.as_py(), b.as_py()) for batch in _cell_pairs(iter([pa.RecordBatch.from_pydict(rows)]), 75) for a, b in zip(*batch.columns)}
+    assert found == {(i, i + 1) for i in range(0, n, 2)}
