@@ -4,8 +4,8 @@ Documents with equal shingle sets form a class, and only one of each class goes
 samples give band keys (the candidate buckets) and an odd sketch (parity bitmap) whose XOR population
 count estimates the similarity and drops pairs far below the threshold; what is left is confirmed on
 the full shingle sets. Buckets are joined as stars first (each member with the smallest), then the
-pairs of a bucket that the confirmed links leave in different components are tested too, so that no
-bucket pair goes untested and a dense group of copies still costs one row a member.
+pairs of a bucket that the confirmed links leave in different components are tested too (a spanning
+forest before the rest), so that no bucket pair that can still link goes untested and a dense group of copies still costs one row a member.
 """
 
 from __future__ import annotations
@@ -165,9 +165,13 @@ def confirmed_links(pairs: DataFrame, docs: DataFrame, percent: int = 75, id_col
     return rows.repartition("src", "part").sortWithinPartitions("src", "part", F.desc("head"), "doc").mapInArrow(_confirm(percent), "src long, dst long")
 
 
-def _cell_pairs(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """Pairs of each cell's blocks in different components whose sizes and odd sketches allow the threshold."""
+def _cell_pairs(batches: Iterator[pa.RecordBatch], percent: int, spanning: bool = False) -> Iterator[pa.RecordBatch]:
+    """Pairs of each cell's blocks in different components whose sizes and odd sketches allow the threshold.
+
+    spanning: only so many of them, those with least XOR counts, that the pairs join all that all pairs would join.
+    """
     names, held, now = ["src", "dst"], [], None
+    far = np.iinfo(np.int64).max
 
     def pairs(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
         t = pa.Table.from_batches(rows)
@@ -176,11 +180,27 @@ def _cell_pairs(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.
         sketch = t.column("sketch").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(doc), -1)
         mixed = block.min() != block.max()
         a, b = [], []
-        for i in range(len(doc) - 1):
-            ok = np.flatnonzero((comp[i + 1 :] != comp[i]) & (100 * np.minimum(n[i + 1 :], n[i]) >= percent * np.maximum(n[i + 1 :], n[i])) & ((block[i + 1 :] != block[i]) | (not mixed))) + i + 1
-            ok = ok[_allowed(np.bitwise_count(sketch[ok] ^ sketch[i]).sum(axis=1, dtype=np.int64), samples[ok] + samples[i], n[ok] + n[i], percent, np)]
-            a.append(np.minimum(doc[ok], doc[i]))
-            b.append(np.maximum(doc[ok], doc[i]))
+        left, best, link, i = np.ones(len(doc), bool), np.full(len(doc), far), np.zeros(len(doc), np.int64), 0
+        for k in range(len(doc)):
+            if not spanning:
+                i = k
+            elif k:  # Prim: the nearest to those joined so far, or one that nothing joins
+                i = np.flatnonzero(left)[best[left].argmin()]
+                if 0 <= best[i] < far:
+                    a.append(np.minimum(doc[i : i + 1], doc[link[i]]))
+                    b.append(np.maximum(doc[i : i + 1], doc[link[i]]))
+            left[i] = False
+            best[left & (comp == comp[i])] = -1
+            ok = np.flatnonzero(left & (comp != comp[i]) & (100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i])) & ((block != block[i]) | (not mixed)))
+            count = np.bitwise_count(sketch[ok] ^ sketch[i]).sum(axis=1, dtype=np.int64)
+            fit = _allowed(count, samples[ok] + samples[i], n[ok] + n[i], percent, np)
+            ok, count = ok[fit], count[fit]
+            if spanning:
+                nearer = count < best[ok]
+                best[ok[nearer]], link[ok[nearer]] = count[nearer], i
+            else:
+                a.append(np.minimum(doc[ok], doc[i]))
+                b.append(np.maximum(doc[ok], doc[i]))
         return pa.record_batch([np.concatenate([*a, np.empty(0, np.int64)]), np.concatenate([*b, np.empty(0, np.int64)])], names=names)
 
     for batch in batches:
@@ -198,6 +218,25 @@ def _cell_pairs(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.
         yield pairs(held)
 
 
+def _cells(labelled: DataFrame, sizes: DataFrame) -> DataFrame:
+    """The members (key, doc, pivot, comp) of split buckets, dealt over the cells (key, lo, hi) whose pairs can still link.
+
+    The pivot of a bucket has been tested against each member. In a bucket of more than a block the members
+    of the largest component meet only those of the others, who meet all.
+    """
+    rest = labelled.where("doc <> pivot").select("key", "doc", "comp")
+    main = rest.groupBy("key", "comp").agg(F.count("*").alias("n")).groupBy("key").agg(F.max(F.struct("n", "comp")).alias("top"), F.sum("n").alias("n")).where("n > top.n")
+    blocks = lambda n: F.ceil(n / BLOCK_ROWS).cast("int")
+    whole = F.col("n") <= BLOCK_ROWS
+    split = main.select("key", F.when(~whole, F.col("top.comp")).alias("main"), F.when(whole, 1).otherwise(blocks(F.col("n") - F.col("top.n"))).alias("others"), F.when(whole, 0).otherwise(blocks(F.col("top.n"))).alias("mains"))
+    own = F.coalesce(F.col("comp") == F.col("main"), F.lit(False))
+    place = F.xxhash64("doc")
+    dealt = rest.join(split, "key").withColumn("block", F.when(own, F.col("others") + F.pmod(place, F.col("mains"))).otherwise(F.pmod(place, F.col("others"))).cast("int"))
+    dealt = dealt.withColumn("meets", F.col("others") + F.when(own, 0).otherwise(F.col("mains"))).join(sizes, "doc")
+    cells = dealt.select("key", "doc", "comp", dealt["n"], "sketch", "samples", "block", F.explode(F.sequence(F.lit(0), F.col("meets") - 1)).alias("other"))
+    return cells.select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "doc", "comp", "n", "sketch", "samples", "block")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept): one row per row of ``docs``.
 
@@ -223,15 +262,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = cut_lineage(confirmed_links(cut_lineage(near.select("src", "dst").distinct()), texts, percent, id_col, text_col))
     comps = connected_components(links)
 
-    labelled = members.join(comps.select(F.col("id").alias("doc"), "component"), "doc", "left").select("key", "doc", "pivot", F.coalesce("component", "doc").alias("comp"))
-    split = labelled.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n")).where("lo <> hi and n > 2").select("key", F.ceil(F.col("n") / BLOCK_ROWS).cast("int").alias("blocks"))
-    # the pivot of a bucket has been tested against each member
-    rest = labelled.where("doc <> pivot").join(split, "key").join(sizes, "doc").withColumn("block", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
-    cells = rest.select("key", "doc", "comp", "n", "sketch", "samples", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    cells = cells.select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "doc", "comp", "n", "sketch", "samples", "block")
-    more = cells.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "doc").mapInArrow(lambda batches: _cell_pairs(batches, percent), "src long, dst long").distinct()
-    more = cut_lineage(more)
-    if not more.isEmpty():
+    # first a spanning forest of what may link, so that a dense group is joined by few pairs, then every pair that is left
+    for spanning in (True, False):
+        labelled = members.join(comps.select(F.col("id").alias("doc"), "component"), "doc", "left").select("key", "doc", "pivot", F.coalesce("component", "doc").alias("comp"))
+        cells = _cells(labelled, sizes).repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "doc")
+        more = cut_lineage(cells.mapInArrow(lambda batches, spanning=spanning: _cell_pairs(batches, percent, spanning), "src long, dst long").distinct())
+        if more.isEmpty():
+            break
         links = links.unionByName(cut_lineage(confirmed_links(more, texts, percent, id_col, text_col)))
         comps = connected_components(links)
     found = comps.select(F.col("id").alias("rep"), "component")

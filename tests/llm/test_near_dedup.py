@@ -4,7 +4,8 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 
-from strandline.llm.near_dedup import _allowed, _cell_pairs, near_duplicates, odd_sketches
+from strandline.llm import near_dedup
+from strandline.llm.near_dedup import _allowed, _cell_pairs, _cells, near_duplicates, odd_sketches
 
 SCHEMA = "doc_id long, text string, extra string"
 
@@ -94,3 +95,36 @@ def test_cell_keeps_true_pairs():
     rows = {**same, "doc": pa.array(np.arange(n)), "comp": pa.array(np.arange(n)), "n": pa.array([len(s) for s in sets]), "sketch": pa.array(sketch.tolist(), pa.list_(pa.int64())), "samples": pa.array(samples)}
     found = {(a.as_py(), b.as_py()) for batch in _cell_pairs(iter([pa.RecordBatch.from_pydict(rows)]), 75) for a, b in zip(*batch.columns)}
     assert found == {(i, i + 1) for i in range(0, n, 2)}
+
+
+def test_spanning_cell_joins_a_group_with_few_pairs():
+    random = np.random.default_rng(4)
+    base = random.integers(0, 1 << 64, 500, dtype=np.uint64)
+    sets = [np.sort(np.concatenate([base, random.integers(0, 1 << 64, 20, dtype=np.uint64)])) for _ in range(50)] + list(random_pair(random, 600, 0.9))
+    sketch, samples = odd_sketches(sets)
+    n = len(sets)
+    same = {c: pa.array(np.zeros(n, np.int64)) for c in ("key", "lo", "hi", "block")}
+    comp = np.where(np.arange(n) < 10, 0, np.arange(n))
+    rows = {**same, "doc": pa.array(np.arange(n)), "comp": pa.array(comp), "n": pa.array([len(s) for s in sets]), "sketch": pa.array(sketch.tolist(), pa.list_(pa.int64())), "samples": pa.array(samples)}
+    found = [(a.as_py(), b.as_py()) for batch in _cell_pairs(iter([pa.RecordBatch.from_pydict(rows)]), 75, True) for a, b in zip(*batch.columns)]
+    assert len(found) == 41 and (50, 51) in found and {x for pair in found for x in pair} >= set(range(10, n))
+
+
+def test_largest_component_meets_only_the_others(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "BLOCK_ROWS", 10)
+    labelled = spark.createDataFrame([(7, d, 0, 1 if d < 200 else d) for d in range(203)] + [(8, d, 0, d) for d in range(5)] + [(9, d, 0, 0) for d in range(5)], "key long, doc long, pivot long, comp long")
+    sizes = spark.createDataFrame([(d, 9, [0], 9) for d in range(203)], "doc long, n long, sketch array<long>, samples long")
+    cells = [(r.key, r.lo, r.hi, r.doc, r.comp) for r in _cells(labelled, sizes).collect()]
+    assert len(cells) <= 199 + 3 * 21 + 4
+    at = {}
+    for key, lo, hi, doc, _ in cells:
+        at.setdefault((key, doc), set()).add((lo, hi))
+    for a, b in combinations(range(1, 203), 2):
+        assert b < 200 or at[7, a] & at[7, b]
+    assert all(at[8, a] & at[8, b] for a, b in combinations(range(1, 5), 2)) and not any(key == 9 for key, _ in at)
+
+
+def test_small_blocks_change_nothing(spark, sf_dir, monkeypatch):
+    monkeypatch.setattr(near_dedup, "BLOCK_ROWS", 2)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    assert result(docs) == brute([(r.doc_id, r.text) for r in docs.collect()])
