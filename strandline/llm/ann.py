@@ -53,8 +53,9 @@ def cosine(rows: np.ndarray, lengths: np.ndarray, query: np.ndarray, length: flo
     return (rows * query).sum(axis=1) / (lengths * length)
 
 
-def first_bounds(ids: np.ndarray, x: np.ndarray, sample_ids: np.ndarray, sample: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(score, id) of each query's k-th nearest in the sample; -inf where it has fewer."""
+def first_bounds(ids: np.ndarray, x: np.ndarray, sample_ids: np.ndarray, sample: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int, float]]]:
+    """(score, id) of each query's k-th nearest in the sample, -inf where it has fewer; (query id, id, score) of its k nearest there."""
+    known = []
     score, at = np.full(len(ids), -np.inf), np.full(len(ids), np.iinfo(np.int64).max)
     lengths, own = _length(sample), _length(x)
     unit = sample / lengths[:, None]
@@ -65,9 +66,10 @@ def first_bounds(ids: np.ndarray, x: np.ndarray, sample_ids: np.ndarray, sample:
         rough = np.where(other, unit @ (x[i] / own[i]), -np.inf)
         near = np.flatnonzero(rough >= np.partition(rough, -k)[-k] - 1e-9)
         exact = cosine(sample[near], lengths[near], x[i], own[i])
-        best = near[np.lexsort((sample_ids[near], -exact))[k - 1]]
-        score[i], at[i] = cosine(sample[best : best + 1], lengths[best : best + 1], x[i], own[i])[0], sample_ids[best]
-    return score, at
+        best = np.lexsort((sample_ids[near], -exact))[:k]
+        score[i], at[i] = exact[best[-1]], sample_ids[near[best[-1]]]
+        known += [(int(ids[i]), int(sample_ids[near[b]]), float(exact[b])) for b in best]
+    return score, at, known
 
 
 class Block:
@@ -154,7 +156,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "v
         ids, x = clean(*(got.column(i).combine_chunks() for i in range(2)), dim)
         if not len(ids):
             continue
-        bounds = first_bounds(ids, x, sample_ids, sample, k)
+        *bounds, known = first_bounds(ids, x, sample_ids, sample, k)
         shared = spark.sparkContext.broadcast((ids, x, *bounds))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
@@ -180,7 +182,9 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "v
             if held:
                 yield search(held)
 
-        found = rows.mapInArrow(run, kinds)
+        # the sample's own k nearest are candidates too: the row at the bound may collide too seldom to be found
+        first = pa.table([pa.array(c, t) for c, t in zip(zip(*known) if known else ((), (), ()), (pa.int64(), pa.int64(), pa.float64()), strict=True)], names=["query_id", "vec_id", "score"])
+        found = rows.mapInArrow(run, kinds).unionByName(spark.createDataFrame(first))
         best = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
         part = found.distinct().withColumn("rank", best).where(f"rank <= {k}").select("query_id", "rank", "vec_id", "score")
         if jobs > 1:  # one block's vectors at a time on the executors

@@ -1,6 +1,6 @@
 import numpy as np
 
-from strandline.llm.ann import nearest, op3_nearest_neighbours
+from strandline.llm.ann import Block, nearest, op3_nearest_neighbours
 
 SCHEMA = "vec_id long, embedding array<float>, rank int"
 
@@ -50,3 +50,14 @@ def test_ties_bad_rows_and_few(spark):
     few = df.where("vec_id in (50, 51, 100, 200)")
     assert [v for v, _ in by_query(nearest(few, few.where("vec_id = 50")))[50]] == [51, 100]
     assert nearest(df.limit(0), df.limit(0)).count() == 0 and nearest(df, df.limit(0)).count() == 0
+
+
+def test_the_samples_nearest_are_candidates(spark, monkeypatch):
+    # no row collides often enough
+    monkeypatch.setattr(Block, "collisions", lambda self, low, high: np.zeros(len(self.ids), np.int64))
+    random = np.random.default_rng(5)
+    x = random.standard_normal((300, 64)) * 0.3 + 1
+    df = spark.createDataFrame([(i, [float(v) for v in row], 0) for i, row in enumerate(x)], "vec_id long, embedding array<double>, rank int").coalesce(1)
+    got = by_query(nearest(df, df.where("vec_id % 50 = 0")))
+    want = brute(np.arange(300), x, range(0, 300, 50))
+    assert {q: [v for v, _ in f] for q, f in got.items()} == {q: [v for v, _ in f] for q, f in want.items()}
