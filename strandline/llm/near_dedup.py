@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from strandline.llm.inputs import read_spread
 from strandline.llm.shingles import mix, text_shingles
+from strandline.llm.skew import HOT_KEYS, join_counted, only_ids
 from strandline.operators.components import connected_components, cut_lineage
 
 #: 36 bands of 4: a pair at 0.75 shares no band with probability (1 - 0.75**4)**36 = 1e-6.
@@ -30,7 +31,10 @@ BINS, SKETCH_BITS = 1 << 14, 1 << 12
 DEVIATIONS = 5.0
 #: Pairs with one partner in a task, members of a bucket in a block.
 STAR_ROWS, BLOCK_ROWS = 2000, 1024
-_CLASS_SALTS = 16
+#: One node in so many is looked at to find band keys that many share.
+SAMPLED = 64
+#: Ids from here on are made here, for rows without doc_id and for further texts of one doc_id.
+MADE = 1 << 62
 
 _rng = np.random.Generator(np.random.PCG64(75))
 _A = _rng.integers(1, 1 << 31, SAMPLES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -87,8 +91,7 @@ def _allowed(xor_count, samples, shingles, percent: int, m):
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        ids, texts = batch.column(0), batch.column(1)
-        for start, sets in text_shingles(texts):
+        for start, sets in text_shingles(batch.column(2)):
             size = np.array([len(s) for s in sets], np.int64)
             full = np.flatnonzero(size)
             keys, sketch = np.zeros((len(sets), BANDS), np.int64), np.zeros((len(sets), SKETCH_BITS // 64), np.int64)
@@ -102,8 +105,8 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 mark[1, full] = np.add.reduceat(mix(every + np.uint64(1)), cuts).view(np.int64)
             empty = size == 0
             yield pa.record_batch(
-                [ids.slice(start, len(sets)), pa.array(size), pa.array(mark[0], mask=empty), pa.array(mark[1], mask=empty), _lists(keys, empty), _lists(sketch, empty), pa.array(samples)],
-                names=["doc_id", "n_shingles", "set_a", "set_b", "bands", "sketch", "samples"],
+                [batch.column(0).slice(start, len(sets)), batch.column(1).slice(start, len(sets)), pa.array(size), pa.array(mark[0], mask=empty), pa.array(mark[1], mask=empty), _lists(keys, empty), _lists(sketch, empty), pa.array(samples)],
+                names=["doc_id", "text_key", "n_shingles", "set_a", "set_b", "bands", "sketch", "samples"],
             )
 
 
@@ -112,18 +115,22 @@ def _lists(x: np.ndarray, empty: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(width)]).astype(np.int32)), pa.array(x[~empty].ravel()))
 
 
+def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col).cast("string")).alias("text_key"), F.col(text_col).cast("string").alias("text"))
+
+
 def document_signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, set_a, set_b, bands, sketch, samples) of every row; set_a and set_b name the shingle set (null: no words)."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(_sign, "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>, sketch array<long>, samples long")
+    """(doc_id, text_key, n_shingles, set_a, set_b, bands, sketch, samples) of every row; set_a and set_b name the shingle set (null: no words)."""
+    kinds = "doc_id long, text_key long, n_shingles long, set_a long, set_b long, bands array<long>, sketch array<long>, samples long"
+    return _texts(docs, id_col, text_col).mapInArrow(_sign, kinds)
 
 
-def _with_class(signed: DataFrame, columns: list[str]) -> DataFrame:
-    """signed with rep, the smallest doc_id that has the same shingle set; salted, as one set may be that of a third of all rows."""
-    classes = signed.where("set_a is not null").groupBy("set_a", "set_b").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")).where("n > 1 and rep is not null")
-    spread = classes.select("set_a", "set_b", "rep", F.explode(F.sequence(F.lit(0), F.lit(_CLASS_SALTS - 1))).alias("salt"))
-    rows = signed.select(*columns, "set_a", "set_b", F.pmod(F.xxhash64("doc_id"), F.lit(_CLASS_SALTS)).cast("int").alias("salt"))
-    return rows.join(spread, ["set_a", "set_b", "salt"], "left").select(*columns, F.coalesce("rep", "doc_id").alias("rep"))
+def _with_node(rows: DataFrame, clash: DataFrame | None) -> DataFrame:
+    """rows (doc_id, text_key, ...) with ``doc``: the doc_id, but made from id and text where there is none, or for another text than the first of clash."""
+    made = F.lit(MADE) + F.shiftrightunsigned(F.xxhash64("doc_id", "text_key"), 3)
+    if clash is None:
+        return rows.withColumn("doc", F.coalesce("doc_id", made))
+    return rows.join(clash, "doc_id", "left").withColumn("doc", F.when(F.col("doc_id").isNull() | (F.col("text_key") > F.col("first_key")), made).otherwise(F.col("doc_id"))).drop("first_key")
 
 
 def _xor_count(x: str, y: str) -> F.Column:
@@ -152,16 +159,17 @@ def _confirm(percent: int):
     return run
 
 
-def confirmed_links(pairs: DataFrame, docs: DataFrame, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The pairs (src, dst) whose full shingle sets have 100 * intersection >= percent * union.
+def confirmed_links(pairs: DataFrame, texts: DataFrame, percent: int = 75) -> DataFrame:
+    """The pairs (src, dst) whose full shingle sets have 100 * intersection >= percent * union; texts: (doc, text).
 
-    Pairs are grouped by src and streamed past its set; a src with many partners is dealt over several groups.
+    Pairs are grouped by src and streamed past its set; a src with many partners is dealt over several
+    groups. Only the texts of documents in pairs are shuffled, as long as their ids fit a broadcast.
     """
-    fan = pairs.groupBy("src").agg(F.ceil(F.count("*") / STAR_ROWS).cast("int").alias("parts"))
-    ends = pairs.join(fan, "src").select("src", F.pmod(F.xxhash64("dst"), F.col("parts")).cast("int").alias("part"), F.col("dst").alias("doc"), F.lit(False).alias("head"))
+    fan = pairs.groupBy("src").agg(F.count("*").alias("n")).withColumn("parts", F.ceil(F.col("n") / STAR_ROWS).cast("int"))
+    ends = join_counted(pairs, fan, ["src"], "n").select("src", F.pmod(F.xxhash64("dst"), F.col("parts")).cast("int").alias("part"), F.col("dst").alias("doc"), F.lit(False).alias("head"))
     heads = fan.select("src", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("src").alias("doc"), F.lit(True).alias("head"))
-    texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
-    rows = heads.unionByName(ends).join(texts, "doc").select("src", "part", "doc", "head", "text")
+    wanted = cut_lineage(pairs.select(F.explode(F.array("src", "dst")).alias("doc")).distinct())
+    rows = heads.unionByName(ends).join(only_ids(texts, wanted, "doc"), "doc").select("src", "part", "doc", "head", "text")
     return rows.repartition("src", "part").sortWithinPartitions("src", "part", F.desc("head"), "doc").mapInArrow(_confirm(percent), "src long, dst long")
 
 
@@ -237,29 +245,57 @@ def _cells(labelled: DataFrame, sizes: DataFrame) -> DataFrame:
     return cells.select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "doc", "comp", "n", "sketch", "samples", "block")
 
 
+def _members(nodes: DataFrame) -> DataFrame:
+    """(key, doc, pivot) of the buckets of two and more documents; pivot is the least doc of a bucket.
+
+    Keys that many documents share, as a sample of nodes tells, are counted before any shuffle; the
+    sample moves only where a bucket's pivot is found.
+    """
+    banded = nodes.select(F.explode("bands").alias("key"), "doc")
+    sampled = nodes.where(F.pmod(F.xxhash64("doc"), F.lit(SAMPLED)) == 0).select(F.explode("bands").alias("key"))
+    least = max(16, nodes.count() * BANDS // SAMPLED // HOT_KEYS)
+    # at most the sample's rows / least keys, some HOT_KEYS
+    hot = cut_lineage(sampled.groupBy("key").count().where(F.col("count") >= least).select("key"))
+    ends = banded.join(F.broadcast(hot), "key").groupBy("key").agg(F.min("doc").alias("pivot"), F.max("doc").alias("last"))
+    many = banded.join(F.broadcast(ends), "key")
+    bucket = Window.partitionBy("key")
+    few = banded.join(F.broadcast(hot), "key", "left_anti").select("key", "doc", F.min("doc").over(bucket).alias("pivot"), F.max("doc").over(bucket).alias("last"))
+    return cut_lineage(few.unionByName(many).where("pivot <> last").drop("last"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept): one row per row of ``docs``.
+    """(doc_id, n_shingles, component_id, kept, text_key): one row per row of ``docs``; text_key is xxhash64 of the text.
 
     Links are pairs whose shingle sets have 100 * intersection >= percent * union (percent >= 75);
     component_id is the smallest doc_id reachable, kept says that it is the row's own. Null, empty and
-    blank texts have no shingles and stay alone. A doc_id names one document: repeated rows repeat in
-    the result, rows without doc_id get no component and are not kept. Other columns are ignored.
+    blank texts have no shingles and stay alone. Repeated rows repeat in the result. Different texts of
+    one doc_id are documents of their own, of which the one with the least text_key goes by the doc_id;
+    so are rows without doc_id, and a component of such rows alone has the doc_id of the one it keeps
+    (maybe null). doc_ids lie below 2**62. An empty table gives no rows; other columns are ignored.
     """
     if percent < 75:
         raise ValueError("bands and sketch limit are set for 75 percent and more")
     signed = cut_lineage(document_signatures(docs, id_col, text_col))
-    nodes = cut_lineage(_with_class(signed.where("doc_id is not null and set_a is not null"), ["doc_id", "n_shingles", "bands", "sketch", "samples"]).where("rep = doc_id").drop("rep"))
-    bucket = Window.partitionBy("key")
-    banded = nodes.select(F.explode("bands").alias("key"), F.col("doc_id").alias("doc"))
-    members = cut_lineage(banded.select("key", "doc", F.min("doc").over(bucket).alias("pivot"), F.max("doc").over(bucket).alias("last")).where("pivot <> last").drop("last"))
-    sizes = nodes.select(F.col("doc_id").alias("doc"), F.col("n_shingles").alias("n"), "sketch", "samples")
-
-    stars = members.where("doc <> pivot").select(F.col("pivot").alias("src"), F.col("doc").alias("dst")).distinct()
+    clash = cut_lineage(signed.groupBy("doc_id").agg(F.min("text_key").alias("first_key"), F.max("text_key").alias("last_key")).where("doc_id is null or first_key <> last_key").drop("last_key"))
+    clash = None if clash.isEmpty() else clash
+    signed = _with_node(signed, clash)
+    if clash is not None:
+        signed = cut_lineage(signed)
+    texts = _with_node(_texts(docs, id_col, text_col), clash).select("doc", "text").where("text is not null")
+    # one node a shingle set
+    full = signed.where("set_a is not null")
+    found = full.groupBy("set_a", "set_b").agg(F.min_by(F.struct("n_shingles", "bands", "sketch", "samples"), "doc").alias("s"), F.min("doc").alias("doc"), F.count("*").alias("n"))
+    found = cut_lineage(found.select("set_a", "set_b", "n", "doc", "s.*"))
+    nodes, classes = found.select("doc", "n_shingles", "bands", "sketch", "samples"), found.where("n > 1").select("set_a", "set_b", "n", F.col("doc").alias("rep"))
+    members = _members(nodes)
+    sizes = nodes.select("doc", F.col("n_shingles").alias("n"), "sketch", "samples")
+
+    stars = cut_lineage(members.where("doc <> pivot").select(F.col("pivot").alias("src"), F.col("doc").alias("dst")).distinct())
     left, right = (sizes.select(F.col("doc").alias(e), F.col("n").alias(f"n_{e}"), F.col("sketch").alias(f"x_{e}"), F.col("samples").alias(f"s_{e}")) for e in ("src", "dst"))
-    near = stars.join(left, "src").join(right, "dst").where(f"100 * least(n_src, n_dst) >= {percent} * greatest(n_src, n_dst)")
+    centres = left.join(stars.groupBy("src").agg(F.count("*").alias("links")), "src")
+    near = join_counted(stars, centres, ["src"], "links").join(right, "dst").where(f"100 * least(n_src, n_dst) >= {percent} * greatest(n_src, n_dst)")
     near = near.where(_allowed(_xor_count("x_src", "x_dst"), F.col("s_src") + F.col("s_dst"), F.col("n_src") + F.col("n_dst"), percent, F))
-    texts = docs.where(F.col(id_col).isNotNull())
-    links = cut_lineage(confirmed_links(cut_lineage(near.select("src", "dst").distinct()), texts, percent, id_col, text_col))
+    links = cut_lineage(confirmed_links(cut_lineage(near.select("src", "dst").distinct()), texts, percent))
     comps = connected_components(links)
 
     # first a spanning forest of what may link, so that a dense group is joined by few pairs, then every pair that is left
@@ -269,13 +305,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         more = cut_lineage(cells.mapInArrow(lambda batches, spanning=spanning: _cell_pairs(batches, percent, spanning), "src long, dst long").distinct())
         if more.isEmpty():
             break
-        links = links.unionByName(cut_lineage(confirmed_links(more, texts, percent, id_col, text_col)))
+        links = links.unionByName(cut_lineage(confirmed_links(more, texts, percent)))
         comps = connected_components(links)
-    found = comps.select(F.col("id").alias("rep"), "component")
-    rows = _with_class(signed, ["doc_id", "n_shingles"])
-    out = rows.join(found, "rep", "left").select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
-    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
+    comps = comps.select(F.col("id").alias("doc"), F.col("component").alias("reached"))
+    of_class = classes.join(comps.withColumnRenamed("doc", "rep"), "rep", "left").select("set_a", "set_b", "n", F.coalesce("reached", "rep").alias("of_class"))
+    rows = join_counted(signed.select("doc_id", "text_key", "n_shingles", "set_a", "set_b", "doc"), of_class, ["set_a", "set_b"], "n", "left")
+    out = rows.join(comps, "doc", "left").select("doc_id", "n_shingles", "text_key", "doc", F.coalesce("of_class", "reached", "doc").alias("node"))
+    kept = (F.col("doc") == F.col("node")).alias("kept")
+    plain = out.select("doc_id", "n_shingles", F.col("node").alias("component_id"), kept, "text_key")
+    if clash is None:
+        return plain
+    made = signed.where(F.col("doc") >= MADE).select(F.col("doc").alias("node"), F.col("doc_id").alias("real")).distinct()
+    odd = out.where(F.col("node") >= MADE).join(made, "node").select("doc_id", "n_shingles", F.col("real").alias("component_id"), kept, "text_key")
+    return plain.where(F.col("component_id") < MADE).unionByName(odd)
 
 
 def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(read_spread(spark, f"{sf_dir}/documents.parquet", "doc_id", "text"))
+    docs = read_spread(spark, f"{sf_dir}/documents.parquet", "doc_id", "text")
+    return near_duplicates(docs).select("doc_id", "n_shingles", "component_id", "kept")

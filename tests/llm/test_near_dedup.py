@@ -56,7 +56,26 @@ def test_empty_table_null_ids_and_repeats(spark):
     assert near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
     df = spark.createDataFrame([(1, "a b c d e f", ""), (1, "a b c d e f", ""), (None, "a b c d e f", ""), (None, None, "")], SCHEMA)
     got = sorted((str(r.doc_id), str(r.component_id), r.kept) for r in near_duplicates(df).collect())
-    assert got == [("1", "1", True), ("1", "1", True), ("None", "1", False), ("None", "None", False)]
+    assert got == [("1", "1", True), ("1", "1", True), ("None", "1", False), ("None", "None", True)]
+
+
+def test_different_texts_of_one_id_and_texts_without_id(spark):
+    words = lambda n, k: " ".join(f"{n}{i}" for i in range(k))
+    a, b, c = words("a", 50), words("b", 50), words("c", 50)
+    df = spark.createDataFrame([(7, a, ""), (7, b, ""), (9, a + " end", ""), (9, b.upper() + " end", ""), (3, "x", ""), (None, c, ""), (None, c + " end", ""), (None, b + "\tend", "")], SCHEMA)
+    got = near_duplicates(df).collect()
+    assert len(got) == 8
+    by = {}
+    for r in got:
+        by.setdefault(r.component_id, []).append(r)
+    assert sorted((str(k), len(v), sum(r.kept for r in v)) for k, v in by.items()) == [("3", 1, 1), ("7", 5, 2), ("None", 2, 1)]
+
+
+def test_third_of_all_rows_in_one_set_and_one_bucket(spark):
+    text = " ".join(f"w{i}" for i in range(80))
+    rows = [(i, text) for i in range(1000, 1400)] + [(i, f"{text} tail{i}") for i in range(400)] + [(i, " ".join(f"v{i}x{j}" for j in range(20))) for i in range(2000, 2400)]
+    got = result(spark.createDataFrame([(i, t, "k") for i, t in rows], SCHEMA))
+    assert {i: v[1] for i, v in got.items()} == {i: 0 if i < 2000 else i for i, _ in rows}
 
 
 def test_batches_of_few_words(spark):
