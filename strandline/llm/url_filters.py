@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 
 #: Rows of a range, about; the boundaries come from SAMPLES sampled keys a range and change only the balance.
 RANGE_ROWS, SAMPLES = 250_000, 40
+#: Ranges at most, so that boundaries and sample have a bound (a range of a larger table has more rows and may spill), and characters of a boundary.
+MOST_RANGES, BOUND_CHARS = 8192, 200
 
 
 def host_of(url: Column) -> Column:
@@ -118,10 +120,11 @@ def filter_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url
     rows = pages.select(F.col(id_col).alias("id"), host_of(url).alias("host"), path_of(url).alias("path"))
     rows = rows.withColumn("key", host_key(F.col("host"))).withColumn("tie", F.xxhash64("id", "host", "path"))
     n = rows.count()
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n // RANGE_ROWS))
+    parts = min(MOST_RANGES, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n // RANGE_ROWS)))
     step = max(1, n // (parts * SAMPLES))
     picked = rows.where(F.pmod("tie", F.lit(step)) == 0).select("key", "tie").orderBy("key", "tie").limit(4 * parts * SAMPLES)
-    sample = sorted((r.key, r.tie) for r in picked.collect())
+    # at most 4 * MOST_RANGES * SAMPLES keys, cut; a boundary may be any string
+    sample = sorted((r.key, r.tie) for r in picked.select(F.substring("key", 1, BOUND_CHARS).alias("key"), "tie").collect())
     bounds = sorted({sample[len(sample) * k // parts] for k in range(1, parts)}) if sample else []
     lower = F.translate(F.col("host"), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     known = rules.where("host is not null and host <> ''").select(host_key(lower).alias("key"), F.coalesce("path", F.lit("")).alias("path"), F.concat(lower, F.coalesce("path", F.lit(""))).alias("rule"), "verdict")

@@ -16,6 +16,7 @@ def brute(url, rules, default="allow"):
 
 def test_nested_rules_against_brute_force(spark, monkeypatch):
     monkeypatch.setattr(uf, "RANGE_ROWS", 60)
+    monkeypatch.setattr(uf, "BOUND_CHARS", 9)
     rnd = random.Random(2)
     labels = ["a", "b", "a-b", "com", "net", "é", "B"]
     hosts = [".".join(rnd.choice(labels) for _ in range(rnd.randrange(1, 5))) for _ in range(60)]
