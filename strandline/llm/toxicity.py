@@ -26,6 +26,8 @@ SAMPLE_ROWS = 8000
 MIN_ROWS, MIN_WEIGHT, LEXICON_SIZE = 6, 1.6, 2000
 #: Stems (beginnings of words) of these lengths are entries beside whole words.
 STEMS = range(4, 9)
+#: Terms that a task counts before it hands its counts on.
+COUNTED_TERMS = 400_000
 #: A phrase is an exception from so many clean rows on, with at most one toxic row in so many clean ones.
 EXCEPTION_ROWS, EXCEPTION_RATIO = 3, 4
 THRESHOLD = 0.3
@@ -73,8 +75,11 @@ class Lexicon:
         return found
 
 
+_is_letter = re.compile(r"[^\W\d_]").match
+
+
 def _letter(text: str, i: int) -> bool:
-    return 0 <= i < len(text) and text[i].isalpha()
+    return 0 <= i < len(text) and _is_letter(text, i) is not None
 
 
 def hits(text: str, automaton) -> list[tuple[int, int, float]]:
@@ -84,7 +89,7 @@ def hits(text: str, automaton) -> list[tuple[int, int, float]]:
         return []
     for end, (size, whole, stem) in automaton.iter(text):
         start = end - size + 1
-        if start and text[start - 1].isalpha():
+        if _letter(text, start - 1):
             continue
         weight = stem if _letter(text, end + 1) or not whole else whole
         if weight and best.get(start, (0,))[0] <= size:
@@ -100,8 +105,17 @@ def hits(text: str, automaton) -> list[tuple[int, int, float]]:
 
 def phrases(text: str, start: int, end: int) -> list[str]:
     """The word at start:end with the word before it, and with the word after it."""
-    before, after = _WORD.findall(text[max(0, start - 40) : start]), _WORD.findall(text[end : end + 40])
-    return [f"{w[0]} {w[1]}" for w in ((before[-1:] + [text[start:end]]), ([text[start:end]] + after[:1])) if len(w) == 2]
+    own, out, stop = text[start:end], [], start
+    while stop and not _letter(text, stop - 1):
+        stop -= 1
+    if stop:
+        at = stop
+        while _letter(text, at - 1):
+            at -= 1
+        out.append(f"{text[at:stop]} {own}")
+    if (after := _WORD.search(text, end)) is not None:
+        out.append(f"{own} {after[0]}")
+    return out
 
 
 def features(text: str, automaton, exceptions: set[str]) -> tuple[float, float, float]:
@@ -115,14 +129,22 @@ def features(text: str, automaton, exceptions: set[str]) -> tuple[float, float,
 
 def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts = (Counter(), Counter())
+
+    def counted() -> pa.RecordBatch:
+        terms = list(counts[0].keys() | counts[1].keys())
+        out = pa.record_batch([pa.array(terms, pa.string()), pa.array([counts[1][t] for t in terms], pa.int64()), pa.array([counts[0][t] for t in terms], pa.int64())], names=["term", "bad", "good"])
+        for c in counts:
+            c.clear()
+        return out
+
     for batch in batches:
         for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
             words = set(_WORD.findall(fold(text or "")))
-            terms = {w[:n] + "*" for w in words if len(w) <= 40 for n in STEMS if len(w) > n}
-            counts[toxic].update(terms)
-            counts[toxic].update(w for w in words if len(w) <= 40)
-    terms = list(counts[0].keys() | counts[1].keys())
-    yield pa.record_batch([pa.array(terms, pa.string()), pa.array([counts[1][t] for t in terms], pa.int64()), pa.array([counts[0][t] for t in terms], pa.int64())], names=["term", "bad", "good"])
+            counts[toxic].update({w[:n] + "*" for w in words for n in STEMS if len(w) > n})
+            counts[toxic].update(words)
+            if len(counts[0]) + len(counts[1]) > COUNTED_TERMS:
+                yield counted()
+    yield counted()
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> list[float]:
@@ -151,7 +173,7 @@ def learn_lexicon(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_
     sizes = {r.toxic: r.n for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if len(sizes) < 2:
         return Lexicon({})
-    terms = sample.repartition(4).mapInArrow(_count_terms, "term string, bad long, good long").groupBy("term").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
+    terms = sample.mapInArrow(_count_terms, "term string, bad long, good long").groupBy("term").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
     odds = F.log((F.col("bad") + 0.5) / (sizes[1] - F.col("bad") + 0.5)) - F.log((F.col("good") + 0.5) / (sizes[0] - F.col("good") + 0.5))
     top = terms.where(f"bad >= {MIN_ROWS}").withColumn("weight", odds).where(f"weight >= {MIN_WEIGHT}").orderBy(F.desc("weight"), "term").limit(LEXICON_SIZE)
     lexicon = Lexicon({r.term: r.weight for r in top.collect()})
@@ -182,6 +204,14 @@ def _featured(lexicon: Lexicon):
     return run
 
 
+def text_scores(texts: list[str | None], lexicon: Lexicon, automaton) -> np.ndarray:
+    """Scores 0..1; null and empty texts are texts without hits, an empty lexicon scores 0."""
+    if not lexicon.model:
+        return np.zeros(len(texts))
+    x = np.array([(1.0, *features(fold(t or ""), automaton, lexicon.exceptions)) for t in texts]).reshape(-1, 4)
+    return 1 / (1 + np.exp(-np.clip(x @ np.array(lexicon.model), -30, 30)))
+
+
 def score_toxicity(docs: DataFrame, lexicon: Lexicon, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, score, predicted) of every row; score is 0..1, predicted is 1 from THRESHOLD on.
 
@@ -192,8 +222,7 @@ def score_toxicity(docs: DataFrame, lexicon: Lexicon, id_col: str = "doc_id", te
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = lexicon.automaton()
         for batch in batches:
-            x = np.array([(1.0, *features(fold(t or ""), automaton, lexicon.exceptions)) for t in batch.column(1).to_pylist()]).reshape(-1, 4)
-            score = 1 / (1 + np.exp(-np.clip(x @ np.array(lexicon.model), -30, 30))) if lexicon.model else np.zeros(len(x))
+            score = text_scores(batch.column(1).to_pylist(), lexicon, automaton)
             yield pa.record_batch([batch.column(0), pa.array(score), pa.array((score >= THRESHOLD).astype(np.int32))], names=["doc_id", "score", "predicted"])
 
     return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, "doc_id long, score double, predicted int")
@@ -204,15 +233,19 @@ def held_out(id_col: str = "doc_id") -> F.Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of docs that are not predicted toxic, all columns as they are; learns from the labels that are not held out."""
-    lexicon = learn_lexicon(docs, labels.where(~held_out()))
+def keep_clean(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs that are not predicted toxic, all columns as they are; learns from the labels that are not held out.
+
+    Null and empty texts have no hits and stay; without labels of both classes all rows stay. Each row is
+    judged by its whole text alone, so repeated rows go or stay together. Columns of any name and kind
+    pass through; an empty table stays empty.
+    """
+    lexicon, place = learn_lexicon(docs, labels.where(~held_out()), id_col=id_col, text_col=text_col), docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = lexicon.automaton()
         for batch in batches:
-            x = np.array([(1.0, *features(fold(t or ""), automaton, lexicon.exceptions)) for t in batch.column("text").to_pylist()]).reshape(-1, 4)
-            score = 1 / (1 + np.exp(-(x @ np.array(lexicon.model)))) if lexicon.model else np.zeros(len(x))
+            score = text_scores(batch.column(place).to_pylist(), lexicon, automaton)
             yield batch.filter(pa.array(score < THRESHOLD))
 
     return docs.mapInArrow(run, docs.schema)

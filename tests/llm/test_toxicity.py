@@ -1,5 +1,9 @@
+import math
+import random
+import re
 import zlib
 
+from strandline.llm import toxicity
 from strandline.llm.toxicity import Lexicon, fold, held_out, keep_clean, learn_lexicon, op2_toxicity, score_toxicity
 
 WORDS = ["grobnik", "slurbag"]
@@ -38,6 +42,64 @@ def test_folding_and_empty(spark):
     assert score_toxicity(docs.limit(0), Lexicon({})).count() == 0
 
 
+def naive_score(text, lexicon):
+    """The same score by looking each word of the folded text up, without an automaton."""
+    text = fold(text or "")
+    words = [m[0] for m in re.finditer(r"[^\W\d_]+", text)]
+    total, kinds = 0.0, set()
+    for i, w in enumerate(words):
+        weight = 0.0
+        for n in range(len(w), 0, -1):
+            weight = (lexicon.weights.get(w) if n == len(w) else None) or lexicon.weights.get(w[:n] + "*") or 0.0
+            if weight:
+                break
+        around = {f"{words[i - 1]} {w}"} if i else set()
+        if i + 1 < len(words):
+            around.add(f"{w} {words[i + 1]}")
+        if weight and not around & lexicon.exceptions:
+            total += weight
+            kinds.add(w)
+    length = text.count(" ") + text.count("\n") + 1
+    x = (1.0, math.log1p(total), math.log1p(100 * total / (length + 10)), math.log1p(len(kinds))) if kinds else (1.0, 0.0, 0.0, 0.0)
+    return 1 / (1 + math.exp(-sum(a * b for a, b in zip(x, lexicon.model))))
+
+
+def test_automaton_agrees_with_naive_matching(spark, monkeypatch):
+    rnd = random.Random(8)
+    long = "z" * 60 + "bad"
+    lexicon = Lexicon({"bad": 2.0, "badly*": 3.0, "ba*": 1.7, "worse": 2.5, "worse*": 1.9, "ïdiot": 4.0, long: 5.0}, {"not bad", "worse luck", f"{'y' * 50} bad"}, [-3.0, 1.1, 0.7, 0.4])
+    bits = ["bad", "badly", "badlys", "bas", "b4d", "wоrse", "worses", "luck", "not", "ïdiot", "x", long, "y" * 50, "7", "²", "...", "\n", "bad-bad", "_bad", "bad_", "—" * 60]
+    texts = [" ".join(rnd.choice(bits) for _ in range(rnd.randrange(0, 25))) for _ in range(400)] + [None, "", "bad", "not" + " ." * 100 + " bad"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    rows = {r.doc_id: r for r in score_toxicity(df, lexicon).collect()}
+    for i, t in enumerate(texts):
+        assert abs(rows[i].score - naive_score(t, lexicon)) < 1e-12, t
+        assert rows[i].predicted == (rows[i].score >= 0.3)
+    # and over a whole table with the lexicon learnt from it
+    d = "/root/testdata/sf0.001"
+    docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
+    learnt = learn_lexicon(docs, labels.where(~held_out()))
+    monkeypatch.setattr(toxicity, "learn_lexicon", lambda *_, **__: learnt)
+    scored = {r.doc_id: r.score for r in op2_toxicity(spark, d).collect()}
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    assert learnt.weights and scored.keys() == texts.keys() and all(abs(scored[i] - naive_score(t, learnt)) < 1e-12 for i, t in texts.items())
+
+
+def test_terms_counted_in_steps(spark, monkeypatch):
+    docs, labels = corpus(spark)
+    whole = learn_lexicon(docs, labels)
+    monkeypatch.setattr(toxicity, "COUNTED_TERMS", 50)
+    assert learn_lexicon(docs, labels) == whole
+
+
+def test_rows_pass_with_any_columns(spark):
+    docs, labels = corpus(spark)
+    odd = docs.withColumnRenamed("word", "toxic").withColumn("_id", toxicity.F.array(toxicity.F.lit(1)))
+    kept = keep_clean(odd, labels)
+    assert kept.columns == odd.columns and kept.count() == keep_clean(docs, labels).count()
+    assert keep_clean(docs.limit(0), labels).count() == 0 and keep_clean(docs, labels.limit(0)).count() == docs.count()
+
+
 def test_held_out_accuracy(spark):
     d = "/root/testdata/sf0.1"
     labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{d}/labels.parquet").collect()}
