@@ -23,10 +23,12 @@ from strandline.llm.inputs import read_spread
 from strandline.operators.components import cut_lineage
 
 CAPACITY, END_ID = 4096, 1
-#: Words whose ids a worker remembers; when so many are new, those of the time before are forgotten.
-REMEMBERED_WORDS = 450_000
-#: Sub-groups of the pieces of one length, ranked apart.
-RANK_SALTS = 256
+#: Bytes, about, of the words whose ids a worker remembers; when so many are new, those of the time before are forgotten. Longer words are not remembered.
+REMEMBERED_BYTES, LONGEST_REMEMBERED = 64 << 20, 48
+#: What an entry costs besides its characters and ids.
+ENTRY_BYTES = 130
+#: Pieces of one length that are ranked together, about.
+RANKED_ROWS = 250_000
 
 
 class _WordIds(dict):
@@ -45,6 +47,7 @@ class _WordIds(dict):
         self.model = self.tokenizer.model
         self.before: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {}
+        self.held = self.held_parts = 0
         self.mapped = {i: self._byte_text(i) for i in range(0xDF, 0x100) if i != 0xF7}
         self.plain = all(self._by_parts(x) == self._whole(x) for x in _PROBES)
 
@@ -65,9 +68,14 @@ class _WordIds(dict):
         for part in _PARTS(low):
             ids = self.parts.get(part)
             if ids is None:
-                if len(self.parts) >= 2 * REMEMBERED_WORDS:
-                    self.parts.clear()
-                ids = self.parts[part] = b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(part.translate(self.mapped))])
+                ids = b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(part.translate(self.mapped))])
+                if len(part) <= LONGEST_REMEMBERED:
+                    cost = 2 * len(part) + len(ids) + ENTRY_BYTES
+                    if self.held_parts + cost > REMEMBERED_BYTES:
+                        self.parts.clear()
+                        self.held_parts = 0
+                    self.held_parts += cost
+                    self.parts[part] = ids
             out.append(ids)
         return b"".join(out)
 
@@ -77,10 +85,14 @@ class _WordIds(dict):
             ids = self._by_parts(stretch) if self.plain else None
             if ids is None:
                 ids = self._whole(stretch)
-        if len(self) >= REMEMBERED_WORDS:
-            self.before = dict(self)
-            self.clear()
-        self[stretch] = ids
+        if len(stretch) <= LONGEST_REMEMBERED:
+            cost = 2 * len(stretch) + len(ids) + ENTRY_BYTES
+            if self.held + cost > REMEMBERED_BYTES:
+                self.before = dict(self)
+                self.clear()
+                self.held = 0
+            self.held += cost
+            self[stretch] = ids
         return ids
 
 
@@ -213,7 +225,8 @@ def best_fit_pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY
     counts = {r.length: r.n for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
     runs = np.array(sorted(best_fit_runs(counts, capacity)) or np.empty((0, 5)), np.int64)
     shared = docs.sparkSession.sparkContext.broadcast(runs)
-    salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(RANK_SALTS)).cast("int"))
+    salts = max(8, -(-max(counts.values(), default=0) // RANKED_ROWS))
+    salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts)).cast("int"))
     before = salted.groupBy("length", "salt").agg(F.count("*").alias("n"))
     before = before.select("length", "salt", F.coalesce(F.sum("n").over(Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("skip"))
     within = F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "start", "ids_crc32"))

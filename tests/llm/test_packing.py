@@ -79,6 +79,18 @@ def test_odd_texts(spark):
     assert best_fit_pack(df.limit(0), PATH).count() == 0
 
 
+def test_words_remembered_have_a_bound(monkeypatch):
+    from strandline.llm import packing
+
+    monkeypatch.setattr(packing, "REMEMBERED_BYTES", 20_000)
+    known, rnd = packing._WordIds(PATH), random.Random(4)
+    for _ in range(3000):
+        w = "".join(rnd.choice("abcde1") for _ in range(rnd.choice([5, 9, 30, 49, 400])))
+        assert known[w] == known._whole(w)
+        assert all(len(x) <= packing.LONGEST_REMEMBERED for x in (*known, *known.parts))
+        assert sum(2 * len(k) + len(v) + packing.ENTRY_BYTES for k, v in known.items()) <= 20_000
+
+
 def test_parts_give_the_tokenizers_ids():
     from strandline.llm.packing import _WordIds
 
