@@ -15,14 +15,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.llm.inputs import read_spread
 
 SPACE = "▁"
-#: Words, parts of words and pairs of pieces that a worker remembers; when so many words or parts are new, those of the time before are forgotten.
-REMEMBERED_WORDS, REMEMBERED_PARTS, REMEMBERED_PAIRS = 400_000, 300_000, 1_000_000
+#: Bytes, about, of the words and of the parts of words that a worker remembers; when so many are new, those of the time before are forgotten.
+REMEMBERED_BYTES, ENTRY_BYTES, REMEMBERED_PAIRS = 64 << 20, 130, 1_000_000
+#: Longer words and parts are forgotten with their batch.
+LONGEST_REMEMBERED = 48
+#: Rows and bytes of text that are encoded together.
+PART_ROWS, PART_BYTES = 512, 4 << 20
 #: Characters of a matched batch, about.
 BATCH_CHARS = 1 << 19
 _WORDS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+").findall
@@ -58,6 +63,7 @@ class Pieces:
         self.old_words: dict[str, bytes] = {}
         self.old_parts: dict[str, bytes] = {}
         self.pairs: dict[int, bool] = {}
+        self.held_words = self.held_parts = 0
 
     def merge(self, text: str) -> list[str]:
         """Plain BPE of a short text: the best pair, leftmost first, until none is a piece."""
@@ -162,10 +168,10 @@ class Pieces:
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         cut = [_WORDS(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
-        if len(self.words) >= REMEMBERED_WORDS:
-            self.words, self.old_words = {}, self.words
-        if len(self.parts) >= REMEMBERED_PARTS:
-            self.parts, self.old_parts = {}, self.parts
+        if self.held_words > REMEMBERED_BYTES:
+            self.words, self.old_words, self.held_words = {}, self.words, 0
+        if self.held_parts > REMEMBERED_BYTES:
+            self.parts, self.old_parts, self.held_parts = {}, self.parts, 0
         known, parts = self.words, self.parts
         fresh, asked = {}, {}
         for w in set().union(*cut).difference(known):
@@ -193,13 +199,35 @@ class Pieces:
         parts["\0"] = np.array([self.bytes[0]], np.int32).tobytes()  # the separator of a matched batch
         for w, ps in fresh.items():
             known[w] = b"".join([parts[p] for p in ps])
-        return [np.frombuffer(b"".join(map(known.__getitem__, ws)), np.int32) for ws in cut]
+        out = [np.frombuffer(b"".join(map(known.__getitem__, ws)), np.int32) for ws in cut]
+        for w in fresh:
+            if len(w) > LONGEST_REMEMBERED:
+                del known[w]
+            else:
+                self.held_words += 2 * len(w) + len(known[w]) + ENTRY_BYTES
+        for p in asked:
+            if len(p) > LONGEST_REMEMBERED:
+                del parts[p]
+            else:
+                self.held_parts += 2 * len(p) + len(parts[p]) + ENTRY_BYTES
+        return out
 
     def decode(self, ids: np.ndarray) -> str:
         data = b"".join(map(self.raw.__getitem__, ids.tolist()))
         return data.decode("utf-8", "replace").removeprefix(" ")
 
 
+def _parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of at most PART_ROWS rows whose texts have PART_BYTES, about; a longer text is alone."""
+    size = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy()
+    at = 0
+    while at < len(batch):
+        upto = np.cumsum(size[at : at + PART_ROWS], dtype=np.int64)
+        n = max(1, int(np.searchsorted(upto, PART_BYTES, "right")))
+        yield batch.slice(at, n)
+        at += n
+
+
 _LOADED: dict[str, Pieces] = {}
 
 
@@ -218,8 +246,7 @@ def encode_pieces(docs: DataFrame, model_path: str, id_col: str = "doc_id", text
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = load_pieces(model_path)
         for batch in batches:
-            for at in range(0, len(batch), 512):
-                part = batch.slice(at, 512)
+            for part in _parts(batch):
                 ids = model.encode(part.column(1).to_pylist())
                 cuts = np.concatenate([[0], np.cumsum([len(i) for i in ids])]).astype(np.int32)
                 yield pa.record_batch([part.column(0), pa.ListArray.from_arrays(pa.array(cuts), pa.array(np.concatenate(ids)))], names=["doc_id", "ids"])
@@ -248,8 +275,7 @@ def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = load_pieces(path)
         for batch in batches:
-            for at in range(0, len(batch), 512):
-                part = batch.slice(at, 512)
+            for part in _parts(batch):
                 texts = part.column(1).to_pylist()
                 ids = model.encode(texts)
                 back = [model.decode(i) for i in ids]
