@@ -1,15 +1,13 @@
 """Media columns: archives of images, read by a Spark data source that plans byte ranges.
 
 Archives are ZIP files of stored PNG members. The source plans partitions as byte ranges of archives
-from their sizes alone; a task reads the archive's directory and then the members that start in its
+from the sizes in a manifest alone; a task reads the archive's directory and then the members that start in its
 range, each by its own offset and with its own retries, and streams them as Arrow batches.
 """
 
 from __future__ import annotations
 
 import hashlib
-import io
-import json
 import struct
 import uuid
 import zipfile
@@ -18,15 +16,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from strandline.llm.inputs import read_spread
-from strandline.operators.components import cut_lineage, shared_folder
+from strandline.operators.components import shared_folder
 
 #: Bytes of an archive, of a planned range and of a batch of payloads, about; a larger member is alone.
-ARCHIVE_BYTES, RANGE_BYTES, BATCH_BYTES = 32 << 20, 16 << 20, 8 << 20
+ARCHIVE_BYTES, RANGE_BYTES, BATCH_BYTES = 256 << 20, 16 << 20, 8 << 20
+MANIFEST = "manifest"
 TRIES = 3
 UNIT = 64
 _PNG = b"\x89PNG\r\n\x1a\n"
@@ -89,11 +89,8 @@ def _write(folder: str):
         def close() -> None:
             nonlocal held
             out.close()
-            name = f"{uuid.uuid4().hex}.zip"  # of this attempt alone; the list of archives names those that count
-            fs.create_dir(path, recursive=True)
-            with fs.open_output_stream(f"{path}/{name}") as f:
-                f.write(held.getbuffer())
-            done.append((name, held.getbuffer().nbytes, count))
+            done.append((name, held.tell(), count))
+            held.close()
             held = None
 
         for batch in batches:
@@ -101,7 +98,9 @@ def _write(folder: str):
                 data = (batch.column(1)[row].as_py() or "").encode()
                 image = encode_image(pad(data), len(data))
                 if held is None:
-                    held, size, count = io.BytesIO(), 0, 0
+                    name, size, count = f"{uuid.uuid4().hex}.zip", 0, 0  # of this attempt alone; the manifest names those that count
+                    fs.create_dir(path, recursive=True)
+                    held = fs.open_output_stream(f"{path}/{name}")
                     out = zipfile.ZipFile(held, "w", zipfile.ZIP_STORED)
                 key = batch.column(0)[row].as_py()
                 out.writestr(zipfile.ZipInfo(f"{count}/{'' if key is None else key}"), image)
@@ -116,9 +115,13 @@ def _write(folder: str):
 
 
 def write_archives(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Stores each row's text (null: empty) as an image in archives under folder; returns (archive, bytes, members) of those that count."""
+    """Stores each row's text (null: empty) as an image in archives under folder; returns the manifest (archive, bytes, members).
+
+    An archive is streamed to its file. Files of failed attempts stay in the folder, but not in the manifest.
+    """
     rows = docs.select(F.col(id_col).cast("string"), F.col(text_col).cast("string"))
-    return cut_lineage(rows.mapInArrow(_write(folder), "archive string, bytes long, members long"))
+    rows.mapInArrow(_write(folder), "archive string, bytes long, members long").write.parquet(f"{folder}/{MANIFEST}")
+    return docs.sparkSession.read.parquet(f"{folder}/{MANIFEST}")
 
 
 class ByteRange(InputPartition):
@@ -129,17 +132,19 @@ class ByteRange(InputPartition):
 class ArchiveReader(DataSourceReader):
     def __init__(self, options: dict):
         self.folder = options["path"]
-        self.archives = json.loads(options["archives"]) if "archives" in options else None
+        self.manifest = options.get("manifest")
         self.step = int(options.get("rangebytes", RANGE_BYTES))
 
     def partitions(self) -> list[ByteRange]:
-        known = self.archives
-        if known is None:
+        fs, path = open_folder(self.folder)
+        if self.manifest:
+            table = pq.read_table(f"{path}/{self.manifest}", columns=["archive", "bytes"], filesystem=fs)
+            known = zip(*(table.column(c).to_pylist() for c in ("archive", "bytes")), strict=True)
+        else:
             from pyarrow import fs as arrow_fs
 
-            fs, path = open_folder(self.folder)
             known = [(f.base_name, f.size) for f in fs.get_file_info(arrow_fs.FileSelector(path)) if f.base_name.endswith(".zip")]
-        return [ByteRange(name, low, low + self.step) for name, size in sorted(map(tuple, known)) for low in range(0, size, self.step)]
+        return [ByteRange(name, low, low + self.step) for name, size in sorted(known) for low in range(0, size, self.step)]
 
     def read(self, partition: ByteRange | None) -> Iterator[pa.RecordBatch]:
         if partition is None:  # nothing was planned
@@ -185,7 +190,10 @@ def read_member(fs, file: str, offset: int, size: int, crc: int) -> tuple[bytes
 
 
 class ArchiveSource(DataSource):
-    """Format ``media_archive``: option path (folder), archives (JSON of [name, bytes], else all .zip files), rangeBytes."""
+    """Format ``media_archive``: options path (folder), manifest (Parquet under it with archive and bytes, else all .zip files count), rangeBytes.
+
+    A reader holds only these, so tasks carry no list of archives.
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -198,11 +206,14 @@ class ArchiveSource(DataSource):
         return ArchiveReader(self.options)
 
 
-def read_archives(spark: SparkSession, folder: str, archives: list[tuple[str, int]] | None = None, range_bytes: int = RANGE_BYTES) -> DataFrame:
-    """(archive, offset, member, payload, error) of every member; a member that can't be read has an error and no payload, the others are whole."""
+def read_archives(spark: SparkSession, folder: str, manifest: str | None = MANIFEST, range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """(archive, offset, member, payload, error) of every member; a member that can't be read has an error and no payload, the others are whole.
+
+    The archives are those of the manifest in folder; with None all ``.zip`` files there.
+    """
     spark.dataSource.register(ArchiveSource)
     source = spark.read.format("media_archive").option("path", folder).option("rangeBytes", range_bytes)
-    return (source if archives is None else source.option("archives", json.dumps(archives))).load()
+    return (source if manifest is None else source.option("manifest", manifest)).load()
 
 
 def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -223,13 +234,14 @@ def media_features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """(doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature) of every row, computed from what was stored and read back.
 
     Null and empty texts are 64 zeros. doc_id is an integer or null; repeated rows repeat; an empty
-    table gives no rows; other columns are ignored.
+    table gives no rows; other columns are ignored. A member that can't be read after all tries raises,
+    as the result would not be whole; ``read_archives`` alone reports it and goes on.
     """
     spark = docs.sparkSession
     folder = f"{shared_folder(spark)}/media-{uuid.uuid4().hex}"
-    archives = [(r.archive, r.bytes) for r in write_archives(docs, folder, id_col, text_col).collect()]
+    write_archives(docs, folder, id_col, text_col)
     kinds = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    return read_archives(spark, folder, archives).mapInArrow(_describe, kinds)
+    return read_archives(spark, folder).mapInArrow(_describe, kinds)
 
 
 def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -32,6 +32,37 @@ def test_features_of_a_table(spark, sf_dir, monkeypatch):
     assert media.media_features(extra.limit(0)).count() == 0
 
 
+def test_stored_form_is_a_png_that_other_code_reads():
+    """The chunks as the PNG format has them, read without decode_image."""
+    import struct
+
+    image = media.encode_image(media.pad(b"abc" * 50), 150)
+    assert image[:8] == bytes([137, 80, 78, 71, 13, 10, 26, 10])
+    width, height, depth, colour = struct.unpack_from(">IIBB", image, 16)
+    assert (width, height, depth, colour) == (64, 3, 8, 0)
+    at, packed = 8, b""
+    while at < len(image):
+        (size,) = struct.unpack_from(">I", image, at)
+        packed += image[at + 8 : at + 8 + size] if image[at + 4 : at + 8] == b"IDAT" else b""
+        at += size + 12
+    lines = zlib.decompress(packed)
+    assert lines == b"".join(b"\0" + (b"abc" * 50 + bytes(42))[i : i + 64] for i in (0, 64, 128))
+
+
+def test_feature_by_plain_loops():
+    payload = bytes(range(64)) * 7 + bytes(64)
+    n = len(payload)
+    mean = sum(payload) / n
+    deviation = (sum((b - mean) ** 2 for b in payload) / n) ** 0.5
+    steps = [abs(payload[i + 1] - payload[i]) for i in range(n - 1) if i % 64 != 63]
+    bits = 0
+    for band in range(8):
+        for block in range(8):
+            cell = [payload[band * 64 + block * 8 + k] for k in range(8)]
+            bits = bits * 2 + (sum(cell) / 8 > mean)
+    assert media.image_feature(payload) == f"{mean:.4f};{deviation:.4f};{sum(steps) / len(steps):.4f};{bits:016x}"
+
+
 def test_ranges_cover_each_member_once_and_errors_stay_alone(spark):
     folder = tempfile.mkdtemp(prefix="spark-")
     docs = spark.createDataFrame([(i, f"text {i} " * 200) for i in range(50)], "doc_id long, text string").coalesce(1)
@@ -44,5 +75,6 @@ def test_ranges_cover_each_member_once_and_errors_stay_alone(spark):
     at = data.index(b"IDAT") + 20
     data[at] ^= 255
     path.write_bytes(data)
+    (Path(folder) / "stray.zip").write_bytes(b"of a failed attempt")
     rows = media.read_archives(spark, folder).collect()
     assert len(rows) == 50 and [r.payload is None for r in rows].count(True) == 1 and [bool(r.error) for r in rows].count(True) == 1
