@@ -29,6 +29,8 @@ SAMPLES = BANDS * ROWS
 BINS, SKETCH_BITS = 1 << 14, 1 << 12
 #: Pairs whose XOR count lies this many standard deviations over that of the threshold are dropped.
 DEVIATIONS = 5.0
+#: The same for Chernoff's bound: a pair at the threshold is dropped with probability exp(-CHERNOFF) at most.
+CHERNOFF = 15.0
 #: Pairs with one partner in a task, members of a bucket in a block.
 STAR_ROWS, BLOCK_ROWS = 2000, 1024
 #: One node in so many is looked at to find band keys that many share.
@@ -75,6 +77,9 @@ def _allowed(xor_count, samples, shingles, percent: int, m):
     to it comes Bernstein's term for few steps of 2, as small sets have them.
     Where the limit reaches half of the bits, as for sets of some 25,000 shingles and more, a count
     says nothing and every pair is allowed.
+    For small sets another limit is sharper. Folding never adds to the count, so a count is at most the
+    shingles that one document alone has (of which the threshold allows ``apart``) and the bins in which
+    such a shingle hides one that both have. These bins are seldom; Chernoff's bound says how seldom.
     """
     n, goal = SKETCH_BITS, percent / 100
     exp, sqrt, most = m.exp, m.sqrt, m.maximum if m is np else m.greatest
@@ -86,7 +91,11 @@ def _allowed(xor_count, samples, shingles, percent: int, m):
     kept = exp(-2 / n * at)
     folded = n / 4 * (1 - kept * kept) - at * kept * kept
     limit = n / 2 * (1 - kept) + DEVIATIONS * sqrt(most(folded + drawn * kept * kept, 0 * union)) + DEVIATIONS * DEVIATIONS / 3
-    return (xor_count <= limit) | (limit >= n / 2)
+    apart = shingles - 2 * m.floor((percent * shingles + 99 + percent) / (100 + percent))
+    hidden = apart * (1 - exp(-0.5 / BINS * shingles)) / 2 + 1e-9
+    extra = most(xor_count - apart, hidden)
+    fits = extra * (1 + m.log(hidden / extra)) - hidden >= -CHERNOFF
+    return ((xor_count <= limit) | (limit >= n / 2)) & fits
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
