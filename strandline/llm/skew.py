@@ -32,3 +32,13 @@ def join_counted(rows: DataFrame, known: DataFrame, keys: list[str], weight: str
 def only_ids(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     """The rows whose key is among ids, filtered where they are if ids are few enough to broadcast; else as they come, for the join that follows."""
     return rows.join(F.broadcast(ids.select(key)), key, "left_semi") if ids.count() <= BROADCAST_IDS else rows
+
+
+def split_rows(rows: DataFrame, found: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(rows joined with found, the rows whose keys found has not); found has one row a key.
+
+    With few enough keys for a broadcast only the rows that join are shuffled.
+    """
+    few = found.select(*keys)
+    few = F.broadcast(few) if few.count() <= BROADCAST_IDS else few
+    return rows.join(few, keys, "left_semi").join(found, keys), rows.join(few, keys, "left_anti")
