@@ -1,4 +1,7 @@
-"""The corpus pipeline: toxicity, near duplicates, secrets, packing; each stage is written and read again."""
+"""The corpus pipeline: toxicity, near duplicates, secrets, packing; each stage is written and read again.
+
+All stages but the last keep the columns they are given, of any names; an empty table stays empty.
+"""
 
 from __future__ import annotations
 
@@ -8,37 +11,52 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strandline.llm.inputs import free_name
 from strandline.llm.near_dedup import near_duplicates
 from strandline.llm.packing import best_fit_pack
 from strandline.llm.secrets import mask_live_secrets
+from strandline.llm.skew import split_rows
 from strandline.llm.toxicity import keep_clean
-from strandline.operators.components import shared_folder
+from strandline.operators.components import cut_lineage, shared_folder
 from strandline.shipping import ship_package
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that are not predicted toxic, as they are."""
+    """The documents that are not predicted toxic, as they are; null and empty texts are not, long ones are judged whole, equal texts alike."""
     ship_package(spark)
     return keep_clean(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near duplicates, and those without a doc_id; repeated rows of one doc_id stay once."""
+    """One document of each component of near duplicates; null, empty and blank texts are alone and stay.
+
+    A row is named by its doc_id and text: equal rows stay once, different texts of one doc_id, or
+    without doc_id, are documents of their own. Texts are shuffled only where a row repeats, as long as
+    the names of the rows that go fit a broadcast.
+    """
     ship_package(spark)
-    found = near_duplicates(docs).where("not kept and doc_id is not null").select(F.col("doc_id").alias("_gone")).distinct()
-    rest = docs.join(found, docs["doc_id"] == F.col("_gone"), "left_anti")
-    return rest.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(rest.where("doc_id is null")).select(docs.columns)
+    names = [free_name(docs, n) for n in ("_doc", "_text", "_without")]
+    named = docs.withColumns(dict(zip(names, (F.coalesce("doc_id", F.lit(0)).cast("long"), F.xxhash64(F.col("text").cast("string")), F.col("doc_id").isNull()), strict=True)))
+    judged = near_duplicates(docs).select(F.coalesce("doc_id", F.lit(0)).alias(names[0]), F.col("text_key").alias(names[1]), F.col("doc_id").isNull().alias(names[2]), F.col("kept").alias("kept"))
+    # rows that go or that are there more than once
+    other = cut_lineage(judged.groupBy(*names).agg(F.max("kept").alias("kept"), F.count("*").alias("n")).where("not kept or n > 1").select(*names, F.col("kept").alias(free_name(docs, "_kept"))))
+    touched, rest = split_rows(named, other, names)
+    again = touched.where(F.col(free_name(docs, "_kept"))).dropDuplicates(names)
+    return rest.select(docs.columns).unionByName(again.select(docs.columns))
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, live-looking secrets masked and n_chars counted anew where text changed."""
-    masked = mask_live_secrets(docs.withColumn("_before", F.col("text")))
-    changed = ~F.col("text").eqNullSafe(F.col("_before"))
-    return masked.withColumn("n_chars", F.when(changed, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))).select(docs.columns)
+    """All documents, live-looking secrets masked and n_chars, where there is one, counted anew where text changed; repeated rows repeat."""
+    before = free_name(docs, "_before")
+    masked = mask_live_secrets(docs.withColumn(before, F.xxhash64("text")))
+    if "n_chars" in docs.columns:
+        kind = docs.schema["n_chars"].dataType
+        masked = masked.withColumn("n_chars", F.when(F.xxhash64("text") != F.col(before), F.char_length("text").cast(kind)).otherwise(F.col("n_chars")))
+    return masked.select(docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents' pieces in sequences of at most 4096 tokens."""
+    """The documents' pieces in sequences of at most 4096 tokens; null and empty texts are one end token, repeated rows repeat."""
     ship_package(spark)
     return best_fit_pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
