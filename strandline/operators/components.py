@@ -2,17 +2,23 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The checkpoint folder: ``spark.checkpoint.dir``; only where that is unset (tests) one of our own."""
+    """The checkpoint folder ``spark.checkpoint.dir``; only where that is unset, and only in local mode (tests), one beside the warehouse.
+
+    On a cluster without that setting there is no folder that is known to be shared, so this raises.
+    """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            if not context.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            folder = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/checkpoints"
+        context.setCheckpointDir(folder)
     return context.getCheckpointDir()
 
 
