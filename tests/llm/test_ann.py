@@ -1,5 +1,6 @@
 import numpy as np
 
+from strandline.llm import ann
 from strandline.llm.ann import Block, nearest, op3_nearest_neighbours
 
 SCHEMA = "vec_id long, embedding array<float>, rank int"
@@ -40,6 +41,31 @@ def test_recall_and_scores(spark):
     assert hit >= 0.9 * 5 * len(want)
 
 
+def test_recall_over_several_groups_and_a_small_sample(spark, monkeypatch):
+    monkeypatch.setattr(ann, "LEAST_GROUP", 700)
+    monkeypatch.setattr(ann, "GROUPS", 4)
+    monkeypatch.setattr(ann, "BLOCK_ROWS", 300)
+    monkeypatch.setattr(ann, "SAMPLE_ROWS", 64)
+    random = np.random.default_rng(6)
+    centres = random.standard_normal((40, 64))
+    x = centres[random.integers(0, 40, 5000)] + random.standard_normal((5000, 64)) * 0.4
+    x = np.concatenate([x, random.standard_normal((1000, 64))])
+    df = spark.createDataFrame([(i, [float(v) for v in row], 0) for i, row in enumerate(x)], "vec_id long, embedding array<double>, rank int")
+    got = by_query(nearest(df, df.where("vec_id % 50 = 0")))
+    want = brute(np.arange(6000), x, range(0, 6000, 50))
+    assert set(got) == set(want) and all(len(v) == 5 for v in got.values())
+    assert sum(len({v for v, _ in got[q]} & {v for v, _ in want[q]}) for q in want) >= 0.9 * 5 * len(want)
+
+
+def test_repeated_ids_and_extreme_lengths(spark):
+    rows = [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (1, [0.0, 1.0]), (2, [1e-300, 1e-300]), (3, [3e200, 3e200]), (4, [1.0, 1.1]), (50, [1.0, 1.0]), (50, [1.0, 1.0]), (50, [-1.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = by_query(nearest(df, df.where("vec_id = 50"), k=4))[50]
+    # vec_id 1 once, with the better of its vectors; 50 is the query, whichever of its vectors is nearer
+    assert [v for v, _ in got] == [2, 3, 4, 1]
+    assert np.allclose([s for _, s in got], [1, 1, 2.1 / np.sqrt(2 * 2.21), np.sqrt(0.5)])
+
+
 def test_ties_bad_rows_and_few(spark):
     same = [0.1, 0.2, -0.3]
     rows = [(i, same, 0) for i in range(60, 0, -1)] + [(100, [1.0, 0.0, 0.0], 0), (150, None, 0), (200, [0.0, 0.0, 0.0], 0), (250, [1.0, None, 0.0], 0), (300, [float("nan"), 0.0, 1.0], 0), (350, [1.0, 1.0], 0), (None, same, 0)]
@@ -53,8 +79,9 @@ def test_ties_bad_rows_and_few(spark):
 
 
 def test_the_samples_nearest_are_candidates(spark, monkeypatch):
-    # no row collides often enough
+    # no row collides often enough, and the sample is large
     monkeypatch.setattr(Block, "collisions", lambda self, low, high: np.zeros(len(self.ids), np.int64))
+    monkeypatch.setattr(ann, "SAMPLE_SHARE", 1)
     random = np.random.default_rng(5)
     x = random.standard_normal((300, 64)) * 0.3 + 1
     df = spark.createDataFrame([(i, [float(v) for v in row], 0) for i, row in enumerate(x)], "vec_id long, embedding array<double>, rank int").coalesce(1)
