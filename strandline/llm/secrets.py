@@ -64,11 +64,11 @@ def _placed(hits: Column, kind: int) -> Column:
 
 
 def secret_candidates(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs with ``candidates``: the spans (start, kind, stop, hash, characters) of each whole text, by start and kind; null texts have none.
+    """docs with ``candidates``: the spans (start, kind, stop, hash_a, hash_b, characters) of each whole text, by start and kind; null texts have none.
 
     Base kinds: assign, access, hex. The method's kind, blob, takes runs of 32 and more base64-like
-    characters that hold lower case, upper case and digits and overlap no base span. hash is the SHA-256
-    of the value, characters the number of different ones. docs may have no column ``candidates``.
+    characters that hold lower case, upper case and digits and overlap no base span. hash_a and hash_b
+    name the value, characters the number of different ones. docs may have no column ``candidates``.
     """
     if free_name(docs, "candidates") != "candidates":
         raise ValueError("the column candidates is made here")
@@ -87,18 +87,18 @@ def secret_candidates(docs: DataFrame, text_col: str = "text") -> DataFrame:
     df = df.withColumn(later, F.when(many, F.reverse(_running(F.reverse(every), lambda x: F.when(is_base(x), x["start"]).otherwise(far), F.least, far))).otherwise(none))
     judged = F.zip_with(F.zip_with(every, earlier, lambda x, e: F.struct(x.alias("x"), e.alias("e"))), later, lambda p, n: F.struct(p["x"].alias("x"), p["e"].alias("e"), n.alias("n")))
     free = F.transform(F.filter(judged, lambda p: is_base(p["x"]) | ((p["e"] <= p["x"]["start"]) & (p["n"] >= p["x"]["stop"]))), lambda p: p["x"])
-    told = lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["stop"].alias("stop"), F.sha2(x["value"], 256).alias("hash"), F.size(F.array_distinct(F.split(x["value"], ""))).alias("characters"))
+    told = lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["stop"].alias("stop"), F.xxhash64(x["value"]).alias("hash_a"), F.xxhash64(x["value"], x["value"]).alias("hash_b"), F.size(F.array_distinct(F.split(x["value"], ""))).alias("characters"))
     return df.withColumn("candidates", F.transform(F.when(many, free).otherwise(F.col(every)), told)).drop(*hits, *spans, every, earlier, later)
 
 
 def ownership(candidates: DataFrame, owner: str, repository: str) -> DataFrame:
-    """(hash, owners, repositories, n) of candidate hashes, n being their rows.
+    """(hash_a, hash_b, owners, repositories, n) of candidate hashes, n being their rows.
 
     Rows are counted by hash, owner and repository before the shuffle by hash, so a hash that a third of
     all rows hold arrives once for each owner and repository. Null owners and repositories count as none.
     """
-    seen = candidates.groupBy("hash", F.col(owner).alias("o"), F.col(repository).alias("r")).agg(F.count("*").alias("n"))
-    return seen.groupBy("hash").agg(F.count_distinct("o").alias("owners"), F.count_distinct("r").alias("repositories"), F.sum("n").alias("n"))
+    seen = candidates.groupBy("hash_a", "hash_b", F.col(owner).alias("o"), F.col(repository).alias("r")).agg(F.count("*").alias("n"))
+    return seen.groupBy("hash_a", "hash_b").agg(F.count_distinct("o").alias("owners"), F.count_distinct("r").alias("repositories"), F.sum("n").alias("n"))
 
 
 def _spans(c: Column) -> Column:
@@ -128,11 +128,11 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = docs.select(F.col(id_col).alias("id"), key_a.alias("key_a"), key_b.alias("key_b"), F.col(owner).cast("string").alias("owner"), repo.cast("string").alias("repo"), F.col(text_col).cast("string").alias("text"))
     light = cut_lineage(secret_candidates(rows).select("id", "key_a", "key_b", "owner", "repo", "candidates"))
     holding = light.where(F.size("candidates") > 0)
-    each = holding.select("key_a", "key_b", "owner", "repo", F.explode("candidates").alias("s")).distinct().withColumn("hash", F.col("s.hash"))
+    each = holding.select("key_a", "key_b", "owner", "repo", F.explode("candidates").alias("s")).distinct().withColumns({h: F.col(f"s.{h}") for h in ("hash_a", "hash_b")})
     copied = (F.col("owners") >= EXAMPLE_OWNERS) | (F.col("repositories") >= EXAMPLE_REPOSITORIES)
     span = F.struct("s.start", "s.kind", "s.stop", "owners", "repositories", (~copied & (F.col("s.characters") >= LIVE_CHARACTERS)).alias("live"))
     # one owner and repository a row of docs: where copies of a row have several, each span still is one
-    judged = join_counted(each, ownership(each, "owner", "repo"), ["hash"], "n").groupBy("key_a", "key_b").agg(F.array_sort(F.collect_set(span)).alias("found"))
+    judged = join_counted(each, ownership(each, "owner", "repo"), ["hash_a", "hash_b"], "n").groupBy("key_a", "key_b").agg(F.array_sort(F.collect_set(span)).alias("found"))
     n = lambda k: F.size(F.filter("candidates", lambda s: s["kind"] == k)).cast("long")
     count = lambda test: F.size(F.filter("found", test)).cast("long")
     none = F.array().cast("array<struct<start:int,kind:int,stop:int,owners:bigint,repositories:bigint,live:boolean>>")

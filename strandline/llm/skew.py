@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandline.llm.inputs import free_name
 from strandline.operators.components import cut_lineage
 
 #: A key is hot if more than one in so many rows has it; there are fewer such keys than this, whatever the table.
@@ -13,32 +14,46 @@ HOT_KEYS = 4096
 BROADCAST_IDS = 2_000_000
 
 
+def beside(rows: DataFrame, few: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """rows joined with a broadcast of few, by keys that are longs without nulls.
+
+    The hash table is by the first key alone, which Spark keeps small; further keys are compared where
+    that one fits (as exclusive or, as equality would become a key of the table).
+    """
+    other = {k: free_name(rows, f"_{k}_of_few") for k in keys}
+    few = F.broadcast(few.withColumnsRenamed(other))
+    same = rows[keys[0]] == few[other[keys[0]]]
+    for k in keys[1:]:
+        same &= rows[k].bitwiseXOR(few[other[k]]) == 0
+    return rows.join(few, same, how).drop(*other.values())
+
+
 def join_counted(rows: DataFrame, known: DataFrame, keys: list[str], weight: str, how: str = "inner") -> DataFrame:
     """rows joined with known, which has one row a key with the number (weight) of the rows that have it; how: inner or left.
 
     Rows of hot keys meet a broadcast of those keys, at most HOT_KEYS rows, where they are; the others
-    are shuffled by key, and none of their keys has more than one in HOT_KEYS rows.
+    are shuffled by key, and none of their keys has more than one in HOT_KEYS rows. Keys are longs.
     """
     known = cut_lineage(known)
     total = known.agg(F.sum(weight)).first()[0]
     if not total:
         return rows.join(known, keys, how)
     is_hot = F.col(weight) * HOT_KEYS > total
-    hot, cold = F.broadcast(known.where(is_hot)), known.where(~is_hot)
-    rest = rows.join(F.broadcast(known.where(is_hot).select(*keys)), keys, "left_anti")
-    return rows.join(hot, keys).unionByName(rest.join(cold, keys, how))
+    hot, cold = known.where(is_hot), known.where(~is_hot)
+    rest = beside(rows, hot.select(*keys), keys, "left_anti")
+    return beside(rows, hot, keys).unionByName(rest.join(cold, keys, how))
 
 
 def only_ids(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     """The rows whose key is among ids, filtered where they are if ids are few enough to broadcast; else as they come, for the join that follows."""
-    return rows.join(F.broadcast(ids.select(key)), key, "left_semi") if ids.count() <= BROADCAST_IDS else rows
+    return beside(rows, ids.select(key), [key], "left_semi") if ids.count() <= BROADCAST_IDS else rows
 
 
 def split_rows(rows: DataFrame, found: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
-    """(rows joined with found, the rows whose keys found has not); found has one row a key.
+    """(rows joined with found, the rows whose keys found has not); found has one row a key, keys are longs.
 
     With few enough keys for a broadcast only the rows that join are shuffled.
     """
     few = found.select(*keys)
-    few = F.broadcast(few) if few.count() <= BROADCAST_IDS else few
-    return rows.join(few, keys, "left_semi").join(found, keys), rows.join(few, keys, "left_anti")
+    meet = beside if few.count() <= BROADCAST_IDS else lambda a, b, keys, how: a.join(b, keys, how)
+    return meet(rows, few, keys, "left_semi").join(found.hint("merge"), keys), meet(rows, few, keys, "left_anti")
