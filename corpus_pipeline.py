@@ -21,6 +21,10 @@ from strandline.operators.components import cut_lineage, shared_folder
 from strandline.shipping import ship_package
 
 
+#: Stands for a doc_id that is null.
+NO_ID = -(1 << 62)
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that are not predicted toxic, as they are; null and empty texts are not, long ones are judged whole, equal texts alike."""
     ship_package(spark)
@@ -35,9 +39,10 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     the names of the rows that go fit a broadcast.
     """
     ship_package(spark)
-    names = [free_name(docs, n) for n in ("_doc", "_text", "_without")]
-    named = docs.withColumns(dict(zip(names, (F.coalesce("doc_id", F.lit(0)).cast("long"), F.xxhash64(F.col("text").cast("string")), F.col("doc_id").isNull()), strict=True)))
-    judged = near_duplicates(docs).select(F.coalesce("doc_id", F.lit(0)).alias(names[0]), F.col("text_key").alias(names[1]), F.col("doc_id").isNull().alias(names[2]), F.col("kept").alias("kept"))
+    names = [free_name(docs, n) for n in ("_doc", "_text")]
+    doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
+    named = docs.withColumns({names[0]: doc, names[1]: F.xxhash64(F.col("text").cast("string"))})
+    judged = near_duplicates(docs).select(doc.alias(names[0]), F.col("text_key").alias(names[1]), "kept")
     # rows that go or that are there more than once
     other = cut_lineage(judged.groupBy(*names).agg(F.max("kept").alias("kept"), F.count("*").alias("n")).where("not kept or n > 1").select(*names, F.col("kept").alias(free_name(docs, "_kept"))))
     touched, rest = split_rows(named, other, names)
