@@ -24,7 +24,7 @@ from strandline.operators.components import cut_lineage
 
 CAPACITY, END_ID = 4096, 1
 #: Bytes, about, of the words whose ids a worker remembers; when so many are new, those of the time before are forgotten. Longer words are not remembered.
-REMEMBERED_BYTES, LONGEST_REMEMBERED = 32 << 20, 48
+REMEMBERED_BYTES, LONGEST_REMEMBERED = 24 << 20, 48
 #: What an entry costs besides its characters and ids.
 ENTRY_BYTES = 130
 #: Pieces of one length that are ranked together, about.

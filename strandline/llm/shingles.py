@@ -8,7 +8,8 @@ import numpy as np
 import pyarrow as pa
 
 WIDTH = 5
-_CHUNK = 1 << 20
+#: Bytes and texts that are hashed together; work arrays take some sixty bytes a byte, and what callers make of a text some 40 KB.
+_CHUNK, _TEXTS = 1 << 18, 256
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -81,7 +82,7 @@ def text_shingles(column: pa.Array) -> Iterator[tuple[int, list[np.ndarray]]]:
     i = 0
     while i < size:
         j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + _CHUNK, "right")) - 1)
-        j = min(j, size)
+        j = min(j, size, i + _TEXTS)
         grams, runs = _shingles(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
         out = []
         for k in range(j - i):

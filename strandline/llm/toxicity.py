@@ -27,7 +27,7 @@ MIN_ROWS, MIN_WEIGHT, LEXICON_SIZE = 6, 1.6, 2000
 #: Stems (beginnings of words) of these lengths are entries beside whole words.
 STEMS = range(4, 9)
 #: Terms that a task counts before it hands its counts on.
-COUNTED_TERMS = 150_000
+COUNTED_TERMS = 100_000
 #: A phrase is an exception from so many clean rows on, with at most one toxic row in so many clean ones.
 EXCEPTION_ROWS, EXCEPTION_RATIO = 3, 4
 THRESHOLD = 0.3
