@@ -302,7 +302,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     stars = cut_lineage(members.where("doc <> pivot").select(F.col("pivot").alias("src"), F.col("doc").alias("dst")).distinct())
     left, right = (sizes.select(F.col("doc").alias(e), F.col("n").alias(f"n_{e}"), F.col("sketch").alias(f"x_{e}"), F.col("samples").alias(f"s_{e}")) for e in ("src", "dst"))
     centres = left.join(stars.groupBy("src").agg(F.count("*").alias("links")), "src")
-    near = join_counted(stars, centres, ["src"], "links").join(right, "dst").where(f"100 * least(n_src, n_dst) >= {percent} * greatest(n_src, n_dst)")
+    # by dst first: sketches of stars are not shuffled where the centre is hot
+    near = join_counted(stars.join(right, "dst"), centres, ["src"], "links").where(f"100 * least(n_src, n_dst) >= {percent} * greatest(n_src, n_dst)")
     near = near.where(_allowed(_xor_count("x_src", "x_dst"), F.col("s_src") + F.col("s_dst"), F.col("n_src") + F.col("n_dst"), percent, F))
     links = cut_lineage(confirmed_links(cut_lineage(near.select("src", "dst").distinct()), texts, percent))
     comps = connected_components(links)
