@@ -50,13 +50,17 @@ def partial_correlations(rows: DataFrame, columns: list[str], alpha: float = 0.0
 
 
 def consensus(edges: DataFrame, least: int = 2) -> DataFrame:
-    """(source, target, directed, algorithms, confidence): pairs found by that many algorithms; the source most of them name, else the sorted pair."""
+    """(source, target, directed, algorithms, confidence): pairs found by that many algorithms.
+
+    A pair is directed if any of its edges is; then it goes from the source that most of its edges,
+    undirected ones too, name (of equally many the first by name). Else it is the sorted pair.
+    """
     total = edges.agg(F.count_distinct("algorithm").alias("total"))
     pair = F.array_sort(F.array("source", "target"))
-    found = edges.withColumn("x", pair[0]).withColumn("y", pair[1]).groupBy("x", "y").agg(F.array_sort(F.collect_set("algorithm")).alias("algorithms"), F.count_if((F.col("direction") == "directed") & (F.col("source") == F.col("x"))).alias("fx"), F.count_if((F.col("direction") == "directed") & (F.col("source") == F.col("y"))).alias("fy"))
-    turned = F.col("fy") > F.col("fx")
+    found = edges.withColumn("x", pair[0]).withColumn("y", pair[1]).groupBy("x", "y").agg(F.array_sort(F.collect_set("algorithm")).alias("algorithms"), F.count_if(F.col("source") == F.col("x")).alias("fx"), F.count_if(F.col("source") == F.col("y")).alias("fy"), (F.count_if(F.col("direction") == "directed") > 0).alias("any_directed"))
+    turned = F.col("any_directed") & (F.col("fy") > F.col("fx"))
     rows = found.where(F.size("algorithms") >= least).crossJoin(F.broadcast(total))
-    return rows.select(F.when(turned, F.col("y")).otherwise(F.col("x")).alias("source"), F.when(turned, F.col("x")).otherwise(F.col("y")).alias("target"), (F.col("fx") != F.col("fy")).alias("directed"), "algorithms", F.round(F.size("algorithms") / F.col("total"), 6).alias("confidence"))
+    return rows.select(F.when(turned, F.col("y")).otherwise(F.col("x")).alias("source"), F.when(turned, F.col("x")).otherwise(F.col("y")).alias("target"), F.col("any_directed").alias("directed"), "algorithms", F.round(F.size("algorithms") / F.col("total"), 6).alias("confidence"))
 
 
 def edge_scores(found: DataFrame, truth: DataFrame) -> DataFrame:

@@ -104,7 +104,7 @@ def _algorithms(t):
     return t.spark.sql(_ALG.replace("FROM facts", "FROM {facts}"), facts=t.facts)
 
 
-@query("x05_consensus", f"WITH e AS ({_ALG}), p AS (SELECT least(source, target) AS x, greatest(source, target) AS y, count(DISTINCT algorithm) AS k, count(*) FILTER (WHERE direction = 'directed' AND source < target) AS fx, count(*) FILTER (WHERE direction = 'directed' AND source > target) AS fy FROM e GROUP BY ALL) SELECT CASE WHEN fy > fx THEN y ELSE x END AS source, CASE WHEN fy > fx THEN x ELSE y END AS target, fx <> fy AS directed, round(k / (SELECT count(DISTINCT algorithm) FROM e), 6) AS confidence FROM p WHERE k >= 2")
+@query("x05_consensus", f"WITH e AS ({_ALG}), p AS (SELECT least(source, target) AS x, greatest(source, target) AS y, count(DISTINCT algorithm) AS k, count(*) FILTER (WHERE source < target) AS fx, count(*) FILTER (WHERE source > target) AS fy, bool_or(direction = 'directed') AS d FROM e GROUP BY ALL) SELECT CASE WHEN d AND fy > fx THEN y ELSE x END AS source, CASE WHEN d AND fy > fx THEN x ELSE y END AS target, d AS directed, round(k / (SELECT count(DISTINCT algorithm) FROM e), 6) AS confidence FROM p WHERE k >= 2")
 def x05(t):
     return x.consensus(_algorithms(t)).select("source", "target", "directed", "confidence")
 

@@ -142,3 +142,11 @@ def test_entry_without_the_corpus_operators(tmp_path):
     shutil.copytree(top, tmp_path / "r", ignore=shutil.ignore_patterns("llm", "corpus_pipeline.py", ".git", "__pycache__"))
     code = "import __spark_entry__ as e; q = e.queries(); assert len(q) > 150 and 'pipeline' not in q and not any(k.startswith('op') for k in q)"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path / "r", check=True, env=os.environ | {"PYTHONPATH": ""})
+
+
+def test_consensus_is_directed_if_any_edge_is(spark):
+    from strandline.operators.causal import consensus
+
+    rows = [("a", "b", "directed", "1"), ("b", "a", "directed", "2"), ("d", "c", "directed", "1"), ("d", "c", "undirected", "2"), ("f", "e", "undirected", "1"), ("f", "e", "undirected", "2"), ("g", "h", "directed", "1")]
+    got = consensus(spark.createDataFrame(rows, "source string, target string, direction string, algorithm string")).collect()
+    assert sorted((r.source, r.target, r.directed) for r in got) == [("a", "b", True), ("d", "c", True), ("e", "f", False)]
