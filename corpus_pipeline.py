@@ -63,9 +63,12 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents' pieces in sequences of at most 4096 tokens; null and empty texts are one end token, repeated rows repeat."""
     ship_package(spark)
-    return best_fit_pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+    return best_fit_pack(docs, public_tokenizers.path("word_bpe_49k.json"), remembered=REMEMBERED)
 
 
+#: Bytes of words that a packing worker remembers: fewer than by itself, as the executors still hold what earlier stages took.
+REMEMBERED = 24 << 20
+
 STAGES = [("toxicity", drop_toxic), ("near_dedup", drop_near_duplicates), ("secrets", mask_secrets), ("packing", pack)]
 
 

@@ -24,7 +24,7 @@ from strandline.operators.components import cut_lineage
 
 CAPACITY, END_ID = 4096, 1
 #: Bytes, about, of the words whose ids a worker remembers; when so many are new, those of the time before are forgotten. Longer words are not remembered.
-REMEMBERED_BYTES, LONGEST_REMEMBERED = 24 << 20, 48
+REMEMBERED_BYTES, LONGEST_REMEMBERED = 48 << 20, 48
 #: What an entry costs besides its characters and ids.
 ENTRY_BYTES = 130
 #: Pieces of one length that are ranked together, about.
@@ -40,14 +40,13 @@ class _WordIds(dict):
     all else is encoded as a whole.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, most: int | None = None):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.before: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
-        self.held = self.held_parts = 0
+        self.held, self.most = 0, REMEMBERED_BYTES if most is None else most
         self.mapped = {i: self._byte_text(i) for i in range(0xDF, 0x100) if i != 0xF7}
         self.plain = all(self._by_parts(x) == self._whole(x) for x in _PROBES)
 
@@ -62,37 +61,41 @@ class _WordIds(dict):
 
     def _by_parts(self, stretch: str) -> bytes | None:
         low = stretch.lower()
-        if not _PLAIN(low) or "<|" in low or len(low) != len(stretch):
+        if low.isascii() and low.isalpha():
+            parts = [low]
+        elif not _PLAIN(low) or "<|" in low or len(low) != len(stretch):
             return None
+        else:
+            parts = _PARTS(low)
         out = []
-        for part in _PARTS(low):
-            ids = self.parts.get(part)
+        for part in parts:
+            ids = self.get(part) or self.before.get(part)
             if ids is None:
-                ids = b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(part.translate(self.mapped))])
-                if len(part) <= LONGEST_REMEMBERED:
-                    cost = 2 * len(part) + len(ids) + ENTRY_BYTES
-                    if self.held_parts + cost > REMEMBERED_BYTES:
-                        self.parts.clear()
-                        self.held_parts = 0
-                    self.held_parts += cost
-                    self.parts[part] = ids
+                text = part if part.isascii() else part.translate(self.mapped)
+                ids = b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(text)])
+                if part != stretch:
+                    self._remember(part, ids)
             out.append(ids)
         return b"".join(out)
 
+    def _remember(self, stretch: str, ids: bytes) -> None:
+        if len(stretch) > LONGEST_REMEMBERED:
+            return
+        cost = 2 * len(stretch) + len(ids) + ENTRY_BYTES
+        if self.held + cost > self.most:
+            self.before = dict(self)
+            self.clear()
+            self.held = 0
+        self.held += cost
+        self[stretch] = ids
+
     def __missing__(self, stretch: str) -> bytes:
         ids = self.before.get(stretch)
         if ids is None:
             ids = self._by_parts(stretch) if self.plain else None
             if ids is None:
                 ids = self._whole(stretch)
-        if len(stretch) <= LONGEST_REMEMBERED:
-            cost = 2 * len(stretch) + len(ids) + ENTRY_BYTES
-            if self.held + cost > REMEMBERED_BYTES:
-                self.before = dict(self)
-                self.clear()
-                self.held = 0
-            self.held += cost
-            self[stretch] = ids
+        self._remember(stretch, ids)
         return ids
 
 
@@ -110,13 +113,13 @@ def _stretches(text: str) -> list[str]:
     return text.split()
 
 
-def _tokenise(path: str, capacity: int, end_id: int):
+def _tokenise(path: str, capacity: int, end_id: int, remembered: int | None = None):
     end = np.array([end_id], "<u4").tobytes()
     schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if path not in _LOADED:
-            _LOADED[path] = _WordIds(path)
+        if path not in _LOADED or remembered not in (None, _LOADED[path].most):
+            _LOADED[path] = _WordIds(path, remembered)
         ids_of = _LOADED[path]
         for batch in batches:
             for at in range(0, len(batch), 256):
@@ -205,23 +208,24 @@ def _place(length: np.ndarray, rank: np.ndarray, runs: np.ndarray) -> tuple[np.n
     return run[:, 2] + past // run[:, 3], run[:, 4] + past % run[:, 3] * length
 
 
-def tokenised_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def tokenised_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text", remembered: int | None = None) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32): each document's ids plus end_id, cut only where longer than capacity.
 
     Ids are looked up for stretches between white space, at which this kind of tokenizer (white space
-    dropped before the words) never joins anything, so each distinct stretch is encoded once a worker.
+    dropped before the words) never joins anything. A worker remembers the ids of stretches in at most
+    twice ``remembered`` bytes, about (REMEMBERED_BYTES if None), which only saves encoding them again.
     """
     rows = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string"))
-    return rows.mapInArrow(_tokenise(tokenizer_path, capacity, end_id), "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return rows.mapInArrow(_tokenise(tokenizer_path, capacity, end_id, remembered), "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
-def best_fit_pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def best_fit_pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text", remembered: int | None = None) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset): one row per piece.
 
     Null and empty texts are one piece of end_id. Rows repeat as they come; a null doc_id stays null.
     An empty table gives no rows; other columns are ignored.
     """
-    pieces = cut_lineage(tokenised_pieces(docs, tokenizer_path, capacity, end_id, id_col, text_col))
+    pieces = cut_lineage(tokenised_pieces(docs, tokenizer_path, capacity, end_id, id_col, text_col, remembered))
     counts = {r.length: r.n for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
     runs = np.array(sorted(best_fit_runs(counts, capacity)) or np.empty((0, 5)), np.int64)
     shared = docs.sparkSession.sparkContext.broadcast(runs)

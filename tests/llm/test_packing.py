@@ -87,7 +87,7 @@ def test_words_remembered_have_a_bound(monkeypatch):
     for _ in range(3000):
         w = "".join(rnd.choice("abcde1") for _ in range(rnd.choice([5, 9, 30, 49, 400])))
         assert known[w] == known._whole(w)
-        assert all(len(x) <= packing.LONGEST_REMEMBERED for x in (*known, *known.parts))
+        assert all(len(x) <= packing.LONGEST_REMEMBERED for x in (*known, *known.before))
         assert sum(2 * len(k) + len(v) + packing.ENTRY_BYTES for k, v in known.items()) <= 20_000
 
 
