@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandline.operators.relational import quantiles
 
 #: Rows among which the placebo test permutes treatments, about.
 CELL_ROWS = 5000
@@ -15,8 +16,9 @@ def impute_and_scale(rows: DataFrame, key: str, columns: list[str], most_missing
     """key and the columns with at most that share missing: median for null, then z-scores by sample deviation (0 where it is 0), but for keep."""
     stats = rows.agg(F.count("*").alias("n"), *[F.count(c).alias(f"n_{c}") for c in columns]).first()
     used = [c for c in columns if stats["n"] and stats[f"n_{c}"] >= (1 - most_missing) * stats["n"]]
-    medians = rows.agg(*[F.percentile(c, 0.5).alias(c) for c in used]).first()
-    full = rows.select(key, *[F.coalesce(F.col(c).cast("double"), F.lit(medians[c])).alias(c) for c in used])
+    long = rows.select(*[F.col(c).cast("double").alias(c) for c in used]).unpivot([], used, "_column", "_value")
+    medians = {r["_column"]: r["median"] for r in quantiles(long, "_column", "_value", {"median": 0.5}).collect()}  # a row a column
+    full = rows.select(key, *[F.coalesce(F.col(c).cast("double"), F.lit(medians.get(c))).alias(c) for c in used])
     spread = full.agg(*[F.avg(c).alias(f"m_{c}") for c in used], *[F.stddev_samp(c).alias(f"s_{c}") for c in used]).first()
     scaled = lambda c: F.col(c) if c in keep else (F.col(c) - spread[f"m_{c}"]) / spread[f"s_{c}"] if spread[f"s_{c}"] else F.lit(0.0)
     return full.select(key, *[scaled(c).alias(c) for c in used])

@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandline.operators.components import connected_components, cut_lineage
 
 
-def ends(edges: DataFrame) -> DataFrame:
-    """(id, other, type, direction): each edge from both of its ends."""
-    out = edges.select(F.col("src").alias("id"), F.col("dst").alias("other"), "type", F.lit("out").alias("direction"))
-    return out.unionByName(edges.select(F.col("dst").alias("id"), F.col("src").alias("other"), "type", F.lit("in").alias("direction")))
+def ends(edges: DataFrame, *columns: str) -> DataFrame:
+    """(id, other, columns..., direction): each edge from both of its ends, by one scan of the edges."""
+    out, back = (F.struct(F.col(x).alias("id"), F.col(y).alias("other"), F.lit(way).alias("direction")) for x, y, way in (("src", "dst", "out"), ("dst", "src", "in")))
+    return edges.select(*columns, F.explode(F.array(out, back)).alias("_e")).select("_e.id", "_e.other", *columns, "_e.direction")
 
 
 def degrees(edges: DataFrame) -> DataFrame:
@@ -56,12 +58,11 @@ def paths(edges: DataFrame, longest: int, start: DataFrame | None = None, simple
 def shortest_paths(edges: DataFrame, source: str, most: int = 6) -> DataFrame:
     """(id, hops): least hops from source to each id within that many, undirected; each level meets only new ids."""
     spark = edges.sparkSession
+    hop = ends(edges).select("id", "other")
     seen = frontier = spark.createDataFrame([(source, 0)], "id string, hops int")
     for n in range(1, most + 1):
-        # the frontier is the small side: edges stay where they are if it can be broadcast
-        out = frontier.select(F.col("id").alias("src")).join(edges, "src").select(F.col("dst").alias("id"))
-        back = frontier.select(F.col("id").alias("dst")).join(edges, "dst").select(F.col("src").alias("id"))
-        new = out.unionByName(back).distinct().join(seen, "id", "left_anti")
+        # the frontier is the small side: edges, scanned once a level, stay where they are if it can be broadcast
+        new = frontier.select("id").join(hop, "id").select(F.col("other").alias("id")).distinct().join(seen, "id", "left_anti")
         frontier = cut_lineage(new.withColumn("hops", F.lit(n)))
         if frontier.isEmpty():
             break
@@ -116,7 +117,7 @@ def chain(edges: DataFrame, *types: str) -> DataFrame:
 
 def ego(edges: DataFrame, nodes: DataFrame, source: str) -> DataFrame:
     """Edges of one node with direction and the other end's display name."""
-    near = ends(edges.where((F.col("src") == source) | (F.col("dst") == source))).where(F.col("id") == source)
+    near = ends(edges.where((F.col("src") == source) | (F.col("dst") == source)), "type").where(F.col("id") == source)
     names = nodes.select(F.col("id").alias("other"), "label", F.coalesce("name", "id").alias("display"))
     return near.join(names, "other", "left").select("id", "direction", "type", "other", "label", "display")
 
@@ -135,18 +136,67 @@ def missing_inverses(edges: DataFrame, inverse: dict[str, str]) -> DataFrame:
     return want.join(edges.select("src", "type", "dst"), ["src", "type", "dst"], "left_anti")
 
 
-def on_cycles(edges: DataFrame, rounds: int = 40) -> DataFrame:
-    """Edges left when nodes without edges out, or without edges in, are peeled off until none goes: those of cycles and between them."""
-    left = cut_lineage(edges.select("src", "dst").distinct())
+def _peeled(edges: DataFrame) -> DataFrame:
+    """Edges left when nodes without edges out, or without edges in, are peeled off until none goes; a chain takes a round for two of its edges."""
+    left = cut_lineage(edges)
     n = left.count()
-    for _ in range(rounds):
+    while n:
         inner = left.join(left.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").join(left.select(F.col("dst").alias("src")).distinct(), "src", "left_semi")
         left = cut_lineage(inner.select("src", "dst"))
         now = left.count()
         if now == n:
-            return left
+            break
         n = now
-    raise RuntimeError(f"edges still go after {rounds} rounds")
+    return left
+
+
+def _least_ancestors(edges: DataFrame) -> DataFrame:
+    """(id, mark): the least id from which edges lead to the id, or itself; a round for each edge of the way."""
+    marks = cut_lineage(ends(edges).select("id").distinct().withColumn("mark", F.col("id")))
+    moved = marks
+    while not moved.isEmpty():
+        sent = edges.join(moved.withColumnRenamed("id", "src"), "src").groupBy(F.col("dst").alias("id")).agg(F.min("mark").alias("new"))
+        moved = cut_lineage(sent.join(marks, "id").where("new < mark").select("id", "new"))
+        marks = cut_lineage(marks.join(moved, "id", "left").select("id", F.least("mark", "new").alias("mark")))
+        moved = moved.withColumnRenamed("new", "mark")
+    return marks
+
+
+def on_cycles(edges: DataFrame) -> DataFrame:
+    """(src, dst): distinct edges that lie on a directed cycle, self loops among them.
+
+    Edges whose ends have one least ancestor and lead back to it are in one strongly connected part, so on a cycle;
+    the parts found go and the rest, peeled again, is searched until nothing is left. Empty edges give no rows.
+    """
+    found = []
+    left = _peeled(edges.select("src", "dst").distinct())
+    while not left.isEmpty():
+        mark = _least_ancestors(left)
+        marked = left.join(mark.withColumnRenamed("id", "src"), "src").join(mark.select(F.col("id").alias("dst"), F.col("mark").alias("_other")), "dst")
+        inside = cut_lineage(marked.where("mark = _other").select("src", "dst", "mark"))
+        back = frontier = cut_lineage(inside.select(F.col("mark").alias("id")).distinct())
+        while not frontier.isEmpty():
+            new = inside.join(frontier.withColumnRenamed("id", "dst"), "dst", "left_semi").select(F.col("src").alias("id")).distinct()
+            frontier = cut_lineage(new.join(back, "id", "left_anti"))
+            back = back.unionByName(frontier)
+        back = cut_lineage(back)
+        either = lambda how: inside.join(back.withColumnRenamed("id", "src"), "src", how).join(back.withColumnRenamed("id", "dst"), "dst", how).select("src", "dst")  # noqa: B023, E731
+        found.append(cut_lineage(either("left_semi")))
+        left = _peeled(either("left_anti"))
+    return reduce(DataFrame.unionByName, found) if found else left
+
+
+def circular_paths(edges: DataFrame, longest: int = 4) -> DataFrame:
+    """(path, length) of directed cycles of 2..longest edges without a repeated node, each once, from its least id; only greater ids follow, which halves the paths a level and more."""
+    hop = cut_lineage(edges.where("src <> dst").select("src", "dst").distinct())
+    step = hop.select(F.col("src").alias("last"), F.col("dst").alias("next"))
+    level = hop.where("src < dst").select(F.col("src").alias("first"), F.col("dst").alias("last"), F.array("src", "dst").alias("path"))
+    out = []
+    for n in range(2, longest + 1):
+        grown = level.join(step, "last")
+        out.append(grown.where("next = first").select("path", F.lit(n).alias("length")))
+        level = grown.where((F.col("next") > F.col("first")) & ~F.array_contains("path", F.col("next"))).select("first", F.col("next").alias("last"), F.concat("path", F.array("next")).alias("path"))
+    return reduce(DataFrame.unionByName, out)
 
 
 def edge_errors(edges: DataFrame, *shares: str) -> DataFrame:

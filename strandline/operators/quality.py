@@ -56,6 +56,27 @@ def gate(checks: list[tuple[str, DataFrame, float, bool]]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+def sources_present(concepts: DataFrame, source: str, required: list[str], bands: dict[str, tuple[int, int]] | None = None) -> DataFrame:
+    """One row (measured): the share met of the demands that each required source has a concept, and that counts lie in their bands; names in any case."""
+    n = {name: F.count_if(F.upper(source) == name.upper()) for name in [*required, *(bands or {})]}
+    met = [n[r] > 0 for r in required] + [n[b].between(low, high) for b, (low, high) in (bands or {}).items()]
+    return concepts.agg((sum((m.cast("int") for m in met), F.lit(0)) / F.lit(max(1, len(met)))).alias("measured"))
+
+
+def types_covered(edges: DataFrame, least: float = 0.95, exempt: list[str] = ()) -> DataFrame:
+    """One row (measured): the share of edge types, exempt ones aside, of whose edges at least that share has a uri; 1 where all are exempt, 0 without edges."""
+    by = edges.groupBy("type").agg((F.count("uri") / F.count("*")).alias("share")).withColumn("out", F.upper("type").isin([e.upper() for e in exempt]))
+    kept = F.count_if(~F.col("out"))
+    return by.agg(F.when(F.count("*") == 0, 0.0).when(kept == 0, 1.0).otherwise(F.count_if(~F.col("out") & (F.col("share") >= least)) / kept).alias("measured"))
+
+
+def concepts_reached(concepts: DataFrame, edges: DataFrame, types: list[str], exempt: list[str] = ()) -> DataFrame:
+    """One row (measured): the share of concepts (id, uri) that an edge of these types leads to or whose uri is exempt; 1 without concepts."""
+    hit = edges.where(F.col("type").isin(types)).select(F.col("dst").alias("id")).distinct().withColumn("_hit", F.lit(True))
+    rows = concepts.select("id", "uri").join(hit, "id", "left")
+    return rows.agg(F.coalesce(F.count_if(F.col("_hit").isNotNull() | F.coalesce(F.col("uri").isin(list(exempt)), F.lit(False))) / F.nullif(F.count("*"), F.lit(0)), F.lit(1.0)).alias("measured"))
+
+
 def fair_score(measured: DataFrame, rubric: DataFrame) -> DataFrame:
     """(dimension, score): yes 1, partial 0.5, no 0 by the rubric's thresholds; the overall mean under dimension all."""
     value = F.coalesce("measured", F.lit(0.0))

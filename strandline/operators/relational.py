@@ -42,10 +42,12 @@ def min_gap(rows: DataFrame, key: str, time: str, state: str, first: str, then:
 def nearest_partner(cases: DataFrame, controls: DataFrame, key: str, value: str, case_id: str, control_id: str, width: int) -> DataFrame:
     """For each case the control of equal key nearest in value, at most width away; ties to the smaller control id.
 
-    Values are put in buckets of that width and a case meets three of them, so the join stays an equi join.
+    Of the controls of one key and value only the two least ids can be nearest (two, as a case is not its own control), so
+    the others go before the join. Values are put in buckets of that width and a case meets three of them: an equi join.
     """
+    least = pick(controls.select(key, F.col(control_id).alias("control_id"), F.col(value).alias("control_value")).distinct(), [key, "control_value"], [F.col("control_id")], 2)
     left = cases.select(key, F.col(case_id).alias("case_id"), F.col(value).alias("case_value"), F.explode(F.array(*[F.floor(F.col(value) / width) + i for i in (-1, 0, 1)])).alias("_bucket"))
-    right = controls.select(key, F.col(control_id).alias("control_id"), F.col(value).alias("control_value"), F.floor(F.col(value) / width).alias("_bucket"))
+    right = least.drop("rank").withColumn("_bucket", F.floor(F.col("control_value") / width))
     gap = F.abs(F.col("case_value") - F.col("control_value"))
     pairs = left.join(right, [key, "_bucket"]).where((gap <= width) & (F.col("case_id") != F.col("control_id")))
     best = pairs.groupBy("case_id").agg(F.min(F.struct(gap.alias("gap"), "control_id")).alias("b"))
@@ -70,6 +72,30 @@ def summary(rows: DataFrame, value: str, *by: str, places: int = 6) -> DataFrame
     return rows.groupBy(*by).agg(F.count(value).alias("n"), F.round(F.avg(value), places).alias("mean"), F.min(value).alias("low"), F.max(value).alias("high"), F.round(F.stddev_samp(value), places).alias("sd"))
 
 
+def quantiles(rows: DataFrame, by: str, value: str, shares: dict[str, float], accuracy: int = 10_000) -> DataFrame:
+    """(by, <name>...): exact quantiles of each group, interpolated between neighbouring ranks; null values are left out.
+
+    An approximate pass brackets each quantile within two of its own errors (n / accuracy ranks); values are counted by
+    value, those outside a bracket only add to its counts, and just the distinct values inside are sorted. So no task
+    holds a group's values: a bracket has at most 4 / accuracy of the group's rows beside ties, which are one row.
+    """
+    base = rows.where(F.col(value).isNotNull()).select(F.col(by).alias("_by"), F.col(value).cast("double").alias("_v"))
+    ends = [q for p in shares.values() for q in (max(0.0, p - 2 / accuracy), min(1.0, p + 2 / accuracy))]
+    stats = base.groupBy("_by").agg(F.count("*").alias("_n"), F.percentile_approx("_v", ends, accuracy).alias("_q"))
+    each = [F.struct(F.lit(name).alias("name"), (F.lit(float(p)) * (F.col("_n") - 1)).alias("at"), F.col("_q")[2 * i].alias("lo"), F.col("_q")[2 * i + 1].alias("hi")) for i, (name, p) in enumerate(shares.items())]
+    brackets = stats.select(F.col("_by").alias("_group"), F.explode(F.array(*each)).alias("b")).select("_group", "b.*")
+    values = base.groupBy("_by", "_v").agg(F.count("*").alias("_n")).join(brackets, F.col("_by").eqNullSafe(F.col("_group"))).drop("_group")
+    around = values.groupBy("_by", "name", "at").agg(F.sum(F.when(F.col("_v") < F.col("lo"), F.col("_n")).otherwise(0)).alias("below"), F.max(F.when(F.col("_v") < F.col("lo"), F.col("_v"))).alias("previous"), F.min(F.when(F.col("_v") > F.col("hi"), F.col("_v"))).alias("following"))
+    upto = F.sum("_n").over(Window.partitionBy("_by", "name").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0))
+    inside = values.where("_v between lo and hi").select("_by", F.col("name").alias("_name"), "_v", "_n", upto.alias("upto"))
+    placed = inside.withColumnRenamed("_by", "_group").join(around, F.col("_by").eqNullSafe(F.col("_group")) & (F.col("name") == F.col("_name")))
+    holds = lambda rank: F.max(F.when((rank - F.col("below") < F.col("upto")) & (rank - F.col("below") >= F.col("upto") - F.col("_n")), F.col("_v")))
+    both = placed.groupBy("_by", "name", "at", "previous", "following").agg(holds(F.floor("at")).alias("low"), holds(F.ceil("at")).alias("high"))
+    low, high = F.coalesce("low", "previous"), F.coalesce("high", "following")
+    done = both.select("_by", "name", (low + (high - low) * (F.col("at") - F.floor("at"))).alias("v"))
+    return done.groupBy(F.col("_by").alias(by)).agg(*[F.max(F.when(F.col("name") == n, F.col("v"))).alias(n) for n in shares])
+
+
 def share_of_total(counted: DataFrame, n: str = "n", *within: str) -> DataFrame:
     """counted with pct, n as a percentage of all rows' (of the group's, with within)."""
     over = Window.partitionBy(*within)

@@ -11,17 +11,17 @@ from strandline.operators import causal as x
 from strandline.operators import relational as r
 from strandline.plans.cohort import query
 
-_PAIR = "SELECT vec_id, list_transform(embedding, lambda v: v::double) AS e, list_transform(embedding, lambda v: v::double * 2 + (vec_id % 3) * 0.01::double * v::double * v::double) AS g FROM embeddings"
+_PAIR = "SELECT vec_id, list_transform(embedding, lambda v: v::double) AS e, list_transform(embedding, lambda v: v::double * 2 + (1 + vec_id % 3) * 0.01::double * v::double * v::double) AS g FROM embeddings"
 
 
 def _pair(t):
     e = a.doubles(F.col("embedding"))
-    return t.embeddings.select("vec_id", "label", e.alias("e")).withColumn("g", F.expr("transform(e, v -> v * 2 + (vec_id % 3) * 0.01D * v * v)"))
+    return t.embeddings.select("vec_id", "label", e.alias("e")).withColumn("g", F.expr("transform(e, v -> v * 2 + (1 + vec_id % 3) * 0.01D * v * v)"))
 
 
-@query("n01_psnr_mse", f"""SELECT vec_id, round(m, 9) AS mse, CASE WHEN m = 0 THEN 'inf' ELSE 'finite' END AS psnr FROM (SELECT vec_id, list_sum(list_transform(list_zip(list_transform(e, lambda v: (v - list_min(e)) / (list_max(e) - list_min(e))), list_transform(g, lambda v: (v - list_min(g)) / (list_max(g) - list_min(g)))), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) / len(e) AS m FROM ({_PAIR}) WHERE vec_id % 3 > 0)""")
+@query("n01_psnr_mse", f"""SELECT vec_id, round(m, 9) AS mse, CASE WHEN m = 0 THEN 'inf' ELSE 'finite' END AS psnr FROM (SELECT vec_id, list_sum(list_transform(list_zip(list_transform(e, lambda v: (v - list_min(e)) / (list_max(e) - list_min(e))), list_transform(g, lambda v: (v - list_min(g)) / (list_max(g) - list_min(g)))), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) / len(e) AS m FROM ({_PAIR}))""")
 def n01(t):
-    rows = _pair(t).where("vec_id % 3 > 0").select("vec_id", a.mse(F.col("e"), F.col("g")).alias("m"))
+    rows = _pair(t).select("vec_id", a.mse(F.col("e"), F.col("g")).alias("m"))
     return rows.select("vec_id", F.round("m", 9).alias("mse"), F.when(a.psnr(F.col("m")) == float("inf"), "inf").otherwise("finite").alias("psnr"))
 
 
@@ -97,7 +97,7 @@ def x04(t):
     return x.partial_correlations(t.patients, ["age", "edu", "acctbal"]).where("a = 'age' and b = 'edu'").select("a", "b", "given", "r")
 
 
-_ALG = "SELECT DISTINCT concat('alg', k) AS algorithm, CASE WHEN k = 2 THEN b ELSE a END AS source, CASE WHEN k = 2 THEN a ELSE b END AS target, CASE WHEN k < 3 THEN 'directed' ELSE 'undirected' END AS direction FROM (SELECT line % 4 AS k, analyte AS a, CASE WHEN part % 3 = 0 THEN 'DX' WHEN part % 3 = 1 THEN 'MMSE' ELSE 'AGE' END AS b FROM facts WHERE part % 40 < 4)"
+_ALG = "SELECT DISTINCT concat('alg', k) AS algorithm, CASE WHEN k = 2 THEN b ELSE a END AS source, CASE WHEN k = 2 THEN a ELSE b END AS target, CASE WHEN k < 3 THEN 'directed' ELSE 'undirected' END AS direction FROM (SELECT line % 4 AS k, analyte AS a, CASE WHEN part % 3 = 0 THEN 'DX' WHEN part % 3 = 1 THEN 'MMSE' ELSE 'AGE' END AS b FROM facts GROUP BY 1, 2, 3 HAVING 2 * sum(abnormal) > count(*))"
 
 
 def _algorithms(t):

@@ -107,14 +107,30 @@ def g18(t):
     return g.missing_inverses(t.edges, {"HAS_VISIT": "IS_VISIT_OF"})
 
 
-@query("g19_cycles", "SELECT DISTINCT concat('S', a) AS src, concat('S', b) AS dst FROM (SELECT lag(dx) OVER w AS a, dx AS b FROM visits WINDOW w AS (PARTITION BY pid ORDER BY months, vid)) WHERE a IS NOT NULL")
-def g19(t):
+_STEPS = "SELECT DISTINCT concat('S', a) AS src, concat('S', b) AS dst FROM (SELECT lag(dx) OVER w AS a, dx AS b FROM visits WINDOW w AS (PARTITION BY pid ORDER BY months, vid)) WHERE a IS NOT NULL"
+
+
+def _states(t):
     from pyspark.sql import Window
 
     prior = F.lag("dx").over(Window.partitionBy("pid").orderBy("months", "vid"))
-    states = t.visits.select(F.concat(F.lit("S"), prior).alias("src"), F.concat(F.lit("S"), "dx").alias("dst")).where("src is not null")
-    tree = t.edges.where("type = 'IS_A'").select("src", "dst")  # has none
-    return g.on_cycles(states.unionByName(tree))
+    return t.visits.select(F.concat(F.lit("S"), prior).alias("src"), F.concat(F.lit("S"), "dx").alias("dst")).where("src is not null")
+
+
+@query("g19_cycles", f"{_STEPS} UNION ALL SELECT concat('M', p_partkey), concat('N', p_partkey) FROM part UNION ALL SELECT concat('N', p_partkey), concat('M', p_partkey) FROM part")
+def g19(t):
+    """Cycles of states and of two nodes a part; the edges from one part's cycle to the states' and the tree lie on none."""
+    tree = t.edges.where("type = 'IS_A'").select("src", "dst")
+    m, n = F.concat(F.lit("M"), "p_partkey"), F.concat(F.lit("N"), "p_partkey")
+    pairs = t.part.select(F.explode(F.array(F.struct(m.alias("src"), n.alias("dst")), F.struct(n.alias("src"), m.alias("dst")), F.struct(n.alias("src"), F.lit("SCN").alias("dst")))).alias("e")).select("e.*")
+    return g.on_cycles(_states(t).unionByName(tree).unionByName(pairs))
+
+
+@query("g19_circular_paths", f"""WITH st AS (SELECT src AS s, dst AS d FROM ({_STEPS}) WHERE src <> dst) SELECT concat_ws('>', a.s, b.s) AS path, 2 AS length FROM st a JOIN st b ON a.d = b.s AND b.d = a.s WHERE a.s < b.s
+    UNION ALL SELECT concat_ws('>', a.s, b.s, c.s), 3 FROM st a JOIN st b ON a.d = b.s JOIN st c ON b.d = c.s AND c.d = a.s WHERE a.s < b.s AND a.s < c.s AND b.s <> c.s
+    UNION ALL SELECT concat_ws('>', a.s, b.s, c.s, e.s), 4 FROM st a JOIN st b ON a.d = b.s JOIN st c ON b.d = c.s JOIN st e ON c.d = e.s AND e.d = a.s WHERE a.s < b.s AND a.s < c.s AND a.s < e.s AND b.s <> c.s AND b.s <> e.s AND c.s <> e.s""")
+def g19b(t):
+    return g.circular_paths(_states(t)).select(F.array_join("path", ">").alias("path"), "length")
 
 
 @query("g20_edge_integrity", "SELECT pid AS src, 'NEAR' AS type, nation::bigint AS dst, CASE WHEN pid = nation THEN 'self_loop' ELSE 'strength_range' END AS error FROM patients WHERE pid = nation OR acctbal / 9000 NOT BETWEEN 0 AND 1")

@@ -197,6 +197,44 @@ def e05(t):
     return one.unionByName(two).groupBy("dx", "source", "confidence").agg(F.count("*").alias("n"))
 
 
+_PTID = "concat(lpad((pid % 1000)::varchar, 3, '0'), '_S_', lpad((pid % 10000)::varchar, 4, '0'))"
+
+
+def _ptid():
+    return F.expr("concat(lpad(string(pid % 1000), 3, '0'), '_S_', lpad(string(pid % 10000), 4, '0'))")
+
+
+@query("e04_all_tables", f"""SELECT concat_ws('_', ptid, viscode) AS visit_id, viscode, cast(CASE WHEN viscode IN ('bl', 'sc') THEN 0 ELSE substring(viscode, 2)::int END AS int) AS months,
+    CASE WHEN count(*) FILTER (WHERE k = 0 AND d IS NOT NULL) > 0 THEN min(d) FILTER (WHERE k = 0) ELSE min(d) END AS visit_date, CASE WHEN viscode IN ('bl', 'sc') THEN 'baseline' ELSE 'follow-up' END AS visit_type, string_agg(DISTINCT s, ',' ORDER BY s) AS sources
+    FROM (SELECT {_PTID} AS ptid, CASE WHEN months = 0 THEN 'bl' ELSE concat('m', CASE WHEN months < 10 THEN '0' ELSE '' END, months) END AS viscode, CASE WHEN dx <> 'CN' THEN vdate::varchar END AS d, 0 AS k, 'A' AS s FROM visits
+    UNION ALL SELECT {_PTID}, concat('m', CASE WHEN months < 10 THEN '0' ELSE '' END, months), fdate::varchar, 1, 'B' FROM facts) WHERE NOT starts_with(ptid, '381_S_') GROUP BY ptid, viscode""")
+def e04_all(t):
+    """Two tables with other columns and spellings: VISCODE2 before VISCODE and PTID; VISIT as month N and RID with a crosswalk."""
+    code = F.expr("CASE WHEN months = 0 THEN 'baseline' ELSE concat('M', lpad(string(months), greatest(2, length(string(months))), '0')) END")
+    one = t.visits.select(_ptid().alias("PTID"), F.lit("v01").alias("VISCODE"), code.alias("VISCODE2"), F.expr("CASE WHEN dx <> 'CN' THEN vdate END").alias("EXAMDATE"))
+    two = t.facts.select(F.concat(F.lit(" "), "pid").alias("RID"), F.expr("concat('Month ', months)").alias("VISIT"), F.col("fdate").alias("VISDATE"))
+    known = t.patients.select(F.col("pid").alias("RID"), _ptid().alias("PTID"))
+    return s.visits_of({"A": one, "none": t.nation, "B": two}, known).select("visit_id", "viscode", "months", "visit_date", "visit_type", F.array_join("sources", ",").alias("sources"))
+
+
+@query("e05_five_sources", f"""SELECT concat('dx_', ptid, '_', viscode, '_', code, mark) AS diagnosis_id, code, confidence, source FROM (
+    SELECT {_PTID} AS ptid, concat('v', vid) AS viscode, CASE WHEN vid % 3 = 0 THEN CASE dx WHEN 'AD' THEN 'AD' WHEN 'MCI' THEN 'MCI' ELSE 'CN' END WHEN dx = 'AD' THEN 'AD' WHEN dx = 'MCI' THEN CASE WHEN mmse % 3 = 1 THEN 'EMCI' WHEN mmse % 3 = 2 THEN 'LMCI' ELSE 'MCI' END WHEN dx = 'CN' THEN 'CN' END AS code,
+        CASE mmse % 4 WHEN 2 THEN 0.75 WHEN 3 THEN 0.5 ELSE 0.95 END::double AS confidence, 'DXSUM' AS source, '' AS mark FROM visits
+    UNION ALL SELECT {_PTID}, 'screening', CASE WHEN pid % 2 = 0 THEN 'EMCI' ELSE 'SMC' END, 1.0, 'ARM', '' FROM patients
+    UNION ALL SELECT {_PTID}, 'bl', 'AD', 0.85, 'BLCHANGE', '_predicted' FROM patients WHERE age > 70
+    UNION ALL SELECT {_PTID}, concat('v', vid), CASE WHEN mmse % 4 = 0 THEN 'CN' WHEN mmse % 4 = 1 THEN 'MCI' WHEN mmse % 4 = 3 THEN 'AD' END, 0.8, 'CDR', '_CDR' FROM visits
+    UNION ALL SELECT {_PTID}, concat('v', vid), CASE WHEN mmse >= 27 THEN 'CN' WHEN mmse >= 21 THEN 'MCI' ELSE 'AD' END, 0.75, 'MMSE', '_MMSE' FROM visits) WHERE code IS NOT NULL""")
+def e05_all(t):
+    v = t.visits.withColumn("PTID", _ptid()).withColumn("VISCODE2", F.expr("concat('v', vid)"))
+    return s.diagnoses_of({
+        "DXSUM": v.select("PTID", "VISCODE2", F.expr("CASE WHEN vid % 3 = 0 THEN CASE dx WHEN 'AD' THEN '3' WHEN 'MCI' THEN '2' ELSE '1' END END").alias("DIAGNOSIS"), F.expr("int(dx = 'AD')").alias("DXAD"), F.expr("int(dx = 'MCI')").alias("DXMCI"), F.expr("mmse % 3").alias("DXMDES"), F.expr("int(dx = 'CN')").alias("DXNORM"), F.expr("mmse % 4").alias("DXCONFID")),
+        "ARM": t.patients.select(_ptid().alias("PTID"), F.expr("CASE WHEN pid % 2 = 0 THEN 'EMCI' ELSE 'SMC' END").alias("ARM")),
+        "BLCHANGE": t.patients.select(_ptid().alias("PTID"), F.expr("CASE WHEN age > 70 THEN 3 END").alias("BCPREDX")),
+        "CDR": v.select("PTID", "VISCODE2", F.expr("CASE mmse % 4 WHEN 0 THEN 0 WHEN 1 THEN 0.5 WHEN 2 THEN 0.7 ELSE 1 END").alias("CDGLOBAL")),
+        "MMSE": v.select("PTID", "VISCODE2", F.col("mmse").alias("MMSCORE")),
+    }).select("diagnosis_id", "code", "confidence", "source")
+
+
 @query("e06_e09_unpivot", "SELECT vid, 'mmse' AS test, mmse::double AS score FROM visits UNION ALL SELECT vid, 'price', price FROM visits")
 def e06(t):
     return s.unpivot(t.visits.select("vid", F.col("mmse").cast("double").alias("mmse"), "price"), ["vid"], ["mmse", "price"], "test", "score")

@@ -81,9 +81,10 @@ def t10(t):
     return q.value_pattern_match(t.visits, "dx", rules).groupBy("target").agg(F.count("*").alias("n"))
 
 
-@query("m01_semantic_density", "SELECT label, count(*) AS total, count(uri) AS with_uri, round(count(uri) / count(*), 6) AS share FROM nodes GROUP BY 1 UNION ALL SELECT type, count(*), count(uri), round(count(uri) / count(*), 6) FROM edges GROUP BY 1")
+@query("m01_semantic_density", "SELECT label, count(*) AS total, count(uri) AS with_uri, round(count(uri) / count(*), 6) AS share FROM nodes GROUP BY 1 UNION ALL SELECT type, count(*), count(uri), round(count(uri) / count(*), 6) FROM edges GROUP BY 1 UNION ALL SELECT 'all nodes', count(*), count(uri), round(count(uri) / count(*), 6) FROM nodes UNION ALL SELECT 'all edges', count(*), count(uri), round(count(uri) / count(*), 6) FROM edges")
 def m01(t):
-    return q.density_by(t.nodes, "label").unionByName(q.density_by(t.edges, "type").withColumnRenamed("type", "label"))
+    every = [q.density_by(rows.select(F.lit(f"all {name}").alias("label"), "uri"), "label") for name, rows in (("nodes", t.nodes), ("edges", t.edges))]
+    return q.density_by(t.nodes, "label").unionByName(q.density_by(t.edges, "type").withColumnRenamed("type", "label")).unionByName(every[0]).unionByName(every[1])
 
 
 @query("m02_tbox_abox", "SELECT 'N' AS source, (SELECT count(*) FROM nation) AS concepts, count(DISTINCT src) AS grounded, round(count(DISTINCT src) / (SELECT count(*) FROM nation), 6) AS ratio FROM edges WHERE type IN ('LIVES_IN', 'BASED_IN')")
@@ -120,6 +121,19 @@ def m07(t):
     ])
 
 
+@query("m07_sources_types_concepts", """WITH c AS (SELECT * FROM nodes WHERE label IN ('Nation', 'Region')), k AS (SELECT type, count(uri) / count(*) AS s FROM edges WHERE type <> 'IS_A' GROUP BY 1),
+    m AS (SELECT 'A3' AS id, ((count(*) FILTER (WHERE label = 'Nation') > 0)::int + (count(*) FILTER (WHERE label = 'Region') > 0)::int + (count(*) FILTER (WHERE label = 'Gene') > 0)::int + (count(*) FILTER (WHERE label = 'Nation') BETWEEN 20 AND 30)::int) / 4 AS v, 1.0 AS least FROM c
+    UNION ALL SELECT 'A5', count(*) FILTER (WHERE s >= 0.6) / count(*), 0.95 FROM k
+    UNION ALL SELECT 'A6', count(*) FILTER (WHERE id IN (SELECT dst FROM edges WHERE type IN ('IS_A', 'BASED_IN')) OR uri = 'http://purl.obolibrary.org/obo/N_3') / count(*), 0.5 FROM c)
+    SELECT id, round(v, 6)::double AS measured, v >= least AS passed, id = 'A3' AND v < least AS hard_fail FROM m""")
+def m07b(t):
+    concepts = t.nodes.where("label in ('Nation', 'Region')")
+    return q.gate([
+        ("A3", q.sources_present(concepts, "label", ["NATION", "Region", "Gene"], {"nation": (20, 30)}), 1.0, True), ("A5", q.types_covered(t.edges, 0.6, ["is_a"]), 0.95, False),
+        ("A6", q.concepts_reached(concepts, t.edges, ["IS_A", "BASED_IN"], ["http://purl.obolibrary.org/obo/N_3"]), 0.5, False),
+    ])
+
+
 @query("m08_fair_score", "SELECT 'F' AS dimension, CASE WHEN n >= 0.9 THEN 1.0 WHEN n >= 0.4 THEN 0.5 ELSE 0.0 END::double AS score FROM (SELECT count(uri) / count(*) AS n FROM edges) UNION ALL SELECT 'I', 0.0::double UNION ALL SELECT 'all', CASE WHEN n >= 0.9 THEN 1.0 WHEN n >= 0.4 THEN 0.5 ELSE 0.0 END::double / 2 FROM (SELECT count(uri) / count(*) AS n FROM edges)")
 def m08(t):
     rubric = t.spark.createDataFrame([("F1", "F", 0.4, 0.9), ("I1", "I", 0.5, 1.0)], "id string, dimension string, partial double, full double")

@@ -189,10 +189,10 @@ def b3_1(t):
     return t.facts.where("pid = 7").groupBy("months", "analyte").agg(F.round(F.avg("value"), 6).alias("value"))
 
 
-@query("b3_3_patient_journey", "SELECT v.vid, v.months, v.dx, coalesce(string_agg(DISTINCT f.analyte, ',' ORDER BY f.analyte), '') AS markers FROM visits v LEFT JOIN facts f ON v.vid = f.vid WHERE v.pid % 100 = 7 GROUP BY ALL")
+@query("b3_3_patient_journey", "SELECT v.vid, v.months, v.dx, coalesce(string_agg(DISTINCT f.analyte, ',' ORDER BY f.analyte), '') AS markers FROM visits v LEFT JOIN facts f ON v.vid = f.vid GROUP BY ALL")
 def b3_3(t):
     marks = t.facts.groupBy("vid").agg(F.array_join(F.array_sort(F.collect_set("analyte")), ",").alias("markers"))
-    return t.visits.where("pid % 100 = 7").join(marks, "vid", "left").select("vid", "months", "dx", F.coalesce("markers", F.lit("")).alias("markers"))
+    return t.visits.join(marks, "vid", "left").select("vid", "months", "dx", F.coalesce("markers", F.lit("")).alias("markers"))
 
 
 @query("b4_3_marker_and_decline", "SELECT analyte, count(DISTINCT v.pid) AS patients FROM (SELECT pid, months FROM (SELECT pid, months, lag(mmse) OVER (PARTITION BY pid ORDER BY months, vid) - mmse AS loss FROM visits) WHERE loss >= 3) v JOIN facts f ON v.pid = f.pid AND f.months <= v.months AND abnormal = 1 GROUP BY 1")

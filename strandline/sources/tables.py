@@ -7,11 +7,17 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from strandline.functions.clean import NULL_TOKENS, clean_string, family_column, indicates_dementia
+from strandline.functions.clean import NULL_TOKENS, clean_string, family_column, indicates_dementia, map_arm, map_diagnosis, normalize_viscode, score_to_diagnosis, valid_patient_id, viscode_to_months
 
 RULE_SCHEMA = "source_table string, source_column string, source_value_pattern string, target_ontology string, target_uri string, target_label string, mapping_rule string, test_fixture_id string, last_verified_date date"
 
 
+# Columns in the order in which they are tried.
+VISIT_COLUMNS = ("VISCODE2", "VISCODE", "VISIT", "VISITNO", "VISITCODE")
+PATIENT_COLUMNS = ("PTID", "RID", "SUBJID", "SUBJECT")
+DATE_COLUMNS = ("EXAMDATE", "VISITDATE", "USERDATE", "SCANDATE", "EXAMDT", "VISDATE", "DATE")
+
+
 def read_csv_folder(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
     """Every CSV file of a folder by name; null tokens are null, column names stripped, empty tables left out.
 
@@ -176,6 +182,72 @@ def universe(tables: list[DataFrame], keys: tuple[str, ...]) -> DataFrame:
     return reduce(DataFrame.unionByName, rows).where("id is not null").distinct()
 
 
+def visits_of(tables: dict[str, DataFrame], crosswalk: DataFrame | None = None) -> DataFrame:
+    """(visit_id, ptid, viscode, months, visit_date, visit_type, sources): one row a patient and visit of all tables.
+
+    A table counts by the first of the visit and of the patient columns that it has; RID values become PTID by the crosswalk
+    (RID, PTID) where it has them; rows without either, or with an id that isn't valid, are left out. The date is that of the
+    first table with one, there of the first date column filled, the least of equal ones; sources are the tables' names.
+    """
+    rows = []
+    for k, (name, df) in enumerate(tables.items()):
+        visit, patient = (next((c for c in columns if c in df.columns), None) for columns in (VISIT_COLUMNS, PATIENT_COLUMNS))
+        if visit is None or patient is None:
+            continue
+        dates = [F.col(c).cast("string") for c in DATE_COLUMNS if c in df.columns]
+        at = F.coalesce(*dates) if dates else F.lit(None).cast("string")
+        part = df.select(F.trim(F.col(patient).cast("string")).alias("ptid"), normalize_viscode(F.trim(F.col(visit).cast("string"))).alias("viscode"), at.alias("at"), F.lit(k).alias("k"), F.lit(name).alias("source"))
+        if patient == "RID" and crosswalk is not None:
+            known = crosswalk.select(F.col("RID").cast("string").alias("ptid"), F.col("PTID").alias("_ptid"))
+            part = part.join(known, "ptid", "left").withColumn("ptid", F.coalesce("_ptid", "ptid")).drop("_ptid")
+        rows.append(part)
+    every = reduce(DataFrame.unionByName, rows).where(F.col("viscode").isNotNull() & valid_patient_id(F.col("ptid")))
+    first = F.min(F.when(F.col("at").isNotNull(), F.struct("k", "at")))["at"]
+    one = every.groupBy("ptid", "viscode").agg(first.alias("visit_date"), F.array_sort(F.collect_set("source")).alias("sources"))
+    kind = F.when(F.col("viscode").isin("bl", "sc"), "baseline").otherwise("follow-up")
+    return one.select(F.concat_ws("_", "ptid", "viscode").alias("visit_id"), "ptid", "viscode", viscode_to_months(F.col("viscode")).alias("months"), "visit_date", kind.alias("visit_type"), "sources")
+
+
+def diagnoses_of(tables: dict[str, DataFrame]) -> DataFrame:
+    """(diagnosis_id, ptid, viscode, code, confidence, source) of those of the tables DXSUM, ARM, BLCHANGE, CDR and MMSE that are given.
+
+    DXSUM: DIAGNOSIS, else the flags DXAD, DXMCI (with DXMDES 1 EMCI, 2 LMCI) and DXNORM in this order; DXCONFID 1, 2, 3 is
+    0.95, 0.75, 0.5, else 0.95. ARM counts as visit screening with 1.0, BLCHANGE (BCPREDX) 0.85, CDR (CDGLOBAL: 0 CN, up to
+    0.5 MCI, from 1 AD) 0.8, MMSE (MMSCORE) 0.75. The visit is VISCODE2, else VISCODE, else bl. Rows without patient or code are left out.
+    """
+
+    def have(df: DataFrame, name: str, kind: str = "string"):
+        return F.col(name).try_cast(kind) if name in df.columns else F.lit(None).cast(kind)
+
+    def flags(df: DataFrame) -> Column:
+        mild = F.when(have(df, "DXMDES", "int") == 1, "EMCI").when(have(df, "DXMDES", "int") == 2, "LMCI").otherwise("MCI")
+        return F.when(have(df, "DXAD", "int") == 1, "AD").when(have(df, "DXMCI", "int") == 1, mild).when(have(df, "DXNORM", "int") == 1, "CN")
+
+    def sure(df: DataFrame) -> Column:
+        return F.when(have(df, "DXCONFID", "int") == 2, 0.75).when(have(df, "DXCONFID", "int") == 3, 0.5).otherwise(0.95)
+
+    def rated(df: DataFrame) -> Column:
+        c = have(df, "CDGLOBAL", "double")
+        return F.when(c == 0, "CN").when(c <= 0.5, "MCI").when(c >= 1, "AD")
+
+    always = lambda x: lambda df: F.lit(x)
+    rules = {
+        "DXSUM": (lambda df: F.coalesce(map_diagnosis(have(df, "DIAGNOSIS")), flags(df)), sure, ""),
+        "ARM": (lambda df: map_arm(have(df, "ARM")), always(1.0), ""),
+        "BLCHANGE": (lambda df: map_diagnosis(have(df, "BCPREDX")), always(0.85), "_predicted"),
+        "CDR": (rated, always(0.8), "_CDR"),
+        "MMSE": (lambda df: score_to_diagnosis(have(df, "MMSCORE", "double")), always(0.75), "_MMSE"),
+    }
+    rows = []
+    for name, (code, confidence, mark) in rules.items():
+        if name in tables:
+            df = tables[name]
+            visit = F.lit("screening") if name == "ARM" else F.trim(next((F.col(c).cast("string") for c in VISIT_COLUMNS[:2] if c in df.columns), F.lit("bl")))
+            rows.append(df.select(F.trim(F.col("PTID").cast("string")).alias("ptid"), visit.alias("viscode"), code(df).alias("code"), confidence(df).cast("double").alias("confidence"), F.lit(name).alias("source"), F.lit(mark).alias("mark")))
+    every = reduce(DataFrame.unionByName, rows).where("ptid <> '' and code is not null")
+    return every.select(F.concat(F.lit("dx_"), F.concat_ws("_", "ptid", "viscode", "code"), "mark").alias("diagnosis_id"), "ptid", "viscode", "code", "confidence", "source")
+
+
 def unpivot(df: DataFrame, keys: list[str], columns: list[str], name: str = "name", value: str = "value") -> DataFrame:
     return df.unpivot(keys, columns, name, value).where(F.col(value).isNotNull())
 

@@ -150,3 +150,29 @@ def test_consensus_is_directed_if_any_edge_is(spark):
     rows = [("a", "b", "directed", "1"), ("b", "a", "directed", "2"), ("d", "c", "directed", "1"), ("d", "c", "undirected", "2"), ("f", "e", "undirected", "1"), ("f", "e", "undirected", "2"), ("g", "h", "directed", "1")]
     got = consensus(spark.createDataFrame(rows, "source string, target string, direction string, algorithm string")).collect()
     assert sorted((r.source, r.target, r.directed) for r in got) == [("a", "b", True), ("d", "c", True), ("e", "f", False)]
+
+
+def test_edges_between_cycles_are_on_none(spark):
+    edges = [("a", "b"), ("b", "a"), ("b", "x"), ("x", "y"), ("y", "c"), ("c", "d"), ("d", "e"), ("e", "c"), ("d", "d"), ("e", "z"), ("p", "a"), ("a", "b")]
+    got = graph.on_cycles(spark.createDataFrame(edges, "src string, dst string"))
+    assert sorted(map(tuple, got.collect())) == [("a", "b"), ("b", "a"), ("c", "d"), ("d", "d"), ("d", "e"), ("e", "c")]
+    assert graph.on_cycles(got.limit(0)).count() == 0
+    paths = graph.circular_paths(spark.createDataFrame(edges, "src string, dst string"))
+    assert sorted(">".join(r.path) for r in paths.collect()) == ["a>b", "c>d>e"]
+
+
+def test_quantiles_are_exact(spark):
+    import random
+
+    import numpy as np
+
+    from strandline.operators.relational import quantiles
+
+    rnd = random.Random(3)
+    groups = {"one": [5.0], "two": [1.0, 2.0], "hot": [7.0] * 3000 + [rnd.gauss(0, 1) for _ in range(2999)], "many": [rnd.random() for _ in range(30011)], None: [3.0, 4.0, 9.0]}
+    rows = spark.createDataFrame([(k, v) for k, vs in groups.items() for v in vs] + [("one", None)], "k string, v double").repartition(7)
+    shares = {"lowest": 0.0, "a": 0.001, "b": 0.5, "c": 0.9, "highest": 1.0}
+    got = {r.k: [r[n] for n in shares] for r in quantiles(rows, "k", "v", shares).collect()}
+    assert got.keys() == groups.keys()
+    for k, vs in groups.items():
+        assert np.allclose(got[k], np.quantile(vs, list(shares.values())), rtol=0, atol=1e-12), k
