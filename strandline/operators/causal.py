@@ -106,6 +106,47 @@ def effect(rows: DataFrame, treatment: str, outcome: str, adjust: list[str], by:
     return grouped.mapInPandas(solve, f"{group} {kind}, n long, effect double")
 
 
+def backdoor_set(edges: DataFrame, treatment: str, outcome: str, columns: list[str]) -> list[str]:
+    """The columns to adjust for: the treatment's parents in the edge table (source, target), sorted.
+
+    Parents block every back-door path if they come before the treatment: a parent that is also one of
+    its descendants, the outcome as a parent, or a parent that isn't among the columns is refused with a
+    ValueError, as the effect could not be told from the edges. Edges with a null end and self loops are
+    ignored. Only edges between variables pass the driver; a graph of variables has as many as a rule table.
+    """
+    pairs = {(r.source, r.target) for r in edges.where("source is not null and target is not null and source <> target").select("source", "target").distinct().collect()}
+    parents = sorted(a for a, b in pairs if b == treatment)
+    below, new = set(), {treatment}
+    while new := {b for a, b in pairs if a in new} - below:
+        below |= new
+    if wrong := [p for p in parents if p in below or p == outcome]:
+        raise ValueError(f"{wrong} cause the treatment {treatment} and follow from it")
+    if hidden := [p for p in parents if p not in columns]:
+        raise ValueError(f"{hidden} cause the treatment {treatment} and aren't observed")
+    return parents
+
+
+def backdoor_effect(rows: DataFrame, edges: DataFrame, treatment: str, outcome: str, by: str | None = None) -> DataFrame:
+    """(by, n, effect) of treatment on outcome, adjusted for the treatment's parents in the edge table; see backdoor_set and effect."""
+    return effect(rows, treatment, outcome, backdoor_set(edges, treatment, outcome, rows.columns), by)
+
+
+def edge_scores_either_way(found: DataFrame, truth: DataFrame) -> DataFrame:
+    """(precision, recall, f1, shd, n_found, n_true): found edges (source, target, direction) against true directed pairs.
+
+    An undirected edge stands for both directed pairs. Repeats count once; edges with a null end are left out; shd is the
+    number of pairs in one set only; scores without a basis are 0.
+    """
+    from strandline.operators.relational import set_difference
+
+    both = found.where("direction = 'undirected'").select(F.col("target").alias("source"), F.col("source").alias("target"))
+    pairs, known = (df.where("source is not null and target is not null").select("source", "target").distinct() for df in (found.select("source", "target").unionByName(both), truth))
+    s = set_difference(pairs, known, ["source", "target"]).agg(*[F.count_if(F.col("status") == k).alias(k.lower()) for k in ("TP", "FP", "FN")])
+    n, m = F.col("tp") + F.col("fp"), F.col("tp") + F.col("fn")
+    rate = lambda a, b: F.round(F.coalesce(a / F.nullif(b, F.lit(0)), F.lit(0.0)), 6)
+    return s.select(rate(F.col("tp"), n).alias("precision"), rate(F.col("tp"), m).alias("recall"), rate(2 * F.col("tp"), n + m).alias("f1"), (F.col("fp") + F.col("fn")).alias("shd"), n.alias("n_found"), m.alias("n_true"))
+
+
 def refuters(rows: DataFrame, key: str, treatment: str, outcome: str, adjust: list[str], rounds: int = 20, seed: int = 7) -> DataFrame:
     """(test, mean_effect, share, passed): placebo (treatment of another row by hash order), 80 % subset, and a random common cause.
 
