@@ -64,9 +64,15 @@ def entropy(rows: DataFrame, row_id: str, a: str, bins: int, low: float, high: f
 
 
 def histogram_stats(rows: DataFrame, row_id: str, a: str) -> DataFrame:
-    """mean, deviation, skewness, excess kurtosis and range by row."""
-    x = rows.select(row_id, F.explode(a).alias("x"))
-    return x.groupBy(row_id).agg(F.avg("x").alias("mean"), F.stddev_pop("x").alias("sd"), F.skewness("x").alias("skewness"), F.kurtosis("x").alias("kurtosis"), (F.max("x") - F.min("x")).alias("range"))
+    """(row_id, mean, sd, skewness, kurtosis, range, low, high): moments of a row's values within its own 1st and 99th percentiles, range and ends of all of them.
+
+    Kurtosis is in excess of 3, moments are of the population; of values that are all equal skewness and kurtosis are null.
+    """
+    s = F.array_sort(F.filter(a, lambda x: x.isNotNull() & ~F.isnan(x)))
+    cut = rows.select(row_id, s.alias("_s")).select(row_id, quantile(F.col("_s"), 0.01).alias("_p1"), quantile(F.col("_s"), 0.99).alias("_p99"), F.explode("_s").alias("x"))
+    x = F.when(F.col("x").between(F.col("_p1"), F.col("_p99")), F.col("x"))
+    moments = (F.avg(x).alias("mean"), F.stddev_pop(x).alias("sd"), F.skewness(x).alias("skewness"), F.kurtosis(x).alias("kurtosis"))
+    return cut.groupBy(row_id).agg(*moments, (F.max("x") - F.min("x")).alias("range"), F.min("x").alias("low"), F.max("x").alias("high"))
 
 
 def auto_window(a: Column) -> Column:

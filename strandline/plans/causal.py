@@ -36,10 +36,12 @@ def n03(t):
     return a.entropy(t.embeddings.select("vec_id", a.doubles(F.col("embedding")).alias("e")), "vec_id", "e", 64, -1.0, 1.0)
 
 
-@query("n04_histogram_stats", "SELECT vec_id, round(avg(v), 6) AS mean, round(stddev_pop(v), 6) AS sd, round(max(v) - min(v), 6) AS range FROM (SELECT vec_id, unnest(embedding)::double AS v FROM embeddings) GROUP BY 1")
+@query("n04_histogram_stats", """WITH v AS (SELECT vec_id, unnest(embedding)::double AS v FROM embeddings), q AS (SELECT vec_id, quantile_cont(v, 0.01) AS lo, quantile_cont(v, 0.99) AS hi, max(v) - min(v) AS r FROM v GROUP BY 1),
+    c AS (SELECT v.vec_id, v, r, avg(v) OVER (PARTITION BY v.vec_id) AS m FROM v JOIN q ON v.vec_id = q.vec_id WHERE v BETWEEN lo AND hi), k AS (SELECT vec_id, any_value(m) AS m, any_value(r) AS r, avg((v - m) ** 2) AS s2, avg((v - m) ** 3) AS s3, avg((v - m) ** 4) AS s4 FROM c GROUP BY 1)
+    SELECT vec_id, round(m, 6) AS mean, round(sqrt(s2), 6) AS sd, round(s3 / s2 ** 1.5, 6) AS skewness, round(s4 / (s2 * s2) - 3, 6) AS kurtosis, round(r, 6) AS range FROM k""")
 def n04(t):
     rows = a.histogram_stats(t.embeddings.select("vec_id", a.doubles(F.col("embedding")).alias("e")), "vec_id", "e")
-    return rows.select("vec_id", *[F.round(c, 6).alias(c) for c in ("mean", "sd", "range")])
+    return rows.select("vec_id", *[F.round(c, 6).alias(c) for c in ("mean", "sd", "skewness", "kurtosis", "range")])
 
 
 @query("n05_auto_window", "SELECT vec_id, round((lo + hi) / 2, 6) AS center, round(hi - lo, 6) AS width FROM (SELECT vec_id, quantile_cont(v, 0.005) AS lo, quantile_cont(v, 0.995) AS hi FROM (SELECT vec_id, unnest(embedding)::double AS v FROM embeddings) WHERE v <> 0 GROUP BY 1)")

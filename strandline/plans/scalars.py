@@ -31,7 +31,7 @@ def f03(t):
 
 
 @query("f04_f06_visit_codes", f"""SELECT id, code, v IN ('bl', 'sc', 'baseline', 'screening') OR starts_with(v, 'm') AS valid,
-    CASE v WHEN 'month 18' THEN 'm18' WHEN 'y2' THEN 'm24' WHEN 'screening' THEN 'sc' WHEN 'year3' THEN 'm36' ELSE v END AS normalized,
+    CASE v WHEN 'month 18' THEN 'm18' WHEN 'screening' THEN 'sc' WHEN 'year3' THEN 'm36' ELSE v END AS normalized,
     cast(CASE v WHEN 'm06' THEN 6 WHEN 'month 18' THEN 18 WHEN 'y2' THEN 24 WHEN 'year3' THEN 3 WHEN 'uns1' THEN 1 WHEN '12' THEN 12 ELSE 0 END AS int) AS months
     FROM (SELECT id, code, lower(trim(code)) AS v FROM (SELECT o_orderkey AS id, {_CODE} AS code FROM orders))""")
 def f04(t):
@@ -60,7 +60,7 @@ def f09(t):
     return t.patients.select("pid", g.alias("composed")).select("pid", "composed", c.count_allele(F.col("composed")).alias("e4"), c.genotype_risk(F.col("composed")).alias("risk"))
 
 
-@query("f12_f14_diagnosis_codes", """SELECT vid, k AS dx, CASE k WHEN 'CN' THEN 'Cognitively normal' WHEN 'MCI' THEN 'Mild cognitive impairment' WHEN 'AD' THEN 'Alzheimer''s disease' WHEN 'SMC' THEN 'Subjective memory concern' END AS text,
+@query("f12_f14_diagnosis_codes", """SELECT vid, k AS dx, CASE k WHEN 'CN' THEN 'Cognitively Normal' WHEN 'MCI' THEN 'Mild Cognitive Impairment' WHEN 'AD' THEN 'Alzheimer''s Disease' WHEN 'SMC' THEN 'Subjective Memory Concern' END AS text,
     CASE WHEN dx = 'SMC' THEN 'SMC' WHEN dx = 'CN' THEN 'CN' WHEN dx = 'MCI' THEN 'EMCI' ELSE 'AD' END AS arm
     FROM (SELECT vid, dx, CASE vid % 5 WHEN 0 THEN 'CN' WHEN 1 THEN 'MCI' WHEN 2 THEN 'AD' WHEN 3 THEN dx END AS k FROM visits)""")
 def f12(t):
@@ -77,8 +77,8 @@ def f15(t):
     return flagged.groupBy("analyte").agg(F.count("*").alias("n"), F.count_if("flag").alias("abnormal"))
 
 
-@query("f16_f17_scores", """SELECT vid, CASE WHEN mmse >= 27 THEN 'normal' WHEN mmse >= 21 THEN 'mild' WHEN mmse >= 10 THEN 'moderate' ELSE 'severe' END AS mmse_band,
-    CASE WHEN mmse <= 10 THEN 'normal' WHEN mmse <= 20 THEN 'mild' WHEN mmse <= 40 THEN 'moderate' ELSE 'severe' END AS adas_band,
+@query("f16_f17_scores", """SELECT vid, CASE WHEN mmse >= 27 THEN 'normal' WHEN mmse >= 21 THEN 'mild_impairment' WHEN mmse >= 10 THEN 'moderate_impairment' ELSE 'severe_impairment' END AS mmse_band,
+    CASE WHEN mmse <= 10 THEN 'normal' WHEN mmse <= 20 THEN 'mild_impairment' WHEN mmse <= 40 THEN 'moderate_impairment' ELSE 'severe_impairment' END AS adas_band,
     CASE WHEN mmse >= 27 THEN 'CN' WHEN mmse >= 21 THEN 'MCI' ELSE 'AD' END AS dx FROM visits""")
 def f16(t):
     m = F.col("mmse")
@@ -144,3 +144,60 @@ def f31(t):
 @query("f32_parse_resolution", """SELECT pid, cast(greatest(100 + pid % 700, edu * 30) AS int) AS side FROM patients WHERE greatest(100 + pid % 700, edu * 30) >= 256""")
 def f32(t):
     return t.patients.select("pid", c.largest_side(F.expr("concat(100 + pid % 700, 'X', edu * 30)")).alias("side")).where("side >= 256")
+
+
+@query("f05_long_visits", """SELECT vid, CASE k WHEN 0 THEN concat('m', CASE WHEN n < 10 THEN '0' ELSE '' END, n) WHEN 1 THEN concat('m', 12 * (1 + n % 16)) WHEN 2 THEN concat('y', n) ELSE 'sc' END AS viscode, cast(CASE k WHEN 0 THEN n WHEN 1 THEN 12 * (1 + n % 16) WHEN 2 THEN 12 * n ELSE 0 END AS int) AS months
+    FROM (SELECT vid, (vid // 4) % 193 AS n, vid % 4 AS k FROM visits)""")
+def f05_long(t):
+    """Months and years spelled out, also from 100 months on."""
+    code = F.expr("CASE vid % 4 WHEN 0 THEN concat('Month ', vid div 4 % 193) WHEN 1 THEN concat('year', 1 + vid div 4 % 193 % 16) WHEN 2 THEN concat('Y', vid div 4 % 193) ELSE 'SCMRI' END")
+    v = c.normalize_viscode(code)
+    return t.visits.select("vid", v.alias("viscode"), c.viscode_to_months(v).alias("months"))
+
+
+@query("f12_f17_number_codes", """SELECT fid, CASE WHEN v = 1 THEN 'CN' WHEN v = 2 THEN 'MCI' WHEN v = 3 THEN 'AD' END AS dx, CASE v WHEN 1 THEN 'CN' WHEN 2 THEN 'MCI' WHEN 3 THEN 'AD' WHEN 4 THEN 'MCI' WHEN 5 THEN 'AD' WHEN 6 THEN 'SMC' WHEN 7 THEN 'EMCI' WHEN 8 THEN 'LMCI' END AS dx8, CASE WHEN v = 0 THEN 'normal' WHEN v / 2 <= 0.5 THEN 'questionable' WHEN v / 2 <= 1 THEN 'mild' WHEN v / 2 <= 2 THEN 'moderate' ELSE 'severe' END AS cdr,
+    CASE WHEN v = 0 THEN 'CN' WHEN v = 1 THEN 'MCI' ELSE 'AD' END AS by_cdr, CASE WHEN v = 0 THEN 'CN' ELSE 'AD' END AS second FROM (SELECT fid, part % 10 AS v FROM facts)""")
+def f12_numbers(t):
+    """Codes as they read from a float column, and CDR scores in halves."""
+    code, cdr = F.expr("string(double(part % 10))"), F.expr("part % 10 / 2")
+    return t.facts.select("fid", c.map_diagnosis(code).alias("dx"), c.map_diagnosis(code, c.DIAGNOSIS_NUMBERS_8).alias("dx8"), c.interpret_score("CDR", cdr).alias("cdr"), c.cdr_to_diagnosis(cdr).alias("by_cdr"), c.cdr_to_diagnosis_of_two(cdr).alias("second"))
+
+
+@query("f18_family_names", """SELECT p_partkey, p % 6 IN (0, 1, 2, 3, 4) AND s % 3 <> 2 AS is_family, CASE p % 6 WHEN 0 THEN 'parent' WHEN 1 THEN 'parent' WHEN 2 THEN 'sibling' WHEN 3 THEN 'child' WHEN 4 THEN 'other_relative' ELSE 'unknown' END AS relation,
+    CASE p % 6 WHEN 0 THEN 'F' WHEN 1 THEN 'M' WHEN 2 THEN 'F' WHEN 3 THEN 'F' END AS sex, CASE WHEN p % 6 = 1 OR s % 3 = 0 THEN 'Alzheimer''s Disease' END AS dementia FROM (SELECT p_partkey, p_partkey AS p, p_partkey // 6 AS s FROM part)""")
+def f18_names(t):
+    name = F.expr("concat(CASE p_partkey % 6 WHEN 0 THEN 'Mom' WHEN 1 THEN 'DAD' WHEN 2 THEN 'SISTER' WHEN 3 THEN 'DAUGHTER' WHEN 4 THEN 'FAMILY' ELSE 'RID' END, CASE p_partkey div 6 % 3 WHEN 0 THEN '_ALZH' WHEN 1 THEN '_AGE' ELSE '_X' END)")
+    family = F.expr("p_partkey % 6 = 1") | c.is_family_column(name)  # DAD holds AD, so it is one by itself
+    return t.part.select("p_partkey", F.when(F.expr("p_partkey div 6 % 3 = 2"), F.lit(False)).otherwise(family & F.expr("p_partkey % 6 <> 5")).alias("is_family"), c.family_relation(name).alias("relation"), c.relative_sex(name).alias("sex"), c.dementia_type(name).alias("dementia"))
+
+
+@query("f21_range_counts", "SELECT name, count(*) FILTER (WHERE v BETWEEN lo AND hi) AS kept, count(*) FILTER (WHERE NOT v BETWEEN lo AND hi) AS rejected, count(*) FILTER (WHERE v IS NULL) AS missing FROM (SELECT 'pulse' AS name, 40 + mmse * 7 AS v, 30 AS lo, 220 AS hi FROM visits UNION ALL SELECT 'weight', CASE WHEN mmse > 2 THEN mmse * 10 END, 25, 250 FROM visits) GROUP BY 1")
+def f21_counts(t):
+    from strandline.sources.tables import range_check, range_counts
+
+    rules = t.spark.createDataFrame([("pulse", 30.0, 220.0), ("weight", 25.0, 250.0)], "name string, low double, high double")
+    rows = t.visits.selectExpr("stack(2, 'pulse', double(40 + mmse * 7), 'weight', double(CASE WHEN mmse > 2 THEN mmse * 10 END)) as (name, value)")
+    return range_counts(range_check(rows, rules))
+
+
+@query("f24_f25_series", """SELECT vid, CASE k WHEN 0 THEN 'FDG' WHEN 1 THEN 'AV45' WHEN 2 THEN 'MK6240' WHEN 3 THEN 'RO948' WHEN 4 THEN 'FDG' WHEN 5 THEN 'AV133' END AS tracer, CASE k WHEN 0 THEN 'hippocampus' WHEN 1 THEN 'cortex' WHEN 2 THEN 'temporal_lobe' WHEN 3 THEN 'cerebellum' WHEN 4 THEN 'whole_brain' WHEN 5 THEN 'ventricles' ELSE 'brain' END AS region FROM (SELECT vid, vid % 7 AS k FROM visits)""")
+def f24_series(t):
+    words = ["Fluorodeoxyglucose HIPPO", "AMYVID cortical", "MK6240 temporal", "ro-948 cerebellum", "metabolic whole", "AV133 ventricle", "localizer"]
+    text = F.get(F.array(*map(F.lit, words)), F.expr("int(vid % 7)"))
+    return t.visits.select("vid", c.pet_tracer(text).alias("tracer"), c.anatomical_region(text, F.lit("MRI")).alias("region"))
+
+
+@query("f29_short_forms", "SELECT id, CASE k WHEN 0 THEN 'RO' WHEN 1 THEN 'Biolink' WHEN 2 THEN 'SKOS' WHEN 3 THEN 'RDFS' WHEN 4 THEN 'OWL' WHEN 5 THEN 'OWL-Time' WHEN 6 THEN 'Biolink' ELSE 'other' END AS namespace FROM (SELECT p_partkey AS id, p_partkey % 8 AS k FROM part)")
+def f29_short(t):
+    forms = ["ro:RO_0000056", "biolink:located_in", "skos:exactMatch", "rdfs:subClassOf", "owl:sameAs", "time:before", "http://w3id.org/biolink/x", "mesh:D1"]
+    return t.part.select(F.col("p_partkey").alias("id"), c.uri_namespace(F.get(F.array(*map(F.lit, forms)), F.expr("int(p_partkey % 8)"))).alias("namespace"))
+
+
+@query("f31_finding_significance", """SELECT fid, CASE line WHEN 1 THEN CASE WHEN mmse >= 24 THEN 'normal' WHEN mmse >= 20 THEN 'mild_impairment' WHEN mmse >= 10 THEN 'moderate_impairment' ELSE 'severe_impairment' END WHEN 2 THEN CASE WHEN value >= 10 THEN 'severe_impairment' WHEN value >= 4.5 THEN 'moderate_impairment' WHEN value >= 0.5 THEN 'mild_impairment' ELSE 'normal' END
+    WHEN 3 THEN CASE WHEN analyte = 'ABETA42' OR (analyte = 'PTAU' AND value * 20 > 80) OR (analyte = 'TAU' AND value * 20 > 400) THEN CASE WHEN analyte = 'ABETA42' AND value * 20 >= 600 THEN 'normal' ELSE 'abnormal' END ELSE 'normal' END ELSE 'normal' END AS significance FROM facts f JOIN (SELECT vid, mmse FROM visits) v ON f.vid = v.vid""")
+def f31_significance(t):
+    rows = t.facts.join(t.visits.select("vid", "mmse"), "vid")
+    kind = F.expr("CASE line WHEN 1 THEN 'psychometric' WHEN 2 THEN 'psychometric' WHEN 3 THEN 'biomarker' ELSE 'other' END")
+    scores = F.expr("map_filter(map('MMSE score', double(mmse), 'CDR_SUM', CASE WHEN line = 2 THEN double(value) END), (k, v) -> v is not null)")
+    none = F.lit(None).cast("map<string,string>")
+    return rows.select("fid", c.finding_significance(kind, F.lit("csf_biomarker"), scores, F.create_map(F.col("analyte"), F.col("value") * 20), none).alias("significance"))

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from strandline.functions.clean import NULL_TOKENS, clean_string, family_column, indicates_dementia, map_arm, map_diagnosis, normalize_viscode, score_to_diagnosis, valid_patient_id, viscode_to_months
+from strandline.functions.clean import NULL_TOKENS, cdr_to_diagnosis, clean_string, family_column, indicates_dementia, map_arm, map_diagnosis, normalize_viscode, score_to_diagnosis, valid_patient_id, viscode_to_months
 
 RULE_SCHEMA = "source_table string, source_column string, source_value_pattern string, target_ontology string, target_uri string, target_label string, mapping_rule string, test_fixture_id string, last_verified_date date"
 
@@ -227,8 +227,7 @@ def diagnoses_of(tables: dict[str, DataFrame]) -> DataFrame:
         return F.when(have(df, "DXCONFID", "int") == 2, 0.75).when(have(df, "DXCONFID", "int") == 3, 0.5).otherwise(0.95)
 
     def rated(df: DataFrame) -> Column:
-        c = have(df, "CDGLOBAL", "double")
-        return F.when(c == 0, "CN").when(c <= 0.5, "MCI").when(c >= 1, "AD")
+        return cdr_to_diagnosis(have(df, "CDGLOBAL", "double"))
 
     always = lambda x: lambda df: F.lit(x)
     rules = {
@@ -248,6 +247,17 @@ def diagnoses_of(tables: dict[str, DataFrame]) -> DataFrame:
     return every.select(F.concat(F.lit("dx_"), F.concat_ws("_", "ptid", "viscode", "code"), "mark").alias("diagnosis_id"), "ptid", "viscode", "code", "confidence", "source")
 
 
+def range_check(rows: DataFrame, rules: DataFrame, name: str = "name", value: str = "value") -> DataFrame:
+    """rows of measurements with ``in_range``: whether the value lies within the low and high that rules (name, low, high) have for it; null without value or rule."""
+    rule = F.broadcast(rules.select(F.col("name").alias("_name"), "low", "high"))
+    return rows.join(rule, F.col(name) == F.col("_name"), "left").withColumn("in_range", F.col(value).between(F.col("low"), F.col("high"))).drop("_name", "low", "high")
+
+
+def range_counts(checked: DataFrame, name: str = "name") -> DataFrame:
+    """(name, kept, rejected, missing) of range-checked rows."""
+    return checked.groupBy(name).agg(F.count_if("in_range").alias("kept"), F.count_if(~F.col("in_range")).alias("rejected"), F.count_if(F.col("in_range").isNull()).alias("missing"))
+
+
 def unpivot(df: DataFrame, keys: list[str], columns: list[str], name: str = "name", value: str = "value") -> DataFrame:
     return df.unpivot(keys, columns, name, value).where(F.col(value).isNotNull())
 

@@ -75,11 +75,11 @@ class _Changes(StatefulProcessor):
         self.handle = handle
         self.last = handle.getValueState("last", "state string, at timestamp")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:  # noqa: N802
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         frame = pd.concat(list(rows)).sort_values([self.time, *self.order])
         held = self.last.get() if self.last.exists() else None
         state, at = held if held is not None else (None, None)
-        out, edge = [], pd.to_datetime(timers.getCurrentWatermarkInMs(), unit="ms")
+        out, edge = [], pd.to_datetime(timerValues.getCurrentWatermarkInMs(), unit="ms")
         for values in frame[[self.time, *self.order, self.state]].itertuples(index=False):
             now, new = values[0], values[-1]
             if at is not None and now < pd.Timestamp(at):
@@ -95,7 +95,7 @@ class _Changes(StatefulProcessor):
             self.handle.registerTimer(max(due, int(edge.timestamp() * 1000) + 1))
         yield pd.DataFrame(out, columns=[self.key, self.time, *self.order, "from_state", "to_state"])
 
-    def handleExpiredTimer(self, key, timers, expired) -> Iterator[pd.DataFrame]:  # noqa: N802
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         self.last.clear()
         return iter(())
 

@@ -97,3 +97,53 @@ def test_overview(spark):
     got = {r.name: r.facts for r in nested.overview(base, "pid", {"f": (facts, "label"), "n": (facts, None)}, 1).collect()}
     assert got["a"]["f"].n == 4 and got["a"]["f"].list == ["x"] and got["a"]["n"].n == 4 and got["a"]["n"].list == []
     assert got["b"]["f"].n == 0 and got["b"]["f"].list == [] and got["c"]["f"].n == 0
+
+
+def test_backdoor_sets(spark):
+    from strandline.operators import causal
+
+    rnd = random.Random(2)
+    rows = []
+    for _ in range(400):
+        c, d = rnd.gauss(0, 1), rnd.gauss(0, 1)
+        t = 2 * c - d + rnd.gauss(0, 0.5)
+        rows.append((c, d, t, 3 * t + 5 * c + 2 * d))
+    df = spark.createDataFrame(rows, "c double, d double, t double, y double")
+    edges = spark.createDataFrame([("c", "t"), ("d", "t"), ("c", "y"), ("d", "y"), ("t", "y"), ("t", "t"), (None, "t")], "source string, target string")
+    assert causal.backdoor_set(edges, "t", "y", df.columns) == ["c", "d"]
+    assert causal.backdoor_effect(df, edges, "t", "y").first().effect == pytest.approx(3, abs=1e-5)
+    assert causal.backdoor_effect(df, edges.limit(0), "t", "y").first().effect != pytest.approx(3, abs=0.1)
+    more = lambda *pairs: edges.unionByName(spark.createDataFrame(list(pairs), "source string, target string"))
+    for wrong in (more(("y", "t")), more(("y", "c")), more(("h", "t"))):
+        with pytest.raises(ValueError):
+            causal.backdoor_set(wrong, "t", "y", df.columns)
+
+
+def test_edge_scores_count_undirected_edges_both_ways(spark):
+    from strandline.operators import causal
+
+    found = spark.createDataFrame([("a", "b", "directed"), ("b", "c", "undirected"), ("b", "c", "undirected"), ("x", "y", "directed"), (None, "y", "directed")], "source string, target string, direction string")
+    truth = spark.createDataFrame([("a", "b"), ("c", "b"), ("d", "e")], "source string, target string")
+    assert tuple(causal.edge_scores_either_way(found, truth).first()) == (0.5, 0.666667, 0.571429, 3, 4, 3)
+    assert tuple(causal.edge_scores_either_way(found.limit(0), truth.limit(0)).first()) == (0.0, 0.0, 0.0, 0, 0, 0)
+
+
+@pytest.mark.parametrize("hub", [1, 3, 10**9])
+def test_reach_by_rows_and_bitmaps(spark, hub):
+    from strandline.operators import graph
+
+    rnd = random.Random(5)
+    pairs = [(rnd.randrange(40), rnd.randrange(40)) for _ in range(60)] + [(0, i) for i in range(1, 30)] + [(50, 50), (None, 3)]
+    edges = spark.createDataFrame([(a, "t", b) for a, b in pairs], "src int, type string, dst int")
+    near = {}
+    for a, b in pairs:
+        if a is not None and a != b:
+            near.setdefault(a, set()).add(b)
+            near.setdefault(b, set()).add(a)
+    want = {a: len((near[a] | {y for x in near[a] for y in near[x]}) - {a}) for a in near}
+    seeds = spark.createDataFrame([(i,) for i in [*range(60), 0, None]], "id int")
+    got = {r.id: r.reach for r in graph.reach(edges, seeds, hub).collect()}
+    assert got == want
+    assert graph.reach(edges.limit(0), seeds).count() == 0
+    histogram = {r.bucket: r.seeds for r in graph.reach_histogram(spark.createDataFrame([(1, 5), (2, 5), (3, 99), (4, 100), (5, 250)], "id int, reach int")).collect()}
+    assert histogram == {5: 2, 99: 1, 100: 1, 200: 1}

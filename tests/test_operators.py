@@ -21,12 +21,30 @@ def one(spark, value, f, kind="string"):
     [
         (clean.clean_numeric, [("$1,234.50", 1234.5), ("12%", 12.0), ("NaN", None), ("inf", None), ("--", None), ("", None), ("abc", None), (None, None)]),
         (clean.valid_patient_id, [("002_S_0413", True), ("381_S_0001", False), ("02_S_0413", False), (None, None)]),
-        (clean.normalize_viscode, [("month 6", "m06"), ("y1", "m12"), ("bl", "bl"), ("M24", "m24"), (None, None)]),
+        (clean.normalize_viscode, [("month 6", "m06"), ("month96", "m96"), ("Month 100", "m100"), ("month120", "m120"), ("month 192", "m192"), ("year10", "m120"), ("year1", "m12"), ("y1", "y1"), ("y3", "y3"), ("scmri", "sc"), ("Screening", "sc"), ("baseline", "bl"), ("bl", "bl"), ("M24", "m24"), ("month", "month"), (None, None)]),
         (clean.viscode_to_months, [("sc", 0), ("m18", 18), ("y3", 36), ("36", 36), ("uns", 0)]),
         (clean.normalize_gender, [("male", "M"), ("2.0", "F"), ("?", None), (None, None)]),
         (clean.count_allele, [("E4/E4", 2), ("E3/E4", 1), ("E3/E3", 0)]),
         (clean.genotype_risk, [("E4/E3", 3.0), ("E3/E2", 0.6), ("E4/E4", 12.0)]),
-        (clean.map_diagnosis, [("3", "AD"), ("dementia", "AD"), ("9", None), (None, None)]),
+        (clean.map_diagnosis, [("1", "CN"), ("1.0", "CN"), ("2.0", "MCI"), ("3", "AD"), ("4", None), ("1.5", None), ("nl", "CN"), ("NORMAL", "CN"), ("ctl", "CN"), ("CONTROL", "CN"), ("HC", "CN"), ("mci", "MCI"), ("EMCI", "EMCI"), ("LMCI", "LMCI"), ("ad", "AD"), ("dementia", "AD"), ("DEM", "AD"), ("Alzheimer", "AD"), ("SMC", "SMC"), (" scd ", "SMC"), ("9", None), (None, None)]),
+        (lambda c: clean.map_diagnosis(c, clean.DIAGNOSIS_NUMBERS_8), [("4", "MCI"), ("5.0", "AD"), ("6", "SMC"), ("7", "EMCI"), ("8", "LMCI"), ("9", None)]),
+        (clean.map_diagnosis_loosely, [("1.0", "CN"), ("subnormal", "CN"), ("late MCI", "MCI"), ("AD-like", "AD"), ("?", None), (None, None)]),
+        (clean.map_arm, [("CN arm", "CN"), ("Control", "CN"), ("group EMCI", "EMCI"), ("LMCI", "LMCI"), ("SMC", "SMC"), ("MCI", "MCI"), ("Alzheimer", "AD"), ("2", "MCI"), ("2.0", None), ("9", None), (None, None)]),
+        (lambda c: clean.interpret_score("CDR", c.cast("double")), [("0", "normal"), ("0.5", "questionable"), ("1", "mild"), ("2", "moderate"), ("3", "severe"), (None, None)]),
+        (lambda c: clean.interpret_score("MoCA", c.cast("int")), [("26", "normal"), ("18", "mild_impairment"), ("3", "moderate_severe_impairment")]),
+        (lambda c: clean.interpret_score("ADAS-Cog", c.cast("int")), [("10", "normal"), ("40", "moderate_impairment"), ("41", "severe_impairment")]),
+        (lambda c: clean.interpret_score("FAQ", c.cast("int")), [("3", "normal"), ("9", "mild_impairment"), ("10", "significant_impairment")]),
+        (lambda c: clean.interpret_score("else", c.cast("int")), [("3", "unknown"), (None, None)]),
+        (lambda c: clean.cdr_to_diagnosis(c.cast("double")), [("0", "CN"), ("0.5", "MCI"), ("0.7", None), ("1", "AD"), (None, None)]),
+        (lambda c: clean.cdr_to_diagnosis_of_two(c.cast("double")), [("0", "CN"), ("0.5", "AD"), (None, None)]),
+        (clean.is_family_column, [("MOTHDEM", False), ("MOMDEM", True), ("SIBAGE", True), ("FATHER", False), ("AGE", False), (None, None)]),
+        (clean.family_relation, [("MOMDEM", "parent"), ("NACCDAD", "parent"), ("SIB1", "sibling"), ("OFFSPRING", "child"), ("COUSIN", "other_relative"), ("FAMILY_1ST", "parent"), ("RELATIVE", "other_relative"), ("X", "unknown"), (None, None)]),
+        (clean.relative_sex, [("MOMDEM", "F"), ("DADAGE", "M"), ("SISTER", "F"), ("BROTHER2", "M"), ("DAUGHTER", "F"), ("SON", "M"), ("UNCLE", "M"), ("SIB", None)]),
+        (clean.dementia_type, [("MOMALZH", "Alzheimer's Disease"), ("SISVASCULAR", "Vascular Dementia"), ("LEWY", "Lewy Body Dementia"), ("FTD", "Frontotemporal Dementia"), ("MOMDEMENTIA", "Dementia (unspecified)"), ("MOM", None)]),
+        (clean.pet_tracer, [("FDG PET", "FDG"), ("Amyvid", "AV45"), ("pittsburgh", "PIB"), ("flortaucipir", "AV1451"), ("av133", "AV133"), ("MK6240", "MK6240"), ("ro-948", "RO948"), ("FBB", "FBB"), ("glucose map", "FDG"), ("plaque", "AV45"), ("tangles", "AV1451"), ("x", None), (None, None)]),
+        (lambda c: clean.anatomical_region(c, F.lit("MRI")), [("Hippo L", "hippocampus"), ("cortical", "cortex"), ("Temporal", "temporal_lobe"), ("whole body", "whole_brain"), ("x", "brain"), (None, "brain")]),
+        (lambda c: clean.anatomical_region(c, F.lit("PET")), [("occipital", "occipital_lobe"), ("x", "whole_brain")]),
+        (clean.uri_namespace, [("ro:RO_1", "RO"), ("biolink:x", "Biolink"), ("http://w3id.org/biolink/x", "Biolink"), ("skos:a", "SKOS"), ("rdfs:a", "RDFS"), ("owl:a", "OWL"), ("time:a", "OWL-Time"), ("http://purl.obolibrary.org/obo/HP_1", "OBO"), ("x:y", "other"), (None, None)]),
         (clean.clean_string, [(" a\x00b ", "ab"), ("x😀y", "xy"), (None, None)]),
         (clean.largest_side, [("512X256", 512), ("bad", None), (None, None)]),
     ],
@@ -176,3 +194,31 @@ def test_quantiles_are_exact(spark):
     assert got.keys() == groups.keys()
     for k, vs in groups.items():
         assert np.allclose(got[k], np.quantile(vs, list(shares.values())), rtol=0, atol=1e-12), k
+
+
+def test_significance_of_findings(spark):
+    rows = [
+        ("psychometric", "x", {"MMSE total": 9.0, "mmse2": 22.0}, None, None, "mild_impairment"), ("psychometric", "x", {"MMSE": 30.0, "CDR_SUM": 4.5}, None, None, "moderate_impairment"), ("psychometric", "x", {"CDRSUM": 0.0}, None, None, "normal"), ("psychometric", "x", None, None, None, "normal"),
+        ("biomarker", "csf_biomarker", None, {"abeta42": 599.0}, None, "abnormal"), ("biomarker", "csf_biomarker", None, {"PTAU": 79.0, "x": 9000.0}, None, "normal"), ("biomarker", "other", None, {"TAU": 999.0}, None, "normal"),
+        ("genetic", None, None, None, {"APOE": "E3/4"}, "high_risk"), ("genetic", None, None, None, {"gene": "4/4"}, "normal"), ("imaging", "brain_volume", None, {"hippo_l": 3600.0, "HIPPO_R": 2999.0, "z": None}, None, "severe_atrophy"), (None, None, None, None, None, "normal"),
+    ]
+    df = spark.createDataFrame(rows, "kind string, sub string, scores map<string,double>, vals map<string,double>, texts map<string,string>, want string")
+    got = df.select(clean.finding_significance(*map(F.col, ("kind", "sub", "scores", "vals", "texts"))).alias("got"), "want").collect()
+    assert [r.got for r in got] == [r.want for r in got]
+
+
+def test_histogram_moments_leave_outliers_out(spark):
+    values = [float(i % 7) for i in range(300)] + [1e6, -1e6]
+    df = spark.createDataFrame([(1, values), (2, [3.0, 3.0]), (3, [])], "id int, a array<double>")
+    got = {r.id: r for r in arrays.histogram_stats(df, "id", "a").collect()}
+    kept = [v for v in values if abs(v) < 1e5]
+    m = sum(kept) / len(kept)
+    assert got[1].mean == pytest.approx(m) and got[1].range == 2e6 and got[1].sd == pytest.approx((sum((v - m) ** 2 for v in kept) / len(kept)) ** 0.5)
+    assert got[2].sd == 0 and set(got) == {1, 2}
+
+
+def test_range_checks(spark):
+    rules = spark.createDataFrame([("pulse", 30.0, 220.0), ("weight", 25.0, 250.0)], "name string, low double, high double")
+    rows = spark.createDataFrame([("pulse", 30.0), ("pulse", 221.0), ("pulse", None), ("weight", 20.0), ("other", 1.0)], "name string, value double")
+    got = {r.name: (r.kept, r.rejected, r.missing) for r in tables.range_counts(tables.range_check(rows, rules)).collect()}
+    assert got == {"pulse": (1, 1, 1), "weight": (0, 1, 0), "other": (0, 0, 1)}
