@@ -1,11 +1,11 @@
 """License scans by conditional compression.
 
-A confirmed wording has at least ANCHOR words of its template in a row (see ``LicenseScanner``), so the
-places of such runs, in the whole text, are all the candidates there are; no trigger words are needed.
-Candidate places that overlap make a block. A block is compressed alone and with each template as a
-zstandard raw dictionary, and the templates are ranked by the bytes saved. Each place of each template is
-confirmed by the exact wording: the words of the template that it lacks and those that it has between
-them. Of confirmed places that overlap the best wording stays, of equal ones that of higher rank.
+A confirmed wording has some words of its template in a row (see ``LicenseScanner``), so the places of such
+runs, in the whole text, are all the candidates there are; no trigger words are needed. The text at a
+candidate place is a block. A block is compressed alone and with each template as a zstandard raw
+dictionary; a template that saves nothing is out. The others are confirmed, those of greatest gain first,
+by the exact wording: the words of the template that it lacks and those that it has between them. Of
+confirmed wordings that overlap the one of which its template saves most stays.
 """
 
 from __future__ import annotations
@@ -99,12 +99,26 @@ TEMPLATES = {
     "CC-BY-NC-SA-4.0-text": _creative("Attribution-NonCommercial-ShareAlike"),
     "CC-BY-NC-ND-4.0-text": _creative("Attribution-NonCommercial-NoDerivatives"),
 }
+# Identifiers that stand alone in a line for tools.
+SPDX = "MIT Apache-2.0 GPL-2.0-only GPL-2.0-or-later GPL-3.0-only GPL-3.0-or-later LGPL-2.1-only LGPL-2.1-or-later LGPL-3.0-only LGPL-3.0-or-later AGPL-3.0-only AGPL-3.0-or-later BSD-2-Clause BSD-3-Clause ISC MPL-2.0 EPL-2.0 BSL-1.0 Zlib Unlicense CC0-1.0 CC-BY-4.0 CC-BY-SA-4.0".split()
+TEMPLATES |= {f"{i}-spdx": f"SPDX-License-Identifier: {i}" for i in SPDX} | {
+    "MIT-licensed": "Licensed under the MIT License.",
+    "MIT-terms": "under the terms of the MIT License",
+    "Apache-2.0-short": "Licensed under the Apache License 2.0.",
+    "Apache-2.0-terms": "under the terms of the Apache License, Version 2.0",
+    "GPL-2.0-terms": "terms of the GNU GPL v2",
+    "GPL-3.0-terms": "terms of the GNU GPL v3",
+    "GPL-2.0-short": "Licensed under the GNU GPL v2",
+    "GPL-3.0-short": "Licensed under the GNU GPL v3",
+}
+#: Spellings that are taken for one.
+_SPELLING = {"licence": "license", "licenced": "licensed", "gplv2": "gpl-v2", "gplv3": "gpl-v3"}
 #: One word may differ for so many words of the template.
 WORDS_PER_DIFFERENCE = 12
 #: Words that never may differ: numbers, and such as tell licenses apart.
 _DECISIVE = re.compile(r".*\d|attribution|by$|by-|cc$|lesser$|affero$|library$|no$|not$|nor$|only$").match
-#: Longer blocks' gains are not remembered.
-REMEMBERED_CHARS = 4096
+#: Words of a run that makes a place a candidate, at most (fewer where a template's wordings may have no longer run).
+ANCHOR = 4
 _WORD = re.compile(r"[^\W_]+(?:[.\-][^\W_]+)*")
 
 
@@ -123,12 +137,28 @@ def may_differ(words: int) -> int:
     return words // WORDS_PER_DIFFERENCE
 
 
+def words_of(text: str) -> list[str]:
+    """The words of a lower-cased text, in one spelling."""
+    return [_SPELLING.get(w, w) for w in _WORD.findall(text)]
+
+
+def _apart(places: list, words: int) -> list:
+    """Those of ((template, first, last), ...) that overlap none before them."""
+    taken, out = np.zeros(words, bool), []
+    for place in places:
+        _, first, last = place[0]
+        if not taken[first:last].any():
+            taken[first:last] = True
+            out.append(place)
+    return out
+
+
 class LicenseScanner:
     """Finds the licenses of ``templates`` (name -> notice or text) in texts.
 
     A wording with at most m missing and m extra words consists of at most 2 m + 1 runs of the
-    template's words, so its longest run has (words - m) / (2 m + 1) of them. The least of these over
-    the templates is the anchor: every run of so many template words in a text is looked at.
+    template's words, so its longest run has (words - m) / (2 m + 1) of them. Every run of so many words
+    of a template, or of ANCHOR if that is less, is looked at.
     """
 
     def __init__(self, templates: dict[str, str]):
@@ -136,49 +166,55 @@ class LicenseScanner:
         import zstandard
 
         self.names = list(templates)
-        self.words = [[w.lower() for w in _WORD.findall(t)] for t in templates.values()]
+        self.words = [words_of(t.lower()) for t in templates.values()]
         if not all(self.words):
             raise ValueError("a template without words")
-        self.anchor = min(-(-(len(w) - may_differ(len(w))) // (2 * may_differ(len(w)) + 1)) for w in self.words)
         # of any m + 1 words of a template a wording keeps one: texts without the longest of them need no closer look
         self.telling = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
+        other = {v: k for k, v in _SPELLING.items()}
         for w in {w for words in self.words for w in sorted(set(words), key=lambda w: (-len(w), w))[: may_differ(len(words)) + 1]}:
             self.telling.add_word(w)
+            if w in other:
+                self.telling.add_word(other[w])
         self.telling.make_automaton()
         self.number = {w: i for i, w in enumerate(sorted({w for ws in self.words for w in ws}), 1)}
-        places = defaultdict(list)
+        places: dict[int, dict[int, list[tuple[int, int]]]] = defaultdict(lambda: defaultdict(list))
         for t, words in enumerate(self.words):
+            m = may_differ(len(words))
+            size = min(ANCHOR, -(-(len(words) - m) // (2 * m + 1)))
             ids = np.array([self.number[w] for w in words], np.int64)
-            for at, key in enumerate(self._grams(ids).tolist()):
-                places[key].append((t, at))
-        self.places = dict(places)
-        self.keys = np.array(sorted(places), np.int64)
+            for at, key in enumerate(self._grams(ids, size).tolist()):
+                places[size][key].append((t, at))
+        self.places = {size: (dict(found), np.array(sorted(found), np.int64)) for size, found in places.items()}
         self.plain = zstandard.ZstdCompressor(level=3, write_content_size=False)
-        self.given = [zstandard.ZstdCompressor(level=3, write_content_size=False, dict_data=zstandard.ZstdCompressionDict(t.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)) for t in templates.values()]
+        self.given = [zstandard.ZstdCompressor(level=3, write_content_size=False, dict_data=zstandard.ZstdCompressionDict(" ".join(w).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)) for w in self.words]
         self.gains = lru_cache(maxsize=2000)(self._gains)
 
-    def _grams(self, ids: np.ndarray) -> np.ndarray:
-        """A number for each run of ``anchor`` words; 0 where one of them is in no template. Wraps at 64 bits; places are confirmed by words."""
-        n = max(0, len(ids) - self.anchor + 1)
+    def _grams(self, ids: np.ndarray, size: int) -> np.ndarray:
+        """A number for each run of so many words; 0 where one of them is in no template. Wraps at 64 bits; places are confirmed by words."""
+        n = max(0, len(ids) - size + 1)
         out, known = np.zeros(n, np.int64), np.ones(n, bool)
-        for j in range(self.anchor):
+        for j in range(size):
             part = ids[j : j + n]
             out = out * np.int64(len(self.number) + 1) + part
             known &= part > 0
         return np.where(known, out, 0)
 
     def _gains(self, block: str) -> list[int]:
-        """Bytes that each template saves of a block."""
+        """Bytes that each template saves of a block; both are words with one space between, whatever stands there in the text."""
         data = block.encode("utf-8", "replace")
         alone = len(self.plain.compress(data))
         return [alone - len(c.compress(data)) for c in self.given]
 
     def begins(self, own: list[str]) -> list[tuple[int, int]]:
         """(template, word of the text at which its first word would stand) of every candidate place."""
-        get = self.number.get
-        grams = self._grams(np.fromiter((get(w, 0) for w in own), np.int64, len(own)))
-        at = np.flatnonzero(np.isin(grams, self.keys))
-        return sorted({(t, p - q) for p in at.tolist() for t, q in self.places[int(grams[p])]})
+        get, out = self.number.get, set()
+        ids = np.fromiter((get(w, 0) for w in own), np.int64, len(own))
+        for size, (places, keys) in self.places.items():
+            grams = self._grams(ids, size)
+            at = np.flatnonzero(np.isin(grams, keys))
+            out.update((t, p - q) for p in at.tolist() for t, q in places[int(grams[p])])
+        return sorted(out)
 
     def confirm(self, template: int, own: list[str], begin: int) -> tuple[int, int, tuple[str, ...], tuple[str, ...]] | None:
         """First and past-the-last word, missing and extra words of the wording that begins about there; None if too many differ."""
@@ -202,54 +238,37 @@ class LicenseScanner:
         return low + first, low + last, missing, extra
 
     def scan(self, text: str) -> list[Found]:
-        """The licenses of a whole text by place.
-
-        Where confirmed places overlap, the one with most equal words less WORDS_PER_DIFFERENCE for each
-        differing word stays; of equal ones that whose template saves most of the block, then by name.
-        """
+        """The licenses of a whole text by place: all that are confirmed and overlap none of a greater gain (of equal gains: fewer differing words, then name)."""
         low = text.lower()
         if len(low) != len(text):  # a letter that is lower-cased to two
             low = "".join(c if len(d := c.lower()) != 1 else d for c in text)
         if next(self.telling.iter(low), None) is None:
             return []
-        own = _WORD.findall(low)
-        begins = self.begins(own)
-        if not begins:
+        own = words_of(low)
+        ranked = []
+        for t, begin in self.begins(own):
+            n = len(self.words[t])
+            first, last = max(0, begin - may_differ(n)), min(len(own), begin + n + may_differ(n))
+            if first < last and (gain := self.gains(" ".join(own[first:last]))[t]) > 0:
+                ranked.append((gain, t, begin))
+        confirmed = {}
+        for _, t, begin in sorted(ranked, key=lambda r: -r[0]):
+            if (got := self.confirm(t, own, begin)) is not None and (t, *got[:2]) not in confirmed:
+                # the block without what stands beside the wording
+                gain = self.gains(" ".join(own[got[0] : got[1]]))[t]
+                confirmed[t, got[0], got[1]] = (gain, got[2], got[3])
+        if not confirmed:
             return []
-        # blocks of candidate places that overlap
-        windows = sorted((max(0, b - may_differ(n)), min(len(own), b + n + may_differ(n)), t, b) for t, b in begins for n in [len(self.words[t])])
         spans = [m.span() for m in _WORD.finditer(low)]
-        out, held, end = [], [], -1
-        for w in [*windows, None]:
-            if held and (w is None or w[0] >= end):
-                out += self._block(text, own, spans, held, end)
-                held = []
-            if w is not None:
-                end = max(end, w[1]) if held else w[1]
-                held.append(w)
-        return out
-
-    def _block(self, text: str, own: list[str], spans: list[tuple[int, int]], places: list[tuple], end: int) -> list[Found]:
-        found = {}
-        for _, _, t, begin in places:
-            if (got := self.confirm(t, own, begin)) is not None:
-                found[t, got[0], got[1]] = got
-        if not found:
-            return []
-        block = text[spans[places[0][0]][0] : spans[end - 1][1]]
-        gains = self.gains(block) if len(block) <= REMEMBERED_CHARS else self._gains(block)
-
-        def rank(item):
-            (t, first, last), (_, _, missing, extra) = item
-            return (WORDS_PER_DIFFERENCE * (len(missing) + len(extra)) + len(missing) - len(self.words[t]), -gains[t], self.names[t], first, last)
-
-        taken, out = np.zeros(end - places[0][0], bool), []
-        for (t, first, last), (_, _, missing, extra) in sorted(found.items(), key=rank):
-            own_words = taken[first - places[0][0] : last - places[0][0]]
-            if not own_words.any():
-                own_words[:] = True
-                out.append(Found(spans[first][0], spans[last - 1][1], self.names[t], gains[t], missing, extra))
-        return sorted(out, key=lambda f: f.start)
+        differing = lambda item: len(item[1][1]) + len(item[1][2])
+        # of one template's wordings the one with fewest differing words, then among templates the greatest gain
+        own_best = []
+        for t in {t for t, _, _ in confirmed}:
+            places = sorted((i for i in confirmed.items() if i[0][0] == t), key=lambda i: (differing(i), -i[1][0], i[0][1], i[0][2]))
+            own_best += _apart(places, len(own))
+        rank = lambda i: (-i[1][0], differing(i), self.names[i[0][0]], i[0][1], i[0][2])
+        kept = _apart(sorted(own_best, key=rank), len(own))
+        return sorted((Found(spans[a][0], spans[b - 1][1], self.names[t], gain, missing, extra) for (t, a, b), (gain, missing, extra) in kept), key=lambda f: f.start)
 
 
 _SCANNERS: dict[tuple, LicenseScanner] = {}
@@ -258,8 +277,9 @@ _SCANNERS: dict[tuple, LicenseScanner] = {}
 def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, licenses array<struct<license, start, stop, gain, missing, extra>>) of every row, by place in the whole text.
 
-    start and stop are code points. Null and empty texts have none. Rows repeat as they come; other
-    columns are ignored; an empty table gives no rows.
+    start and stop are code points. Null and empty texts have none; texts are scanned whole, however long.
+    Rows repeat as they come; other columns, also such as are named like the result's, are ignored; an
+    empty table gives no rows.
     """
     known = tuple((templates or TEMPLATES).items())
     kind = pa.list_(pa.struct([("license", pa.string()), ("start", pa.int32()), ("stop", pa.int32()), ("gain", pa.int32()), ("missing", pa.list_(pa.string())), ("extra", pa.list_(pa.string()))]))
