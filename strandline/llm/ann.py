@@ -26,6 +26,8 @@ PROJECTIONS, FIRST, GROWTH = 64, 0.25, 2.0
 REACH, SLACK = 1.55, 1.0
 #: Rows of a block (below 65,536, as ranks have 16 bits); rows of a group of blocks, from least to most, and groups before groups grow.
 BLOCK_ROWS, LEAST_GROUP, MOST_GROUP, GROUPS = 32_768, 8192, 131_072, 64
+#: Bytes of a group in a task, about: its vectors twice, as they are gathered, and its sorted arrays.
+GROUP_BYTES = 320 << 20
 #: The sample that gives each query its first bound: one row in so many, at most so many rows and bytes.
 SAMPLE_SHARE, SAMPLE_ROWS, SAMPLE_BYTES = 16, 4096, 16 << 20
 #: Queries of a slice that passes the blocks of a group together.
@@ -202,6 +204,11 @@ def _search_groups(dim: int, k: int):
     return run
 
 
+def group_rows(n: int, dim: int) -> int:
+    """Rows of a group: a share of all between LEAST_GROUP and MOST_GROUP, and at most as many as GROUP_BYTES hold."""
+    return max(1, min(MOST_GROUP, max(LEAST_GROUP, n // GROUPS), GROUP_BYTES // (16 * dim + 14 * PROJECTIONS)))
+
+
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): for each row of queries its k nearest found in vectors, largest cosine first, ties to the smaller id.
 
@@ -231,7 +238,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "v
     shared = spark.sparkContext.broadcast((sample_ids, matrix(got.column("v").combine_chunks(), dim)[first]))
     bounded = cut_lineage(asked.mapInArrow(_first_bounds(dim, k, shared), "id long, v array<double>, score double, bound long, known array<struct<vec_id:bigint,score:double>>"))
 
-    groups = -(-n // min(MOST_GROUP, max(LEAST_GROUP, n // GROUPS)))
+    groups = -(-n // group_rows(n, dim))
     dealt = rows.select((F.rand(29) * groups).cast("int").alias("group"), F.lit(0).alias("kind"), "id", "v", F.lit(None).cast("double").alias("score"), F.lit(None).cast("long").alias("bound"))
     sent = bounded.select(F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("group"), F.lit(1).alias("kind"), "id", "v", "score", "bound")
     both = dealt.unionByName(sent).repartitionById(groups, F.col("group")).sortWithinPartitions("group", "kind")

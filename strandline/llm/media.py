@@ -26,6 +26,8 @@ from strandline.operators.components import shared_folder
 
 #: Bytes of an archive, of a planned range and of a batch of payloads, about; a larger member is alone.
 ARCHIVE_BYTES, RANGE_BYTES, BATCH_BYTES = 256 << 20, 16 << 20, 8 << 20
+#: Ranges at most that one read plans; of larger tables a range has more bytes (a task reads its members one by one, so it needs no more memory).
+MOST_RANGES = 65_536
 MANIFEST = "manifest"
 TRIES = 3
 UNIT = 64
@@ -144,7 +146,10 @@ class ArchiveReader(DataSourceReader):
             from pyarrow import fs as arrow_fs
 
             known = [(f.base_name, f.size) for f in fs.get_file_info(arrow_fs.FileSelector(path)) if f.base_name.endswith(".zip")]
-        return [ByteRange(name, low, low + self.step) for name, size in sorted(known) for low in range(0, size, self.step)]
+        known = sorted(known)
+        # an archive has one range at least, so ranges are no more than MOST_RANGES and the archives
+        step = max(self.step, -(-sum(size for _, size in known) // MOST_RANGES))
+        return [ByteRange(name, low, low + step) for name, size in known for low in range(0, size, step)]
 
     def read(self, partition: ByteRange | None) -> Iterator[pa.RecordBatch]:
         if partition is None:  # nothing was planned

@@ -172,7 +172,7 @@ def confirmed_links(pairs: DataFrame, texts: DataFrame, percent: int = 75) -> Da
     """The pairs (src, dst) whose full shingle sets have 100 * intersection >= percent * union; texts: (doc, text).
 
     Pairs are grouped by src and streamed past its set; a src with many partners is dealt over several
-    groups. Only the texts of documents in pairs are shuffled, as long as their ids fit a broadcast.
+    groups. Only the texts of documents in pairs are shuffled, and few others that pass a filter of their ids.
     """
     fan = pairs.groupBy("src").agg(F.count("*").alias("n")).withColumn("parts", F.ceil(F.col("n") / STAR_ROWS).cast("int"))
     ends = join_counted(pairs, fan, ["src"], "n").select("src", F.pmod(F.xxhash64("dst"), F.col("parts")).cast("int").alias("part"), F.col("dst").alias("doc"), F.lit(False).alias("head"))
@@ -280,7 +280,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     blank texts have no shingles and stay alone. Repeated rows repeat in the result. Different texts of
     one doc_id are documents of their own, of which the one with the least text_key goes by the doc_id;
     so are rows without doc_id, and a component of such rows alone has the doc_id of the one it keeps
-    (maybe null). doc_ids lie below 2**62. An empty table gives no rows; other columns are ignored.
+    (maybe null). doc_ids lie below 2**62. Texts are compared whole, however long. An empty table gives no
+    rows; other columns are ignored.
     """
     if percent < 75:
         raise ValueError("bands and sketch limit are set for 75 percent and more")

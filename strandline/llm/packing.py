@@ -222,15 +222,17 @@ def tokenised_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPAC
 def best_fit_pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text", remembered: int | None = None) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset): one row per piece.
 
-    Null and empty texts are one piece of end_id. Rows repeat as they come; a null doc_id stays null.
-    An empty table gives no rows; other columns are ignored.
+    Null and empty texts are one piece of end_id; only texts of more than capacity tokens are cut. Rows
+    repeat as they come; a null doc_id stays null. An empty table gives no rows; other columns, also such
+    as are named like the result's, are ignored.
     """
     pieces = cut_lineage(tokenised_pieces(docs, tokenizer_path, capacity, end_id, id_col, text_col, remembered))
     counts = {r.length: r.n for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
     runs = np.array(sorted(best_fit_runs(counts, capacity)) or np.empty((0, 5)), np.int64)
     shared = docs.sparkSession.sparkContext.broadcast(runs)
     salts = max(8, -(-max(counts.values(), default=0) // RANKED_ROWS))
-    salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts)).cast("int"))
+    # by place in the checkpoint, so that copies of one row are dealt, too
+    salted = pieces.withColumn("salt", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(salts)).cast("int"))
     before = salted.groupBy("length", "salt").agg(F.count("*").alias("n"))
     before = before.select("length", "salt", F.coalesce(F.sum("n").over(Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("skip"))
     within = F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "start", "ids_crc32"))

@@ -63,15 +63,14 @@ def _placed(hits: Column, kind: int) -> Column:
     return found
 
 
-def secret_candidates(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs with ``candidates``: the spans (start, kind, stop, hash_a, hash_b, characters) of each whole text, by start and kind; null texts have none.
+def secret_candidates(docs: DataFrame, text_col: str = "text", out: str = "candidates") -> DataFrame:
+    """docs with the column ``out``: the spans (start, kind, stop, hash_a, hash_b, characters) of each whole text, by start and kind; null texts have none.
 
     Base kinds: assign, access, hex. The method's kind, blob, takes runs of 32 and more base64-like
     characters that hold lower case, upper case and digits and overlap no base span. hash_a and hash_b
-    name the value, characters the number of different ones. docs may have no column ``candidates``.
+    name the value, characters the number of different ones. A column of docs with the name of ``out`` is
+    replaced; all others stay.
     """
-    if free_name(docs, "candidates") != "candidates":
-        raise ValueError("the column candidates is made here")
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     patterns = (ASSIGN, ACCESS, HEX, BLOB)
     hits, spans = ([free_name(docs, f"_{kind}_{what}") for kind in KINDS] for what in ("hits", "spans"))
@@ -88,7 +87,7 @@ def secret_candidates(docs: DataFrame, text_col: str = "text") -> DataFrame:
     judged = F.zip_with(F.zip_with(every, earlier, lambda x, e: F.struct(x.alias("x"), e.alias("e"))), later, lambda p, n: F.struct(p["x"].alias("x"), p["e"].alias("e"), n.alias("n")))
     free = F.transform(F.filter(judged, lambda p: is_base(p["x"]) | ((p["e"] <= p["x"]["start"]) & (p["n"] >= p["x"]["stop"]))), lambda p: p["x"])
     told = lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["stop"].alias("stop"), F.xxhash64(x["value"]).alias("hash_a"), F.xxhash64(x["value"], x["value"]).alias("hash_b"), F.size(F.array_distinct(F.split(x["value"], ""))).alias("characters"))
-    return df.withColumn("candidates", F.transform(F.when(many, free).otherwise(F.col(every)), told)).drop(*hits, *spans, every, earlier, later)
+    return df.withColumn(out, F.transform(F.when(many, free).otherwise(F.col(every)), told)).drop(*hits, *spans, every, earlier, later)
 
 
 def ownership(candidates: DataFrame, owner: str, repository: str) -> DataFrame:
@@ -148,8 +147,8 @@ def mask_live_secrets(docs: DataFrame, mask: str = "[SECRET]", id_col: str = "do
     """docs with each live-looking secret replaced by ``mask``; copied examples and all other rows and columns stay as they are.
 
     Overlapping secrets become one mask. Null and empty texts stay; columns of any name pass through; an
-    empty table stays empty. Rows without a live-looking secret are not shuffled, as long as the keys of
-    the others fit a broadcast.
+    empty table stays empty. Rows without a live-looking secret are not shuffled, but for those few that
+    pass a filter of the others' keys.
     """
     a, b, spans, at, leads = (free_name(docs, n) for n in ("_key_a", "_key_b", "_spans", "_at", "_leads"))
     found = scan_secrets(docs, id_col, text_col, owner).where("n_live > 0").select(F.col("key_a").alias(a), F.col("key_b").alias(b), F.filter("found", lambda f: f["live"]).alias(spans)).distinct()

@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from strandline.llm.inputs import free_name
 from strandline.operators.components import cut_lineage
 
 #: Rows of a shard that are permuted together in one task, about.
@@ -57,20 +58,20 @@ def _hypergeometric(random: np.random.Generator, good: int, bad: int, draws: int
     return first + _hypergeometric(random, good - first, bad - (draws // 2 - first), draws - draws // 2)
 
 
-def _deal(matrix: np.ndarray, place: dict[int, int], seed: int):
+def _deal(matrix: np.ndarray, place: dict[int, int], seed: int, part_col: str, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = list(batches)
         if not held:
             return
         table = pa.Table.from_batches(held)
-        part = table.column("part").to_numpy()
+        part = table.column(part_col).to_numpy()
         for p in np.unique(part):
             own = table.filter(pa.array(part == p))
             random = np.random.Generator(np.random.PCG64([seed, int(p)]))
             shard = np.repeat(np.arange(matrix.shape[1], dtype=np.int32), matrix[place[int(p)]])
             random.shuffle(shard)
             # a 63-bit key each for the shard's own permutation
-            yield from own.append_column("shard", pa.array(shard)).append_column("key", pa.array(random.integers(0, 1 << 62, len(own)))).to_batches()
+            yield from own.append_column(names[0], pa.array(shard)).append_column(names[1], pa.array(random.integers(0, 1 << 62, len(own)))).to_batches()
 
     return run
 
@@ -78,26 +79,26 @@ def _deal(matrix: np.ndarray, place: dict[int, int], seed: int):
 def shuffle_into_shards(rows: DataFrame, shards: int = 8, seed: int = 17) -> DataFrame:
     """rows with ``shard`` (0..shards-1, row counts at most one apart) and ``slot`` (gapless from 0 in each shard).
 
-    rows should be narrow (ids, not texts): a task holds one input partition of it. The order depends on
-    the seed and on how rows is partitioned; equal and null rows are dealt like any others; an empty
-    table gives an empty result. Columns named part, at, key, cell, shard or slot are not allowed.
+    Where rows has a column of such a name, the new one has underscores before it. rows should be narrow
+    (ids, not texts, however long those are): a task holds one input partition of it. The order depends
+    on the seed and on how rows is partitioned; equal and null rows are dealt like any others; an empty
+    table gives an empty result.
     """
-    if clash := {"part", "at", "key", "cell", "shard", "slot"} & {c.lower() for c in rows.columns}:
-        raise ValueError(f"columns {sorted(clash)} are made here")
-    base = cut_lineage(rows.withColumn("part", F.spark_partition_id()))
-    sizes = {r.part: r.n for r in base.groupBy("part").agg(F.count("*").alias("n")).orderBy("part").collect()}
+    shard, slot, part, key, cell, at, n, skip = (free_name(rows, c) for c in ("shard", "slot", "part", "key", "cell", "at", "n", "skip"))
+    base = cut_lineage(rows.withColumn(part, F.spark_partition_id()))
+    sizes = {r[0]: r[1] for r in base.groupBy(part).agg(F.count("*")).orderBy(part).collect()}
     matrix = communication_matrix(list(sizes.values()), shards, seed)
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema)
-    dealt = base.mapInArrow(_deal(matrix, {p: i for i, p in enumerate(sizes)}, seed), f"{kinds}, shard int, key long")
+    dealt = base.mapInArrow(_deal(matrix, {p: i for i, p in enumerate(sizes)}, seed, part, [shard, key]), f"{kinds}, `{shard}` int, `{key}` long")
     cells = LEAST_CELLS
     while cells * CELL_ROWS < sum(sizes.values()) / shards:
         cells *= 2
     # a cell holds a range of keys, so that cells in order and rows in order by key make one uniform permutation
-    dealt = cut_lineage(dealt.withColumn("cell", F.shiftright("key", 62 - cells.bit_length() + 1).cast("int")))
-    before = dealt.groupBy("shard", "cell").agg(F.count("*").alias("n"))
-    before = before.select("shard", "cell", F.coalesce(F.sum("n").over(Window.partitionBy("shard").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("skip"))
-    at = F.row_number().over(Window.partitionBy("shard", "cell").orderBy("key", "part", *rows.columns))
-    return dealt.withColumn("at", at).join(before, ["shard", "cell"]).select(*rows.columns, "shard", (F.col("skip") + F.col("at") - 1).alias("slot"))
+    dealt = cut_lineage(dealt.withColumn(cell, F.shiftright(key, 62 - cells.bit_length() + 1).cast("int")))
+    before = dealt.groupBy(shard, cell).agg(F.count("*").alias(n))
+    before = before.select(shard, cell, F.coalesce(F.sum(n).over(Window.partitionBy(shard).orderBy(cell).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias(skip))
+    placed = F.row_number().over(Window.partitionBy(shard, cell).orderBy(key, part, *[f"`{c}`" for c in rows.columns]))
+    return dealt.withColumn(at, placed).join(before, [shard, cell]).select(*[f"`{c}`" for c in rows.columns], shard, (F.col(skip) + F.col(at) - 1).alias(slot))
 
 
 def document_sizes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -30,6 +30,8 @@ STEMS = range(4, 9)
 COUNTED_TERMS = 100_000
 #: A phrase is an exception from so many clean rows on, with at most one toxic row in so many clean ones.
 EXCEPTION_ROWS, EXCEPTION_RATIO = 3, 4
+#: Exception phrases at most, those of most clean rows first.
+EXCEPTIONS = 20_000
 THRESHOLD = 0.3
 
 # Digits and marks written for letters, and letters of other scripts that look Latin.
@@ -161,15 +163,22 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> list[float]:
 
 
 def learn_lexicon(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Lexicon:
-    """The lexicon of the labelled rows given (at most sample_rows of them, picked by a hash of the id).
+    """The lexicon of the labelled rows given (at most sample_rows of them, picked by a hash of the id, then of the text).
 
-    Several labels of one id count as toxic if one is. Labels that are neither 0 nor 1, ids without
-    text and null ids are left out; without rows of both classes the lexicon is empty.
+    Several labels of one id count as toxic if one is; equal rows are one row. Labels that are neither 0
+    nor 1, ids without text and null ids are left out; without rows of both classes the lexicon is empty.
+    Texts are read whole, however long. The driver holds the lexicon, EXCEPTIONS phrases and three numbers
+    for each of sample_rows rows.
     """
     known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("_id")).agg(F.max(label_col).cast("int").alias("toxic"))
     ids = known.orderBy(F.xxhash64("_id"), "_id").limit(sample_rows)
-    # at most sample_rows ids
-    sample = cut_lineage(docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(ids), "_id").select("text", "toxic"))
+    # at most sample_rows ids, and of them as many different texts
+    every = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(ids), "_id")
+    sample = cut_lineage(every.withColumn("_h", F.xxhash64("text")).dropDuplicates(["_id", "_h"]))
+    if sample.count() > sample_rows:
+        keys = sample.select("_id", "_h").orderBy(F.xxhash64("_id"), "_id", "_h").limit(sample_rows)
+        sample = cut_lineage(sample.join(F.broadcast(keys), ["_id", "_h"]))
+    sample = sample.select("text", "toxic")
     sizes = {r.toxic: r.n for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if len(sizes) < 2:
         return Lexicon({})
@@ -188,7 +197,7 @@ def learn_lexicon(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_
             yield pa.record_batch([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int32())], names=["phrase", "toxic"])
 
     seen = sample.mapInArrow(contexts, "phrase string, toxic int").groupBy("phrase").agg(F.sum("toxic").alias("bad"), F.count_if(F.col("toxic") == 0).alias("good"))
-    lexicon.exceptions = {r.phrase for r in seen.where(f"good >= {EXCEPTION_ROWS} and bad * {EXCEPTION_RATIO} <= good").select("phrase").collect()}
+    lexicon.exceptions = {r.phrase for r in seen.where(f"good >= {EXCEPTION_ROWS} and bad * {EXCEPTION_RATIO} <= good").orderBy(F.desc("good"), "phrase").limit(EXCEPTIONS).select("phrase").collect()}
     pairs = sample.mapInArrow(_featured(lexicon), "a double, b double, c double, toxic int").collect()
     lexicon.model = _logistic(np.array([r[:3] for r in pairs]), np.array([r[3] for r in pairs]))
     return lexicon
@@ -215,8 +224,9 @@ def text_scores(texts: list[str | None], lexicon: Lexicon, automaton) -> np.ndar
 def score_toxicity(docs: DataFrame, lexicon: Lexicon, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, score, predicted) of every row; score is 0..1, predicted is 1 from THRESHOLD on.
 
-    Null and empty texts get the score of a text without hits; an empty lexicon scores 0 throughout.
-    Repeated rows repeat; other columns are ignored.
+    Null and empty texts get the score of a text without hits; long texts are scored whole; an empty
+    lexicon scores 0 throughout. Repeated rows repeat; an empty table gives no rows; other columns, of any
+    names, are ignored.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 RANGE_ROWS, SAMPLES = 250_000, 40
 #: Ranges at most, so that boundaries and sample have a bound (a range of a larger table has more rows and may spill), and characters of a boundary.
 MOST_RANGES, BOUND_CHARS = 8192, 200
+#: Sampled keys at most, about (a quarter as many again by chance; four times as many are never passed).
+MOST_SAMPLED = 65_536
 
 
 def host_of(url: Column) -> Column:
@@ -113,7 +115,8 @@ def filter_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url
     URL's path begins with the rule's; of the rules that fit, the one whose text host + path is longest
     wins (of equally long ones the more specific host's, of equal ones block). Without one rule is null
     and the verdict ``default``. Null URLs and such without :// have an empty host and path and fit no
-    rule; rules with a null or empty host are ignored. Rows repeat as they come; other columns are ignored.
+    rule; rules with a null or empty host are ignored. Rows repeat as they come; long URLs are judged whole;
+    an empty table gives no rows; other columns are ignored.
     """
     spark = pages.sparkSession
     url = F.col(url_col).cast("string")
@@ -121,9 +124,10 @@ def filter_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url
     rows = rows.withColumn("key", host_key(F.col("host"))).withColumn("tie", F.xxhash64("id", "host", "path"))
     n = rows.count()
     parts = min(MOST_RANGES, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n // RANGE_ROWS)))
-    step = max(1, n // (parts * SAMPLES))
-    picked = rows.where(F.pmod("tie", F.lit(step)) == 0).select("key", "tie").orderBy("key", "tie").limit(4 * parts * SAMPLES)
-    # at most 4 * MOST_RANGES * SAMPLES keys, cut; a boundary may be any string
+    wanted = min(parts * SAMPLES, MOST_SAMPLED)
+    step = max(1, n // wanted)
+    picked = rows.where(F.pmod("tie", F.lit(step)) == 0).select("key", "tie").orderBy("key", "tie").limit(4 * wanted)
+    # at most 4 * MOST_SAMPLED keys, cut; a boundary may be any string
     sample = sorted((r.key, r.tie) for r in picked.select(F.substring("key", 1, BOUND_CHARS).alias("key"), "tie").collect())
     bounds = sorted({sample[len(sample) * k // parts] for k in range(1, parts)}) if sample else []
     lower = F.translate(F.col("host"), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

@@ -88,3 +88,17 @@ def test_the_samples_nearest_are_candidates(spark, monkeypatch):
     got = by_query(nearest(df, df.where("vec_id % 50 = 0")))
     want = brute(np.arange(300), x, range(0, 300, 50))
     assert {q: [v for v, _ in f] for q, f in got.items()} == {q: [v for v, _ in f] for q, f in want.items()}
+
+
+def test_groups_are_bounded_by_bytes(spark, monkeypatch):
+    for dim in (8, 64, 1024, 100_000):
+        rows = ann.group_rows(10**9, dim)
+        assert 1 <= rows <= ann.MOST_GROUP and rows * 16 * dim <= ann.GROUP_BYTES
+    assert ann.group_rows(10**9, 64) == ann.MOST_GROUP
+    # 1024 dimensions, some groups of few rows
+    monkeypatch.setattr(ann, "GROUP_BYTES", 100 * (16 * 1024 + 14 * ann.PROJECTIONS))
+    x = np.random.default_rng(8).standard_normal((450, 1024)) + 0.5
+    assert -(-450 // ann.group_rows(450, 1024)) == 5
+    df = spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(x)], "vec_id long, embedding array<double>")
+    got, want = by_query(nearest(df, df.where("vec_id % 50 = 0"))), brute(np.arange(450), x, range(0, 450, 50))
+    assert sum(len({v for v, _ in got[q]} & {v for v, _ in want[q]}) for q in want) >= 0.9 * 5 * len(want)

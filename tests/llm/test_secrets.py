@@ -5,6 +5,7 @@ import time
 
 from pyspark.sql import functions as F
 
+from strandline.llm import secrets
 from strandline.llm.secrets import mask_live_secrets, scan_secrets
 
 SCHEMA = "doc_id long, text string, source string, lang string, live int, hash string, s string"
@@ -119,3 +120,9 @@ def test_empty_repeated_null(spark):
     assert scan_secrets(spark.createDataFrame([], SCHEMA)).count() == 0
     df = spark.createDataFrame([(None, "token=abcdefghij", None, None, 0, "", "")] * 2 + [(3, "token=abcdefghij", None, "x", 0, "", "")], SCHEMA)
     assert [r.n_live for r in scan_secrets(df).collect()] == [1, 1, 1]
+
+
+def test_candidates_under_another_name(spark):
+    df = spark.createDataFrame([(1, "password = abcdef1", "kept")], "doc_id long, text string, candidates string")
+    row = secrets.secret_candidates(df, out="found").first()
+    assert row.candidates == "kept" and [(x.kind, x.start, x.stop) for x in row.found] == [(0, 0, 18)]

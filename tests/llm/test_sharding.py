@@ -2,7 +2,6 @@ import zlib
 from collections import Counter
 
 import numpy as np
-import pytest
 
 from strandline.llm.sharding import _hypergeometric, communication_matrix, document_sizes, op6_sharding, shuffle_into_shards
 
@@ -45,5 +44,7 @@ def test_uniform_and_edges(spark):
     got = shuffle_into_shards(document_sizes(df), 8).collect()
     assert sorted((r.size, r.slot) for r in got) == [(1, 0), (1, 0), (1, 0), (3, 0)]
     assert shuffle_into_shards(document_sizes(df.limit(0))).count() == 0
-    with pytest.raises(ValueError):
-        shuffle_into_shards(df.withColumn("Key", df.size))
+    names = df.selectExpr("doc_id as Key", "text as shard", "size as at", "size as part", "size as cell")
+    clash = shuffle_into_shards(names, 2)
+    assert clash.columns == ["Key", "shard", "at", "part", "cell", "_shard", "slot"]
+    assert sorted((r.shard or "", r.at) for r in clash.collect()) == sorted((r.text or "", r["size"]) for r in df.collect())

@@ -107,3 +107,20 @@ def test_held_out_accuracy(spark):
     assert all(zlib.crc32(str(r.doc_id).encode()) % 4 == 2 for r in rows)
     hit = sum(r.predicted and labels[r.doc_id] for r in rows)
     assert hit >= 0.93 * sum(labels[r.doc_id] for r in rows) and hit >= 0.93 * sum(r.predicted for r in rows)
+
+
+def test_repeated_labelled_ids_do_not_fill_the_driver(spark, monkeypatch):
+    docs, labels = corpus(spark)
+    many = docs.unionByName(docs.where("doc_id = 4")).unionByName(docs.where("doc_id = 4"))
+    for i in range(60):
+        many = many.unionByName(docs.where("doc_id = 8").selectExpr("doc_id", f"concat(text, ' t{i}') as text", "word", "score"))
+    # equal rows are one row, and of different texts of an id no more than the bound count
+    plain, repeated = learn_lexicon(docs, labels), learn_lexicon(docs.unionByName(docs), labels)
+    assert plain.weights == repeated.weights and plain.model == repeated.model
+    sizes = []
+    real = toxicity._logistic
+    monkeypatch.setattr(toxicity, "_logistic", lambda x, y: sizes.append(len(y)) or real(x, y))
+    assert learn_lexicon(many, labels, sample_rows=100).model is not None
+    assert sizes == [100]
+    monkeypatch.setattr(toxicity, "EXCEPTIONS", 1)
+    assert len(learn_lexicon(docs, labels).exceptions) <= 1
