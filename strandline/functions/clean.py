@@ -229,7 +229,8 @@ def in_range(c: Column, low: float, high: float) -> Column:
 
 
 def flag_truthy(c: Column, yes: int = 1) -> Column:
-    return F.coalesce((c.try_cast("int") == yes) | (F.upper(F.trim(c)) == "Y"), F.lit(False))
+    """The number ``yes``, also written like 1.0, or Y; everything else is not set."""
+    return F.coalesce(F.coalesce(c.try_cast("double") == yes, F.lit(False)) | (F.upper(F.trim(c.cast("string"))) == "Y"), F.lit(False))
 
 
 def parse_image_name(name: Column) -> Column:
