@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -103,3 +105,85 @@ def grouped_maps(rows: DataFrame, key: str, rules: dict[str, tuple[str, ...]]) -
     groups = group_by_keyword([c for c in rows.columns if c != key], rules)
     maps = [F.map_filter(F.create_map(*[x for c in cs for x in (F.lit(c), F.col(c).cast("string"))]), lambda _, v: v.isNotNull()).alias(g) for g, cs in groups.items()]
     return rows.select(key, *maps)
+
+
+# Words of a column's name by group, in the order in which they are tried; the rest is clinical. Regions by network.
+ATTRIBUTE_WORDS = {
+    "demographic": ("age", "gender", "sex", "education", "race", "ethnic", "marital"), "family_history": ("family", "relative", "parent", "sibling", "mother", "father"),
+    "clinical": ("medical", "history", "diagnosis", "medication", "surgery"), "assessment": ("mmse", "moca", "cdr", "adas", "faq", "ravlt", "score"),
+}
+REGION_NETWORKS = {"hippocampus": "hippocampal", "temporal_lobe": "hippocampal", "cortex": "default_mode", "parietal_lobe": "default_mode"}
+MEMBER_RELATIONS = (("PAR", "parent"), ("SIB", "sibling"), ("CHILD", "child"))
+
+
+def patient_records(rows: DataFrame, order: list[str], patient: str = "PTID", other: str = "RID") -> DataFrame:
+    """(patient, demographic, family_history, clinical, assessment): one row a patient, maps of its columns by ATTRIBUTE_WORDS.
+
+    The patient is the patient column, else the other one; rows with neither are left out. Of several rows a
+    column's last value by order that is not null counts. Columns are texts; ids are in no map.
+    """
+    given = lambda c: F.nullif(F.trim(F.col(c).cast("string")), F.lit("")) if c in rows.columns else F.lit(None).cast("string")
+    columns = [c for c in rows.columns if c not in (patient, other)]
+    groups = group_by_keyword(columns, ATTRIBUTE_WORDS)
+    groups["clinical"] = [*groups.get("clinical", []), *groups.pop("other", [])]
+    last = [F.max_by(F.trim(F.col(c).cast("string")), F.when(F.col(c).isNotNull(), F.struct(*order, c))).alias(f"_{i}") for i, c in enumerate(columns)]
+    one = rows.withColumn("_patient", F.coalesce(given(patient), given(other))).where("_patient is not null").groupBy("_patient").agg(F.count("*").alias("_n"), *last)
+    place = {c: f"_{i}" for i, c in enumerate(columns)}
+    of = lambda cs: F.map_filter(F.create_map(*[x for c in cs for x in (F.lit(c), F.col(place[c]))]), lambda _, v: v.isNotNull()) if cs else F.create_map().cast("map<string,string>")
+    return one.select(F.col("_patient").alias("patient"), *[of(groups.get(g, [])).alias(g) for g in ATTRIBUTE_WORDS])
+
+
+def members_of_rows(tables: dict[str, DataFrame]) -> DataFrame:
+    """(member_id, patient, relation, has_dementia, onset, gender, table) of family-history tables, one member a row.
+
+    Tables whose name holds FAMHX, FAMILY or RELATIVE count. The relation comes from the table's name, dementia
+    (DEMENTIA, AD or ALZHEIMER; a number, yes or no), onset (ONSET and AGE) and gender (GENDER or SEX) from
+    columns by their names, of several the last by place that says something. The id is a hash of patient,
+    relation and the row's values, so that equal rows are one member. Rows without patient are left out.
+    """
+    parts = []
+    for name, df in tables.items():
+        up = name.upper()
+        if not any(w in up for w in ("FAMHX", "FAMILY", "RELATIVE")):
+            continue
+        relation = next((r for w, r in MEMBER_RELATIONS if w in up), "unknown")
+        whose = F.coalesce(*[F.nullif(F.trim(F.col(c).cast("string")), F.lit("")) for c in ("PTID", "SUBJID", "RID") if c in df.columns], F.lit(None).cast("string"))
+        dementia, onset, gender = [], [], []
+        for c, kind in df.dtypes:
+            u, text = c.upper(), F.upper(F.trim(F.col(c).cast("string")))
+            if any(w in u for w in ("DEMENTIA", "AD", "ALZHEIMER")):
+                number = F.col(c).cast("double") != 0 if kind in ("int", "bigint", "double", "float", "smallint", "tinyint") else F.lit(None).cast("boolean")
+                dementia.append(F.coalesce(number, F.when(text.isin("YES", "Y", "1", "TRUE"), True).when(text.isin("NO", "N", "0", "FALSE"), False)))
+            elif "ONSET" in u and "AGE" in u:
+                onset.append(F.col(c).try_cast("double").cast("int"))
+            elif "GENDER" in u or "SEX" in u:
+                gender.append(F.col(c).cast("string"))
+        last = lambda cs, kind: F.coalesce(*reversed(cs), F.lit(None).cast(kind)).cast(kind)
+        values = F.concat_ws("|", *[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in df.columns])
+        key = F.concat(F.lit("fm_"), F.substring(F.md5(F.concat_ws("_", whose, F.lit(relation), values)), 1, 12))
+        parts.append(df.select(key.alias("member_id"), whose.alias("patient"), F.lit(relation).alias("relation"), last(dementia, "boolean").alias("has_dementia"), last(onset, "int").alias("onset"), last(gender, "string").alias("gender"), F.lit(name).alias("table")).where("patient is not null").distinct())
+    return reduce(DataFrame.unionByName, parts)
+
+
+def region_network(region: Column) -> Column:
+    """The brain network of an anatomical region; null for regions of none."""
+    return F.element_at(F.create_map(*[F.lit(x) for kv in REGION_NETWORKS.items() for x in kv]), region)
+
+
+def canonical_snapshot(nodes: DataFrame, edges: DataFrame, counts: dict[str, tuple[str, str]]) -> DataFrame:
+    """One row: node_total, edge_total, labels, types, nodes_coded, edges_with_uri, their coverages, each of ``counts``, and the maps by_label and by_type.
+
+    nodes: label, uri and the columns that conditions name; edges: type, uri; counts: name -> (nodes or edges,
+    SQL condition). Each table is aggregated once by label or type, all scalars coming from these small rows.
+    """
+    of = {"nodes": (nodes, "label"), "edges": (edges, "type")}
+    made = {}
+    for kind, (rows, by) in of.items():
+        own = {n: c for n, (k, c) in counts.items() if k == kind}
+        grouped = rows.groupBy(by).agg(F.count("*").alias("_n"), F.count("uri").alias("_u"), *[F.count_if(F.expr(c)).alias(n) for n, c in own.items()])
+        entries = F.array_sort(F.collect_list(F.when(F.col(by).isNotNull(), F.struct(F.col(by).alias("k"), F.col("_n").alias("v")))))
+        zero = lambda c: F.coalesce(F.sum(c), F.lit(0))
+        made[kind] = grouped.agg(zero("_n").alias(f"{kind[:-1]}_total"), F.count(by).alias(f"{by}s"), zero("_u").alias(f"{kind}_with_uri"), *[zero(n).alias(n) for n in own], F.map_from_entries(entries).alias(f"by_{by}"))
+    one = made["nodes"].crossJoin(made["edges"])
+    share = lambda a, b: F.round(F.coalesce(F.col(a) / F.nullif(F.col(b), F.lit(0)), F.lit(0.0)), 4)
+    return one.withColumns({"node_coverage": share("nodes_with_uri", "node_total"), "edge_coverage": share("edges_with_uri", "edge_total")})

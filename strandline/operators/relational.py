@@ -61,6 +61,19 @@ def similarity_band(rows: DataFrame, key: str, value: str, row_id: str, width: f
     return left.join(right, [key, "_bucket"]).where((F.col("a") < F.col("b")) & (F.abs(F.col("va") - F.col("vb")) <= width)).select("a", "b")
 
 
+def band_counts(rows: DataFrame, key: str, value: str, row_id: str, width: float) -> DataFrame:
+    """(row_id, key, near): how many other rows of equal key have a value at most width apart; no pair is made.
+
+    Each row is sent to its bucket of that width and, as a neighbour only, to the two beside it; there one
+    window counts. Rows without key or value are left out; equal values count each other. The bounds are
+    value - width and value + width as doubles.
+    """
+    bucket = F.floor(F.col(value) / width)
+    each = rows.where(F.col(key).isNotNull() & F.col(value).isNotNull()).select(row_id, key, F.col(value).cast("double").alias("_v"), F.explode(F.array(*[F.struct((bucket + i).alias("b"), F.lit(i == 0).alias("own")) for i in (-1, 0, 1)])).alias("_e"))
+    near = F.expr(f"count(*) OVER (PARTITION BY `{key}`, _e.b ORDER BY _v RANGE BETWEEN {float(width)!r}D PRECEDING AND {float(width)!r}D FOLLOWING)")
+    return each.withColumn("near", near - 1).where("_e.own").select(row_id, key, "near")
+
+
 def before_after(before: DataFrame, after: DataFrame, name: str, value: str) -> DataFrame:
     """(name, before, after, delta): full outer, a missing side counts 0."""
     rows = before.select(name, F.col(value).alias("before")).join(after.select(name, F.col(value).alias("after")), name, "full_outer").fillna(0, ["before", "after"])

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from strandline.functions import arrays as a
+from strandline.operators import clinical as c
 from strandline.operators import profiles as p
+from strandline.operators import relational as r
 from strandline.plans.cohort import query
 from strandline.sources import measures as m
 
@@ -186,3 +188,51 @@ def d06_named(t):
 @query("d06_baseline", "SELECT cohort, count(*) AS n FROM (SELECT pid, CASE WHEN m >= 27 THEN 'normal' WHEN m >= 21 THEN 'mild' ELSE 'impaired' END AS cohort FROM (SELECT pid, min_by(mmse, months * 10000000 + vid) AS m FROM visits WHERE mmse > 2 GROUP BY 1)) GROUP BY 1")
 def d06_baseline(t):
     return p.baseline_cohorts(t.visits.withColumn("mmse", F.expr("CASE WHEN mmse > 2 THEN mmse END"))).groupBy("cohort").agg(F.count("*").alias("n"))
+
+
+@query("j11_band_counts", "SELECT pid, (SELECT count(*) FROM patients b WHERE b.genotype = a.genotype AND b.pid <> a.pid AND b.acctbal BETWEEN a.acctbal - 25 AND a.acctbal + 25) AS near FROM patients a WHERE genotype IS NOT NULL")
+def j11_counts(t):
+    return r.band_counts(t.patients, "genotype", "acctbal", "pid", 25.0).select("pid", "near")
+
+
+@query("d31_four_maps", "SELECT pid::varchar AS patient, concat('AGE=', max(months), ' GENDER=', any_value(CASE WHEN pid % 2 = 0 THEN 'M' ELSE 'F' END)) AS demographic, concat('MMSE_SCORE=', max_by(mmse, months * 10000000 + vid)) AS assessment, 'MOTHDEM,MOTHER' AS family, 'price,status' AS clinical FROM (SELECT pid, months, vid, mmse FROM visits) GROUP BY pid")
+def d31_four(t):
+    """The visits as wide rows, a record a patient of each column's last value."""
+    rows = t.visits.select(F.col("pid").alias("RID"), F.lit(" ").alias("PTID"), F.col("months").alias("AGE"), F.expr("CASE WHEN pid % 2 = 0 THEN ' M ' ELSE 'F' END").alias("GENDER"), F.col("mmse").alias("MMSE_SCORE"), F.lit("x").alias("MOTHER"), F.lit(1).alias("MOTHDEM_PARENT"), "price", "status", F.lit(None).cast("string").alias("DIAGNOSIS"), F.col("months").alias("_m"), F.col("vid").alias("_v"))
+    found = c.patient_records(rows, ["_m", "_v"])
+    keys = lambda m: F.array_join(F.filter(F.array_sort(F.map_keys(m)), lambda k: ~k.startswith("_")), ",")
+    show = lambda m, *names: F.concat_ws(" ", *[F.concat(F.lit(f"{n}="), F.col(m)[n]) for n in names])
+    return found.select("patient", show("demographic", "AGE", "GENDER").alias("demographic"), show("assessment", "MMSE_SCORE").alias("assessment"), F.regexp_replace(keys("family_history"), "_PARENT", "").alias("family"), keys("clinical").alias("clinical"))
+
+
+@query("d32_members", "SELECT patient, relation, has_dementia, onset, gender, count(*) AS n FROM (SELECT DISTINCT pid::varchar AS patient, 'parent' AS relation, dx = 'AD' AS has_dementia, CASE WHEN mmse > 5 THEN mmse + 50 END AS onset, 'F' AS gender, months FROM visits UNION ALL SELECT pid::varchar, 'sibling', CASE WHEN age > 70 THEN true WHEN age > 60 THEN false END, NULL, NULL, 0 FROM patients) GROUP BY ALL")
+def d32_members(t):
+    parents = t.visits.select(F.col("pid").alias("PTID"), F.expr("CASE WHEN dx = 'AD' THEN 1 ELSE 0 END").alias("HAS_DEMENTIA"), F.expr("CASE WHEN mmse > 5 THEN string(mmse + 50) ELSE 'unknown' END").alias("AGE_ONSET"), F.lit("F").alias("SEX"), "months")
+    siblings = t.patients.select(F.lit("").alias("PTID"), F.col("pid").alias("RID"), F.expr("CASE WHEN age > 70 THEN 'yes' WHEN age > 60 THEN 'N' ELSE '?' END").alias("ALZHEIMER"))
+    found = c.members_of_rows({"FAMHXPAR": parents, "visits": t.visits, "FAMILY_SIB": siblings})
+    return found.groupBy("patient", "relation", "has_dementia", "onset", "gender").agg(F.count("*").alias("n"))
+
+
+@query("d33_networks", "SELECT network, count(*) AS n FROM (SELECT CASE vid % 5 WHEN 0 THEN 'hippocampal' WHEN 1 THEN 'default_mode' WHEN 2 THEN 'hippocampal' WHEN 3 THEN 'default_mode' END AS network FROM visits) WHERE network IS NOT NULL GROUP BY 1")
+def d33_networks(t):
+    from strandline.functions.clean import anatomical_region
+
+    text = F.expr("array('Hippo L', 'cortical', 'temporal', 'PARIETAL', 'whole')[vid % 5]")
+    return t.visits.select(c.region_network(anatomical_region(text, F.lit("MRI"))).alias("network")).where("network is not null").groupBy("network").agg(F.count("*").alias("n"))
+
+
+@query("a16_canonical", """WITH n AS (SELECT count(*) AS node_total, count(DISTINCT label) AS labels, count(uri) AS nodes_with_uri, count(*) FILTER (WHERE label = 'Patient') AS patients, count(*) FILTER (WHERE label = 'Visit' AND name = 'F') AS finished, round(count(uri) / count(*), 4) AS node_coverage FROM nodes), e AS (SELECT count(*) AS edge_total, count(DISTINCT type) AS types, count(uri) AS edges_with_uri, count(*) FILTER (WHERE type = 'IS_A') AS is_a, count(*) FILTER (WHERE uri LIKE '%biolink%') AS biolink, round(count(uri) / count(*), 4) AS edge_coverage FROM edges)
+    SELECT *, (SELECT string_agg(concat(label, '=', n), ',' ORDER BY label) FROM (SELECT label, count(*) AS n FROM nodes GROUP BY 1)) AS by_label, (SELECT string_agg(concat(type, '=', n), ',' ORDER BY type) FROM (SELECT type, count(*) AS n FROM edges GROUP BY 1)) AS by_type FROM n, e""")
+def a16_canonical(t):
+    counts = {"patients": ("nodes", "label = 'Patient'"), "finished": ("nodes", "label = 'Visit' and name = 'F'"), "is_a": ("edges", "type = 'IS_A'"), "biolink": ("edges", "uri like '%biolink%'")}
+    text = lambda m: F.array_join(F.transform(F.array_sort(F.map_entries(m)), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ",")
+    return c.canonical_snapshot(t.nodes, t.edges, counts).withColumns({"by_label": text("by_label"), "by_type": text("by_type")})
+
+
+@query("g04_whole_graph", """WITH r AS (SELECT n_regionkey AS k, 1 + count(*) AS n, min('N:' || n_nationkey) AS component FROM nation GROUP BY 1), p AS (SELECT n_regionkey AS k, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_custkey % 10 <> 9 GROUP BY 1), v AS (SELECT n_regionkey AS k, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE c_custkey % 10 <> 9 GROUP BY 1), s AS (SELECT n_regionkey AS k, count(*) AS n FROM supplier JOIN nation ON s_nationkey = n_nationkey GROUP BY 1)
+    SELECT component, r.n + coalesce(p.n, 0) + coalesce(v.n, 0) + coalesce(s.n, 0) AS size FROM r LEFT JOIN p ON r.k = p.k LEFT JOIN v ON r.k = v.k LEFT JOIN s ON r.k = s.k UNION ALL SELECT 'P:' || o_custkey, 1 + count(*) FROM orders WHERE o_custkey % 10 = 9 GROUP BY o_custkey""")
+def g04_whole(t):
+    """Every component of the whole graph with its size."""
+    from strandline.operators.graph import connected_components
+
+    return connected_components(t.edges).groupBy("component").agg(F.count("*").alias("size"))

@@ -112,7 +112,9 @@ def q5_2(t):
 
 @query("q5_3_scores_by_diagnosis", "SELECT dx, count(*) AS n, round(avg(mmse), 6) AS mean, round(stddev_samp(mmse), 6) AS sd, round(median(mmse), 6) AS median FROM visits GROUP BY 1")
 def q5_3(t):
-    return t.visits.groupBy("dx").agg(F.count("*").alias("n"), F.round(F.avg("mmse"), 6).alias("mean"), F.round(F.stddev_samp("mmse"), 6).alias("sd"), F.round(F.percentile("mmse", 0.5), 6).alias("median"))
+    moments = t.visits.groupBy("dx").agg(F.count("*").alias("n"), F.round(F.avg("mmse"), 6).alias("mean"), F.round(F.stddev_samp("mmse"), 6).alias("sd"))
+    middle = r.quantiles(t.visits.select("dx", F.col("mmse").cast("double").alias("mmse")), "dx", "mmse", {"median": 0.5})
+    return moments.join(middle.select("dx", F.round("median", 6).alias("median")), "dx", "left")
 
 
 @query("q6_2_genetic_and_family", "SELECT CASE WHEN genotype LIKE '%E4%' THEN 'carrier' ELSE 'non-carrier' END AS apoe, n > 0 AS family, count(*) AS patients FROM (SELECT p.pid, genotype, coalesce(n, 0) AS n FROM patients p LEFT JOIN (SELECT pid, count(*) AS n FROM visits WHERE dx = 'AD' GROUP BY 1) v ON p.pid = v.pid WHERE genotype IS NOT NULL) GROUP BY ALL")
@@ -168,8 +170,8 @@ def q11_2(t):
 
 @query("q12_1_similarity_network", "SELECT genotype, count(*) AS pairs FROM patients a JOIN (SELECT pid AS q, genotype AS h, acctbal AS c FROM patients) b ON a.genotype = b.h AND a.pid < b.q AND abs(a.acctbal - b.c) <= 50 GROUP BY 1")
 def q12_1(t):
-    pairs = r.similarity_band(t.patients, "genotype", "acctbal", "pid", 50.0)
-    return pairs.join(t.patients.select(F.col("pid").alias("a"), "genotype"), "a").groupBy("genotype").agg(F.count("*").alias("pairs"))
+    near = r.band_counts(t.patients, "genotype", "acctbal", "pid", 50.0)
+    return near.groupBy("genotype").agg((F.sum("near") / 2).cast("long").alias("pairs")).where("pairs > 0")
 
 
 @query("q12_2_influence_network", "SELECT a.analyte AS predictor, b.analyte AS outcome, count(DISTINCT a.pid) AS patients FROM facts a JOIN facts b ON a.pid = b.pid AND a.months < b.months AND a.abnormal = 1 AND b.abnormal = 1 AND a.analyte <> b.analyte GROUP BY ALL")

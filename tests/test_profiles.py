@@ -77,3 +77,35 @@ def test_preservation_and_regions(spark):
     image = spark.createDataFrame([(1, [float(i % 4) for i in range(16)])], "id int, v array<double>")
     r = profiles.roi_quality(image, "id", "v", 4, 4, size=2, central=2, distance=9).first()
     assert r.brightness == pytest.approx(1.5) and r.noise == pytest.approx(0.5) and r.uniformity == pytest.approx(0.5)
+
+
+def test_band_counts_make_no_pairs(spark):
+    from strandline.operators import relational
+
+    rows = [(1, "a", 0.0), (2, "a", 0.0), (3, "a", 1.0), (4, "a", 2.0), (5, "a", 2.1), (6, "b", 0.5), (7, None, 1.0), (8, "a", None), (9, "a", -0.9), (10, "a", 1e9)]
+    df = spark.createDataFrame(rows, "id int, k string, v double")
+    want = {i: sum(k == m and w is not None and j != i and abs(v - w) <= 1.0 for j, m, w in rows) for i, k, v in rows if k and v is not None}
+    assert {r.id: r.near for r in relational.band_counts(df, "k", "v", "id", 1.0).collect()} == want
+    assert relational.band_counts(df.limit(0), "k", "v", "id", 1.0).count() == 0
+
+
+def test_patient_records_and_members(spark):
+    from strandline.operators import clinical
+
+    rows = spark.createDataFrame([("P", 7, 1, "70", None, "a"), ("P", 7, 2, None, "28", "b"), (" ", 8, 1, "60", None, None), (None, None, 1, "1", "1", "1")], "PTID string, RID int, n int, AGE string, MMSE string, other string")
+    got = {r.patient: (r.demographic, r.family_history, r.clinical, r.assessment) for r in clinical.patient_records(rows, ["n"]).collect()}
+    assert got == {"P": ({"AGE": "70"}, {}, {"n": "2", "other": "b"}, {"MMSE": "28"}), "8": ({"AGE": "60"}, {}, {"n": "1"}, {})}
+    family = spark.createDataFrame([("P", "yes", "70.0", None), ("P", "yes", "70.0", None), ("Q", "?", "x", "F"), (None, "no", None, None)], "PTID string, DEMENTIA string, ONSET_AGE string, SEX string")
+    found = sorted(((r.patient, r.relation, r.has_dementia, r.onset, r.gender) for r in clinical.members_of_rows({"SIB_FAMILY": family, "other": family}).collect()), key=str)
+    assert found == [("P", "sibling", True, 70, None), ("Q", "sibling", None, None, "F")]
+
+
+def test_canonical_snapshot(spark):
+    from strandline.operators import clinical
+
+    nodes = spark.createDataFrame([("A", "u"), ("A", None), (None, "u")], "label string, uri string")
+    edges = spark.createDataFrame([("T", None)], "type string, uri string")
+    row = clinical.canonical_snapshot(nodes, edges, {"a": ("nodes", "label = 'A'"), "none": ("edges", "uri = 'x'")}).first()
+    assert (row.node_total, row.labels, row.nodes_with_uri, row.a, row.none, row.node_coverage, row.edge_coverage, row.by_label, row.by_type) == (3, 1, 2, 2, 0, 0.6667, 0.0, {"A": 2}, {"T": 1})
+    empty = clinical.canonical_snapshot(nodes.limit(0), edges.limit(0), {}).first()
+    assert (empty.node_total, empty.edge_coverage, empty.by_label) == (0, 0.0, {})
