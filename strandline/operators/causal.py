@@ -147,7 +147,7 @@ def edge_scores_either_way(found: DataFrame, truth: DataFrame) -> DataFrame:
     return s.select(rate(F.col("tp"), n).alias("precision"), rate(F.col("tp"), m).alias("recall"), rate(2 * F.col("tp"), n + m).alias("f1"), (F.col("fp") + F.col("fn")).alias("shd"), n.alias("n_found"), m.alias("n_true"))
 
 
-def refuters(rows: DataFrame, key: str, treatment: str, outcome: str, adjust: list[str], rounds: int = 20, seed: int = 7) -> DataFrame:
+def refuters(rows: DataFrame, key: str, treatment: str, outcome: str, adjust: list[str], rounds: int = 50, seed: int = 7) -> DataFrame:
     """(test, mean_effect, share, passed): placebo (treatment of another row by hash order), 80 % subset, and a random common cause.
 
     Rows are repeated once a round and every draw is a hash of row and round, so results repeat under any partitioning.

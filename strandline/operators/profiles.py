@@ -18,6 +18,9 @@ ABNORMAL_STRENGTH, NORMAL_STRENGTH = 0.9, 0.3
 EVENT_CATEGORIES = (("DIAGNOSIS|CONVERSION", "clinical"), ("BIOMARKER|ATN", "biomarker"), ("COGNITIVE", "cognitive"), ("IMAGING", "imaging"), ("TREATMENT", "treatment"))
 ATN_STAGES = {"A+/T+/N+": "full_ad_pathology", "A+/T+/N-": "ad_pathologic_change", "A+/T-/N-": "preclinical_ad", "A-/T+/N+": "non_ad_pathology"}
 ERROR_KINDS = (("not found", "FILE_NOT_FOUND"), ("pixel", "PIXEL_VALIDATION_ERROR"), ("metadata", "METADATA_ERROR"), ("tiff", "TIFF_GENERATION_ERROR"))
+# stages in the order of progression, and severities of a diagnosis by stage
+STAGE_LADDER = ("preclinical", "mci", "mild_ad", "moderate_ad", "severe_ad")
+SEVERITY_STAGES = {"severe_impairment": "severe_ad", "moderate_impairment": "moderate_ad", "mild_impairment": "mci"}
 WARNING_KINDS = (("missing metadata fields", "INCOMPLETE_METADATA"), ("not found", "OPTIONAL_FILE_MISSING"), ("upscale", "UPSCALING_ISSUE"), ("thumbnail", "THUMBNAIL_ISSUE"))
 
 
@@ -263,3 +266,28 @@ def precedence(events: DataFrame, rules: list[tuple[str, str, float]], key: str
         hit = rows.withColumn("_c", last).where((F.col("kind") == effect) & F.col("_c").isNotNull())
         parts.append(hit.select(key, F.col("_c.id").alias("cause_id"), F.col("id").alias("effect_id"), F.lit(f"{cause}->{effect}").alias("rule"), F.lit(float(weight)).alias("weight"), (F.col("months") - F.col("_c.months")).alias("lag")))
     return reduce(DataFrame.unionByName, parts)
+
+
+def current_stages(diagnoses: DataFrame, findings: DataFrame, key: str = "ptid") -> DataFrame:
+    """(key, stage): the severest stage by a patient's diagnoses (severity), else preclinical if a finding (significance) is abnormal; others are left out."""
+    rank = {s: i for i, s in enumerate(STAGE_LADDER)}
+    severe = cases([(F.col("severity") == s, F.lit(rank[stage])) for s, stage in SEVERITY_STAGES.items()])
+    hints = findings.where("significance = 'abnormal'").select(key, F.lit(rank["preclinical"]).alias("r"))
+    top = diagnoses.select(key, severe.alias("r")).unionByName(hints).groupBy(key).agg(F.max("r").alias("r")).where("r is not null")
+    return top.select(key, F.get(F.array(*map(F.lit, STAGE_LADDER)), F.col("r")).alias("stage"))
+
+
+def stage_progressions() -> list[tuple[str, str]]:
+    """The ladder's edges, each stage to the next."""
+    return list(zip(STAGE_LADDER, STAGE_LADDER[1:], strict=False))
+
+
+def atrophy_links(images: DataFrame, findings: DataFrame, key: str = "ptid", within: int = 6) -> DataFrame:
+    """(key, region, modalities, findings): a patient's imaged regions (images: key, region, modality) with the number of psychometric findings within so many months of baseline.
+
+    findings: key, kind, months. Findings are counted by patient before the join, so images and findings
+    never multiply; patients without such a finding, and images without region, give no row.
+    """
+    near = findings.where((F.col("kind") == "psychometric") & (F.abs("months") <= within)).groupBy(key).agg(F.count("*").alias("findings"))
+    regions = images.where("region is not null").groupBy(key, "region").agg(F.array_sort(F.collect_set("modality")).alias("modalities"))
+    return regions.join(near, key).select(key, "region", "modalities", "findings")

@@ -201,9 +201,9 @@ def d31(t):
     return rows.select("pid", F.concat(F.element_at("demographic", "gender"), F.element_at("demographic", "age")).alias("demographic"), F.coalesce(F.element_at("genetic", "genotype"), F.lit("")).alias("genetic"))
 
 
-@query("d32_family_wide_rows", "SELECT concat('fm_', substring(md5(concat(pid, '_mother')), 1, 12)) AS member, pid, edu AS onset FROM patients WHERE pid % 3 = 0")
+@query("d32_family_wide_rows", "SELECT concat('fm_', substring(md5(concat(pid, '_mother')), 1, 12)) AS member, pid, edu AS onset FROM patients")
 def d32(t):
-    return t.patients.where("pid % 3 = 0").select(F.concat(F.lit("fm_"), F.substring(F.md5(F.concat(F.col("pid").cast("string"), F.lit("_mother"))), 1, 12)).alias("member"), "pid", F.coalesce("edu", "age").alias("onset"))
+    return t.patients.select(F.concat(F.lit("fm_"), F.substring(F.md5(F.concat(F.col("pid").cast("string"), F.lit("_mother"))), 1, 12)).alias("member"), "pid", F.coalesce("edu", "age").alias("onset"))
 
 
 @query("d33_region_networks", "SELECT network, count(*) AS n FROM patients p JOIN (VALUES (0, 'default mode'), (1, 'salience'), (2, 'visual')) r(k, network) ON nation % 3 = k GROUP BY 1")

@@ -56,18 +56,18 @@ def s06(t):
     return s.wide_to_entities(t.visits.withColumn("score", F.expr("CASE WHEN mmse > 3 THEN mmse END")), "vid", {"dx": "Diagnosis", "score": "Score"})
 
 
-@query("s07_rule_catalog", "SELECT concat('nation:', n_nationkey) AS target_uri, n_name AS target_label FROM nation")
+@query("s07_rule_catalog", "SELECT concat('part:', p_partkey) AS target_uri, p_name AS target_label FROM part")
 def s07(t):
     folder = _folder(t, "rules")
-    cols = [F.lit("DXSUM"), F.lit("DX"), F.col("n_nationkey").cast("string"), F.lit("NATION"), F.concat(F.lit("nation:"), "n_nationkey"), F.col("n_name"), F.lit("r"), F.lit("f"), F.lit("2024-01-31")]
+    cols = [F.lit("DXSUM"), F.lit("DX"), F.col("p_partkey").cast("string"), F.lit("PART"), F.concat(F.lit("part:"), "p_partkey"), F.col("p_name"), F.lit("r"), F.lit("f"), F.lit("2024-01-31")]
     names = [c.split()[0] for c in s.RULE_SCHEMA.split(", ")]
-    t.nation.select(*[c.alias(n) for c, n in zip(cols, names)]).write.csv(folder, header=True)
+    t.part.select(*[c.alias(n) for c, n in zip(cols, names)]).write.csv(folder, header=True)
     return s.read_rules(t.spark, folder).where("file <> '' and last_verified_date = date'2024-01-31'").select("target_uri", "target_label")
 
 
-@query("m04_rule_inventory", "SELECT 'NATION' AS target_ontology, count(*) AS rules, DATE '2024-01-01' + min(n_nationkey) AS first_date, DATE '2024-01-01' + max(n_nationkey) AS last_date FROM nation")
+@query("m04_rule_inventory", "SELECT p_brand AS target_ontology, count(*) AS rules, DATE '2024-01-01' + min(p_size) AS first_date, DATE '2024-01-01' + max(p_size) AS last_date FROM part GROUP BY 1")
 def m04(t):
-    rows = t.nation.select(F.lit("NATION").alias("target_ontology"), F.expr("date_add(date'2024-01-01', n_nationkey)").alias("d"))
+    rows = t.part.select(F.col("p_brand").alias("target_ontology"), F.expr("date_add(date'2024-01-01', p_size)").alias("d"))
     return rows.groupBy("target_ontology").agg(F.count("*").alias("rules"), F.min("d").alias("first_date"), F.max("d").alias("last_date"))
 
 
@@ -94,10 +94,10 @@ def s10(t):
     return found.groupBy("kind").agg(F.count_distinct("r").alias("n"))
 
 
-@query("s11_write_entities", "SELECT label, count(*) AS n FROM nodes WHERE label <> 'Visit' GROUP BY 1")
+@query("s11_write_entities", "SELECT label, count(*) AS n FROM nodes GROUP BY 1")
 def s11(t):
     folder = _folder(t, "entities")
-    s.write_entities(t.nodes.where("label <> 'Visit'"), folder)
+    s.write_entities(t.nodes, folder)
     return t.spark.read.parquet(folder).groupBy("label").agg(F.count("*").alias("n"))
 
 
@@ -177,9 +177,9 @@ def e02(t):
     return s.attributes([t.patients.select("pid", "gender", "age"), late], "pid", ["gender", "age"]).withColumn("tables", F.array_join(F.transform("tables", lambda x: x.cast("string")), ","))
 
 
-@query("e03_universe", "SELECT DISTINCT x::varchar AS id FROM (SELECT pid AS x FROM visits WHERE dx = 'AD' UNION SELECT pid FROM patients WHERE pid % 50 = 0)")
+@query("e03_universe", "SELECT DISTINCT x::varchar AS id FROM (SELECT pid AS x FROM visits UNION SELECT pid FROM patients UNION SELECT s_suppkey FROM supplier)")
 def e03(t):
-    return s.universe([t.visits.where("dx = 'AD'").select(F.col("pid").alias("PTID")), t.patients.where("pid % 50 = 0").select(F.col("pid").alias("RID"))], ("PTID", "RID", "SUBJID"))
+    return s.universe([t.visits.select(F.col("pid").alias("PTID")), t.patients.select(F.col("pid").alias("RID")), t.supplier.select(F.col("s_suppkey").alias("SUBJID"))], ("PTID", "RID", "SUBJID"))
 
 
 @query("e04_visit_extraction", "SELECT pid, months, min(vdate) AS vdate, CASE WHEN months = 0 THEN 'baseline' ELSE 'followup' END AS type, count(*) AS sources FROM visits GROUP BY pid, months")

@@ -236,3 +236,24 @@ def g04_whole(t):
     from strandline.operators.graph import connected_components
 
     return connected_components(t.edges).groupBy("component").agg(F.count("*").alias("size"))
+
+
+@query("e07_fluid_panel", "SELECT concat('bio_', pid, '_bl_', a) AS biomarker_id, value, CASE a WHEN 'Aβ42' THEN value < 1100 WHEN 'Total Tau' THEN value > 400 WHEN 'p-Tau181' THEN value > 27 ELSE false END AS abnormal FROM (SELECT pid, unnest(['Aβ42', 'Aβ40', 'Total Tau', 'p-Tau181']) AS a, unnest([age * 15, age, edu * 30, edu * 2])::double AS value FROM patients) UNION ALL SELECT concat('bio_', pid, '_APOE_bl'), CASE genotype WHEN 'E4/E4' THEN 12.0 WHEN 'E3/E4' THEN 3.0 WHEN 'E2/E4' THEN 2.5 WHEN 'E3/E3' THEN 1.0 ELSE 0.6 END::double, genotype LIKE '%E4%' FROM patients WHERE genotype IS NOT NULL")
+def e07_fluid(t):
+    panel = t.patients.select(F.col("pid").alias("PTID"), F.expr("age * 15").alias("ABETA42"), F.col("age").alias("ABETA40"), F.expr("edu * 30").alias("TAU"), F.expr("edu * 2").alias("PTAU"))
+    genes = t.patients.select(F.col("pid").alias("PTID"), F.lit("").alias("VISCODE"), F.col("genotype").alias("GENOTYPE"))
+    return m.analytes(panel, m.FLUID, "PANEL").unionByName(m.genotype_rows(genes, "GENES")).select("biomarker_id", "value", "abnormal")
+
+
+@query("d26_ladder", "WITH s AS (SELECT pid, max(CASE WHEN mmse < 5 THEN 4 WHEN mmse < 10 THEN 3 WHEN mmse < 20 THEN 1 END) AS a FROM visits GROUP BY 1), f AS (SELECT DISTINCT pid FROM facts WHERE abnormal = 1 AND line = 7), r AS (SELECT coalesce(s.pid, f.pid) AS pid, coalesce(a, CASE WHEN f.pid IS NOT NULL THEN 0 END) AS r FROM s FULL JOIN f ON s.pid = f.pid) SELECT list_extract(['preclinical', 'mci', 'mild_ad', 'moderate_ad', 'severe_ad'], r + 1) AS stage, count(*) AS n FROM r WHERE r IS NOT NULL GROUP BY 1")
+def d26_ladder(t):
+    severity = F.expr("CASE WHEN mmse < 5 THEN 'severe_impairment' WHEN mmse < 10 THEN 'moderate_impairment' WHEN mmse < 20 THEN 'mild_impairment' ELSE 'none' END")
+    found = p.current_stages(t.visits.select(F.col("pid").alias("ptid"), severity.alias("severity")), t.facts.where("line = 7").select(F.col("pid").alias("ptid"), F.expr("CASE WHEN abnormal = 1 THEN 'abnormal' END").alias("significance")))
+    return found.groupBy("stage").agg(F.count("*").alias("n"))
+
+
+@query("d26_atrophy", "SELECT i.pid AS ptid, region, modalities, n AS findings FROM (SELECT pid, CASE line WHEN 1 THEN 'hippocampus' WHEN 2 THEN 'cortex' END AS region, string_agg(DISTINCT analyte, ',' ORDER BY analyte) AS modalities FROM facts WHERE line < 3 GROUP BY ALL) i JOIN (SELECT pid, count(*) AS n FROM visits WHERE months <= 6 AND mmse > 5 GROUP BY 1) f ON i.pid = f.pid")
+def d26_atrophy(t):
+    images = t.facts.select(F.col("pid").alias("ptid"), F.expr("CASE line WHEN 1 THEN 'hippocampus' WHEN 2 THEN 'cortex' END").alias("region"), F.col("analyte").alias("modality"))
+    findings = t.visits.select(F.col("pid").alias("ptid"), F.expr("CASE WHEN mmse > 5 THEN 'psychometric' ELSE 'other' END").alias("kind"), "months")
+    return p.atrophy_links(images, findings).withColumn("modalities", F.array_join("modalities", ","))

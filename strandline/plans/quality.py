@@ -162,10 +162,11 @@ def m13(t):
     return t.edges.join(added, ["src", "type", "dst"], "left_anti").groupBy("type").agg(F.count("*").alias("n"))
 
 
-@query("m14_label_audit", "SELECT concat('nation:', n_nationkey) AS uri, CASE WHEN n_nationkey >= 20 THEN 'unresolved' WHEN n_nationkey % 5 = 0 THEN 'mismatch' ELSE 'match' END AS status FROM nation")
+@query("m14_label_audit", "SELECT concat('part:', p_partkey) AS uri, CASE WHEN p_partkey % 7 = 0 THEN 'unresolved' WHEN p_partkey % 5 = 0 THEN 'mismatch' ELSE 'match' END AS status FROM part")
 def m14(t):
-    reference = t.nation.where("n_nationkey < 20").select(F.concat(F.lit("nation:"), "n_nationkey").alias("uri"), F.expr("CASE WHEN n_nationkey % 5 = 0 THEN 'x' ELSE upper(n_name) END").alias("label"))
-    return q.label_audit(_concepts(t), reference)
+    uri = F.concat(F.lit("part:"), "p_partkey").alias("uri")
+    reference = t.part.where("p_partkey % 7 > 0").select(uri, F.expr("CASE WHEN p_partkey % 5 = 0 THEN 'x' ELSE upper(p_name) END").alias("label"))
+    return q.label_audit(t.part.select(uri, F.col("p_name").alias("label")), reference)
 
 
 @query("m15_ontology_coverage", "SELECT label, count(*) AS total, count(*) FILTER (WHERE id IN (SELECT src FROM edges WHERE type IN ('LIVES_IN', 'BASED_IN', 'IS_A'))) AS mapped FROM nodes GROUP BY 1")
@@ -180,10 +181,10 @@ def m16(t):
     return one(r.without(t.visits, t.facts, "vid"), "visits_without_facts").unionByName(one(r.without(t.patients, t.visits, "pid"), "patients_without_visits"))
 
 
-@query("m19_family_integrity", "SELECT count(*) AS one_way FROM patients WHERE pid % 4 = 0 AND pid + 1 < (SELECT count(*) FROM patients)")
+@query("m19_family_integrity", "SELECT count(*) AS one_way FROM patients WHERE pid + 1 < (SELECT count(*) FROM patients)")
 def m19(t):
     n = t.patients.count()
-    members = t.patients.where(f"pid % 4 = 0 and pid + 1 < {n}").select(F.col("pid").alias("src"), F.lit("HAS_PARENT").alias("type"), F.expr("pid + 1").alias("dst"))
+    members = t.patients.where(f"pid + 1 < {n}").select(F.col("pid").alias("src"), F.lit("HAS_PARENT").alias("type"), F.expr("pid + 1").alias("dst"))
     return g.missing_inverses(members, {"HAS_PARENT": "HAS_CHILD"}).agg(F.count("*").alias("one_way"))
 
 

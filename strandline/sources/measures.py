@@ -8,7 +8,7 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.functions.clean import abnormal_flag, clean_numeric, flag_truthy
+from strandline.functions.clean import abnormal_flag, clean_numeric, flag_truthy, genotype_risk
 
 
 class Vital(NamedTuple):
@@ -45,12 +45,19 @@ COMORBIDITIES = (
     ("dermatological", "95320005", "MH7DERM"), ("musculoskeletal", "928000", "MH8MUSCL"), ("endocrine", "362969004", "MH9ENDO"), ("gastrointestinal", "53619000", "MH10GAST"), ("hematological", "414022008", "MH11HEMA"), ("renal", "42030000", "MH12RENA"),
     ("allergy", "609328004", "MH13ALLE"), ("alcohol_history", "160573003", "MH14ALCH"), ("drug_history", "417662000", "MH15DRUG"), ("smoking_history", "77176002", "MH16SMOK"), ("malignancy", "55342001", "MH17MALI"), ("surgery_history", "161615003", "MH18SURG"),
 )
-# Laboratory columns; and analytes of the fluid panel, without and with threshold.
+# Laboratory and plasma columns, the last without threshold.
 LABORATORY = (
     Analyte("RCT11", "VITAMIN_B12", "pg/mL", "Blood", 200.0, "low"), Analyte("HMT7", "HOMOCYSTEINE", "μmol/L", "Blood", 15.0, "high"), Analyte("RCT392", "CHOLESTEROL", "mg/dL", "Blood", 200.0, "high"), Analyte("DILUTION_CORRECTED_CONC", "PTAU217", "pg/mL", "Plasma", None, "high"),
 )
 
 
+# The fluid panel of its assay.
+FLUID = (
+    Analyte("ABETA42", "Aβ42", "pg/mL", "CSF", 1100.0, "low"), Analyte("ABETA40", "Aβ40", "pg/mL", "CSF", None, "low"), Analyte("TAU", "Total Tau", "pg/mL", "CSF", 400.0, "high"), Analyte("PTAU", "p-Tau181", "pg/mL", "CSF", 27.0, "high"),
+)
+GENOTYPE_RISK_ABOVE = 2.0
+
+
 def _number(df: DataFrame, column: str):
     """A column as a number, null where it isn't there or isn't one."""
     return clean_numeric(F.col(column).cast("string")) if column in df.columns else F.lit(None).cast("double")
@@ -110,6 +117,20 @@ def analytes(df: DataFrame, rules: tuple[Analyte, ...], source: str) -> DataFram
     return long.select(F.concat_ws("_", F.lit("bio"), visit, "analyte").alias("biomarker_id"), visit.alias("visit_id"), "ptid", "analyte", "value", "unit", "specimen", abnormal_flag(F.col("value"), F.col("threshold"), F.col("direction")).alias("abnormal"), F.lit(source).alias("source"), "source_column")
 
 
+def genotype_rows(df: DataFrame, source: str) -> DataFrame:
+    """(biomarker_id, visit_id, ptid, analyte, value, unit, specimen, abnormal, source, source_column) of genotypes (PTID, GENOTYPE, VISCODE or bl): the risk score of each, abnormal above GENOTYPE_RISK_ABOVE.
+
+    Genotypes are texts like 3/4 or E3/E4. Rows without patient or genotype are left out.
+    """
+    code = F.coalesce(F.nullif(F.trim(F.col("VISCODE").cast("string")), F.lit("")), F.lit("bl")) if "VISCODE" in df.columns else F.lit("bl")
+    rows = df.select(F.nullif(F.trim(F.col("PTID").cast("string")), F.lit("")).alias("ptid"), code.alias("viscode"), F.col("GENOTYPE").cast("string").alias("g")).where("ptid is not null and g is not null")
+    risk = genotype_risk(F.col("g"))
+    return rows.select(
+        F.concat_ws("_", F.lit("bio"), "ptid", F.lit("APOE"), "viscode").alias("biomarker_id"), F.concat_ws("_", "ptid", "viscode").alias("visit_id"), "ptid", F.lit("APOE Genotype").alias("analyte"), risk.alias("value"), F.lit("risk_score").alias("unit"), F.lit("Blood").alias("specimen"),
+        (risk > GENOTYPE_RISK_ABOVE).alias("abnormal"), F.lit(source).alias("source"), F.lit("GENOTYPE").alias("source_column"),
+    )
+
+
 def profile_with_diagnoses(tables: dict[str, DataFrame], key: str, words: tuple[str, ...] = ("DIAGNOSIS", "DX")) -> DataFrame:
     """(name, n_rows, n_columns, n_keys, has_diagnosis, diagnosis_columns) of each table; a diagnosis column has one of the words in its name, in any case."""
     parts = []

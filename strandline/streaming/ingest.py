@@ -36,10 +36,10 @@ def stream_upsert(spark: SparkSession, source: str, schema: str, key: str, targe
 
 
 def latest_version(spark: SparkSession, target: str, checkpoint: str) -> DataFrame:
-    """The target's rows after the last batch committed under checkpoint."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{checkpoint}/commits")
-    names = [f.getPath().getName() for f in path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)]
-    return spark.read.parquet(f"{target}/v{max(int(n) for n in names if n.isdigit())}")
+    """The target's rows after the last batch committed under checkpoint (whose commits are files named by number)."""
+    files = spark.read.format("binaryFile").load(f"{checkpoint}/commits").select(F.regexp_extract("path", r"/(\d+)$", 1).alias("n"))
+    last = files.where("n <> ''").agg(F.max(F.col("n").cast("long"))).first()[0]
+    return spark.read.parquet(f"{target}/v{last}")
 
 
 def windowed_counts(stream: DataFrame, time: str, key: str, width: str, late: str) -> DataFrame:

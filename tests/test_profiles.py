@@ -109,3 +109,15 @@ def test_canonical_snapshot(spark):
     assert (row.node_total, row.labels, row.nodes_with_uri, row.a, row.none, row.node_coverage, row.edge_coverage, row.by_label, row.by_type) == (3, 1, 2, 2, 0, 0.6667, 0.0, {"A": 2}, {"T": 1})
     empty = clinical.canonical_snapshot(nodes.limit(0), edges.limit(0), {}).first()
     assert (empty.node_total, empty.edge_coverage, empty.by_label) == (0, 0.0, {})
+
+
+def test_stages_and_atrophy(spark):
+    dx = spark.createDataFrame([(1, "mild_impairment"), (1, "severe_impairment"), (2, "x"), (3, None), (4, "moderate_impairment")], "ptid int, severity string")
+    findings = spark.createDataFrame([(2, "abnormal"), (3, "normal"), (4, "abnormal"), (5, "abnormal")], "ptid int, significance string")
+    assert sorted(tuple(r) for r in profiles.current_stages(dx, findings).collect()) == [(1, "severe_ad"), (2, "preclinical"), (4, "moderate_ad"), (5, "preclinical")]
+    assert profiles.stage_progressions()[0] == ("preclinical", "mci") and len(profiles.stage_progressions()) == 4
+    images = spark.createDataFrame([(1, "r", "MRI"), (1, "r", "PET"), (1, None, "MRI"), (2, "r", None), (3, "r", "MRI")], "ptid int, region string, modality string")
+    found = spark.createDataFrame([(1, "psychometric", 6), (1, "psychometric", -6), (1, "psychometric", 7), (2, "psychometric", 0), (3, "other", 0)], "ptid int, kind string, months int")
+    assert sorted(tuple(r) for r in profiles.atrophy_links(images, found).collect()) == [(1, "r", ["MRI", "PET"], 2), (2, "r", [], 1)]
+    genes = spark.createDataFrame([("P", "4/4", None), ("P", "E3/E4", "m06"), ("Q", None, "bl"), (None, "3/3", "bl")], "PTID string, GENOTYPE string, VISCODE string")
+    assert sorted((r.biomarker_id, r.value, r.abnormal) for r in measures.genotype_rows(genes, "G").collect()) == [("bio_P_APOE_bl", 12.0, True), ("bio_P_APOE_m06", 3.0, True)]
