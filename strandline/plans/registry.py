@@ -7,7 +7,7 @@ from importlib import import_module
 from strandline.plans.cohort import ORACLES, QUERIES
 
 #: Modules that register queries, by subject.
-MODULES = ("scalars", "relational", "graph", "clinical", "quality", "loading", "causal", "streams", "questions", "audit", "entities", "profiles")
+MODULES = ("scalars", "relational", "graph", "clinical", "quality", "loading", "causal", "streams", "questions", "audit", "entities", "profiles", "answers")
 for _module in MODULES:
     import_module(f"strandline.plans.{_module}")
 
