@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from strandline.llm.inputs import read_spread
 from strandline.llm.shingles import mix, text_shingles
-from strandline.llm.skew import HOT_KEYS, join_counted, only_ids
+from strandline.llm.skew import HOT_KEYS, join_counted, let_go, only_ids
 from strandline.operators.components import connected_components, cut_lineage
 
 #: 36 bands of 4: a pair at 0.75 shares no band with probability (1 - 0.75**4)**36 = 1e-6.
@@ -306,8 +306,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # by dst first: sketches of stars are not shuffled where the centre is hot
     near = join_counted(stars.join(right, "dst"), centres, ["src"], "links").where(f"100 * least(n_src, n_dst) >= {percent} * greatest(n_src, n_dst)")
     near = near.where(_allowed(_xor_count("x_src", "x_dst"), F.col("s_src") + F.col("s_dst"), F.col("n_src") + F.col("n_dst"), percent, F))
-    links = cut_lineage(confirmed_links(cut_lineage(near.select("src", "dst").distinct()), texts, percent))
+    let_go(docs.sparkSession)
+    near = cut_lineage(near.select("src", "dst").distinct())
+    let_go(docs.sparkSession)
+    links = cut_lineage(confirmed_links(near, texts, percent))
     comps = connected_components(links)
+    let_go(docs.sparkSession)
 
     # first a spanning forest of what may link, so that a dense group is joined by few pairs, then every pair that is left
     for spanning in (True, False):
@@ -316,8 +320,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         more = cut_lineage(cells.mapInArrow(lambda batches, spanning=spanning: _cell_pairs(batches, percent, spanning), "src long, dst long").distinct())
         if more.isEmpty():
             break
+        let_go(docs.sparkSession)
         links = links.unionByName(cut_lineage(confirmed_links(more, texts, percent)))
         comps = connected_components(links)
+        let_go(docs.sparkSession)
     comps = comps.select(F.col("id").alias("doc"), F.col("component").alias("reached"))
     of_class = classes.join(comps.withColumnRenamed("doc", "rep"), "rep", "left").select("set_a", "set_b", "n", F.coalesce("reached", "rep").alias("of_class"))
     rows = join_counted(signed.select("doc_id", "text_key", "n_shingles", "set_a", "set_b", "doc"), of_class, ["set_a", "set_b"], "n", "left")

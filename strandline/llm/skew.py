@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import gc
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.llm.inputs import free_name
@@ -68,6 +70,16 @@ def maybe_among(rows: DataFrame, known: DataFrame, keys: list[str], flag: str) -
     return rows.withColumn(part, F.floor(spot / _MAP)).join(F.broadcast(maps), part, "left").withColumn(flag, F.coalesce(bit, F.lit(False))).drop(part, held)
 
 
+def let_go(spark: SparkSession) -> None:
+    """Have shuffle files and checkpoints removed that no frame refers to any more.
+
+    Spark removes them when the driver collects its garbage, which with a large heap may be long after;
+    until then they lie on the executors' disks.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def only_ids(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     """Rows among which are all whose key is among ids, and few others; the exact join follows."""
     flag = free_name(rows, "_maybe")
