@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandline.operators.relational import quantiles
@@ -148,20 +149,25 @@ def edge_scores_either_way(found: DataFrame, truth: DataFrame) -> DataFrame:
 
 
 def refuters(rows: DataFrame, key: str, treatment: str, outcome: str, adjust: list[str], rounds: int = 50, seed: int = 7) -> DataFrame:
-    """(test, mean_effect, share, passed): placebo (treatment of another row by hash order), 80 % subset, and a random common cause.
+    """(test, mean_effect, share, passed): placebo (treatment of another row, by random), 80 % subset, and a random common cause.
 
-    Rows are repeated once a round and every draw is a hash of row and round, so results repeat under any partitioning.
+    Rows are dealt once over random cells of some CELL_ROWS by a hash of the key; in each round treatments trade places
+    within their cell, so no round is shuffled or joined. Rows of a cell are sorted by a hash and its generator starts
+    from seed and cell, the other draws are hashes of row and round: results repeat under any partitioning.
     """
     base = effect(rows, treatment, outcome, adjust).select(F.col("effect").alias("base"))
     cells = max(1, rows.count() // CELL_ROWS)
+    dealt = rows.select(F.pmod(F.xxhash64(key, F.lit(seed + 2)), F.lit(cells)).alias("_cell"), F.xxhash64(key, F.lit(seed)).alias("_h"), F.col(treatment).cast("double").alias("_t"), *[F.col(c).cast("double").alias(c) for c in (outcome, *adjust)])
+
+    def trade(cell: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["_h", "_t", outcome, *adjust])
+        draws = np.random.default_rng([seed, int(cell[0])])
+        return pd.concat([pdf.assign(round=i, _t=draws.permutation(pdf["_t"].to_numpy())) for i in range(1, rounds + 1)])[["round", "_t", outcome, *adjust]]
+
+    traded = dealt.groupBy("_cell").applyInPandas(trade, ", ".join(["round int", "_t double", *[f"`{c}` double" for c in (outcome, *adjust)]]))
+    placebo = effect(traded, "_t", outcome, adjust, "round")
     many = rows.select(key, treatment, outcome, *adjust, F.explode(F.sequence(F.lit(1), F.lit(rounds))).alias("round"))
     draw = F.xxhash64(F.col(key), F.col("round"), F.lit(seed))
-    # treatments trade places within random cells of a round, so that no task orders a whole round
-    many = many.withColumn("_cell", F.pmod(F.xxhash64(F.col(key), F.col("round"), F.lit(seed + 2)), F.lit(cells)))
-    place = lambda x: F.row_number().over(Window.partitionBy("round", "_cell").orderBy(x, key))
-    given = many.withColumn("_i", place(draw))
-    turned = many.withColumn("_i", place(F.xxhash64(F.col(key), F.col("round"), F.lit(seed + 1)))).select("round", "_cell", "_i", F.col(treatment).alias("_t"))
-    placebo = effect(given.join(turned, ["round", "_cell", "_i"]), "_t", outcome, adjust, "round")
     subset = effect(many.where(F.pmod(draw, F.lit(10)) < 8), treatment, outcome, adjust, "round")
     cause = effect(many.withColumn("_u", F.pmod(draw, F.lit(1_000_003)) / 1_000_003), treatment, outcome, [*adjust, "_u"], "round")
     parts = []
