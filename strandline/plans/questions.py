@@ -85,7 +85,7 @@ def q4_1(t):
     return rows.crossJoin(t.patients.agg(F.count("*").alias("_t"))).select("analyte", "n", "patients", F.round(100 * F.col("patients") / F.col("_t"), 4).alias("pct"))
 
 
-@query("q4_3_biomarker_courses", "SELECT analyte, CASE WHEN l > f THEN 'rising' WHEN l < f THEN 'falling' ELSE 'flat' END AS course, count(*) AS patients FROM (SELECT pid, analyte, min_by(value, k) AS f, max_by(value, k) AS l, count(*) AS n FROM (SELECT *, months * 1e15 + vid * 1e6 + line * 1e4 + value * 10 AS k FROM facts) GROUP BY ALL) WHERE n >= 2 GROUP BY ALL")
+@query("q4_3_biomarker_courses", "SELECT analyte, CASE WHEN l > f THEN 'rising' WHEN l < f THEN 'falling' ELSE 'flat' END AS course, count(*) AS patients FROM (SELECT pid, analyte, first(value ORDER BY months, vid, line, value) AS f, last(value ORDER BY months, vid, line, value) AS l, count(*) AS n FROM facts GROUP BY ALL) WHERE n >= 2 GROUP BY ALL")
 def q4_3(t):
     rows = r.first_last(t.facts, ["pid", "analyte"], ["months", "vid", "line", "value"], "value", "months")
     return rows.groupBy("analyte", F.expr("CASE WHEN last_value > first_value THEN 'rising' WHEN last_value < first_value THEN 'falling' ELSE 'flat' END").alias("course")).agg(F.count("*").alias("patients"))

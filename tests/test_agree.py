@@ -41,3 +41,8 @@ def test_first_values_of_large_keys(agree):
     tables = cohort([10.0, 10.1, 9.9])
     schema, lines = tables["lineitem"]
     assert agree("a10_pivot", **tables | {"lineitem": (schema, lines[1:])}) == [(1, 9.9, None)]
+
+
+def test_courses_of_large_keys(agree):
+    # as doubles months * 1e15 + vid * 1e6 + line * 1e4 + value * 10 of the last two values are one number
+    assert agree("q4_3_biomarker_courses", **cohort([10.0, 9.9, 10.1])) == [("TAU", "rising", 1)]
