@@ -141,7 +141,7 @@ def u04(t):
     return s.ledger(t.visits.select(F.expr("concat('b', pid % 3)").alias("_batch_id"), F.lit("visits").alias("_source_table"), F.expr("dx <> 'CN'").alias("_written")))
 
 
-@query("u05_skip_processed", "SELECT substring(md5(concat(url, '_', length(html), '_0')), 1, 16) AS id FROM pages WHERE page_id % 2 = 1")
+@query("u05_skip_processed", "WITH files AS (SELECT page_id, substring(md5(concat_ws('_', url, length(html), 0)), 1, 16) AS id FROM pages) SELECT id FROM files WHERE id NOT IN (SELECT id FROM files WHERE page_id % 2 = 0)")
 def u05(t):
     rows = t.pages.select("page_id", s.file_identity(F.col("url"), F.char_length("html"), F.lit(0)).alias("id"))
     return rows.join(rows.where("page_id % 2 = 0").select("id"), "id", "left_anti").select("id")

@@ -46,3 +46,9 @@ def test_first_values_of_large_keys(agree):
 def test_courses_of_large_keys(agree):
     # as doubles months * 1e15 + vid * 1e6 + line * 1e4 + value * 10 of the last two values are one number
     assert agree("q4_3_biomarker_courses", **cohort([10.0, 9.9, 10.1])) == [("TAU", "rising", 1)]
+
+
+def test_processed_files_come_again(agree):
+    # page 3 is page 2 once more, 5 is 1 once more; a null url is a file of its own
+    rows = [(1, "u://a", "x"), (2, "u://b", "x"), (3, "u://b", "y"), (4, "u://c", "x"), (5, "u://a", "z"), (7, None, "x")]
+    assert len(agree("u05_skip_processed", pages=("page_id long, url string, html string", rows))) == 3
