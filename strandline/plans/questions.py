@@ -170,7 +170,7 @@ def q11_2(t):
 
 @query("q12_1_similarity_network", "SELECT genotype, count(*) AS pairs FROM patients a JOIN (SELECT pid AS q, genotype AS h, acctbal AS c FROM patients) b ON a.genotype = b.h AND a.pid < b.q AND abs(a.acctbal - b.c) <= 50 GROUP BY 1")
 def q12_1(t):
-    near = r.band_counts(t.patients, "genotype", "acctbal", "pid", 50.0)
+    near = r.band_counts(t.patients, "genotype", "acctbal", "pid", 50.0, difference=True)
     return near.groupBy("genotype").agg((F.sum("near") / 2).cast("long").alias("pairs")).where("pairs > 0")
 
 

@@ -52,3 +52,16 @@ def test_processed_files_come_again(agree):
     # page 3 is page 2 once more, 5 is 1 once more; a null url is a file of its own
     rows = [(1, "u://a", "x"), (2, "u://b", "x"), (3, "u://b", "y"), (4, "u://c", "x"), (5, "u://a", "z"), (7, None, "x")]
     assert len(agree("u05_skip_processed", pages=("page_id long, url string, html string", rows))) == 3
+
+
+CUSTOMER = "c_custkey long, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string"
+
+
+def patients(values):
+    return CUSTOMER, [(6 * i + 1, "n", 1, v, "s") for i, v in enumerate(values)]
+
+
+def test_pairs_whose_difference_rounds(agree):
+    # cents whose difference and whose bound round to different sides of the width
+    values = [round(1000.01 * i / 7 + d, 2) for i in range(60) for d in (0, 50, -50.01, 50.01)] + [0.01, 50.01, -0.01, 49.99, -1e-300, 50.0, 100.0, 4.4, 54.4]
+    assert agree("q12_1_similarity_network", customer=patients(values))[0][0] == "E3/E4"
