@@ -65,3 +65,9 @@ def test_pairs_whose_difference_rounds(agree):
     # cents whose difference and whose bound round to different sides of the width
     values = [round(1000.01 * i / 7 + d, 2) for i in range(60) for d in (0, 50, -50.01, 50.01)] + [0.01, 50.01, -0.01, 49.99, -1e-300, 50.0, 100.0, 4.4, 54.4]
     assert agree("q12_1_similarity_network", customer=patients(values))[0][0] == "E3/E4"
+
+
+def test_classes_and_links_of_a_band(agree):
+    values = [0.0, 25.0, 50.0, 75.01, 75.01, 100.01, 125.02, -1e-300, 9999.0, None, float("nan"), 1000.1, 1025.1, 975.1]
+    got = agree("j11_similarity_band", customer=(CUSTOMER, patients(values)[1] + [(5, "n", 1, 0.0, "s"), (11, "n", 1, 0.0, "s")]))
+    assert {r[0]: r[1:] for r in got}[1 + 6 * 7] == (1, 2) and (5, 5, 0) in got and len(got) == 16
