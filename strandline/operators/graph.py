@@ -120,17 +120,26 @@ HUB = 512
 def reach(edges: DataFrame, seeds: DataFrame, hub: int = HUB) -> DataFrame:
     """(id, reach): distinct nodes within two hops of each seed, undirected, itself left out; seeds without neighbours have no row.
 
-    Nodes are numbered without gaps. A hub's neighbours are bitmaps, made once, that its neighbours take
-    over as they are; of other nodes each neighbour is a row. So a hub of d neighbours gives d times
-    (nodes / 32,768) rows at most instead of d squared, and the count of distinct nodes is exact.
+    Only the edges at seeds and at their neighbours are kept; the ids these reach are numbered without gaps. A hub's
+    neighbours are bitmaps, made once, that its neighbours take over as they are; of other nodes each neighbour is a
+    row. So a hub of d neighbours gives d times (nodes / 32,768) rows at most instead of d squared, and the count of
+    distinct nodes is exact. Seeds of equal neighbours (by their number and two sums of 64-bit hashes) reach the same
+    nodes, so one of them is followed for all.
     """
-    hop = ends(edges).select("id", "other").where("id is not null and other is not null and id <> other").distinct()
-    numbers, _ = dense_ids(hop, "id")
+    every_hop = ends(edges).select("id", "other").where("id is not null and other is not null and id <> other")
+    first = cut_lineage(every_hop.join(seeds.select("id").distinct(), "id", "left_semi").distinct())
+    second = every_hop.join(first.select(F.col("other").alias("id")).distinct(), "id", "left_semi")
+    hop = cut_lineage(first.unionByName(second).distinct())
+    numbers, _ = dense_ids(hop.select(F.col("other").alias("id")), "id")
     hop = cut_lineage(hop.join(numbers.select(F.col("id").alias("other"), F.col("number").alias("far")), "other"))
     bit = (F.bitmap_bucket_number("far").alias("bucket"), F.bitmap_bit_position("far").alias("bit"))
     large = hop.groupBy("id").agg(F.count("*").alias("n")).where(F.col("n") >= hub).select("id")
     maps = hop.join(large, "id", "left_semi").select("id", *bit).groupBy("id", "bucket").agg(F.bitmap_construct_agg("bit").alias("map"))
-    one = seeds.select("id").distinct().join(hop, "id")
+    total = lambda *salt: F.sum(F.xxhash64("far", *salt).cast("decimal(38,0)"))
+    near = hop.join(seeds.select("id").distinct(), "id", "left_semi")
+    sets = near.groupBy("id").agg(F.struct(F.count("*").alias("n"), total().alias("x"), total(F.lit(1)).alias("y")).alias("near"))
+    alike = cut_lineage(sets.join(sets.groupBy("near").agg(F.min("id").alias("for")), "near").select("id", "for"))
+    one = near.join(alike.where("id = for").select("id"), "id", "left_semi")
     # the second hop by rows, and the first, which every seed has by rows
     rest = hop.join(large, "id", "left_anti").select(F.col("id").alias("other"), "far")
     by_row = one.select("id", "far").unionByName(one.select("id", "other").join(rest, "other").select("id", "far"))
@@ -138,7 +147,7 @@ def reach(edges: DataFrame, seeds: DataFrame, hub: int = HUB) -> DataFrame:
     many = one.select("id", "other").join(maps.withColumnRenamed("id", "other"), "other").select("id", "bucket", "map")
     every = few.unionByName(many).groupBy("id", "bucket").agg(F.bitmap_count(F.bitmap_or_agg("map")).alias("n")).groupBy("id").agg(F.sum("n").alias("n"))
     # a seed with a neighbour comes back to itself on the second hop
-    return every.select("id", (F.col("n") - 1).alias("reach"))
+    return alike.join(every.select(F.col("id").alias("for"), "n"), "for").select("id", (F.col("n") - 1).alias("reach"))
 
 
 def reach_histogram(reached: DataFrame) -> DataFrame:

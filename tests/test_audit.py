@@ -147,3 +147,13 @@ def test_reach_by_rows_and_bitmaps(spark, hub):
     assert graph.reach(edges.limit(0), seeds).count() == 0
     histogram = {r.bucket: r.seeds for r in graph.reach_histogram(spark.createDataFrame([(1, 5), (2, 5), (3, 99), (4, 100), (5, 250)], "id int, reach int")).collect()}
     assert histogram == {5: 2, 99: 1, 100: 1, 200: 1}
+
+
+def test_reach_keeps_only_edges_near_seeds(spark, monkeypatch):
+    from strandline.operators import graph
+
+    edges = spark.createDataFrame([(1, "t", 0), (2, "t", 0), (3, "t", 0), (3, "t", 4), (4, "t", 5), (5, "t", 6)], "src int, type string, dst int")
+    seen, number = [], graph.dense_ids
+    monkeypatch.setattr(graph, "dense_ids", lambda nodes, column: (seen.extend(r[0] for r in nodes.select(column).distinct().collect()), number(nodes, column))[1])
+    got = {r.id: r.reach for r in graph.reach(edges, spark.createDataFrame([(1,), (2,)], "id int"), 1).collect()}
+    assert got == {1: 3, 2: 3} and sorted(seen) == [0, 1, 2, 3]
