@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from strandline.functions.clean import cdr_to_diagnosis_of_two
@@ -75,17 +75,19 @@ def write_entity_tables(tables: dict[str, tuple[DataFrame, str]], folder: str, b
     """Write each kind's rows (rows, source table) with provenance to folder/kind/batch; returns (kind, source_table, total_rows, written_rows, batch_id).
 
     Rows that lack a required column, and repeats of a row by its hash, are not written. A batch that is
-    written again replaces itself, so a step may be repeated; other batches stay.
+    written again replaces itself, so a step may be repeated; other batches stay. Each kind is one job: rows
+    are counted as they pass and dealt by their own columns, and the long hash is made where they arrive.
     """
-    parts = []
+    spark, done = next(iter(tables.values()))[0].sparkSession, []
     for kind, (rows, source) in tables.items():
         full = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in (required or {}).get(kind, [])], F.lit(True))
-        made = with_provenance(rows, batch_id, source)
-        place = f"{folder}/{kind}/batch={batch_id}"
-        made.where(full).dropDuplicates(["_hash"]).write.mode("overwrite").parquet(place)
-        written = rows.sparkSession.read.parquet(place).agg(F.count("*").alias("written_rows"))
-        parts.append(rows.agg(F.lit(kind).alias("kind"), F.lit(source).alias("source_table"), F.count("*").alias("total_rows")).crossJoin(F.broadcast(written)))
-    return reduce(DataFrame.unionByName, parts).withColumn("batch_id", F.lit(batch_id))
+        seen, place = Observation(), f"{folder}/{kind}/batch={batch_id}"
+        own = [c for c in rows.columns if not c.startswith("_")]
+        # equal hashes are of equal columns, so rows dealt by these need no exchange by the hash
+        dealt = rows.observe(seen, F.count(F.lit(1)).alias("n")).where(full).repartition(*own)
+        with_provenance(dealt, batch_id, source).dropDuplicates([*own, "_hash"]).write.mode("overwrite").option("compression", "zstd").parquet(place)
+        done.append((kind, source, seen.get["n"], spark.read.parquet(place).count(), batch_id))
+    return spark.createDataFrame(done, "kind string, source_table string, total_rows long, written_rows long, batch_id string")
 
 
 def export_json(rows: DataFrame, folder: str, order: list[str], most: int = EXPORTED) -> None:

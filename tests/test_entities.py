@@ -91,3 +91,11 @@ def test_keys_and_codes(spark):
     assert found == {("A", 2): (1, 0.5, True, False), ("A", 1): (1, 1.0, True, False), ("B", 1): (0, 0.0, False, False), ("C", 0): (0, 0.0, False, True)}
     assert tuple(ontology.forbidden_prefix(rows.limit(0), "s", "a").first()) == (0, [])
     assert tuple(ontology.forbidden_prefix(rows, "s", "b").first()) == (2, ["b"])
+
+
+def test_entity_tables_read_their_rows_once(spark, tmp_path):
+    seen = spark.sparkContext.accumulator(0)
+    kept = F.udf(lambda _: seen.add(1) or True, "boolean").asNondeterministic()
+    rows = spark.createDataFrame([(1, 0.0), (1, -0.0), (1, 0.0), (2, None)], "id int, v double").coalesce(1).where(kept("id"))
+    got = entities.write_entity_tables({"k": (rows, "t")}, str(tmp_path), "b", {"k": ["v"]}).first()
+    assert (got.total_rows, got.written_rows, seen.value) == (4, 2, 4)
