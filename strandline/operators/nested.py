@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandline.operators.components import cut_lineage
@@ -30,18 +30,25 @@ def flatten_json(rows: DataFrame, key: str, column: str) -> DataFrame:
         level = inner.select("key", named.alias("path"), F.col("inner").alias("v"))
 
 
-def overview(base: DataFrame, key: str, kinds: dict[str, tuple[DataFrame, str | None]], most: int = 20) -> DataFrame:
+def overview(base: DataFrame, key: str, kinds: dict[str, tuple], most: int = 20) -> DataFrame:
     """base with ``facts``: map from each kind to struct(n, list), its number of rows and its first ``most`` distinct labels, sorted.
 
-    kinds maps a name to (rows with the key, label column or None). All kinds are one tagged union that is
-    aggregated once by key, with counts and label sets combined before the shuffle, in place of a join
-    for each kind: optional facts never multiply. Every kind is in every map, with 0 and no labels where a
-    key has no rows; null labels count but aren't listed; rows of a null or unknown key are left out. A
-    key's labels of a kind meet in one task, so labels should be categories, not identifiers.
+    kinds maps a name to (rows with the key, label or None) or (rows, label, condition); a label is a column or its name,
+    a condition a column. Kinds of one table should be given the same DataFrame: its rows are dealt by key once, with only the
+    columns that are needed, and counted where they arrive for all of its kinds, in place of a scan, a row and a join for
+    each kind: optional facts never multiply. Every kind is in every map, with 0 and no labels where a key has no rows;
+    null labels count but aren't listed; rows of a null or unknown key are left out. A key's labels of a kind meet in one
+    task, so labels should be categories, not identifiers.
     """
-    rows = [df.select(F.col(key).alias(key), F.lit(kind).alias("_kind"), (F.col(label).cast("string") if label else F.lit(None).cast("string")).alias("_label")) for kind, (df, label) in kinds.items()]
-    one = reduce(DataFrame.unionByName, rows).where(F.col(key).isNotNull()).groupBy(key)
-    of = lambda kind: F.col("_kind") == kind
-    found = one.agg(*[F.count_if(of(k)).alias(f"_n{i}") for i, k in enumerate(kinds)], *[F.collect_set(F.when(of(k), F.col("_label"))).alias(f"_l{i}") for i, k in enumerate(kinds)])
+    tables: dict[int, tuple[DataFrame, list[tuple[int, Column, Column | None]]]] = {}
+    for i, (df, label, *condition) in enumerate(kinds.values()):
+        hit = F.coalesce(condition[0], F.lit(False)) if condition else F.lit(True)
+        tables.setdefault(id(df), (df, []))[1].append((i, hit, None if label is None else (F.col(label) if isinstance(label, str) else label).cast("string")))
+    parts = []
+    for df, own in tables.values():
+        # dealt as it is: what kinds ask of a row is worked out where it arrives
+        dealt = df.where(F.col(key).isNotNull()).repartition(key).select(F.col(key).alias(key), *[hit.alias(f"_h{i}") for i, hit, _ in own], *[F.when(hit, label).alias(f"_l{i}") for i, hit, label in own if label is not None])
+        parts.append(dealt.groupBy(key).agg(*[F.count_if(F.col(f"_h{i}")).alias(f"_n{i}") for i, _, _ in own], *[(F.collect_set(f"_l{i}") if label is not None else F.array().cast("array<string>")).alias(f"_l{i}") for i, _, label in own]))
+    found = reduce(lambda a, b: a.join(b, key, "full_outer"), parts)
     entry = lambda i: F.struct(F.coalesce(F.col(f"_n{i}"), F.lit(0)).alias("n"), F.slice(F.array_sort(F.coalesce(f"_l{i}", F.array().cast("array<string>"))), 1, most).alias("list"))
     return base.join(found, key, "left").select(*base.columns, F.create_map(*[x for i, k in enumerate(kinds) for x in (F.lit(k), entry(i))]).alias("facts"))

@@ -132,7 +132,7 @@ _KINDS = [
     SELECT p.pid, p.gender, p.age, n.kind, count(k.kind) AS n, coalesce(string_agg(DISTINCT k.label, ',' ORDER BY k.label), '') AS list FROM patients p CROSS JOIN n LEFT JOIN k ON k.pid = p.pid AND k.kind = n.kind GROUP BY ALL""")
 def d30_twelve(t):
     """Each patient's overview, one row a kind."""
-    kinds = {k: (getattr(t, table).where(where.replace("varchar", "string")).withColumn("_l", F.expr(label.replace("varchar", "string"))), "_l") for k, table, where, label in _KINDS}
+    kinds = {k: (getattr(t, table), F.expr(label.replace("varchar", "string")), F.expr(where)) for k, table, where, label in _KINDS}
     rows = n.overview(t.patients.select("pid", "gender", "age"), "pid", kinds)
     return rows.select("pid", "gender", "age", F.explode("facts").alias("kind", "f")).select("pid", "gender", "age", "kind", "f.n", F.array_join("f.list", ",").alias("list"))
 

@@ -157,3 +157,11 @@ def test_reach_keeps_only_edges_near_seeds(spark, monkeypatch):
     monkeypatch.setattr(graph, "dense_ids", lambda nodes, column: (seen.extend(r[0] for r in nodes.select(column).distinct().collect()), number(nodes, column))[1])
     got = {r.id: r.reach for r in graph.reach(edges, spark.createDataFrame([(1,), (2,)], "id int"), 1).collect()}
     assert got == {1: 3, 2: 3} and sorted(seen) == [0, 1, 2, 3]
+
+
+def test_overview_of_kinds_of_one_table(spark):
+    base = spark.createDataFrame([(1,), (2,)], "pid int")
+    facts = spark.createDataFrame([(1, "x", 1), (1, "y", 2), (1, "x", None), (2, None, 2), (None, "z", 1)], "pid int, label string, v int")
+    df = nested.overview(base, "pid", {"ones": (facts, "label", F.expr("v = 1")), "twos": (facts, F.expr("upper(label)"), F.expr("v = 2")), "all": (facts, None)})
+    got = {r.pid: {k: (f.n, f.list) for k, f in r.facts.items()} for r in df.collect()}
+    assert got == {1: {"ones": (1, ["x"]), "twos": (1, ["Y"]), "all": (3, [])}, 2: {"ones": (0, []), "twos": (1, []), "all": (1, [])}}
