@@ -158,7 +158,7 @@ def d24(t):
 
 @query("d25_preclinical", "SELECT n_abnormal, count(*) AS visits FROM (SELECT v.vid, count(DISTINCT analyte) AS n_abnormal FROM visits v JOIN facts f ON v.vid = f.vid WHERE dx = 'CN' AND abnormal = 1 GROUP BY 1) GROUP BY 1")
 def d25(t):
-    bad = t.facts.where("abnormal = 1").groupBy("vid").agg(F.count_distinct("analyte").alias("n_abnormal"))
+    bad = t.facts_by_visit.where("abnormal = 1").groupBy("vid").agg(F.count_distinct("analyte").alias("n_abnormal"))
     return t.visits.where("dx = 'CN'").join(bad, "vid").groupBy("n_abnormal").agg(F.count("*").alias("visits"))
 
 

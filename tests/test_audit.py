@@ -165,3 +165,11 @@ def test_overview_of_kinds_of_one_table(spark):
     df = nested.overview(base, "pid", {"ones": (facts, "label", F.expr("v = 1")), "twos": (facts, F.expr("upper(label)"), F.expr("v = 2")), "all": (facts, None)})
     got = {r.pid: {k: (f.n, f.list) for k, f in r.facts.items()} for r in df.collect()}
     assert got == {1: {"ones": (1, ["x"]), "twos": (1, ["Y"]), "all": (3, [])}, 2: {"ones": (0, []), "twos": (1, []), "all": (1, [])}}
+
+
+def test_facts_by_visit(spark, sf_dir):
+    from strandline.plans.cohort import Cohort
+
+    t = Cohort(spark, sf_dir)
+    assert t.facts.exceptAll(t.facts_by_visit).count() == 0 and t.facts_by_visit.count() == t.facts.count()
+    assert "REPARTITION_BY_NUM" in t.facts_by_visit._jdf.queryExecution().executedPlan().toString()
