@@ -189,7 +189,7 @@ def x10_parents(t):
     UNION ALL SELECT 'supplier', count(*), 0, count(*) - count(DISTINCT s_suppkey) FROM supplier UNION ALL SELECT 'genotype', count(*), count(*) - count(genotype), count(genotype) - count(DISTINCT genotype) FROM patients)""")
 def m07_keys(t):
     keys = {
-        "patient": (t.patients, ["pid"]), "patient_name": (t.patients, ["name"]), "visit": (t.visits, ["vid"]), "visit_month": (t.visits, ["pid", "months"]), "fact": (t.facts, ["fid"]), "fact_line": (t.facts, ["vid", "line"]), "fact_part": (t.facts, ["vid", "part"]),
+        "patient": (t.patients, ["pid"]), "patient_name": (t.patients, ["name"]), "visit": (t.visits, ["vid"]), "visit_month": (t.visits, ["pid", "months"]), "fact": (t.facts_by_visit, ["fid"]), "fact_line": (t.facts_by_visit, ["vid", "line"]), "fact_part": (t.facts_by_visit, ["vid", "part"]),
         "node": (t.nodes, ["id"]), "node_uri": (t.nodes, ["uri"]), "edge": (t.edges, ["src", "type", "dst"]), "supplier": (t.supplier, ["s_suppkey"]), "genotype": (t.patients, ["genotype"]),
     }
     return o.keys_hold(keys).drop("holds")
