@@ -5,20 +5,27 @@ A page is read into blocks with the place that its markup gives them: in the art
 suffixes are sorted; neighbours that agree in LEAST tokens and come from distinct pages are long repeated
 substrings. Furniture goes; open blocks go where repeats cover them and stay where they are unique;
 blocks of a marked article stay, as an article may be on several pages.
+
+A host of many pages is compared in stretches, each with a suffix array of its own; what pages of distinct
+stretches share is found by keys of the suffixes' first tokens, so the answer is that of one array.
 """
 
 from __future__ import annotations
 
 import html
+import json
 import re
+import zlib
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import cached_property
+from hashlib import blake2b
 from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandline.llm.url_filters import host_of
@@ -26,7 +33,9 @@ from strandline.operators.components import cut_lineage
 
 #: Tokens of a repeated substring; share of a block's tokens that repeats must cover for it to go; share of a page's open tokens from which on the page is a copy.
 LEAST, COVERED, COPY = 12, 0.5, 0.8
-#: Characters of pages of a host that are compared together, from this to twice as many; hosts that are dealt over several tasks are fewer than LARGE_HOSTS.
+#: Tokens of an anchor: equal windows of LEAST tokens have equal least keys of their windows of so many.
+ANCHOR = 6
+#: Characters of pages of a host that one suffix array holds, from this to twice as many; hosts that are dealt over several tasks are fewer than LARGE_HOSTS. Neither moves a result.
 GROUP_CHARS, LARGE_HOSTS = 1 << 20, 65_536
 
 # Element names.
@@ -195,68 +204,188 @@ def repeated(tokens: np.ndarray, page: np.ndarray, least: int = LEAST) -> np.nda
     return np.cumsum(change[:-1]) > 0
 
 
+def _covering(starts: np.ndarray, n: int) -> np.ndarray:
+    """Which of n tokens lie in a window of LEAST tokens from one of the starts."""
+    change = np.zeros(n + 1, np.int64)
+    np.add.at(change, starts, 1)
+    np.add.at(change, starts + LEAST, -1)
+    return np.cumsum(change[:-1]) > 0
+
+
+def _number(text: str) -> int:
+    return int.from_bytes(blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+
+
 class Found(NamedTuple):
     text: str
     tokens: int
     covered: int
 
 
-def extract(pages: list[str]) -> list[Found]:
-    """The main text of each page of a group of one host's pages, with its tokens and how many of them repeats cover; equal pages are one."""
-    place: dict[str, int] = {}
-    which = [place.setdefault(p, len(place)) for p in pages]
-    read = [blocks_of(p) for p in place]
-    known: defaultdict[str, int] = defaultdict()
-    known.default_factory = known.__len__
-    # a block is a mark of its element and its words
-    words = [[(f"<{b.name}>", *b.text.split(" ")) for b in blocks] for blocks in read]
-    sizes = [[len(w) for w in ws] for ws in words]
-    total = sum(map(sum, sizes))
-    tokens = np.fromiter(map(known.__getitem__, chain.from_iterable(chain.from_iterable(words))), np.int64, total)
-    covered = np.cumsum(np.concatenate([[0], repeated(tokens, np.repeat(np.arange(len(read)), [sum(s) for s in sizes]))]))
-    at, out = 0, []
-    for blocks, size in zip(read, sizes, strict=True):
-        ends = at + np.cumsum([0, *size])
-        hit = (covered[ends[1:]] - covered[ends[:-1] + 1]).tolist()  # words of each block
-        at, hits = int(ends[-1]), int(covered[ends[-1]] - covered[at])
-        kept = [b.text for b in blocks if b.place == ARTICLE]
-        if not kept:
-            open_ = [(b.text, n, h) for b, n, h in zip(blocks, size, hit, strict=True) if b.place == OPEN]
-            copy = sum(h for _, _, h in open_) >= COPY * sum(n - 1 for _, n, _ in open_)
-            kept = [t for t, n, h in open_ if copy or h < COVERED * (n - 1)]
-        out.append(Found("\n".join(kept), sum(size), hits))
-    return [out[i] for i in which]
+class Stretch:
+    """Distinct pages of one host, by the number of each, as one row of tokens: a mark of each block's element and its words."""
+
+    def __init__(self, pages: dict[int, list[Block]]):
+        self.pages = pages
+        words = [[(f"<{b.name}>", *b.text.split(" ")) for b in blocks] for blocks in pages.values()]
+        self.sizes = [[len(w) for w in ws] for ws in words]
+        self.known: defaultdict[str, int] = defaultdict()
+        self.known.default_factory = self.known.__len__
+        totals = [sum(s) for s in self.sizes]
+        self.tokens = np.fromiter(map(self.known.__getitem__, chain.from_iterable(chain.from_iterable(words))), np.int64, sum(totals))
+        self.page = np.repeat(np.arange(len(pages)), totals)
+        left = np.repeat(np.cumsum(totals, dtype=np.int64), totals) - np.arange(len(self.tokens))
+        self.starts = np.flatnonzero(left >= LEAST)  # of windows of LEAST tokens
+
+    def _keys(self, width: int) -> np.ndarray:
+        """A key of the tokens in the window of this width at each token, the same in all stretches; zeros follow the last token."""
+        numbers = np.fromiter(map(_number, self.known), np.int64, len(self.known)).view(np.uint64)
+        row = np.concatenate([numbers[self.tokens], np.zeros(width, np.uint64)])
+        key = np.zeros(len(self.tokens), np.uint64)
+        for k in range(width):
+            key = key * np.uint64(0x9E3779B97F4A7C15) + row[k : k + len(key)]
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            key = (key ^ (key >> np.uint64(shift))) * np.uint64(factor)
+        return (key ^ (key >> np.uint64(31))).view(np.int64)
+
+    @cached_property
+    def windows(self) -> np.ndarray:
+        """The key of each window of LEAST tokens."""
+        return self._keys(LEAST)[self.starts]
+
+    @cached_property
+    def anchors(self) -> np.ndarray:
+        """The least key among the anchors of each window."""
+        keys = self._keys(ANCHOR)
+        least = keys[self.starts]
+        for k in range(1, LEAST - ANCHOR + 1):
+            np.minimum(least, keys[self.starts + k], out=least)
+        return least
+
+    def distinct(self, anchors: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The windows under these anchors: each key once, with the least and greatest number of a page that has it."""
+        at = np.flatnonzero(np.isin(self.anchors, anchors))
+        order = at[np.argsort(self.windows[at], kind="stable")]
+        keys = self.windows[order]
+        first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])[: len(keys)])
+        numbers = np.fromiter(self.pages, np.int64, len(self.pages))[self.page[self.starts[order]]]
+        if not len(first):
+            return keys, keys, keys
+        return keys[first], np.minimum.reduceat(numbers, first), np.maximum.reduceat(numbers, first)
+
+    def found(self, elsewhere: np.ndarray) -> dict[int, Found]:
+        """The main text of each page, with its tokens and how many of them repeats cover: here, and windows of these keys."""
+        hit_tokens = repeated(self.tokens, self.page)
+        if len(elsewhere):
+            hit_tokens |= _covering(self.starts[np.isin(self.windows, elsewhere)], len(self.tokens))
+        covered = np.cumsum(np.concatenate([[0], hit_tokens]))
+        at, out = 0, {}
+        for (number, blocks), size in zip(self.pages.items(), self.sizes, strict=True):
+            ends = at + np.cumsum([0, *size])
+            hit = (covered[ends[1:]] - covered[ends[:-1] + 1]).tolist()  # words of each block
+            at, hits = int(ends[-1]), int(covered[ends[-1]] - covered[at])
+            kept = [b.text for b in blocks if b.place == ARTICLE]
+            if not kept:
+                open_ = [(b.text, n, h) for b, n, h in zip(blocks, size, hit, strict=True) if b.place == OPEN]
+                copy = sum(h for _, _, h in open_) >= COPY * sum(n - 1 for _, n, _ in open_)
+                kept = [t for t, n, h in open_ if copy or h < COVERED * (n - 1)]
+            out[number] = Found("\n".join(kept), sum(size), hits)
+        return out
+
+
+NONE = np.zeros(0, np.int64)
 
 
-def _by_host(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by host and part; those of one are extracted together, in stretches of GROUP_CHARS to twice as many."""
-    now, rows, chars = None, [], 0
+def extract(pages: list[str]) -> list[Found]:
+    """The main text of each page of one host, with its tokens and how many of them repeats cover; equal pages are one."""
+    numbers = [_number(p) for p in pages]
+    found = Stretch({n: blocks_of(p) for n, p in dict(zip(numbers, pages, strict=True)).items()}).found(NONE)
+    return [found[n] for n in numbers]
 
-    def answer(rows: list[tuple]) -> pa.RecordBatch:
-        found = extract([r[2] for r in rows])
-        columns = [[r[0] for r in rows], [r[1] for r in rows], [f.text for f in found], [len(f.text) for f in found], [f.tokens for f in found], [f.covered for f in found]]
-        kinds = (kind, pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64())
-        return pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["page_id", "url", "text", "n_chars", "n_tokens", "n_repeated"])
 
+def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pages are read into blocks, which are packed; page is the page's number."""
     for batch in batches:
-        kind = batch.column("page_id").type
+        pages = [p or "" for p in batch.column("html").to_pylist()]
+        packed = [zlib.compress(json.dumps(blocks_of(p), ensure_ascii=False).encode("utf-8", "surrogatepass"), 6) for p in pages]
+        columns = [*(batch.column(c) for c in ("host", "page_id", "url")), pa.array(map(_number, pages), pa.int64()), pa.array(map(len, pages), pa.int64()), pa.array(packed, pa.binary())]
+        yield pa.record_batch(columns, names=["host", "page_id", "url", "page", "chars", "blocks"])
+
+
+class Rows(NamedTuple):
+    host: str
+    part: int
+    ids: list
+    urls: list
+    pages: list[int]
+    stretch: Stretch
+    keys: np.ndarray
+    alone: bool  # all pages of the host are here
+
+
+def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[Rows]:
+    """Rows come sorted by host and part, with the part's keys in its first; those of one are taken together, in stretches of GROUP_CHARS to twice as many."""
+    now, rows, chars, keys, cut = None, [], 0, NONE, False
+
+    def taken(rows: list[tuple], alone: bool) -> Rows:
+        read = {}
+        for _, _, number, _, blocks in rows:
+            if number not in read:
+                read[number] = blocks_of(blocks) if isinstance(blocks, str) else [Block(*b) for b in json.loads(zlib.decompress(blocks).decode("utf-8", "surrogatepass"))]
+        return Rows(now[0], now[1], [r[0] for r in rows], [r[1] for r in rows], [r[2] for r in rows], Stretch(read), keys, alone and now[2] == 1)
+
+    for batch in batches:
+        names, columns = batch.schema.names, {c: batch.column(c) for c in batch.schema.names}
         for i in range(len(batch)):
-            key = (batch.column("host")[i].as_py(), batch.column("part")[i].as_py())
-            if rows and key != now:
-                yield answer(rows)
-                rows, chars = [], 0
-            page = batch.column("html")[i].as_py() or ""
-            now, chars = key, chars + len(page)
-            rows.append((batch.column("page_id")[i].as_py(), batch.column("url")[i].as_py(), page))
+            key = (columns["host"][i].as_py(), columns["part"][i].as_py(), columns["parts"][i].as_py() if "parts" in names else 1)
+            if key != now:
+                if rows:
+                    yield taken(rows, not cut)
+                now, rows, chars, keys, cut = key, [], 0, NONE, False
+            if "keys" in names and columns["keys"][i].is_valid:
+                keys = columns["keys"][i].values.to_numpy()
+            if "blocks" in names:
+                page, size, blocks = (columns[c][i].as_py() for c in ("page", "chars", "blocks"))
+            else:
+                blocks = columns["html"][i].as_py() or ""
+                page, size = _number(blocks), len(blocks)
+            chars += size
+            rows.append((columns["page_id"][i].as_py(), columns["url"][i].as_py(), page, size, blocks))
             if chars >= 2 * GROUP_CHARS:  # the rest is never less than a stretch
                 first, head = 0, 0
                 while head < GROUP_CHARS:
-                    head += len(rows[first][2])
+                    head += rows[first][3]
                     first += 1
-                yield answer(rows[:first])
+                cut = True
+                yield taken(rows[:first], False)
                 rows, chars = rows[first:], chars - head
     if rows:
-        yield answer(rows)
+        yield taken(rows, not cut)
+
+
+def _told(tell: Callable[[Stretch, np.ndarray], tuple[np.ndarray, ...]], names: tuple[str, ...]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """What each stretch of a host of several tells the others, as rows of host, part and these columns."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _stretches(batches):
+            if not rows.alone:
+                columns = tell(rows.stretch, rows.keys)
+                n = len(columns[0])
+                yield pa.record_batch([pa.repeat(pa.scalar(rows.host, pa.string()), n), pa.repeat(pa.scalar(rows.part, pa.int64()), n), *map(pa.array, columns)], names=["host", "part", *names])
+
+    return run
+
+
+def _by_host(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The main texts of rows that come sorted by host and part."""
+    for batch in batches:
+        kind = batch.column("page_id").type
+        for rows in _stretches(chain([batch], batches)):
+            by_page = rows.stretch.found(rows.keys)
+            found = [by_page[p] for p in rows.pages]
+            columns = [rows.ids, rows.urls, [f.text for f in found], [len(f.text) for f in found], [f.tokens for f in found], [f.covered for f in found]]
+            kinds = (kind, pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64())
+            yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["page_id", "url", "text", "n_chars", "n_tokens", "n_repeated"])
 
 
 def main_texts(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -272,8 +401,10 @@ def main_texts(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     are taken whole, however long.
 
     Pages are dealt by host, those of a host of over GROUP_CHARS characters (and over one in LARGE_HOSTS of
-    all) in parts of about so many, and compared in stretches of GROUP_CHARS at least: furniture of a large
-    host is on so many of its pages that each stretch shows it, text on a few of its pages is none.
+    all) in parts of about so many, and each stretch of GROUP_CHARS at least has its own suffix array. What
+    stretches of a host share is exchanged in two steps. Each tells the least anchor of its windows of LEAST
+    tokens, so none that two stretches hold is missed; then the windows under anchors that are in several, by
+    keys of 64 bits with the pages that have them. So the result is that of all pages of a host in one array.
     """
     url = F.col(url_col).cast("string")
     rows = pages.select(host_of(url).alias("host"), F.col(id_col).alias("page_id"), url.alias("url"), F.col(html_col).cast("string").alias("html"))
@@ -281,12 +412,28 @@ def main_texts(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     sizes = cut_lineage(rows.groupBy("host").agg(F.sum(F.coalesce(F.char_length("html"), F.lit(0)) + 1).alias("chars")))
     unit = max(GROUP_CHARS, (sizes.agg(F.sum("chars")).first()[0] or 0) // LARGE_HOSTS)
     large = sizes.where(F.col("chars") > unit).select("host", F.ceil(F.col("chars") / unit).alias("parts"))
+    read = rows.mapInArrow(_read, f"host string, page_id {kind}, url string, page long, chars long, blocks binary")
     # rows of a large host are dealt one by one, so that copies of a row are, too
-    part = F.pmod(F.xxhash64("page_id", "url", F.monotonically_increasing_id()), F.coalesce("parts", F.lit(1))).alias("part")
+    several = F.coalesce("parts", F.lit(1).cast("long"))
+    part = F.pmod(F.xxhash64("page_id", "url", F.monotonically_increasing_id()), several).alias("part")
     parts = max(int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")), rows.rdd.getNumPartitions())
-    dealt = rows.join(F.broadcast(large), "host", "left").select("host", part, "page_id", "url", "html").repartition(parts, "host", "part").sortWithinPartitions("host", "part", "page_id", "url")
+    dealt = read.join(F.broadcast(large), "host", "left").select("host", part, several.alias("parts"), "page_id", "url", "page", "chars", "blocks").repartition(parts, "host", "part")
+    order = ("host", "part", "page_id", "url", "page")
+    at = dealt.withColumn("at", F.row_number().over(Window.partitionBy("host", "part").orderBy(*order[2:])))
+
+    def with_keys(keys: DataFrame) -> DataFrame:
+        """The rows, the first of each part with its keys."""
+        lists = keys.groupBy(F.col("host").alias("_host"), F.col("part").alias("_part")).agg(F.collect_set("key").alias("keys"))
+        return at.join(lists, (F.col("host") == F.col("_host")) & (F.col("part") == F.col("_part")) & (F.col("at") == 1), "left").drop("_host", "_part").sortWithinPartitions("host", "part", "at")
+
+    same = Window.partitionBy("host", "key")
+    told = dealt.sortWithinPartitions(*order).mapInArrow(_told(lambda stretch, _: (np.unique(stretch.anchors),), ("key",)), "host string, part long, key long")
+    anchors = told.withColumn("stretches", F.count(F.lit(1)).over(same)).where("stretches > 1")
+    told = with_keys(anchors).mapInArrow(_told(lambda stretch, keys: stretch.distinct(keys), ("key", "low", "high")), "host string, part long, key long, low long, high long")
+    # a stretch knows by itself what two of its pages share
+    windows = told.withColumns({"least": F.min("low").over(same), "most": F.max("high").over(same)}).where("least < most AND low = high")
     schema = f"page_id {kind}, url string, text string, n_chars long, n_tokens long, n_repeated long"
-    return dealt.mapInArrow(_by_host, schema).withColumnRenamed("page_id", id_col)
+    return with_keys(windows).mapInArrow(_by_host, schema).withColumnRenamed("page_id", id_col)
 
 
 def op11_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -120,3 +120,31 @@ def test_large_hosts_in_stretches(monkeypatch, spark):
     df = spark.createDataFrame([(k, "http://h", p) for k, p in enumerate(pages)], "page_id long, url string, html string")
     found = {r.page_id: r.text for r in main_texts(df).collect()}
     assert len(found) == 40 and not any("home news" in t or "rights" in t for t in found.values())
+
+
+def test_size_of_parts_moves_no_result(monkeypatch, spark):
+    """Blocks on two of a host's pages go wherever the pages are dealt; copies and pages with one article count by their texts."""
+    notice = ["<p>" + " ".join(f"n{k // 2}x{i}" for i in range(20)) + "</p>" for k in range(60)]
+    pages = [unmarked(k).replace("<div><h2>", f"<div>{notice[k]}</div><div><h2>") for k in range(60)]
+    pages += [pages[3], pages[3], pages[7] + "<p>end", "", f"<article>{notice[9]}</article>", "<p>" + " ".join(map(str, range(11)))]
+    rows = [(k, f"http://H/{k}", p) for k, p in enumerate(pages)] + [(900, "http://other/", pages[0]), (901, None, pages[1])]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    want = dict(enumerate(extract(pages))) | {900: extract(pages[:1])[0], 901: extract(pages[1:2])[0]}
+    assert not any("n1x" in f.text for f in want.values()) and "n0x" in want[900].text
+    for chars in (1 << 20, 10_000, 2000):
+        monkeypatch.setattr(boilerplate, "GROUP_CHARS", chars)
+        got = {r.page_id: (r.text, r.n_tokens, r.n_repeated) for r in main_texts(df).collect()}
+        assert got == {k: (f.text, f.tokens, f.covered) for k, f in want.items()}
+
+
+def test_stretches_tell_each_other_what_they_share():
+    pages = {k: blocks_of(unmarked(k)) for k in range(6)}
+    pages[0] += [(OPEN, "p", " ".join(map(str, range(40))))]
+    pages[5] += [(OPEN, "p", " ".join(map(str, range(13))))]
+    pages = {k: [boilerplate.Block(*b) for b in blocks] for k, blocks in pages.items()}
+    one, two = boilerplate.Stretch({k: pages[k] for k in (0, 1)}), boilerplate.Stretch({k: pages[k] for k in (3, 5)})
+    shared = np.intersect1d(one.anchors, two.anchors)
+    keys = np.intersect1d(one.distinct(shared)[0], two.distinct(shared)[0])
+    assert set(keys) == set(np.intersect1d(one.windows, two.windows)) and len(keys)
+    whole = boilerplate.Stretch({k: pages[k] for k in (0, 1, 3, 5)}).found(boilerplate.NONE)
+    assert one.found(keys) | two.found(keys) == whole
