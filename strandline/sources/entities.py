@@ -36,32 +36,46 @@ def session_entities(sessions: DataFrame, source: str) -> tuple[DataFrame, DataF
     rows = sessions.select(text("Subject ID").alias("_subject"), text("MRI ID").alias("_visit"), text("CDR").alias("_cdr"), text("MMSE").alias("_mmse"), *[text(c).alias(f"{kind}.{p}") for kind, columns in SESSION_COLUMNS.items() for p, c in columns.items()]).where("_visit is not null")
     cdr = F.col("_cdr").try_cast("double")
 
-    def props(pairs: dict[str, Column]) -> Column:
-        every = F.create_map(*[x for k, v in pairs.items() for x in (F.lit(k), v.cast("string"))])
-        return F.map_filter(every, lambda _, v: v.isNotNull())
+    visit, mmse, region = F.col("_visit"), F.col("_mmse").isNotNull(), F.col("`BrainRegion.nwbv`").isNotNull()
 
-    def of(kind: str) -> dict[str, Column]:
-        return {p: F.col(f"`{kind}.{p}`") for p in SESSION_COLUMNS[kind]}
+    def of(kind: str, there: Column) -> dict[str, Column]:
+        return {f"{kind}.{p}": F.when(there, F.col(f"`{kind}.{p}`")) for p in SESSION_COLUMNS[kind]}
+
+    # rows meet once by subject and once by visit, whose key is in the keys of all its kinds; entities are made then
+    subject = of("Patient", F.lit(True))
+    session = {
+        **of("Visit", F.lit(True)), **of("BrainRegion", region), "MMSE.value": F.col("_mmse"), "CDR.value": F.when(cdr.isNotNull(), F.col("_cdr")),
+        "Diagnosis.diagnosis_code": cdr_to_diagnosis_of_two(cdr), "Diagnosis.group": F.when(cdr.isNotNull(), F.col("`Visit.group`")),
+    }
+    names = [*subject, *session]
+
+    def row(of_visit: bool, key: Column, mine: dict[str, Column]) -> Column:
+        values = [mine.get(n, F.lit(None)).cast("string").alias(n) for n in names]
+        return F.when(key.isNotNull(), F.struct(F.lit(of_visit).alias("of_visit"), key.alias("key"), *values))
+
+    each = rows.select(F.explode(F.array_compact(F.array(row(False, F.col("_subject"), subject), row(True, visit, session)))).alias("e")).select("e.*")
+    best = each.groupBy("of_visit", "key").agg(*[F.max(f"`{n}`").alias(n) for n in names])
+    key, test = F.col("key"), lambda key, name: F.concat_ws("_", key, F.lit(name))
 
     def entity(kind: str, key: Column, pairs: dict[str, Column], there: Column) -> Column:
-        return F.when(there, F.struct(F.lit(kind).alias("kind"), key.alias("key"), props(pairs).alias("properties")))
+        every = F.create_map(*[x for p in sorted(pairs) for x in (F.lit(p), pairs[p])])
+        return F.when(there, F.struct(F.lit(kind).alias("kind"), key.alias("key"), F.map_filter(every, lambda _, v: v.isNotNull()).alias("properties")))
 
-    visit, group = F.col("_visit"), F.col("`Visit.group`")
-    test = lambda name: F.concat_ws("_", visit, F.lit(name))
-    dx, mmse, region = F.concat(F.lit("dx_"), visit), F.col("_mmse").isNotNull(), F.col("`BrainRegion.nwbv`").isNotNull()
+    kept = lambda kind: {p: F.col(f"`{kind}.{p}`") for p in SESSION_COLUMNS[kind]}
+    score, scale = F.col("`CDR.value`"), F.col("`MMSE.value`")
     made = F.array(
-        entity("Patient", F.col("_subject"), of("Patient"), F.col("_subject").isNotNull()), entity("Visit", visit, of("Visit"), F.lit(True)),
-        entity("Diagnosis", dx, {"diagnosis_code": cdr_to_diagnosis_of_two(cdr), "cdr": F.col("_cdr"), "group": group}, cdr.isNotNull()),
-        entity("CognitiveAssessment", test("MMSE"), {"test_name": F.lit("MMSE"), "value": F.col("_mmse")}, mmse), entity("CognitiveAssessment", test("CDR"), {"test_name": F.lit("CDR"), "value": F.col("_cdr")}, cdr.isNotNull()),
-        entity("BrainRegion", test(WHOLE_BRAIN), {"name": F.lit(WHOLE_BRAIN), **of("BrainRegion")}, region),
+        entity("Patient", key, kept("Patient"), ~F.col("of_visit")), entity("Visit", key, kept("Visit"), F.col("of_visit")),
+        entity("Diagnosis", F.concat(F.lit("dx_"), key), {"diagnosis_code": F.col("`Diagnosis.diagnosis_code`"), "cdr": score, "group": F.col("`Diagnosis.group`")}, score.isNotNull()),
+        entity("CognitiveAssessment", test(key, "MMSE"), {"test_name": F.lit("MMSE"), "value": scale}, scale.isNotNull()), entity("CognitiveAssessment", test(key, "CDR"), {"test_name": F.lit("CDR"), "value": score}, score.isNotNull()),
+        entity("BrainRegion", test(key, WHOLE_BRAIN), {"name": F.lit(WHOLE_BRAIN), **kept("BrainRegion")}, F.col("`BrainRegion.nwbv`").isNotNull()),
     )
+    one = best.select(F.explode(F.array_compact(made)).alias("e")).select("e.*")
+    dx = F.concat(F.lit("dx_"), visit)
     edge = lambda kind, dst, there, src=visit: F.when(there, F.struct(src.alias("src"), F.lit(kind).alias("type"), dst.alias("dst")))
     linked = F.array(
-        edge("HAS_VISIT", visit, F.col("_subject").isNotNull(), F.col("_subject")), edge("HAS_DIAGNOSIS", dx, cdr.isNotNull()), edge("HAS_COGNITIVE_ASSESSMENT", test("MMSE"), mmse),
-        edge("HAS_COGNITIVE_ASSESSMENT", test("CDR"), cdr.isNotNull()), edge("HAS_IMAGE", test(WHOLE_BRAIN), region),
+        edge("HAS_VISIT", visit, F.col("_subject").isNotNull(), F.col("_subject")), edge("HAS_DIAGNOSIS", dx, cdr.isNotNull()), edge("HAS_COGNITIVE_ASSESSMENT", test(visit, "MMSE"), mmse),
+        edge("HAS_COGNITIVE_ASSESSMENT", test(visit, "CDR"), cdr.isNotNull()), edge("HAS_IMAGE", test(visit, WHOLE_BRAIN), region),
     )
-    each = rows.select(F.explode(F.array_compact(made)).alias("e")).select("e.kind", "e.key", F.explode_outer("e.properties").alias("p", "v"))
-    one = each.groupBy("kind", "key", "p").agg(F.max("v").alias("v")).groupBy("kind", "key").agg(F.map_from_entries(F.array_sort(F.collect_list(F.when(F.col("p").isNotNull(), F.struct("p", "v"))))).alias("properties"))
     return one.withColumn("source", F.lit(source)), rows.select(F.explode(F.array_compact(linked)).alias("e")).select("e.*").distinct()
 
 

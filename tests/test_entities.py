@@ -45,6 +45,21 @@ def test_session_entities(spark):
     assert {r.kind for r in only.collect()} == {"Patient", "Visit", "Diagnosis", "CognitiveAssessment"}
 
 
+def test_session_entities_of_repeated_keys(spark):
+    """Each property's greatest text among the rows that have the entity, however many; a session's rows are not multiplied by its properties before they meet."""
+    names = ["Subject ID", "MRI ID", "Group", "CDR", "MMSE", "nWBV", "eTIV", "EDUC"]
+    rows = [("S1", "M1", "b", "0", "9", "0.7", "1", None), ("S1", "M1", "z", None, "10", None, "9", "8"), ("S2", "M1", "a", "0.5", None, "0.6", "2", None), (" S2 ", "M2", None, "x", None, None, "3", None)]
+    df = spark.createDataFrame(rows, ", ".join(f"`{n}` string" for n in names))
+    found, _ = entities.session_entities(df, "two")
+    got = {(r.kind, r.key): r.properties for r in found.collect()}
+    assert got == {
+        ("Patient", "S1"): {"educ": "8"}, ("Patient", "S2"): {}, ("Visit", "M1"): {"group": "z"}, ("Visit", "M2"): {}, ("Diagnosis", "dx_M1"): {"diagnosis_code": "CN", "cdr": "0.5", "group": "b"},
+        ("CognitiveAssessment", "M1_MMSE"): {"test_name": "MMSE", "value": "9"}, ("CognitiveAssessment", "M1_CDR"): {"test_name": "CDR", "value": "0.5"}, ("BrainRegion", "M1_Whole Brain"): {"name": "Whole Brain", "nwbv": "0.7", "etiv": "2"},
+    }
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate [") == 1 and "collect_list" not in plan
+
+
 def test_entity_tables_are_written_once(spark, tmp_path):
     rows = spark.createDataFrame([(1, "a"), (1, "a"), (2, None), (None, "c")], "id int, v string")
     again = [entities.write_entity_tables({"k": (rows, "t")}, str(tmp_path), "b", {"k": ["id"]}).first().asDict() for _ in range(2)]
