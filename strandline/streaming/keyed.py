@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -68,32 +69,41 @@ def upserted(spark: SparkSession, target: str) -> DataFrame | None:
 class _Changes(StatefulProcessor):
     """The last state of a key and its time; both go after ``keep`` milliseconds of event time without rows."""
 
-    def __init__(self, key: str, time: str, order: list[str], state: str, keep: int, kinds: dict[str, str]):
-        self.key, self.time, self.order, self.state, self.keep, self.kinds = key, time, order, state, keep, kinds
+    def __init__(self, key: str, time: str, order: list[str], state: str, keep: int):
+        self.key, self.time, self.order, self.state, self.keep = key, time, order, state, keep
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.last = handle.getValueState("last", "state string, at timestamp")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        frame = pd.concat(list(rows)).sort_values([self.time, *self.order])
-        held = self.last.get() if self.last.exists() else None
-        state, at = held if held is not None else (None, None)
-        out, edge = [], pd.to_datetime(timerValues.getCurrentWatermarkInMs(), unit="ms")
-        for values in frame[[self.time, *self.order, self.state]].itertuples(index=False):
-            now, new = values[0], values[-1]
-            if at is not None and now < pd.Timestamp(at):
-                continue  # late: a newer state is known already
-            if state is not None and new != state:
-                out.append((key[0], *values[:-1], state, new))
-            state, at = new, now
-        if at is not None and (held is None or (state, at) != held):
-            for timer in self.handle.listTimers():
+        parts = list(rows)
+        frame = parts[0] if len(parts) == 1 else pd.concat(parts, ignore_index=True)
+        columns = {c: frame[c].to_numpy() for c in (self.time, *self.order, self.state)}
+        if any(columns[c].dtype == object for c in self.order):
+            taken = frame.sort_values([self.time, *self.order]).index.to_numpy()
+        else:
+            taken = np.lexsort([columns[c] for c in (*reversed(self.order), self.time)])
+        held = self.last.get()
+        state, at = held or (None, None)
+        if at is not None:
+            # others are late: a newer state is known already
+            taken = taken[~(columns[self.time][taken] < pd.Timestamp(at).to_datetime64())]
+        if not len(taken):
+            return
+        new = columns[self.state][taken].tolist()
+        old = [state, *new[:-1]]
+        there = np.array([b is not None and a != b for b, a in zip(old, new, strict=True)])
+        changed = taken[there]
+        if len(changed):
+            yield pd.DataFrame({self.key: [key[0]] * len(changed), **{c: columns[c][changed] for c in (self.time, *self.order)}, "from_state": [b for b, t in zip(old, there, strict=True) if t], "to_state": [a for a, t in zip(new, there, strict=True) if t]})
+        state, at = new[-1], pd.Timestamp(columns[self.time][taken[-1]])
+        if held is None or (state, at) != (held[0], pd.Timestamp(held[1])):
+            # a key without state has no timer
+            for timer in self.handle.listTimers() if held else ():
                 self.handle.deleteTimer(timer)
-            self.last.update((state, pd.Timestamp(at).to_pydatetime()))
-            due = int(pd.Timestamp(at).timestamp() * 1000) + self.keep
-            self.handle.registerTimer(max(due, int(edge.timestamp() * 1000) + 1))
-        yield pd.DataFrame(out, columns=[self.key, self.time, *self.order, "from_state", "to_state"])
+            self.last.update((state, at.to_pydatetime()))
+            self.handle.registerTimer(max(int(at.timestamp() * 1000) + self.keep, timerValues.getCurrentWatermarkInMs() + 1))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         self.last.clear()
@@ -118,8 +128,9 @@ def expiring_changes(stream: DataFrame, key: str, time: str, order: list[str], s
     kinds = {f.name: f.dataType.simpleString() for f in stream.schema}
     fields = ", ".join(f"`{c}` {kinds[c]}" for c in (key, time, *order))
     span = int(pd.Timedelta(keep).total_seconds() * 1000)
-    processor = _Changes(key, time, order, state, span, kinds)
-    return stream.withWatermark(time, late).groupBy(key).transformWithStateInPandas(processor, f"{fields}, from_state string, to_state string", "append", "eventTime")
+    processor = _Changes(key, time, order, state, span)
+    # only what the processor reads goes to Python
+    return stream.select(*dict.fromkeys([key, time, *order, state])).withWatermark(time, late).groupBy(key).transformWithStateInPandas(processor, f"{fields}, from_state string, to_state string", "append", "eventTime")
 
 
 def vacuum_list(spark: SparkSession, target: str) -> list[str]:

@@ -2,6 +2,7 @@
 
 import datetime as dt
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -64,3 +65,51 @@ def test_state_expires_and_late_rows_are_dropped(spark, tmp_path, keep, late):
         stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", mark).trigger(availableNow=True).start(target).awaitTermination()
     got = sorted((r.k, r.n, r.from_state, r.to_state) for r in spark.read.parquet(target).collect())
     assert got == [("a", 3, "x", "y"), ("a", 6, "z", "y"), ("a", 7, "y", "z"), ("d", 11, "x", "y")]
+
+
+class _Handle:
+    """Counts the calls that a processor makes to its state."""
+
+    def __init__(self, held=None):
+        self.held, self.calls, self.timers = held, [], []
+
+    def getValueState(self, *_):  # noqa: N802
+        return self
+
+    def get(self):
+        self.calls.append("get")
+        return self.held
+
+    def update(self, value):
+        self.calls.append("update")
+        self.held = value
+
+    def listTimers(self):  # noqa: N802
+        self.calls.append("list")
+        return list(self.timers)
+
+    def deleteTimer(self, timer):  # noqa: N802
+        self.timers.remove(timer)
+
+    def registerTimer(self, at):  # noqa: N802
+        self.calls.append("register")
+        self.timers.append(at)
+
+    def getCurrentWatermarkInMs(self):  # noqa: N802
+        return 0
+
+
+def test_changes_of_a_key_cost_three_calls_at_first():
+    at = lambda n: pd.Timestamp(2024, 1, 1 + n)
+    handle = _Handle()
+    one = keyed._Changes("k", "at", ["n"], "state", 1000)
+    one.init(handle)
+    frame = lambda *rows: iter([pd.DataFrame(r, columns=["k", "at", "n", "state"]) for r in rows])
+    told = lambda rows: [tuple(r) for f in one.handleInputRows(("a",), rows, handle) for r in f.itertuples(index=False)]
+    assert told(frame([("a", at(2), 3, "y"), ("a", at(1), 2, "x")], [("a", at(1), 1, None), ("a", at(3), 4, "y")])) == [("a", at(2), 3, "x", "y")]
+    assert handle.calls == ["get", "update", "register"] and handle.held[0] == "y"
+    assert told(frame([("a", at(2), 9, "q")])) == [] and handle.calls[3:] == ["get"]  # late
+    assert told(frame([("a", at(3), 0, "z"), ("a", at(4), 1, None)])) == [("a", at(3), 0, "y", "z"), ("a", at(4), 1, "z", None)]
+    assert len(handle.timers) == 1 and handle.held == (None, at(4).to_pydatetime())
+    # order columns of text, with missing ones last
+    assert told(frame([("a", at(5), None, "u"), ("a", at(5), "b", "t"), ("a", at(5), "a", "s")])) == [("a", at(5), "b", "s", "t"), ("a", at(5), None, "t", "u")]
