@@ -16,7 +16,7 @@ import html
 import json
 import re
 import zlib
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Callable, Iterator
 from functools import cached_property
 from hashlib import blake2b
@@ -24,7 +24,9 @@ from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -212,6 +214,19 @@ def _covering(starts: np.ndarray, n: int) -> np.ndarray:
     return np.cumsum(change[:-1]) > 0
 
 
+def _among(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Which keys are wanted."""
+    if not len(wanted):
+        return np.zeros(len(keys), bool)
+    wanted = np.sort(wanted)
+    return wanted[np.minimum(np.searchsorted(wanted, keys), len(wanted) - 1)] == keys
+
+
+def _changing(keys: np.ndarray) -> np.ndarray:
+    """Distinct keys; neighbours that are equal, as anchors mostly are, are not sorted."""
+    return np.unique(keys[np.concatenate([[True], keys[1:] != keys[:-1]])[: len(keys)]])
+
+
 def _number(text: str) -> int:
     return int.from_bytes(blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
@@ -227,20 +242,23 @@ class Stretch:
 
     def __init__(self, pages: dict[int, list[Block]]):
         self.pages = pages
-        words = [[(f"<{b.name}>", *b.text.split(" ")) for b in blocks] for blocks in pages.values()]
-        self.sizes = [[len(w) for w in ws] for ws in words]
-        self.known: defaultdict[str, int] = defaultdict()
-        self.known.default_factory = self.known.__len__
+        # texts have one space between words and none around them
+        self.sizes = [[b.text.count(" ") + 2 for b in blocks] for blocks in pages.values()]
         totals = [sum(s) for s in self.sizes]
-        self.tokens = np.fromiter(map(self.known.__getitem__, chain.from_iterable(chain.from_iterable(words))), np.int64, sum(totals))
+        words = pc.split_pattern(pa.array([" ".join([f"<{b.name}> {b.text}" for b in blocks]) for blocks in pages.values() if blocks], pa.large_string()), " ").flatten().dictionary_encode()
+        self.tokens, self.words = words.indices.to_numpy().astype(np.int64), words.dictionary
         self.page = np.repeat(np.arange(len(pages)), totals)
         left = np.repeat(np.cumsum(totals, dtype=np.int64), totals) - np.arange(len(self.tokens))
         self.starts = np.flatnonzero(left >= LEAST)  # of windows of LEAST tokens
 
+    @cached_property
+    def numbers(self) -> np.ndarray:
+        """A number of each token, the same in all stretches."""
+        return pd.util.hash_array(self.words.to_numpy(zero_copy_only=False), categorize=False)[self.tokens]
+
     def _keys(self, width: int) -> np.ndarray:
-        """A key of the tokens in the window of this width at each token, the same in all stretches; zeros follow the last token."""
-        numbers = np.fromiter(map(_number, self.known), np.int64, len(self.known)).view(np.uint64)
-        row = np.concatenate([numbers[self.tokens], np.zeros(width, np.uint64)])
+        """A key of the tokens in the window of this width at each token; zeros follow the last token."""
+        row = np.concatenate([self.numbers, np.zeros(width, np.uint64)])
         key = np.zeros(len(self.tokens), np.uint64)
         for k in range(width):
             key = key * np.uint64(0x9E3779B97F4A7C15) + row[k : k + len(key)]
@@ -255,8 +273,8 @@ class Stretch:
 
     @cached_property
     def anchors(self) -> np.ndarray:
-        """The least key among the anchors of each window."""
-        keys = self._keys(ANCHOR)
+        """The least key among the anchors of each window; anchors only name windows to look at, so 40 bits do."""
+        keys = self._keys(ANCHOR) & 0xFFFFFFFFFF
         least = keys[self.starts]
         for k in range(1, LEAST - ANCHOR + 1):
             np.minimum(least, keys[self.starts + k], out=least)
@@ -264,7 +282,7 @@ class Stretch:
 
     def distinct(self, anchors: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The windows under these anchors: each key once, with the least and greatest number of a page that has it."""
-        at = np.flatnonzero(np.isin(self.anchors, anchors))
+        at = np.flatnonzero(_among(self.anchors, anchors))
         order = at[np.argsort(self.windows[at], kind="stable")]
         keys = self.windows[order]
         first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])[: len(keys)])
@@ -277,7 +295,7 @@ class Stretch:
         """The main text of each page, with its tokens and how many of them repeats cover: here, and windows of these keys."""
         hit_tokens = repeated(self.tokens, self.page)
         if len(elsewhere):
-            hit_tokens |= _covering(self.starts[np.isin(self.windows, elsewhere)], len(self.tokens))
+            hit_tokens |= _covering(self.starts[_among(self.windows, elsewhere)], len(self.tokens))
         covered = np.cumsum(np.concatenate([[0], hit_tokens]))
         at, out = 0, {}
         for (number, blocks), size in zip(self.pages.items(), self.sizes, strict=True):
@@ -307,7 +325,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pages are read into blocks, which are packed; page is the page's number."""
     for batch in batches:
         pages = [p or "" for p in batch.column("html").to_pylist()]
-        packed = [zlib.compress(json.dumps(blocks_of(p), ensure_ascii=False).encode("utf-8", "surrogatepass"), 6) for p in pages]
+        packed = [zlib.compress(json.dumps(blocks_of(p), ensure_ascii=False).encode("utf-8", "surrogatepass"), 4) for p in pages]
         columns = [*(batch.column(c) for c in ("host", "page_id", "url")), pa.array(map(_number, pages), pa.int64()), pa.array(map(len, pages), pa.int64()), pa.array(packed, pa.binary())]
         yield pa.record_batch(columns, names=["host", "page_id", "url", "page", "chars", "blocks"])
 
@@ -427,7 +445,7 @@ def main_texts(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
         return at.join(lists, (F.col("host") == F.col("_host")) & (F.col("part") == F.col("_part")) & (F.col("at") == 1), "left").drop("_host", "_part").sortWithinPartitions("host", "part", "at")
 
     same = Window.partitionBy("host", "key")
-    told = dealt.sortWithinPartitions(*order).mapInArrow(_told(lambda stretch, _: (np.unique(stretch.anchors),), ("key",)), "host string, part long, key long")
+    told = dealt.sortWithinPartitions(*order).mapInArrow(_told(lambda stretch, _: (_changing(stretch.anchors),), ("key",)), "host string, part long, key long")
     anchors = told.withColumn("stretches", F.count(F.lit(1)).over(same)).where("stretches > 1")
     told = with_keys(anchors).mapInArrow(_told(lambda stretch, keys: stretch.distinct(keys), ("key", "low", "high")), "host string, part long, key long, low long, high long")
     # a stretch knows by itself what two of its pages share
