@@ -20,7 +20,7 @@ from collections import Counter
 from collections.abc import Callable, Iterator
 from functools import cached_property
 from hashlib import blake2b
-from itertools import chain
+from itertools import chain, pairwise
 from typing import NamedTuple
 
 import numpy as np
@@ -39,6 +39,8 @@ LEAST, COVERED, COPY = 12, 0.5, 0.8
 ANCHOR = 6
 #: Characters of pages of a host that one suffix array holds, from this to twice as many; hosts that are dealt over several tasks are fewer than LARGE_HOSTS. Neither moves a result.
 GROUP_CHARS, LARGE_HOSTS = 1 << 20, 65_536
+#: Stretches of a host that one range of keys is compared for at a time: a host of more has more ranges.
+MEETING = 128
 
 # Element names.
 RAW_TEXT = "script|style|noscript|template|iframe|svg|math|object|canvas|audio|video|select|textarea|title|noembed|noframes|xmp"
@@ -227,6 +229,16 @@ def _changing(keys: np.ndarray) -> np.ndarray:
     return np.unique(keys[np.concatenate([[True], keys[1:] != keys[:-1]])[: len(keys)]])
 
 
+def _packed(keys: np.ndarray) -> bytes:
+    """Sorted keys as the steps between them, by planes of bytes."""
+    return zlib.compress(np.diff(keys.view(np.uint64), prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T.tobytes(), 1)
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zlib.decompress(data), np.uint8).reshape(8, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).ravel(), dtype=np.uint64).view(np.int64)
+
+
 def _number(text: str) -> int:
     return int.from_bytes(blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
@@ -238,10 +250,13 @@ class Found(NamedTuple):
 
 
 class Stretch:
-    """Distinct pages of one host, by the number of each, as one row of tokens: a mark of each block's element and its words."""
+    """Distinct pages of one host, by the number of each, as one row of tokens: a mark of each block's element and its words.
 
-    def __init__(self, pages: dict[int, list[Block]]):
-        self.pages = pages
+    A page that other stretches hold, too, is at home in one of them only.
+    """
+
+    def __init__(self, pages: dict[int, list[Block]], home: Callable[[int], bool] = lambda number: True):
+        self.pages, self.home = pages, np.array([home(n) for n in pages], bool)
         # texts have one space between words and none around them
         self.sizes = [[b.text.count(" ") + 2 for b in blocks] for blocks in pages.values()]
         totals = [sum(s) for s in self.sizes]
@@ -273,23 +288,26 @@ class Stretch:
 
     @cached_property
     def anchors(self) -> np.ndarray:
-        """The least key among the anchors of each window; anchors only name windows to look at, so 40 bits do."""
-        keys = self._keys(ANCHOR) & 0xFFFFFFFFFF
+        """The least key among the anchors of each window; anchors only name windows to look at, so the upper 40 bits do."""
+        keys = self._keys(ANCHOR) & -(1 << 24)
         least = keys[self.starts]
         for k in range(1, LEAST - ANCHOR + 1):
             np.minimum(least, keys[self.starts + k], out=least)
         return least
 
-    def distinct(self, anchors: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The windows under these anchors: each key once, with the least and greatest number of a page that has it."""
+    def distinct(self, anchors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The windows under these anchors: each key once, in order, and on how many of the pages at home it is (2 for more)."""
         at = np.flatnonzero(_among(self.anchors, anchors))
         order = at[np.argsort(self.windows[at], kind="stable")]
         keys = self.windows[order]
         first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])[: len(keys)])
-        numbers = np.fromiter(self.pages, np.int64, len(self.pages))[self.page[self.starts[order]]]
         if not len(first):
-            return keys, keys, keys
-        return keys[first], np.minimum.reduceat(numbers, first), np.maximum.reduceat(numbers, first)
+            return keys, np.zeros(0, np.uint8)
+        pages = self.page[self.starts[order]]
+        home = self.home[pages]
+        least = np.minimum.reduceat(np.where(home, pages, len(self.pages)), first)
+        most = np.maximum.reduceat(np.where(home, pages, -1), first)
+        return keys[first], (1 + np.sign(most - least)).astype(np.uint8)
 
     def found(self, elsewhere: np.ndarray) -> dict[int, Found]:
         """The main text of each page, with its tokens and how many of them repeats cover: here, and windows of these keys."""
@@ -322,17 +340,21 @@ def extract(pages: list[str]) -> list[Found]:
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pages are read into blocks, which are packed; page is the page's number."""
+    """Pages are read into blocks, which are packed; page is the page's number, again says that the batch has the page in a row before."""
     for batch in batches:
+        seen: set[int] = set()
         pages = [p or "" for p in batch.column("html").to_pylist()]
         packed = [zlib.compress(json.dumps(blocks_of(p), ensure_ascii=False).encode("utf-8", "surrogatepass"), 4) for p in pages]
-        columns = [*(batch.column(c) for c in ("host", "page_id", "url")), pa.array(map(_number, pages), pa.int64()), pa.array(map(len, pages), pa.int64()), pa.array(packed, pa.binary())]
-        yield pa.record_batch(columns, names=["host", "page_id", "url", "page", "chars", "blocks"])
+        numbers = [_number(p) for p in pages]
+        again = [n in seen or seen.add(n) is not None for n in numbers]
+        columns = [*(batch.column(c) for c in ("host", "page_id", "url")), pa.array(numbers, pa.int64()), pa.array(again, pa.bool_()), pa.array(map(len, pages), pa.int64()), pa.array(packed, pa.binary())]
+        yield pa.record_batch(columns, names=["host", "page_id", "url", "page", "again", "chars", "blocks"])
 
 
 class Rows(NamedTuple):
     host: str
     part: int
+    parts: int
     ids: list
     urls: list
     pages: list[int]
@@ -342,7 +364,10 @@ class Rows(NamedTuple):
 
 
 def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[Rows]:
-    """Rows come sorted by host and part, with the part's keys in its first; those of one are taken together, in stretches of GROUP_CHARS to twice as many."""
+    """Rows come sorted by host, part and page, with the part's keys in its first; those of one part are taken together, in stretches of GROUP_CHARS to twice as many.
+
+    Rows of equal pages are in one stretch and count once.
+    """
     now, rows, chars, keys, cut = None, [], 0, NONE, False
 
     def taken(rows: list[tuple], alone: bool) -> Rows:
@@ -350,7 +375,8 @@ def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[Rows]:
         for _, _, number, _, blocks in rows:
             if number not in read:
                 read[number] = blocks_of(blocks) if isinstance(blocks, str) else [Block(*b) for b in json.loads(zlib.decompress(blocks).decode("utf-8", "surrogatepass"))]
-        return Rows(now[0], now[1], [r[0] for r in rows], [r[1] for r in rows], [r[2] for r in rows], Stretch(read), keys, alone and now[2] == 1)
+        host, part, parts = now
+        return Rows(host, part, parts, [r[0] for r in rows], [r[1] for r in rows], [r[2] for r in rows], Stretch(read, lambda number: number % parts == part), keys, alone and parts == 1)
 
     for batch in batches:
         names, columns = batch.schema.names, {c: batch.column(c) for c in batch.schema.names}
@@ -361,39 +387,57 @@ def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[Rows]:
                     yield taken(rows, not cut)
                 now, rows, chars, keys, cut = key, [], 0, NONE, False
             if "keys" in names and columns["keys"][i].is_valid:
-                keys = columns["keys"][i].values.to_numpy()
+                keys = np.concatenate([_unpacked(k) for k in columns["keys"][i].as_py()])
             if "blocks" in names:
-                page, size, blocks = (columns[c][i].as_py() for c in ("page", "chars", "blocks"))
+                page, size = columns["page"][i].as_py(), columns["chars"][i].as_py()
             else:
                 blocks = columns["html"][i].as_py() or ""
                 page, size = _number(blocks), len(blocks)
-            chars += size
-            rows.append((columns["page_id"][i].as_py(), columns["url"][i].as_py(), page, size, blocks))
+            if rows and rows[-1][2] == page:
+                rows.append((columns["page_id"][i].as_py(), columns["url"][i].as_py(), page, 0, None))
+                continue
             if chars >= 2 * GROUP_CHARS:  # the rest is never less than a stretch
                 first, head = 0, 0
-                while head < GROUP_CHARS:
+                while first < len(rows) and (head < GROUP_CHARS or rows[first][4] is None):
                     head += rows[first][3]
                     first += 1
                 cut = True
                 yield taken(rows[:first], False)
                 rows, chars = rows[first:], chars - head
+            chars += size
+            rows.append((columns["page_id"][i].as_py(), columns["url"][i].as_py(), page, size, columns["blocks"][i].as_py() if "blocks" in names else blocks))
     if rows:
         yield taken(rows, not cut)
 
 
-def _told(tell: Callable[[Stretch, np.ndarray], tuple[np.ndarray, ...]], names: tuple[str, ...]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """What each stretch of a host of several tells the others, as rows of host, part and these columns."""
+def _told(tell: Callable[[Stretch, np.ndarray], tuple[np.ndarray, np.ndarray]], meeting: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """What each stretch of a host of several tells the others: its keys and the pages of each, one row for each range of keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _stretches(batches):
             if not rows.alone:
-                columns = tell(rows.stretch, rows.keys)
-                n = len(columns[0])
-                yield pa.record_batch([pa.repeat(pa.scalar(rows.host, pa.string()), n), pa.repeat(pa.scalar(rows.part, pa.int64()), n), *map(pa.array, columns)], names=["host", "part", *names])
+                keys, pages = tell(rows.stretch, rows.keys)
+                ranges = -(-rows.parts // meeting)
+                cuts = [0, *np.searchsorted(keys, np.array([(k << 64) // ranges - (1 << 63) for k in range(1, ranges)], np.int64)).tolist(), len(keys)]
+                told = [(k, _packed(keys[a:b]), zlib.compress(pages[a:b].tobytes(), 1)) for k, (a, b) in enumerate(pairwise(cuts)) if a < b]
+                columns = [pa.array([rows.host] * len(told), pa.string()), pa.array([rows.part] * len(told), pa.int64()), *(pa.array([t[k] for t in told], kind) for k, kind in enumerate((pa.int64(), pa.binary(), pa.binary())))]
+                yield pa.record_batch(columns, names=["host", "part", "range", "keys", "pages"])
 
     return run
 
 
+def _shared(told: pa.Table) -> pa.Table:
+    """Of one range of keys of a host, for each stretch those of its keys that are on two pages at least, but for those of which it knows that."""
+    each = [_unpacked(k) for k in told.column("keys").to_pylist()]
+    pages = np.concatenate([np.frombuffer(zlib.decompress(p), np.uint8) for p in told.column("pages").to_pylist()])
+    at = np.unique(np.concatenate(each), return_inverse=True)[1]
+    shared = (np.bincount(at, pages) >= 2)[at] & (pages < 2)
+    ends = np.cumsum([len(k) for k in each])[:-1]
+    lists = [_packed(k[s]) if s.any() else None for k, s in zip(each, np.split(shared, ends), strict=True)]
+    out = told.select(["host", "part"]).append_column("keys", pa.array(lists, pa.binary()))
+    return out.filter(pc.is_valid(out.column("keys")))
+
+
 def _by_host(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The main texts of rows that come sorted by host and part."""
     for batch in batches:
@@ -422,7 +466,9 @@ def main_texts(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     all) in parts of about so many, and each stretch of GROUP_CHARS at least has its own suffix array. What
     stretches of a host share is exchanged in two steps. Each tells the least anchor of its windows of LEAST
     tokens, so none that two stretches hold is missed; then the windows under anchors that are in several, by
-    keys of 64 bits with the pages that have them. So the result is that of all pages of a host in one array.
+    keys of 64 bits with the number of pages that have them. So the result is that of all pages of a host in
+    one array. Equal pages have one part by their text, where they are counted, and further copies are dealt
+    to others; keys are sent as packed arrays, one a stretch and range of keys.
     """
     url = F.col(url_col).cast("string")
     rows = pages.select(host_of(url).alias("host"), F.col(id_col).alias("page_id"), url.alias("url"), F.col(html_col).cast("string").alias("html"))
@@ -430,26 +476,30 @@ def main_texts(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     sizes = cut_lineage(rows.groupBy("host").agg(F.sum(F.coalesce(F.char_length("html"), F.lit(0)) + 1).alias("chars")))
     unit = max(GROUP_CHARS, (sizes.agg(F.sum("chars")).first()[0] or 0) // LARGE_HOSTS)
     large = sizes.where(F.col("chars") > unit).select("host", F.ceil(F.col("chars") / unit).alias("parts"))
-    read = rows.mapInArrow(_read, f"host string, page_id {kind}, url string, page long, chars long, blocks binary")
-    # rows of a large host are dealt one by one, so that copies of a row are, too
+    read = rows.mapInArrow(_read, f"host string, page_id {kind}, url string, page long, again boolean, chars long, blocks binary")
+    # of each batch of rows one copy goes to the part that its text names, so none is only elsewhere
     several = F.coalesce("parts", F.lit(1).cast("long"))
-    part = F.pmod(F.xxhash64("page_id", "url", F.monotonically_increasing_id()), several).alias("part")
+    part = F.pmod(F.when(F.col("again"), F.xxhash64("page_id", "url", F.monotonically_increasing_id())).otherwise(F.col("page")), several).alias("part")
     parts = max(int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")), rows.rdd.getNumPartitions())
     dealt = read.join(F.broadcast(large), "host", "left").select("host", part, several.alias("parts"), "page_id", "url", "page", "chars", "blocks").repartition(parts, "host", "part")
-    order = ("host", "part", "page_id", "url", "page")
+    order = ("host", "part", "page", "page_id", "url")
     at = dealt.withColumn("at", F.row_number().over(Window.partitionBy("host", "part").orderBy(*order[2:])))
 
     def with_keys(keys: DataFrame) -> DataFrame:
         """The rows, the first of each part with its keys."""
-        lists = keys.groupBy(F.col("host").alias("_host"), F.col("part").alias("_part")).agg(F.collect_set("key").alias("keys"))
+        lists = keys.select(F.col("host").alias("_host"), F.col("part").alias("_part"), "keys").repartition(parts, "_host", "_part").groupBy("_host", "_part").agg(F.collect_list("keys").alias("keys"))
         return at.join(lists, (F.col("host") == F.col("_host")) & (F.col("part") == F.col("_part")) & (F.col("at") == 1), "left").drop("_host", "_part").sortWithinPartitions("host", "part", "at")
 
-    same = Window.partitionBy("host", "key")
-    told = dealt.sortWithinPartitions(*order).mapInArrow(_told(lambda stretch, _: (_changing(stretch.anchors),), ("key",)), "host string, part long, key long")
-    anchors = told.withColumn("stretches", F.count(F.lit(1)).over(same)).where("stretches > 1")
-    told = with_keys(anchors).mapInArrow(_told(lambda stretch, keys: stretch.distinct(keys), ("key", "low", "high")), "host string, part long, key long, low long, high long")
-    # a stretch knows by itself what two of its pages share
-    windows = told.withColumns({"least": F.min("low").over(same), "most": F.max("high").over(same)}).where("least < most AND low = high")
+    def shared(rows: DataFrame, tell: Callable[[Stretch, np.ndarray], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
+        told = rows.mapInArrow(_told(tell, max(1, MEETING * GROUP_CHARS // unit)), "host string, part long, range long, keys binary, pages binary")
+        return told.groupBy("host", "range").applyInArrow(_shared, "host string, part long, keys binary")
+
+    def anchors_of(stretch: Stretch, _: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        keys = _changing(stretch.anchors)
+        return keys, np.ones(len(keys), np.uint8)
+
+    anchors = shared(dealt.sortWithinPartitions(*order), anchors_of)
+    windows = shared(with_keys(anchors), Stretch.distinct)
     schema = f"page_id {kind}, url string, text string, n_chars long, n_tokens long, n_repeated long"
     return with_keys(windows).mapInArrow(_by_host, schema).withColumnRenamed("page_id", id_col)
 
