@@ -71,3 +71,31 @@ def test_classes_and_links_of_a_band(agree):
     values = [0.0, 25.0, 50.0, 75.01, 75.01, 100.01, 125.02, -1e-300, 9999.0, None, float("nan"), 1000.1, 1025.1, 975.1]
     got = agree("j11_similarity_band", customer=(CUSTOMER, patients(values)[1] + [(5, "n", 1, 0.0, "s"), (11, "n", 1, 0.0, "s")]))
     assert {r[0]: r[1:] for r in got}[1 + 6 * 7] == (1, 2) and (5, 5, 0) in got and len(got) == 16
+
+
+def test_pairs_of_a_band(agree):
+    # values on bounds of the buckets, differences that round to the width, copies, and values that pair with nothing
+    values = [0.0, 25.0, 50.0, 75.01, 75.01, 100.01, 125.02, -1e-300, -25.0, 9999.0, None, float("nan"), float("nan"), 1000.1, 1025.1, 975.1, 1e20, 1e20, -1e300, 6.25, 18.75, 31.25]
+    rows = patients(values)[1] + [(5, "n", 1, 0.0, "s"), (11, "n", 1, 0.0, "s"), (2, "n", 1, 0.0, "s"), (None, "n", 1, 0.0, "s")]
+    got = agree("j11_similarity_band", customer=(CUSTOMER, rows))
+    pid = lambda i: 6 * i + 1
+    assert {(pid(0), pid(1)), (pid(1), pid(7)), (pid(3), pid(4)), (pid(13), pid(14)), (pid(13), pid(15)), (pid(16), pid(17))} <= set(got)
+    assert not {2, 5, 11, pid(9), pid(10), pid(11), pid(12), pid(18)} & {i for r in got for i in r}
+
+
+def test_pairs_of_a_band_in_parts(spark, monkeypatch):
+    from strandline.operators import relational
+
+    monkeypatch.setattr(relational, "PART_ROWS", 3)
+    monkeypatch.setattr(relational, "TASK_MEETINGS", 500)
+    rows = [(i, i % 2, float(v)) for i, v in enumerate([7] * 40 + [k / 4 for k in range(80)] + [-1.0] * 5)]
+    df = spark.createDataFrame(rows, "id int, k int, v double")
+    want = sorted((i, j) for i, m, v in rows for j, n, w in rows if i < j and m == n and abs(v - w) <= 2.0)
+    assert sorted(map(tuple, relational.similarity_band(df, "k", "v", "id", 2.0).collect())) == want
+    assert relational.similarity_band(df.limit(0), "k", "v", "id", 2.0).count() == 0
+
+
+def test_classes_and_links_beside_the_pairs(agree):
+    values = [0.0, 25.0, 50.0, 75.01, 75.01, 100.01, 125.02, -1e-300, 9999.0, None, float("nan"), 1000.1, 1025.1, 975.1]
+    got = agree("j11_similarity_classes", customer=(CUSTOMER, patients(values)[1] + [(5, "n", 1, 0.0, "s"), (11, "n", 1, 0.0, "s")]))
+    assert {r[0]: r[1:] for r in got}[1 + 6 * 7] == (1, 2) and (5, 5, 0) in got and len(got) == 16
